@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import license_scan, media, secret_scan
+from . import fingerprint, html_extract, license_scan, media, quality, secret_scan
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op3_license_scan": license_scan.op3_license_scan,
     "op4_secret_scan": secret_scan.op4_secret_scan,
+    "op6_fingerprint": fingerprint.op6_fingerprint,
+    "op9_html_extract": html_extract.op9_html_extract,
     "op10_media_columns": media.op10_media_columns,
 }
 #: SQL where it can express the operator; the rest are tested against brute force.
