@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import fingerprint, html_extract, license_scan, media, quality, secret_scan
+from . import brown_lm, fingerprint, html_extract, license_scan, media, packing, quality, secret_scan
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_lm_scoring": brown_lm.op2_lm_scoring,
     "op3_license_scan": license_scan.op3_license_scan,
     "op4_secret_scan": secret_scan.op4_secret_scan,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_fingerprint": fingerprint.op6_fingerprint,
     "op9_html_extract": html_extract.op9_html_extract,
     "op10_media_columns": media.op10_media_columns,
