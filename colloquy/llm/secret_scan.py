@@ -129,7 +129,8 @@ def find_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", owner:
 
 def redact(df: DataFrame, key: str = "doc_id", text: str = "text", owner: str | Column = "source", repository: str | Column = "source") -> DataFrame:
     """df with every span of ``text`` replaced by ``[kind]``; n_chars, where df has it, follows. Rows and other columns stay."""
-    ready = df.withColumn("_row", F.xxhash64(F.col(key), F.col(text), F.col(owner), F.col(repository)))
+    name = lambda c: F.col(c) if isinstance(c, str) else c
+    ready = df.withColumn("_row", F.xxhash64(F.col(key), F.col(text), name(owner), name(repository)))
     found = find_secrets(ready, "_row", text, owner, repository).where(F.col("spans") != "").select("_row", "spans").dropDuplicates(["_row"])
     joined = ready.join(found, "_row", "left")
     kind = dict(df.dtypes)[text]
