@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import brown_lm, fingerprint, html_extract, jaccard_join, license_scan, media, packing, quality, secret_scan
+from . import brown_lm, fingerprint, html_extract, jaccard_join, license_scan, media, packing, piece_sampling, quality, secret_scan
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_fingerprint": fingerprint.op6_fingerprint,
+    "op7_piece_sampling": piece_sampling.op7_piece_sampling,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_html_extract": html_extract.op9_html_extract,
     "op10_media_columns": media.op10_media_columns,
