@@ -14,6 +14,7 @@ packed each on their own. An empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from functools import lru_cache
 
@@ -26,7 +27,7 @@ from .common import as_bytes, cut_lineage, per_batch, read_table
 
 LENGTH, END, BINS, MOST_PARTS = 4096, 1, 64, 4
 #: Distinct white-space-free strings whose ids a worker keeps.
-CACHE = 600_000
+CACHE = 900_000
 #: Share of the fitted repeats that is used; the rest stays with the residuals, which need pieces of every length to fill gaps.
 SHARE = 0.7
 #: Bins below stay out of patterns: their short pieces fill the gaps of residuals.
@@ -41,8 +42,22 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Letters, then ASCII punctuation without the apostrophe: the vocabulary's rule splits such a string just there.
+PLAIN = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def byte_letters() -> list[str]:
+    """The letter under which a byte stands in byte-level vocabularies: printable Latin-1 for itself, the rest from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(others)) for b in range(256)]
+
+
 class Encoder:
-    """Ids of texts. The vocabulary's pieces never cross white space, so ids of white-space-free strings are joined."""
+    """Ids of texts. The vocabulary's pieces never cross white space, so ids of white-space-free strings are joined.
+
+    A new string of Latin letters and closing punctuation is put together from its parts, the letters going straight to the
+    tokenizer's model; any other goes through the whole tokenizer."""
 
     def __init__(self, path: str):
         self.path, self.known = path, {}
@@ -50,18 +65,45 @@ class Encoder:
     def __getstate__(self):
         return {"path": self.path, "known": {}}
 
+    def _plain(self, words: list[bytes], into: dict[bytes, bytes]) -> list[bytes]:
+        """Ids of the words that are plain, into a table; the words that are not."""
+        model, letters, others, later = tokenizer(self.path).model, byte_letters(), [], []
+        ready: dict[str, bytes] = {}
+        for w in words:
+            m = PLAIN.fullmatch(text := w.decode())
+            if not m or not (base := m[1]).isalpha() or max(base) >= "\u0250" or "\u0130" in base:
+                others.append(w)
+                continue
+            base = base.lower()
+            ids = ready.get(base)
+            if ids is None:
+                name = base if base.isascii() else "".join([letters[b] for b in base.encode()])
+                ids = ready[base] = np.array([t.id for t in model.tokenize(name)], "<u4").tobytes()
+            if len(text) == len(m[1]):
+                into[w] = ids
+            else:
+                later.append((w, ids, m[2].encode()))
+        ends = [e for e in {x[2] for x in later} if e not in into]
+        self._whole(ends, into)
+        for w, ids, end in later:
+            into[w] = ids + into[end]
+        return others
+
+    def _whole(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
+        for i in range(0, len(words), 20_000):
+            some = words[i : i + 20_000]
+            for w, e in zip(some, tokenizer(self.path).encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
+                into[w] = np.array(e.ids, "<u4").tobytes()
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [t.split() for t in texts]
         known = self.known
         new = list({w for words in split for w in words if w not in known})
-        once: dict[bytes, bytes] = {}
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for w, e in zip(some, tokenizer(self.path).encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, "<u4").tobytes()
-                (known if len(known) < CACHE else once)[w] = ids
-        if not once:
+        full = len(known) >= CACHE
+        once: dict[bytes, bytes] = {} if full else known
+        self._whole(self._plain(new, once), once)
+        if not full:
             return [b"".join(map(known.__getitem__, words)) for words in split]
         return [b"".join([once[w] if w in once else known[w] for w in words]) for words in split]
 
