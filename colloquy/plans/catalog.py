@@ -1,4 +1,472 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the given tables, and the SQL of the same results."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from colloquy.functions import text as X
+from colloquy.functions import vectors as VX
+from colloquy.operators import embed, evaluate, export, filters, search, stats, sync
+from colloquy.plans import rendered
+from colloquy.plans.views import AS_OF, SQL, Views
+
+WORDS, PHRASES = "The der the", "of_the the_of, THE!"
+SCOPE = {"sources": ["claude-code", "codex", "kiro-cli", "cursor"], "time_range": "month"}
+SCOPE_SQL = f"source IN ('claude-code', 'codex', 'kiro-cli', 'cursor') AND started_at >= {AS_OF - 30 * X.DAY_MS}"
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function of the views under its name, with the SELECT that follows the views' WITH clause."""
+
+    def add(fn):
+        QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Views(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[fn.__name__] = SQL + sql
+        return fn
+
+    return add
+
+
+def keyword_sql(text: str, condition: str = "true", fetch: int = 60) -> str:
+    """CTEs up to kw(session_id, rank, snippet, wr): the keyword search in SQL."""
+    words: dict[tuple, int] = {}
+    for w in X.rewrite_query(text):
+        if w:
+            words[tuple(w)] = words.get(tuple(w), 0) + 1
+    parts = []
+    for w, times in words.items():
+        joins = "".join(f" JOIN post p{i} ON p{i}.message_id = p0.message_id AND p{i}.pos = p0.pos + {i} AND p{i}.term = '{t}'" for i, t in enumerate(w[1:], 1))
+        parts.append(f"SELECT '{' '.join(w)}' AS word, {times} AS times, p0.message_id, p0.session_id, count(*) AS f FROM post p0{joins} WHERE p0.term = '{w[0]}' GROUP BY ALL")
+    return rf""",
+toks AS (SELECT message_id, session_id, list_filter(string_split_regex(lower(strip_accents(content)), '[^\p{{L}}\p{{N}}\p{{Co}}]+'), lambda x: x <> '') AS ts FROM messages),
+lens AS (SELECT message_id, len(ts) AS dl FROM toks),
+post AS (SELECT message_id, session_id, unnest(ts) AS term, generate_subscripts(ts, 1) AS pos FROM toks),
+held AS ({" UNION ALL ".join(parts)}),
+idf AS (SELECT word, CASE WHEN raw <= 0 THEN 1e-6 ELSE raw END AS idf FROM (
+  SELECT word, ln(((SELECT count(*) FROM lens) - count(*) + 0.5) / (count(*) + 0.5)) AS raw FROM held GROUP BY word)),
+scored AS (SELECT message_id, session_id, round(-sum(idf * times * f * 2.2 / (f + 1.2 * (1 - 0.75 + 0.75 * dl / (SELECT avg(dl) FROM lens)))), 9) AS r
+  FROM held JOIN idf USING (word) JOIN lens USING (message_id) GROUP BY ALL),
+best AS (SELECT scored.session_id, min({{'r': r, 'm': message_id}}) AS b FROM scored JOIN sessions ON sessions.id = scored.session_id WHERE {condition} GROUP BY 1),
+kw AS (SELECT t.session_id, b.r AS rank, substr(content, 1, 200) AS snippet, wr FROM (
+  SELECT *, row_number() OVER (ORDER BY b.r, session_id) - 1 AS wr FROM best ORDER BY b.r, session_id LIMIT {fetch}) t JOIN messages ON message_id = b.m AND messages.session_id = t.session_id)
+"""
+
+
+def vector_sql(condition: str = "true", k: int = 300) -> str:
+    """CTE vec(session_id, distance, vr): the vector search in SQL."""
+    return f""",
+near AS (SELECT message_id, list_distance(embedding, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS distance FROM vectors ORDER BY distance, message_id LIMIT {k}),
+vec AS (SELECT *, row_number() OVER (ORDER BY distance, session_id) - 1 AS vr FROM (
+  SELECT messages.session_id, min(distance) AS distance FROM near JOIN messages USING (message_id) JOIN sessions ON id = messages.session_id WHERE {condition} GROUP BY 1))
+"""
+
+
+FUSED = """,
+fused AS (SELECT coalesce(kw.session_id, vec.session_id) AS session_id, coalesce(1.0 / (11 + wr), 0) + coalesce(1.0 / (11 + vr), 0) AS score,
+  CASE WHEN wr IS NOT NULL AND vr IS NOT NULL THEN 'HYB' WHEN wr IS NOT NULL THEN 'FTS' ELSE 'VEC' END AS match, snippet
+  FROM kw FULL OUTER JOIN vec ON kw.session_id = vec.session_id),
+top AS (SELECT *, row_number() OVER (ORDER BY score DESC, session_id) AS position FROM fused QUALIFY position <= 20),
+found AS (SELECT position, session_id, round(score, 9) AS score, match, snippet, source, title, directory, started_at FROM top JOIN sessions ON id = session_id)
+"""
+
+
+def _hybrid(v: Views, **scope) -> DataFrame:
+    found = search.hybrid_search(v.sessions, v.messages, v.vectors, WORDS, v.query_vector, as_of_ms=AS_OF, **scope)
+    return found.select("position", "session_id", F.round("score", 9).alias("score"), "match", "snippet", "source", "title", "directory", "started_at")
+
+
+@query(keyword_sql(WORDS) + "SELECT session_id, rank, snippet FROM kw")
+def fts_search(v: Views) -> DataFrame:
+    return search.fts_search(v.sessions, v.messages, WORDS)
+
+
+@query(keyword_sql(PHRASES) + "SELECT session_id, rank, snippet FROM kw")
+def fts_phrase(v: Views) -> DataFrame:
+    return search.fts_search(v.sessions, v.messages, PHRASES)
+
+
+@query(keyword_sql(WORDS, SCOPE_SQL) + "SELECT session_id, rank, snippet FROM kw")
+def fts_filtered(v: Views) -> DataFrame:
+    return search.fts_search(v.sessions, v.messages, WORDS, condition=filters.session_filter(**SCOPE, as_of_ms=AS_OF))
+
+
+@query(vector_sql() + "SELECT session_id, round(distance, 9) AS distance FROM vec")
+def knn_search(v: Views) -> DataFrame:
+    return search.knn_search(v.sessions, v.messages, v.vectors, v.query_vector).select("session_id", F.round("distance", 9).alias("distance"))
+
+
+@query(keyword_sql(WORDS) + vector_sql() + FUSED + "SELECT * FROM found")
+def hybrid_search(v: Views) -> DataFrame:
+    return _hybrid(v)
+
+
+@query(keyword_sql(WORDS, SCOPE_SQL) + vector_sql(SCOPE_SQL) + FUSED + "SELECT * FROM found")
+def hybrid_filtered(v: Views) -> DataFrame:
+    return _hybrid(v, **SCOPE)
+
+
+@query(keyword_sql(WORDS, "directory ILIKE '/PROJ/1%'") + vector_sql("directory ILIKE '/PROJ/1%'") + FUSED + "SELECT * FROM found")
+def hybrid_directory(v: Views) -> DataFrame:
+    return _hybrid(v, directory="/PROJ/1")
+
+
+_LABELS = ", ".join(f"('{s}', '{label}')" for s, label in filters.SOURCES)
+_AGE = f"({AS_OF} - started_at) // 3600000"
+
+
+@query(
+    keyword_sql(WORDS) + vector_sql() + FUSED + f""", labels(source, label) AS (VALUES {_LABELS})
+SELECT position, label, match, CASE WHEN {_AGE} < 1 THEN '<1h' WHEN {_AGE} < 24 THEN {_AGE} || 'h' WHEN {_AGE} // 24 < 30 THEN ({_AGE} // 24) || 'd' ELSE ({_AGE} // 720) || 'mo' END AS age,
+  title, substr(snippet, 1, 120) AS snippet, coalesce(directory, '-') AS directory FROM found JOIN labels USING (source)"""
+)
+def result_listing(v: Views) -> DataFrame:
+    return search.result_listing(_hybrid(v), filters.source_table(v.spark), AS_OF)
+
+
+@query(f"SELECT id, source, title, started_at FROM sessions WHERE {SCOPE_SQL} ORDER BY started_at DESC, id LIMIT 50")
+def recent_sessions(v: Views) -> DataFrame:
+    return filters.recent_sessions(v.sessions, 50, as_of_ms=AS_OF, **SCOPE).select("id", "source", "title", "started_at")
+
+
+@query(f"SELECT id, source, started_at FROM (SELECT * FROM sessions ORDER BY started_at DESC, id LIMIT 200) WHERE {SCOPE_SQL}")
+def recent_then_filter(v: Views) -> DataFrame:
+    return filters.recent_then_filter(v.sessions, SCOPE["sources"], SCOPE["time_range"], AS_OF).select("id", "source", "started_at")
+
+
+@query(r"""SELECT session_id, seq, role, array_to_string(list_transform(string_split(substr(content, 1, 300), chr(10))[1:6], lambda l: regexp_replace(replace(l, chr(9), '    '), '\p{Cc}', '', 'g')), chr(10)) AS preview
+FROM messages WHERE seq < 30""")
+def session_preview(v: Views) -> DataFrame:
+    return filters.preview(v.messages)
+
+
+@query(r"SELECT session_id, seq, role FROM messages WHERE len(list_filter(string_split(content, chr(10)), lambda l: contains(lower(regexp_replace(replace(l, chr(9), '    '), '\p{Cc}', '', 'g')), 'the t'))) > 0")
+def in_session_search(v: Views) -> DataFrame:
+    return filters.in_session_search(v.messages, "The T")
+
+
+STATE = """,
+units AS (SELECT session_id, count(*) AS units_total, count(has) AS units_done FROM messages LEFT JOIN (SELECT DISTINCT message_id, 1 AS has FROM vectors) USING (message_id)
+  WHERE role = 'user' AND length(content) > 2 GROUP BY 1),
+state AS (SELECT id AS session_id, coalesce(units_total, 0) AS units_total, coalesce(units_done, 0) AS units_done,
+  CASE WHEN coalesce(units_done, 0) >= coalesce(units_total, 0) THEN 'done' WHEN id IN ('s3', 's10') THEN 'failed' WHEN units_done > 0 THEN 'processing' ELSE 'pending' END AS status,
+  CASE WHEN id IN ('s3', 's10') THEN 'out of memory' END AS last_error
+  FROM sessions LEFT JOIN units ON id = session_id)
+"""
+
+
+def _state(v: Views) -> DataFrame:
+    failed = v.sessions.where(F.col("id").isin("s3", "s10")).select(F.col("id").alias("session_id"), F.lit("out of memory").alias("error"), F.lit(1).alias("at"))
+    return stats.embedding_state(v.sessions, v.messages, v.vectors, failed)
+
+
+@query(STATE + "SELECT * FROM state")
+def embedding_state(v: Views) -> DataFrame:
+    return _state(v)
+
+
+_COUNTS = "count(*) AS total, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'processing') AS processing, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'pending') AS pending"
+
+
+@query(STATE + f"SELECT {_COUNTS} FROM state JOIN sessions ON id = session_id WHERE {SCOPE_SQL}")
+def embedding_progress(v: Views) -> DataFrame:
+    return stats.embedding_progress(v.sessions, _state(v), filters.session_filter(**SCOPE, as_of_ms=AS_OF))
+
+
+@query(f"SELECT count(DISTINCT id) AS sessions, count(message_id) AS messages FROM sessions LEFT JOIN messages ON id = session_id WHERE {SCOPE_SQL}")
+def scope_totals(v: Views) -> DataFrame:
+    return stats.scope_totals(v.sessions, v.messages, filters.session_filter(**SCOPE, as_of_ms=AS_OF))
+
+
+@query(
+    STATE + f"""SELECT * FROM (SELECT count(DISTINCT id) AS sessions, count(message_id) AS messages FROM sessions LEFT JOIN messages ON id = session_id WHERE {SCOPE_SQL}),
+(SELECT {_COUNTS} FROM state JOIN sessions ON id = session_id WHERE {SCOPE_SQL}),
+(SELECT max_by(title, {{'a': coalesce(updated_at, started_at), 'b': id}}) AS processing_title FROM state JOIN sessions ON id = session_id WHERE status = 'processing' AND {SCOPE_SQL})"""
+)
+def scope_metrics(v: Views) -> DataFrame:
+    return stats.scope_metrics(v.sessions, v.messages, _state(v), filters.session_filter(**SCOPE, as_of_ms=AS_OF))
+
+
+@query(STATE + "SELECT session_id, title, units_total FROM state JOIN sessions ON id = session_id WHERE status = 'pending' ORDER BY coalesce(updated_at, started_at) DESC, session_id LIMIT 10")
+def work_list(v: Views) -> DataFrame:
+    return stats.work_list(v.sessions, _state(v), 10)
+
+
+@query(STATE + "SELECT count(*) FILTER (status = 'pending') > 0 AS pending_exists FROM state")
+def pending_exists(v: Views) -> DataFrame:
+    return stats.pending_exists(_state(v))
+
+
+@query("SELECT message_id, session_id FROM messages WHERE role = 'user' AND length(content) > 2 AND message_id NOT IN (SELECT message_id FROM vectors)")
+def pending_messages(v: Views) -> DataFrame:
+    return stats.pending_messages(v.messages, v.vectors).select("message_id", "session_id")
+
+
+@query("SELECT count(*) AS embedded FROM messages WHERE message_id IN (SELECT message_id FROM vectors)")
+def embedded_count(v: Views) -> DataFrame:
+    return stats.embedded_count(v.messages, v.vectors)
+
+
+@query("SELECT session_id, count(*) AS n_messages FROM messages GROUP BY 1")
+def messages_per_session(v: Views) -> DataFrame:
+    return stats.messages_per_session(v.messages)
+
+
+@query("SELECT session_id, count(*) FILTER (role = 'user' AND length(content) > 2) AS n_embeddable FROM messages GROUP BY 1")
+def embeddable_per_session(v: Views) -> DataFrame:
+    return stats.embeddable_per_session(v.messages)
+
+
+@query(
+    """SELECT session_id, count(*) FILTER (has IS NULL) AS pending, count(*) AS units FROM messages LEFT JOIN (SELECT DISTINCT message_id, 1 AS has FROM vectors) USING (message_id)
+WHERE role = 'user' AND length(content) > 2 GROUP BY 1 ORDER BY pending DESC, units DESC, session_id LIMIT 1"""
+)
+def largest_pending_session(v: Views) -> DataFrame:
+    return stats.largest_pending_session(v.messages, v.vectors)
+
+
+@query("SELECT floor(avg(length(substr(title || ': ' || content, 1, 500))))::BIGINT AS average_chars FROM messages JOIN sessions ON id = session_id")
+def average_text_length(v: Views) -> DataFrame:
+    texts = v.messages.join(v.sessions.select(F.col("id").alias("session_id"), "title"), "session_id").select(X.embedding_text("title", "content").alias("text"))
+    return stats.average_text_length(texts, "text")
+
+
+@query("SELECT coalesce(source, 'total') AS source, count(*) AS sessions, sum(message_count)::BIGINT AS messages, min(started_at) AS oldest, max(started_at) AS newest FROM sessions GROUP BY ROLLUP (source)")
+def source_summary(v: Views) -> DataFrame:
+    return stats.source_summary(v.sessions)
+
+
+@query(
+    STATE + """, agg AS (SELECT coalesce(source, 'total') AS source, count(*) AS sessions, sum(message_count)::BIGINT AS messages,
+  strftime(make_timestamp(min(started_at) * 1000), '%Y-%m-%d') || ' -> ' || strftime(make_timestamp(max(started_at) * 1000), '%Y-%m-%d') AS dates,
+  count(*) FILTER (status = 'done') AS done, count(*) FILTER (status IN ('pending', 'processing')) AS pending, count(*) FILTER (status = 'failed') AS failed
+  FROM sessions JOIN state ON id = session_id GROUP BY ROLLUP (source))
+SELECT source, sessions, messages, dates, source <> 'codex' AS enabled, done, pending, failed, done * 100.0::DOUBLE / sessions AS done_pct FROM agg"""
+)
+def source_report(v: Views) -> DataFrame:
+    return stats.source_report(v.sessions, _state(v), filters.enabled_sources(disabled=["codex", "unknown"]))
+
+
+# Sync: sessions scanned again, some with another count or time, some not stored yet.
+def _raw(v: Views) -> DataFrame:
+    c = F.regexp_extract("id", r"\d+", 0).cast("bigint")
+    m = v.messages.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.struct("role", "content", "timestamp").alias("m")))), lambda x: x["m"]).alias("messages"))
+    raw = v.sessions.join(m, F.col("id") == F.col("session_id")).withColumn("c", c)
+    shifted = raw.withColumn("updated_at", F.when(F.col("c") % 5 == 0, F.col("updated_at") + 1000).otherwise(F.col("updated_at"))).withColumn("listing", F.col("c"))
+    again = shifted.where(F.col("c") % 7 == 3).withColumn("listing", F.col("c") + 1_000_000).withColumn("updated_at", F.lit(AS_OF).cast("bigint"))
+    return shifted.unionByName(again).select("source", "source_id", "directory", "started_at", "updated_at", "entrypoint", "listing", "messages")
+
+
+def _stored(v: Views) -> DataFrame:
+    c = F.regexp_extract("id", r"\d+", 0).cast("bigint")
+    return v.sessions.where(c % 4 != 0).withColumn("message_count", F.when(c % 6 == 1, F.col("message_count") + 1).otherwise(F.col("message_count")))
+
+
+PLAN = f""",
+c AS (SELECT *, regexp_extract(id, '\\d+')::BIGINT AS c FROM sessions),
+entries AS (SELECT * REPLACE (CASE WHEN c % 7 = 3 THEN {AS_OF} WHEN c % 5 = 0 THEN updated_at + 1000 ELSE updated_at END AS updated_at) FROM c),
+stored AS (SELECT source_id, updated_at AS stored_at, message_count + (c % 6 = 1)::INT AS stored_count FROM c WHERE c % 4 <> 0),
+planned AS (SELECT source_id, message_count, e.id, CASE WHEN coalesce(updated_at, started_at) < {AS_OF - 35 * X.DAY_MS} THEN 'filtered' WHEN stored_count IS NULL THEN 'new'
+  WHEN message_count <> stored_count OR (updated_at IS NOT NULL AND updated_at IS DISTINCT FROM stored_at) THEN 'updated' ELSE 'unchanged' END AS action
+  FROM entries e LEFT JOIN stored USING (source_id))
+"""
+
+
+def _plan(v: Views, force: bool = False) -> DataFrame:
+    return sync.plan(_raw(v), _stored(v), AS_OF - 35 * X.DAY_MS, force)
+
+
+@query(PLAN + "SELECT source_id, action FROM planned")
+def sync_plan(v: Views) -> DataFrame:
+    return _plan(v).select("source_id", "action")
+
+
+@query(PLAN + "SELECT source_id, CASE WHEN action = 'unchanged' THEN 'reprocessed' ELSE action END AS action FROM planned")
+def sync_plan_forced(v: Views) -> DataFrame:
+    return _plan(v, True).select("source_id", "action")
+
+
+@query(PLAN + "SELECT action, count(*) AS sessions, sum(message_count)::BIGINT AS messages FROM planned GROUP BY 1")
+def sync_counters(v: Views) -> DataFrame:
+    return sync.counters(_plan(v))
+
+
+@query(
+    PLAN + """SELECT c.source_id, CASE WHEN action IN ('new', 'updated') THEN c.message_count ELSE stored_count END AS message_count, title, action IN ('new', 'updated') AS fresh
+FROM planned JOIN c USING (source_id) LEFT JOIN stored USING (source_id) WHERE action IN ('new', 'updated') OR stored_count IS NOT NULL"""
+)
+def sync_merge(v: Views) -> DataFrame:
+    stored = _stored(v)
+    merged = sync.merge(_plan(v), stored, v.messages.where(F.lit(False)).withColumn("seq", F.col("seq").cast("int")))["sessions"]
+    return merged.select("source_id", "message_count", "title", (F.length("id") > 20).alias("fresh"))
+
+
+@query(PLAN + "SELECT source_id FROM entries LEFT JOIN stored USING (source_id) WHERE NOT coalesce(updated_at IS NOT DISTINCT FROM stored_at AND message_count = stored_count, false)")
+def tabular_changes(v: Views) -> DataFrame:
+    listed = sync.last_differing(_raw(v)).select("source_id", "updated_at", F.size("messages").alias("message_count"))
+    return sync.tabular_changes(listed, _stored(v)).select("source_id")
+
+
+@query(
+    """SELECT 'sessions' AS name, count(*) AS n FROM sessions WHERE source <> 'codex' UNION ALL
+SELECT 'messages', count(*) FROM messages JOIN sessions ON id = session_id WHERE source <> 'codex' UNION ALL
+SELECT 'vectors', count(*) FROM vectors WHERE message_id NOT IN (SELECT message_id FROM messages JOIN sessions ON id = session_id WHERE source = 'codex')"""
+)
+def delete_sessions(v: Views) -> DataFrame:
+    left = sync.delete_sessions(v.sessions.where("source = 'codex'").select(F.col("id").alias("session_id")), v.sessions, v.messages, v.vectors)
+    one, two, three = (left[n].agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n in ("sessions", "messages", "vectors"))
+    return one.union(two).union(three)
+
+
+@query("SELECT message_id, CASE WHEN message_id % 2 = 0 THEN 0.0 ELSE round(list_sum(embedding), 6) END AS total FROM vectors")
+def vector_upsert(v: Views) -> DataFrame:
+    new = v.vectors.where("message_id % 2 = 0").select("message_id", F.transform("embedding", lambda _: F.lit(0.0).cast("float")).alias("embedding"))
+    total = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda s, x: s + x)
+    return embed.upsert_vectors(v.vectors, new).select("message_id", F.round(total, 6).alias("total"))
+
+
+@query("SELECT count(*) FILTER (coalesce(updated_at, started_at) < 1704153600000) AS filtered FROM sessions")
+def outside_window(v: Views) -> DataFrame:
+    return filters.outside_window_count(v.sessions, AS_OF - 30 * X.DAY_MS)
+
+
+@query(
+    r"""SELECT id, CASE source WHEN 'claude-code' THEN 'claude --resume ' || source_id WHEN 'opencode' THEN 'opencode --session ' || source_id WHEN 'codex' THEN 'codex resume ' || source_id
+  WHEN 'copilot-cli' THEN 'copilot --resume=' || source_id END AS command, strftime(make_timestamp(started_at * 1000), '%m-%d %H:%M') AS time,
+  substr(title, 1, 40) AS short_title, right(directory, 30) AS short_directory, 'L-' || regexp_replace(substr(title, 1, 40), '[^\p{L}\p{N}_-]', '_', 'g') || '.txt' AS file FROM sessions"""
+)
+def session_labels(v: Views) -> DataFrame:
+    return v.sessions.select(
+        "id", filters.resume_command(F.col("source"), F.col("source_id")).alias("command"), X.message_time("started_at").alias("time"), X.cut("title", 40, "").alias("short_title"), F.right("directory", F.lit(30)).alias("short_directory"),
+        X.export_name(F.lit("L"), "title").alias("file"),
+    )
+
+
+_OFFSETS = r"list_transform(list_filter(range(1, length(content) + 1), lambda i: substr(lower(content), i, 2) = 'th'), lambda i: i - 1)"
+
+
+@query(f"SELECT message_id, array_to_string({_OFFSETS}, ',') AS offsets FROM messages WHERE strlen(lower(content)) = strlen(content)")
+def match_offsets(v: Views) -> DataFrame:
+    rows = v.messages.where(F.octet_length(F.lower("content")) == F.octet_length("content"))
+    return rows.select("message_id", F.array_join(F.transform(X.match_offsets("content", "TH"), lambda x: x.cast("string")), ",").alias("offsets"))
+
+
+# Evaluation: every fifth session is looked for by the first words of its title.
+def _entries(v: Views) -> DataFrame:
+    c = F.regexp_extract("id", r"\d+", 0).cast("bigint")
+    return v.sessions.where(c % 5 == 0).select(c.alias("query_id"), F.substring_index("title", " ", 4).alias("query"), F.array(F.struct("source", "source_id")).alias("expected"))
+
+
+EVAL = r""",
+toks AS (SELECT message_id, session_id, list_filter(string_split_regex(lower(strip_accents(content)), '[^\p{L}\p{N}\p{Co}]+'), lambda x: x <> '') AS ts FROM messages),
+lens AS (SELECT message_id, len(ts) AS dl FROM toks),
+post AS (SELECT message_id, session_id, term, count(*) AS f FROM (SELECT message_id, session_id, unnest(ts) AS term FROM toks) GROUP BY ALL),
+q AS (SELECT regexp_extract(id, '\d+')::BIGINT AS query_id, array_to_string(string_split(title, ' ')[1:4], ' ') AS query, source_id FROM sessions WHERE regexp_extract(id, '\d+')::BIGINT % 5 = 0),
+words AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, lower(regexp_replace(unnest(string_split_regex(query, '\s+')), '[^\p{L}\p{N}_]', '', 'g')) AS term FROM q) WHERE term <> '' GROUP BY ALL),
+idf AS (SELECT term, CASE WHEN raw <= 0 THEN 1e-6 ELSE raw END AS idf FROM (SELECT term, ln(((SELECT count(*) FROM lens) - count(*) + 0.5) / (count(*) + 0.5)) AS raw FROM post WHERE term IN (SELECT term FROM words) GROUP BY term)),
+scored AS (SELECT query_id, session_id, message_id, round(-sum(idf * times * f * 2.2 / (f + 1.2 * (1 - 0.75 + 0.75 * dl / (SELECT avg(dl) FROM lens)))), 9) AS r
+  FROM words JOIN post USING (term) JOIN idf USING (term) JOIN lens USING (message_id) GROUP BY ALL),
+best AS (SELECT query_id, session_id, min(r) AS r FROM scored GROUP BY ALL),
+ranked AS (SELECT query_id, session_id, row_number() OVER (PARTITION BY query_id ORDER BY r, session_id) AS rank FROM best QUALIFY rank <= 20),
+results AS (SELECT ranked.*, source, source_id, title FROM ranked JOIN sessions ON id = session_id),
+details AS (SELECT q.query_id, query, min(rank) AS best_rank, count(rank) AS hits, 1 AS n_expected FROM q LEFT JOIN results ON results.query_id = q.query_id AND results.source_id = q.source_id GROUP BY ALL)
+"""
+
+
+def _results(v: Views) -> tuple[DataFrame, DataFrame]:
+    entries, lengths = _entries(v), search.build_lengths(v.messages)
+    return entries, evaluate.batch_results(entries, v.sessions, search.build_postings(v.messages), lengths, search.corpus_stats(lengths))
+
+
+@query(EVAL + "SELECT query_id, query, best_rank, hits, n_expected FROM details")
+def eval_details(v: Views) -> DataFrame:
+    return evaluate.query_details(*_results(v))
+
+
+@query(
+    EVAL + """SELECT count(*) AS total, count(*) FILTER (best_rank <= 5) AS hit_at_5, count(*) FILTER (best_rank <= 10) AS hit_at_10, count(*) FILTER (best_rank <= 5) * 100.0::DOUBLE / count(*) AS hit_at_5_pct,
+count(*) FILTER (best_rank <= 10) * 100.0::DOUBLE / count(*) AS hit_at_10_pct, round(coalesce(sum(1.0::DOUBLE / best_rank), 0) / count(*), 9) AS mrr FROM details"""
+)
+def eval_metrics(v: Views) -> DataFrame:
+    return evaluate.metrics(evaluate.query_details(*_results(v))).withColumn("mrr", F.round("mrr", 9))
+
+
+@query(EVAL + "SELECT query_id, query FROM details WHERE best_rank IS NULL OR best_rank > 5")
+def eval_failures(v: Views) -> DataFrame:
+    return evaluate.failures(evaluate.query_details(*_results(v))).select("query_id", "query")
+
+
+@query(EVAL + "SELECT results.query_id, rank, 'FTS' AS match, source, results.source_id, results.source_id = q.source_id AS is_expected FROM results JOIN q ON q.query_id = results.query_id WHERE rank <= 10")
+def eval_summaries(v: Views) -> DataFrame:
+    return evaluate.summaries(*_results(v)).drop("title")
+
+
+@query(
+    """SELECT query_id, message_id, round(distance, 6) AS distance FROM (SELECT q.vec_id AS query_id, message_id, list_distance(q.embedding::DOUBLE[], v.embedding) AS distance,
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], v.embedding), message_id) AS n FROM embeddings q, vectors v WHERE q.vec_id % 50 = 0) WHERE n <= 10 AND distance > 1e-6"""
+)
+def knn_batch(v: Views) -> DataFrame:
+    asked = v.table("embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return search.knn_batch(v.vectors, asked, 10).where("distance > 1e-6").withColumn("distance", F.round("distance", 6))
+
+
+@query("SELECT message_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x * x))), 6) AS before, round(1.0, 6)::DOUBLE AS after FROM vectors")
+def normalized_vectors(v: Views) -> DataFrame:
+    doubled = v.vectors.select("message_id", F.transform("embedding", lambda x: x * 3).alias("d"), "embedding")
+    return doubled.select("message_id", F.round(F.sqrt(VX.dot("embedding", "embedding")), 6).alias("before"), F.round(F.sqrt(VX.dot(VX.normalize("d"), VX.normalize("d"))), 6).alias("after"))
+
+
+@query("SELECT label, round(avg(embedding[1]::DOUBLE), 6) AS first, round(avg(embedding[64]::DOUBLE), 6) AS last FROM embeddings WHERE vec_id % 2 = 0 GROUP BY label")
+def pooled_vectors(v: Views) -> DataFrame:
+    tokens = v.table("embeddings").groupBy("label").agg(F.collect_list("embedding").alias("v"), F.collect_list((F.col("vec_id") % 2 == 0).cast("int")).alias("mask"))
+    pooled = tokens.select("label", VX.masked_mean("v", "mask").alias("m"))
+    return pooled.select("label", F.round(F.get("m", 0), 6).alias("first"), F.round(F.get("m", 63), 6).alias("last"))
+
+
+@query(
+    """SELECT term, count(*) AS n, sum(f)::BIGINT AS tf FROM (SELECT message_id, term, count(*) AS f FROM (
+  SELECT message_id, unnest(list_filter(string_split_regex(lower(strip_accents(content)), '[^\\p{L}\\p{N}\\p{Co}]+'), lambda x: x <> '')) AS term FROM messages) GROUP BY ALL) GROUP BY term"""
+)
+def index_terms(v: Views) -> DataFrame:
+    return search.build_postings(v.messages).groupBy("term").agg(F.count("*").alias("n"), F.sum("tf").alias("tf"))
+
+
+@query(
+    r""", labels(source, label) AS (VALUES """ + _LABELS + r"""), bodies AS (SELECT session_id, string_agg('## ' || CASE role WHEN 'user' THEN 'User' ELSE 'Assistant' END || chr(10) || chr(10) || content || chr(10), chr(10) ORDER BY seq) AS body FROM messages GROUP BY 1)
+SELECT id AS session_id, md5('Session: ' || title || chr(10) || 'Source: ' || label || chr(10) || CASE WHEN directory IS NULL THEN '' ELSE 'Directory: ' || directory || chr(10) END
+  || 'Date: ' || strftime(make_timestamp(started_at * 1000), '%Y-%m-%d %H:%M') || ' UTC' || chr(10) || 'Messages: ' || message_count || chr(10) || chr(10) || '---' || chr(10) || chr(10) || body) AS digest
+FROM sessions JOIN labels USING (source) JOIN bodies ON id = session_id"""
+)
+def export_transcripts(v: Views) -> DataFrame:
+    found = export.transcripts(v.sessions, v.messages, filters.source_table(v.spark))
+    return found.select("session_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(r"SELECT source, source_id, strftime(make_timestamp(started_at * 1000), '%Y-%m-%dT%H:%M:%S') AS time, trim(regexp_replace(title, '\s+', ' ', 'g')) AS title FROM sessions")
+def session_listing(v: Views) -> DataFrame:
+    return export.listing(v.sessions)
+
+
+@query()
+def embed_pending(v: Views) -> DataFrame:
+    """Vectors of the default encoder for all pending messages; SQL has no encoder."""
+    return embed.embed_pending(v.sessions, v.messages, v.vectors)[0]
+
+
+@query()
+def approximate_neighbours(v: Views) -> DataFrame:
+    """Nearest vectors by random projections; SQL has none."""
+    asked = v.table("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return embed.approximate_neighbours(v.vectors, asked, 10)
+
+
+for _name, (_fn, _sql) in rendered.ROUND_TRIPS.items():
+    QUERIES[_name] = lambda spark, sf_dir, fn=_fn: fn(Views(spark, sf_dir))
+    ORACLE_SQL[_name] = SQL + _sql
+
+
+def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return QUERIES[name](spark, sf_dir)
