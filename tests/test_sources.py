@@ -1,0 +1,125 @@
+import json
+
+import pytest
+
+from colloquy.operators import sync
+from colloquy.sources import claude_code, codex, copilot, cursor, gemini, kiro, opencode
+from colloquy.streaming import jobs
+
+UUID = "0199aaaa-bbbb-cccc-dddd-eeeeffff0000"
+
+
+def lines(*rows):
+    return "\n".join(r if isinstance(r, str) else json.dumps(r) for r in rows)
+
+
+def put(root, name, content):
+    path = root / name
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_bytes(content if isinstance(content, bytes) else content.encode())
+
+
+def said(raw):
+    return {r["source_id"]: [(m["role"], m["content"], m["timestamp"]) for m in r["messages"]] for r in raw.collect()}
+
+
+def test_claude_code(spark, tmp_path):
+    content = [{"type": "text", "text": "see"}, {"type": "tool_use", "name": "run", "input": {"b": 1, "a": [2]}}, {"type": "tool_use", "input": None}, {"type": "tool_result", "content": "out"}, {"type": "tool_result", "content": [{"type": "text", "text": "in"}, {"type": "image"}]}, {"type": "text", "text": 5}]
+    put(tmp_path, "projects/-home-me--cfg/one.jsonl", lines("not json", {"type": "user", "message": {"content": "hello"}, "timestamp": "2024-01-01T00:00:00Z"}, {"type": "system", "message": {"content": "no"}}, {"type": "assistant", "message": {"content": content}}, {"type": "user", "message": {"content": ""}}, ""))
+    put(tmp_path, "projects/-p/empty.jsonl", lines({"type": "user"}))
+    put(tmp_path, "projects/-p/bad.jsonl", b"\xff\xfe\xfd\xfc")
+    put(tmp_path, "transcripts/deep/er/two.jsonl", lines({"type": "user", "message": {"content": "hi"}}))
+    put(tmp_path, "sessions/1.json", json.dumps({"sessionId": "two", "cwd": "/w", "entrypoint": "cli"}))
+    put(tmp_path, "sessions/2.json", "broken")
+    found = claude_code.scan(spark, str(tmp_path))
+    rows = {r["source_id"]: r for r in found.collect()}
+    assert said(found) == {"one": [("user", "hello", 1704067200000), ("assistant", 'see\n[run] {"a":[2],"b":1}\n[tool] null\nout\nin', None)], "two": [("user", "hi", None)]}
+    assert rows["one"]["directory"] == "/home/me/.cfg" and rows["one"]["started_at"] == 1704067200000
+    assert (rows["two"]["directory"], rows["two"]["started_at"], rows["two"]["entrypoint"]) == ("/w", 0, "cli")
+
+
+def test_codex(spark, tmp_path):
+    put(tmp_path, f"sessions/2024/01/rollout-2024-{UUID}.jsonl", lines({"type": "session_meta", "payload": {"id": "first", "cwd": "/a"}}, {"type": "session_meta", "payload": {"id": "id-1", "timestamp": "2024-01-01T00:00:00Z"}}, {"type": "event_msg", "timestamp": "2024-01-01T00:00:01Z", "payload": {"type": "user_message", "message": "q"}}, {"type": "event_msg", "payload": {"type": "token_count"}}, {"type": "response_item", "timestamp": "2024-01-01T00:00:02Z", "payload": {"type": "message", "role": "assistant", "content": [{"type": "output_text", "text": "a"}, {"type": "function_call", "name": "f", "arguments": "{}"}, {"type": "function_call", "arguments": {"x": 1}}, {"type": "function_call_output", "output": "o"}]}}))
+    put(tmp_path, "sessions/notes.jsonl", lines({"type": "event_msg", "payload": {"type": "user_message", "message": "q"}}))
+    put(tmp_path, f"archived_sessions/r-{UUID[:-1]}1.jsonl", b"\xff\xfe\xfd\xfc")
+    found = codex.scan(spark, str(tmp_path))
+    assert said(found) == {"id-1": [("user", "q", 1704067201000), ("assistant", "a\n[f] {}\no", 1704067202000)]}
+    row = found.first()
+    assert (row["directory"], row["started_at"], row["updated_at"]) == (None, 1704067200000, 1704067202000)
+
+
+def test_opencode(spark):
+    sessions = spark.createDataFrame([("s1", "/d", 10, 20), ("s2", None, 10, 20), ("s3", "/d", 10, None)], "id string, directory string, time_created bigint, time_updated bigint")
+    messages = spark.createDataFrame([("m1", "s1", '{"role":"user"}', 1), ("m2", "s1", '{"role":"assistant"}', 2), ("m3", "s2", '{"role":"user"}', 1), ("m4", "s3", '{"role":"system"}', 1)], "id string, session_id string, data string, time_created bigint")
+    parts = [("p1", "m1", '{"type":"text","text":" q "}'), ("p2", "m1", '{"type":"text","text":" \\n "}'), ("p3", "m2", '{"type":"tool-invocation","toolName":"t","input":{"k":null}}'), ("p4", "m2", '{"type":"tool-result","result":null}'), ("p5", "m2", "not-json"), ("p6", "m2", '{"type":"tool-invocation"}'), ("p7", "m3", '{"type":"text","text":"x"}'), ("p8", "m4", '{"type":"text","text":"x"}')]
+    p = spark.createDataFrame(parts, "id string, message_id string, data string")
+    assert said(opencode.parse(sessions, messages, p)) == {"s1": [("user", " q ", 1), ("assistant", '[t] {"k":null}', 2), ("assistant", "[tool] null", 2)]}
+    stored = spark.createDataFrame([("s1", 20, 3)], "source_id string, updated_at bigint, message_count int")
+    assert opencode.parse(sessions, messages, p, stored=stored).count() == 0
+    assert opencode.parse(sessions, messages, p, stored=stored.selectExpr("source_id", "updated_at", "2 as message_count")).count() == 1
+    assert opencode.parse(sessions, messages, p, cutoff_ms=21).count() == 0
+
+
+def test_gemini(spark, tmp_path):
+    doc = {"sessionId": "g", "startTime": "2024-01-01T00:00:00Z", "messages": [{"type": "user", "content": " q "}, {"type": "info", "content": "no"}, {"type": "gemini", "content": "", "toolCalls": [{"name": "ls", "args": {"p": "."}, "result": [{"text": "a"}, {"x": 1}, {"text": "b"}]}, {"args": {}}]}, {"type": "gemini", "content": " "}]}
+    put(tmp_path, "x/chats/a.json", json.dumps(doc))
+    put(tmp_path, "x/chats/b.json", json.dumps({"messages": [{"type": "user", "content": "only"}]}))
+    put(tmp_path, "x/other/c.json", json.dumps(doc))
+    put(tmp_path, "x/chats/d.json", "{}")
+    assert said(gemini.scan(spark, str(tmp_path))) == {"g": [("user", "q", None), ("assistant", '[ls] {"p":"."} -> a\nb\n[tool] {}', None)], "b": [("user", "only", None)]}
+
+
+def test_kiro(spark):
+    history = [
+        {"user": {"content": {"Prompt": {"prompt": "q"}}, "timestamp": "2024-01-01T00:00:00Z"}, "assistant": {"ToolUse": {"content": "let me", "tool_uses": [{"name": "fs", "args": {"z": 1}}]}}, "request_metadata": {"request_start_timestamp_ms": 7}},
+        {"user": {"content": {"ToolUseResults": {"tool_use_results": [{"content": [{"Text": "t"}, {"Json": {"b": 1, "a": 2}}]}, {}]}}}, "assistant": {"Response": {"content": "done"}}},
+        {"user": {"content": {}}, "assistant": {"Response": {"content": ""}}},
+    ]
+    rows = spark.createDataFrame([("/c", "k", json.dumps({"history": history}), 1, 2), ("/c", "none", "{}", 1, 2), ("/c", "bad", "x", 1, 2)], "key string, conversation_id string, value string, created_at bigint, updated_at bigint")
+    found = kiro.parse(rows)
+    assert said(found) == {"k": [("user", "q", 1704067200000), ("assistant", 'let me\n[fs] {"z":1}', 7), ("user", 't\n{"a":2,"b":1}', None), ("assistant", "done", None)]}
+    assert found.first()["directory"] == "/c"
+
+
+def test_copilot(spark, tmp_path):
+    events = lines({"type": "session.start", "data": {"sessionId": "c", "startTime": "2024-01-01T00:00:00Z", "context": {"cwd": "/w"}}}, {"type": "user.message", "data": {"content": " q "}}, {"type": "assistant.message", "data": {"content": "a", "toolRequests": [{"name": "sh", "arguments": {"c": "ls"}}]}}, {"type": "tool.execution_complete", "data": {"toolCallId": "1", "result": {"content": "early"}}}, {"type": "tool.execution_start", "data": {"toolCallId": "1", "toolName": "sh"}}, {"type": "tool.execution_complete", "data": {"toolCallId": "1", "result": {"content": "short", "detailedContent": " long "}}}, {"type": "tool.execution_complete", "data": {"result": {"content": "x"}}}, {"type": "tool.execution_complete", "data": {"toolCallId": "1"}})
+    put(tmp_path, "dir1/events.jsonl", events)
+    put(tmp_path, "dir2/events.jsonl", lines({"type": "user.message", "data": {"content": "q"}}))
+    put(tmp_path, "dir3/other.txt", "x")
+    found = copilot.scan(spark, str(tmp_path))
+    assert {k: [m[1] for m in v] for k, v in said(found).items()} == {"c": ["q", 'a\n[sh] {"c":"ls"}', "[tool] early", "[sh] long", "[tool] x"], "dir2": ["q"]}
+    files = spark.createDataFrame([("/a/dir9/events.jsonl", lines(*["{}"] * 16, {"type": "session.start", "data": {"sessionId": "late"}})), ("/a/dir8/events.jsonl", events)], "path string, content string")
+    assert dict(map(tuple, copilot.peek_id(files).collect())) == {"/a/dir9/events.jsonl": "dir9", "/a/dir8/events.jsonl": "c"}
+
+
+def test_cursor(spark, tmp_path):
+    content = [{"type": "text", "text": " <user_query>\nq\n</user_query> "}, {"type": "tool_use", "name": "w", "input": "raw"}, {"type": "tool_use", "input": {"b": 1, "a": 2}}, {"type": "text", "text": " "}]
+    put(tmp_path, "p/agent-transcripts/u1/u1.jsonl", lines("not json", {"role": "user", "message": {"content": content}}, {"role": "assistant", "message": {"content": content[:1]}}, {"role": "tool", "message": {"content": content}}))
+    put(tmp_path, "p/agent-transcripts/u2/other.jsonl", lines({"role": "user", "message": {"content": content}}))
+    items = spark.createDataFrame([(cursor.PROJECTS, json.dumps([{"id": "p1", "workspace": {"uri": {"fsPath": "/w"}}}, {"id": "p2"}])), (cursor.MEMBERSHIP, json.dumps({"u1": "p1", "u2": "p2", "u3": 5}))], "key string, value string")
+    found = cursor.scan(spark, str(tmp_path), items)
+    assert said(found) == {"u1": [("user", 'q\n[tool_use:w] raw\n[tool_use:tool] {"a":2,"b":1}', None), ("assistant", "<user_query>\nq\n</user_query>", None)]}
+    assert found.first()["directory"] == "/w"
+
+
+def test_stream_merges_new_files(spark, tmp_path):
+    root, store = tmp_path / "in", sync.Store(spark, str(tmp_path / "store"))
+    run = lambda: jobs.sync_stream(spark, str(root), "*.jsonl", codex.parse, store, str(tmp_path / "ck")).awaitTermination(120)
+    for n in range(2):
+        put(root, f"r{n}.jsonl", lines({"type": "event_msg", "payload": {"type": "user_message", "message": f"m{n}"}}))
+        assert run() in (True, None)
+        assert store.read("sessions", sync.SESSION_SCHEMA).count() == n + 1
+    assert {r["title"] for r in store.read("sessions", sync.SESSION_SCHEMA).collect()} == {"m0", "m1"}
+
+
+def test_listing_reads_no_content(spark, tmp_path):
+    put(tmp_path, "projects/-p/a.jsonl", "x")
+    (tmp_path / "transcripts").mkdir()
+    plan = claude_code.listing(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "content:binary" not in plan and "modificationTime" in plan
+
+
+@pytest.mark.parametrize("name, ok", [(f"/a/rollout-x-{UUID}.jsonl", True), (f"/a/{UUID}.jsonl", False), ("/a/notes.jsonl", False)])
+def test_codex_names(spark, name, ok):
+    got = spark.createDataFrame([(name,)], "path string").select(codex.file_id().alias("i")).first()["i"]
+    assert got == (UUID if ok else None)
