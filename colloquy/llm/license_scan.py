@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, list_array, per_batch, read_table
 
-K, SLACK, COVERED, ENOUGH = 4, 3, 0.75, 32
+K, SLACK, COVERED, ENOUGH = 4, 3, 0.87, 32
 #: The notices' k-grams are broadcast; more than this is refused.
 MAX_GRAMS = 100_000
 
