@@ -28,6 +28,8 @@ INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never text of the page.
 HIDDEN = set("script style noscript template svg math iframe object canvas head title select option textarea button audio video datalist".split())
+#: Of these, the ones that part no text around them.
+QUIET = set("script style noscript template svg math iframe object canvas audio video datalist".split())
 RAW = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in ("script", "style", "textarea", "title", "noscript", "iframe")}
 AROUND = set("nav footer header aside form menu dialog fieldset figcaption address".split())
 MAIN = set("article main".split())
@@ -72,7 +74,7 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
             continue
         if tag == "br" and not hidden:
             parts.append(" ")
-        elif tag not in INLINE and not hidden:
+        elif tag not in INLINE and tag not in QUIET and not hidden:
             flush()
         if tag == "a":
             depth_a = 0 if m[1] else 1
