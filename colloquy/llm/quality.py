@@ -74,7 +74,8 @@ class Network:
         if self.neutral:
             return np.full(len(texts), 0.5)
         x = np.stack([self.pooled(t) for t in texts]) if texts else np.zeros((0, 2 * FILTERS))
-        return 1 / (1 + np.exp(-(x @ self.w["out"] + self.w["bias"][0]).astype(float)))
+        # summed row by row, so that equal texts score equally in any batch
+        return 1 / (1 + np.exp(-((x.astype(float) * self.w["out"]).sum(1) + float(self.w["bias"][0]))))
 
     def _gradients(self, data: bytes, label: float, weight: float, grads: dict[str, np.ndarray]) -> None:
         ids = self._chunks(data)
