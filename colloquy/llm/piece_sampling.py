@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -87,44 +88,68 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Lattices:
-    """Lattices of many units. Node base[u] + j stands before the unit's j-th code point; share[node, d - 1] is the probability that the
-    piece ending at node has d code points, ids likewise (a character without piece: minus one minus its code point)."""
+    """Lattices of many units. Node base[u] + j stands before the unit's j-th code point. Edges (pieces) lie by the node they end at and
+    their length; key is node plus cumulated share, so that one search of node plus a uniform number draws a piece for every walker."""
 
     def __init__(self, units: list[str], voc: Vocabulary):
-        size = np.fromiter(map(len, units), np.int64, len(units))
-        self.size = size
-        self.base = np.cumsum(size + 1) - (size + 1)
-        nodes = int((size + 1).sum())
-        self.share = np.zeros((nodes, LONGEST), np.float32)
-        self.ids = np.full((nodes, LONGEST), np.iinfo(np.int32).min, np.int32)
-        self.options = np.zeros(nodes, np.int8)
+        size = self.size = np.fromiter(map(len, units), np.int64, len(units))
+        self.base = np.zeros(len(units), np.int64)
         codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
         first = np.cumsum(size) - size
         order = np.argsort(size, kind="stable")
         cuts = np.flatnonzero(np.diff(size[order], prepend=-1))
+        parts, nodes = [], 0
         for i, a in enumerate(cuts):
             some = order[a : cuts[i + 1] if i + 1 < len(cuts) else len(order)]
-            step = max(1, 2_000_000 // (int(size[some[0]]) + 1) // LONGEST)
+            n = int(size[some[0]])
+            step = max(1, 1_000_000 // (n + 1) // min(n, LONGEST))
             for j in range(0, len(some), step):
-                self._fill(some[j : j + step], int(size[some[0]]), codes, first, voc)
+                here = some[j : j + step]
+                self.base[here] = nodes + np.arange(len(here)) * (n + 1)
+                parts.append(self._edges(codes[first[here][:, None] + np.arange(n)], nodes, voc))
+                nodes += len(here) * (n + 1)
+        kinds = (np.int64, np.int64, np.int32, np.float64)
+        self.node, self.length, self.ids, self.share = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, t) for k, t in enumerate(kinds))
+        self.options = np.bincount(self.node, minlength=nodes + 1)
+        self.begin = np.cumsum(self.options) - self.options
+        total = np.concatenate([[0.0], np.cumsum(self.share)])
+        cum = total[1:] - total[self.begin[self.node]]
+        last = np.diff(self.node, append=-1) != 0
+        cum[last] = 1.0
+        self.key = self.node + np.minimum(cum, 1.0)
+        # the likeliest edge of each node, which most draws take without a search
+        best = np.zeros(nodes + 1)
+        best[self.node[np.flatnonzero(last)]] = np.maximum.reduceat(self.share, np.flatnonzero(np.diff(self.node, prepend=-1))) if len(self.node) else []
+        at = np.flatnonzero(self.share == best[self.node])[::-1]
+        self.top = np.zeros(nodes + 1, np.int64)
+        self.top[self.node[at]] = at
+        self.top_share = best
+        self.top_begin = self.key[self.top] - np.arange(nodes + 1) - best if len(self.node) else best
+        self.log = np.log(self.share)
+        with np.errstate(divide="ignore"):
+            self.rest = np.where(self.options[self.node] > 1, np.log(np.maximum(1 - self.share, 1e-12)), -np.inf)
 
-    def _fill(self, some: np.ndarray, n: int, codes: np.ndarray, first: np.ndarray, voc: Vocabulary) -> None:
-        m = len(some)
-        chars = codes[first[some][:, None] + np.arange(n)]
-        weight = np.full((n + 1, m, LONGEST), -np.inf)
-        ids = np.full((n + 1, m, LONGEST), np.iinfo(np.int32).min, np.int32)
+    @staticmethod
+    def _edges(chars: np.ndarray, base: int, voc: Vocabulary) -> tuple[np.ndarray, ...]:
+        """(node, length, id, share) of all pieces in units of one size; a character without piece has minus one minus its code point for id."""
+        m, n = chars.shape
+        width = min(n, LONGEST)
+        weight = np.full((n + 1, m, width), -np.inf)
+        ids = np.zeros((n + 1, m, width), np.int32)
         rolled = np.zeros((n, m), np.uint64)  # hash of the d code points from each place
         wide = chars.T.astype(np.uint64) + np.uint64(1)
-        for d in range(1, min(n, LONGEST) + 1):
+        for d in range(1, width + 1):
             rolled = rolled[: n - d + 1] * BASE + wide[d - 1 :]
             at, found = voc.find(rolled, d)
             weight[d:, :, d - 1][at // m, at % m] = voc.weights[found]
             ids[d:, :, d - 1][at // m, at % m] = voc.ids[found]
-        alone = ~np.isfinite(weight[1:, :, 0])
-        c = chars.T[alone].astype(np.int64)
-        weight[1:, :, 0][alone] = voc.byte_weight * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
-        ids[1:, :, 0][alone] = -1 - c
+        alone = weight[1:, :, 0] == -np.inf
+        if alone.any():
+            c = chars.T[alone].astype(np.int64)
+            weight[1:, :, 0][alone] = voc.byte_weight * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
+            ids[1:, :, 0][alone] = -1 - c
         alpha = np.zeros((n + 1, m))
+        share = np.zeros((m, n + 1, width))
         for j in range(1, n + 1):
             k = min(j, LONGEST)
             x = weight[j, :, :k] + alpha[j - k : j][::-1].T
@@ -132,36 +157,45 @@ class Lattices:
             e = np.exp(x - top[:, None])
             total = e.sum(1)
             alpha[j] = top + np.log(total)
-            weight[j, :, :k] = e / total[:, None]
-        weight[0] = 0
-        weight[~np.isfinite(weight)] = 0
-        at = (self.base[some][None, :] + np.arange(n + 1)[:, None]).ravel()
-        self.options[at] = (weight > 0).sum(2).ravel()
-        self.share[at], self.ids[at] = weight.reshape(-1, LONGEST), ids.reshape(-1, LONGEST)
+            share[:, j, :k] = e / total[:, None]
+        flat = np.flatnonzero(share)
+        return base + flat // width, flat % width + 1, ids.transpose(1, 0, 2).ravel()[flat], share.ravel()[flat]
 
 
-def _walk(lat: Lattices, node: np.ndarray, floor: np.ndarray, seed: np.ndarray, counter: np.ndarray, barred: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
-    """Decisions from each node back to its floor: (walker, step, node, choice, share). barred: walkers and choices that their first step may not take."""
-    parts = []
+def _walk(lat: Lattices, node: np.ndarray, floor: np.ndarray, seed: np.ndarray, counter: np.ndarray, barred: dict[int, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each node back to its floor: (walker, edge), by walker and step. barred: edges that a walker's first step may not take."""
+    walkers, edges = [], []
     alive, step = np.arange(len(node)), 0  # every word has a code point
     while len(alive):
+        u = uniform(seed[alive], counter[alive] + np.uint64(step))
         here = node[alive]
-        rows = lat.share[here]
+        edge = lat.top[here]
+        share = lat.top_share[here]
+        rest = np.flatnonzero(u >= share)
+        if len(rest):  # the other edges: the likeliest one's stretch is left out
+            at = here[rest]
+            v = u[rest] - share[rest]
+            v += np.where(v < lat.top_begin[at], 0, share[rest])
+            edge[rest] = np.clip(np.searchsorted(lat.key, at + v), lat.begin[at], lat.begin[at] + lat.options[at] - 1)
         if step == 0:
-            rows[barred] = 0
-        cum = np.cumsum(rows, axis=1)
-        u = uniform(seed[alive], counter[alive] + step) * cum[:, -1]
-        choice = np.minimum((cum <= u[:, None]).sum(1), LONGEST - 1)
-        lost = rows[np.arange(len(alive)), choice] <= 0  # rounding at the last edge
-        if lost.any():
-            choice[lost] = rows[lost].argmax(1)
-        parts.append((alive, np.full(len(alive), step), here, choice, lat.share[here, choice]))
-        node[alive] = here - choice - 1
+            for w, gone in barred.items():
+                free = [e for e in range(lat.begin[node[w]], lat.begin[node[w]] + lat.options[node[w]]) if e not in gone]
+                cum = np.cumsum(lat.share[free])
+                edge[w] = free[min(int(np.searchsorted(cum, u[w] * cum[-1])), len(free) - 1)]
+        walkers.append(alive)
+        edges.append(edge)
+        node[alive] -= lat.length[edge]
         alive = alive[node[alive] > floor[alive]]
         step += 1
-    if not parts:
-        return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.float32),)
-    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+    if not walkers:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # place by walker, then step
+    count = np.bincount(np.concatenate(walkers), minlength=len(node))
+    start = np.cumsum(count) - count
+    out = np.zeros(int(count.sum()), np.int64)
+    for s, (w, e) in enumerate(zip(walkers, edges, strict=True)):
+        out[start[w] + s] = e
+    return np.repeat(np.arange(len(node)), count), out
 
 
 def sample(texts: list[str], seeds: np.ndarray, voc: Vocabulary, k: int = K) -> list[list[tuple[np.ndarray, float, float]]]:
@@ -170,110 +204,96 @@ def sample(texts: list[str], seeds: np.ndarray, voc: Vocabulary, k: int = K) ->
     words = [[index.setdefault(u, len(index)) for u in UNIT.findall(" " + t)] if t else [] for t in texts]
     lat = Lattices(list(index), voc)
     count = np.fromiter(map(len, words), np.int64, len(words))
-    unit = np.fromiter((u for w in words for u in w), np.int64, int(count.sum()))
+    begins = np.cumsum(count) - count
+    unit = np.fromiter(chain.from_iterable(words), np.int64, int(count.sum()))
     doc = np.repeat(np.arange(len(texts)), count)
-    inside = np.arange(len(unit)) - np.repeat(np.cumsum(count) - count, count)
-    floor = lat.base[unit] if len(unit) else unit
-    end = floor + lat.size[unit] if len(unit) else unit
-    big = np.uint64(1) << np.uint64(20)
+    inside = np.arange(len(unit)) - np.repeat(begins, count)
+    floor = lat.base[unit]
+    end = floor + lat.size[unit]
     paths: list[list[dict]] = [[] for _ in texts]
     # perturbed value of the whole lattice, by document
-    root = -np.log(-np.log(uniform(seeds, np.zeros(len(texts), np.uint64))))
-    chosen: list[tuple[int, int] | None] = [(-1, 0)] * len(texts)  # the path and decision from which the next path departs
-    value = root.copy()
+    value = -np.log(-np.log(uniform(seeds, np.zeros(len(texts), np.uint64))))
+    # the path and decision from which the next path of a document departs; none where no segmentation is left
+    departs: list[tuple[int, int] | None] = [(-1, 0)] * len(texts)
     for r in range(k):
-        active = np.array([c is not None for c in chosen], bool)
-        if not active.any():
-            break
-        # walkers: words after the departure, whole; the word of the departure, from its node
-        start = np.zeros(len(texts), np.int64)
-        node = end.copy()
-        barred: list[tuple[int, int]] = []
-        on = active[doc]
-        if r:
-            for d, c in enumerate(chosen):
-                if c is not None:
-                    p = paths[d][c[0]]
-                    w = p["word"][c[1]]
-                    start[d] = w
-                    at = p["first"] + w
-                    node[at] = p["node"][c[1]]
-                    barred += [(at, x) for x in p["barred"].get(c[1], [int(p["choice"][c[1]])])]
-            on &= inside >= start[doc]
-        some = np.flatnonzero(on)
-        counter = (inside[some].astype(np.uint64) * np.uint64(4096) + np.uint64(r) * (np.uint64(1) << np.uint64(56))) + big
-        w, _, at, choice, share = _walk(lat, node[some].copy(), floor[some], seeds[doc[some]], counter, (np.searchsorted(some, [x for x, _ in barred]), np.array([x for _, x in barred], np.int64)))
-        order = np.argsort(w, kind="stable")  # by word; steps of a word stay in order
-        w, at, choice, share = some[w[order]], at[order], choice[order], share[order]
+        node, on, barred = end.copy(), np.ones(len(texts), bool), {}
+        start, logp = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        for d, c in enumerate(departs):
+            if c is None:
+                on[d] = False
+            elif r:
+                p = paths[d][c[0]]
+                at = int(begins[d] + p["word"][c[1]])
+                start[d], logp[d] = p["word"][c[1]], lat.log[p["edge"][: c[1]]].sum()
+                node[at] = lat.node[p["edge"][c[1]]]
+                barred[at] = [*p["gone"].get(c[1], []), int(p["edge"][c[1]])]
+        some = np.flatnonzero(on[doc] & (inside >= start[doc]))
+        counter = inside[some].astype(np.uint64) * np.uint64(4096) + (np.uint64(r) << np.uint64(56)) + np.uint64(1 << 20)
+        local = dict(zip(np.searchsorted(some, list(barred)).tolist(), barred.values(), strict=True)) if barred else {}
+        w, edge = _walk(lat, node[some], floor[some], seeds[doc[some]], counter, local)
+        w = some[w]
         bounds = np.searchsorted(doc[w], np.arange(len(texts) + 1))
-        begins = np.cumsum(count) - count
-        nxt: list[tuple[int, int] | None] = [None] * len(texts)
-        for d in range(len(texts)):
-            if chosen[d] is None:
+        new = np.diff(bounds)
+        # log-probability of what comes before each decision; each decision's siblings, all at once
+        logs = lat.log[edge]
+        total = np.cumsum(logs)
+        before = total - logs - np.repeat(np.concatenate([[0.0], total])[bounds[:-1]], new) + np.repeat(logp, new)
+        phi = before + lat.rest[edge]
+        for d, c in enumerate(departs):
+            if r and c is not None:
+                a = bounds[d]
+                gone = [*barred[int(begins[d] + start[d])], int(edge[a])]
+                left = 1 - lat.share[gone].sum() if len(gone) < lat.options[lat.node[edge[a]]] else 0.0
+                phi[a] = before[a] + np.log(max(left, 1e-12)) if left else -np.inf
+        order = np.arange(len(phi)) - np.repeat(bounds[:-1], new)
+        g = phi - np.log(-np.log(uniform(np.repeat(seeds, new), order.astype(np.uint64) + (np.uint64(r + 1) << np.uint64(58)))))
+        with np.errstate(divide="ignore", over="ignore"):
+            cut = np.where(np.isfinite(phi), -np.logaddexp(-np.repeat(value, new), -g), -np.inf)
+        for d, c in enumerate(departs):
+            if c is None:
                 continue
             a, b = bounds[d], bounds[d + 1]
-            new = {"word": w[a:b] - begins[d], "node": at[a:b], "choice": choice[a:b], "share": share[a:b].astype(float)}
-            keep, taken = 0, []
-            if r:
-                src, keep = chosen[d]
-                p = paths[d][src]
-                taken = p["barred"].get(keep, [int(p["choice"][keep])])
-                p["value"][keep] = -np.inf  # that subtree is split up now
-                new = {x: np.concatenate([p[x][:keep], new[x]]) for x in new}
-            logs = np.log(np.maximum(new["share"], 1e-300))
-            before = np.concatenate([[0.0], np.cumsum(logs)])
-            rest = 1 - new["share"]
-            barred_here = {}
+            one = {"word": w[a:b] - begins[d], "edge": edge[a:b], "from": 0, "gone": {}, "value": cut[a:b]}
             if r:
-                barred_here[keep] = [*taken, int(new["choice"][keep])]
-                rest[keep] = 1 - float(lat.share[new["node"][keep], barred_here[keep]].astype(float).sum())
-            # siblings before the departure belong to the older path; where one piece alone can end, there is none
-            options = lat.options[new["node"]]
-            closed = options <= 1
-            if r and len(closed):
-                closed[:keep] = True
-                closed[keep] = options[keep] <= len(barred_here[keep])
-            with np.errstate(divide="ignore"):
-                phi = np.where(closed, -np.inf, before[:-1] + np.log(np.maximum(rest, 1e-12)))
-            noise = -np.log(-np.log(uniform(np.full(len(phi), seeds[d], np.uint64), np.arange(len(phi), dtype=np.uint64) + (np.uint64(r + 1) << np.uint64(58)))))
-            g = phi + noise
-            new |= {"value": -np.logaddexp(-value[d], -g), "barred": barred_here, "logp": float(before[-1]), "first": int(begins[d])}
-            new["value"][~np.isfinite(phi)] = -np.inf
-            paths[d].append(new)
+                p, at = paths[d][c[0]], c[1]
+                one = one | {"word": np.concatenate([p["word"][:at], one["word"]]), "edge": np.concatenate([p["edge"][:at], one["edge"]]), "from": at, "gone": {at: barred[int(begins[d] + start[d])]}}
+                p["value"][at - p["from"]] = -np.inf  # that subtree is split up now
+            one["logp"] = float(logp[d] + logs[a:b].sum())
+            paths[d].append(one)
             best, where = -np.inf, None
             for i, p in enumerate(paths[d]):
                 if len(p["value"]):
                     t = int(p["value"].argmax())
                     if p["value"][t] > best:
-                        best, where = float(p["value"][t]), (i, t)
-            nxt[d] = where
-            value[d] = best
-        chosen = nxt
+                        best, where = float(p["value"][t]), (i, t + p["from"])
+            departs[d], value[d] = where, best
+        if not any(departs):
+            break
     out = []
     for d in range(len(texts)):
-        kappa = value[d] if chosen[d] is not None else -np.inf
-        rows = []
-        for p in paths[d]:
-            word = p["word"]
-            cut = np.flatnonzero(np.diff(word)) + 1
-            begin = np.concatenate([[0], cut])[: 1 if len(word) else 0]
-            starts = np.concatenate([np.zeros(1, np.int64), cut]) if len(word) else begin.astype(np.int64)
-            sizes = np.diff(np.append(starts, len(word)))
-            # decisions run from a word's end to its start
-            turned = np.repeat(2 * starts + sizes - 1, sizes) - np.arange(len(word))
-            ids = lat.ids[p["node"], p["choice"]][turned] if len(word) else np.zeros(0, np.int32)
-            raw = ids < 0
-            if raw.any():  # characters without piece become their bytes
-                data = [chr(-1 - i).encode() for i in ids[raw].tolist()]
-                sizes = np.ones(len(ids), np.int64)
-                sizes[raw] = [len(x) for x in data]
-                ids = np.repeat(ids, sizes)
-                ids[np.repeat(raw, sizes)] = np.frombuffer(b"".join(data), np.uint8).astype(np.int32) + voc.byte_id
-            rows.append((ids, p["logp"], float(-np.expm1(-np.exp(min(700.0, p["logp"] - kappa)))) if np.isfinite(kappa) else 1.0))
-        out.append(rows)
+        kappa = value[d] if departs[d] is not None else -np.inf
+        out.append([(_ids(lat, p, voc), p["logp"], float(-np.expm1(-np.exp(min(700.0, p["logp"] - kappa)))) if np.isfinite(kappa) else 1.0) for p in paths[d]])
     return out
 
 
+def _ids(lat: Lattices, path: dict, voc: Vocabulary) -> np.ndarray:
+    """Piece ids of a path in reading order: decisions run from a word's end to its start."""
+    word = path["word"]
+    if not len(word):
+        return np.zeros(0, np.int32)
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1])
+    sizes = np.diff(np.append(starts, len(word)))
+    ids = lat.ids[path["edge"]][np.repeat(2 * starts + sizes - 1, sizes) - np.arange(len(word))]
+    raw = ids < 0
+    if raw.any():  # characters without piece become their bytes
+        data = [chr(-1 - i).encode() for i in ids[raw].tolist()]
+        sizes = np.ones(len(ids), np.int64)
+        sizes[raw] = [len(x) for x in data]
+        ids = np.repeat(ids, sizes)
+        ids[np.repeat(raw, sizes)] = np.frombuffer(b"".join(data), np.uint8).astype(np.int32) + voc.byte_id
+    return ids
+
+
 def decode_ids(ids, voc: Vocabulary) -> str:
     """Text of piece ids: the space that begins every text goes."""
     data = b"".join([voc.bytes[i] for i in ids])
