@@ -5,11 +5,12 @@ MinHash band are candidates. Candidates' MinHash values are compared step by ste
 probability (uniform prior) of reaching the threshold falls below the tolerance. The rest are verified exactly.
 
 No bucket's pairs are all written out. In each bucket the node that stands in the most company is the pivot; candidates are first
-the pairs of pivot and member. A verified member's home is its most linked pivot. For two members of one home, the size of their
-intersection is |pivot| - a - b + o, where a and b count the pivot's grams each lacks and o the grams that both lack or both add:
-pairs that reach the threshold with o = 0 are counted by sizes alone, pair by pair only those that need o, found by joining the
-few grams in which members differ from the pivot. Pairs of different homes in a bucket are candidates of their own. Every link of a
-candidate bucket is counted exactly once; at similarity 0.8 the bands miss one link in 500,000.
+the pairs of pivot and member. A member's home is the pivot, of similarity HOME and more, that most members are close to. For two
+members of one home, the size of their intersection is |pivot| - a - b + o, where a and b count the pivot's grams each lacks and o
+the grams that both lack or both add: pairs that reach the threshold with o = 0 are counted by sizes alone, without a row for each
+pair; those that need o are met by prefix filtering over the grams in which members differ from the pivot, rarest first. Pairs of
+different homes in a bucket are candidates of their own. Every link of a candidate bucket is counted exactly once; at similarity 0.8
+the bands miss three links in a million.
 
 Texts of fewer than five words have one gram of all their words; null, empty and blank texts have none and are equal to each other
 and to nothing else. Repeated rows and equal keys stay rows of their own.
@@ -21,14 +22,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, cut_lineage, list_array, per_batch, read_table
 from .license_scan import rolling, word_hashes
 
 SHINGLE, THRESHOLD = 5, (4, 5)  # the similarity as a fraction: 0.8
-ROWS, BANDS = 6, 43
+ROWS, BANDS = 5, 32
+#: Least similarity to a pivot at which a node may have its home there.
+HOME = (1, 4)
 TOLERANCE, STEP = 1e-6, 32
 
 _r = np.random.default_rng(20240229)
@@ -61,10 +64,10 @@ def band_hashes(values: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def least_matches(tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
+def least_matches(threshold: tuple[int, int] = THRESHOLD, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
     """(values compared, matches below which a pair is dropped): posterior of similarity >= threshold under a uniform prior."""
     t = np.linspace(1e-9, 1 - 1e-9, 20_001)
-    high = t >= THRESHOLD[0] / THRESHOLD[1]
+    high = t >= threshold[0] / threshold[1]
     out = []
     for n in range(STEP, ROWS * BANDS + 1, STEP):
         least = 0
@@ -94,10 +97,10 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
     return per_batch(ready, ["key", "digest", "text"], run, f"key {kind}, digest bigint, node binary, size int, values binary, bands array<bigint>")
 
 
-def prune(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose MinHash values leave them a chance to be links."""
+def prune(pairs: DataFrame, nodes: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """Pairs (a, b) whose MinHash values leave them a chance to reach the threshold."""
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("values").alias(f"v{c}"))
-    table = least_matches()
+    table = least_matches(threshold)
 
     def run(batch: pa.RecordBatch) -> dict:
         a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(batch.num_rows, -1) for i in (2, 3))
@@ -111,12 +114,15 @@ def prune(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return per_batch(pairs.join(side("a"), "a").join(side("b"), "b"), ["a", "b", "va", "vb"], run, "a binary, b binary")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
-    """Exact links among the pairs, with what tells a from b: (a, b, size_a, size_b, lacks, adds); lacks are b's grams that a has not."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+def texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(node, text) of the wanted nodes, the text of each node's representative row."""
     places = nodes.join(wanted, "node").select("node", F.col("rep.key").alias("key"), F.col("rep.digest").alias("digest"))
     all_texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("digest", F.xxhash64("text"))
-    texts = cut_lineage(all_texts.join(places, all_texts["key"].eqNullSafe(places["key"]) & (all_texts["digest"] == places["digest"])).select("node", "text").dropDuplicates(["node"]))
+    return all_texts.join(places, all_texts["key"].eqNullSafe(places["key"]) & (all_texts["digest"] == places["digest"])).select("node", "text").dropDuplicates(["node"])
+
+
+def verify(pairs: DataFrame, texts: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """Pairs that reach the threshold exactly, with what tells a from b: (a, b, size_a, size_b, lacks, adds); lacks are b's grams that a has not."""
     side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}"))
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -127,7 +133,7 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text:
                 last = (tb, grams(tb))
             x, y = grams(ta), last[1]
             both = len(np.intersect1d(x, y, assume_unique=True))
-            if both * (THRESHOLD[0] + THRESHOLD[1]) >= THRESHOLD[0] * (len(x) + len(y)):
+            if both * sum(threshold) >= threshold[0] * (len(x) + len(y)):
                 for k, v in (("at", i), ("size_a", len(x)), ("size_b", len(y)), ("lacks", np.setdiff1d(y, x, assume_unique=True)), ("adds", np.setdiff1d(x, y, assume_unique=True))):
                     out[k].append(v)
         at = pa.array(out.pop("at"), pa.int64())
@@ -149,6 +155,15 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", F.col("label").alias("component"))
 
 
+def homes_of(close: DataFrame) -> DataFrame:
+    """(node, home): of the pivots b that a node a is close to, the one that most are; a pivot that outdoes them all is at home with itself."""
+    weight = close.groupBy("b").agg(F.count("*").alias("w"))
+    best = close.join(weight, "b").groupBy("a").agg(F.max(F.struct("w", "b")).alias("best"))
+    own = best.join(weight.select(F.col("b").alias("a"), F.col("w").alias("own")), "a", "full_outer")
+    stays = F.coalesce(F.struct(F.col("own").alias("w"), F.col("a").alias("b")) > F.col("best"), F.col("best").isNull())
+    return own.select(F.col("a").alias("node"), F.when(stays, F.col("a")).otherwise(F.col("best.b")).alias("home"))
+
+
 def link_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, digest, group (smallest key of the rows that links join), set_key (smallest key with equal grams), n_copies, n_links
     (other nodes linked to the row's node)."""
@@ -162,15 +177,14 @@ def link_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     company = buckets.groupBy("node").agg(F.sum("m").alias("company"))
     pivots = buckets.join(company, "node").groupBy("h").agg(F.max(F.struct("company", "node")).alias("p")).select("h", F.col("p.node").alias("pivot"))
     stars = buckets.join(pivots, "h").where(F.col("node") != F.col("pivot")).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    linked = cut_lineage(verify(cut_lineage(prune(stars, nodes)), docs, nodes, key, text))
-
-    # homes
-    weight = linked.groupBy("b").agg(F.count("*").alias("w"))
-    best = linked.join(weight, "b").groupBy("a").agg(F.max(F.struct("w", "b")).alias("best"))
-    own = best.join(weight.select(F.col("b").alias("a"), F.col("w").alias("own")), "a", "full_outer")
-    stays = F.coalesce(F.struct(F.col("own").alias("w"), F.col("a").alias("b")) > F.col("best"), F.col("best").isNull())
-    homes = cut_lineage(own.select(F.col("a").alias("node"), F.when(stays, F.col("a")).otherwise(F.col("best.b")).alias("home")))
-    away = linked.join(homes.where(F.col("node") != F.col("home")).select(F.col("node").alias("a"), F.col("home").alias("b")), ["a", "b"])
+    texts = cut_lineage(texts_of(buckets.select("node").distinct(), nodes, docs, key, text))
+    close = cut_lineage(verify(prune(stars, nodes, HOME), texts, HOME))
+    # a node that meets no great pivot itself may do so through the pivots of its buckets
+    first_homes = cut_lineage(homes_of(close)).select(F.col("node").alias("pivot"), F.col("home").alias("b"))
+    led = buckets.join(pivots, "h").join(first_homes, "pivot").where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b").distinct().join(close.select("a", "b"), ["a", "b"], "left_anti")
+    close = cut_lineage(close.union(verify(prune(led, nodes, HOME), texts, HOME)))
+    homes = cut_lineage(homes_of(close))
+    away = close.join(homes.where(F.col("node") != F.col("home")).select(F.col("node").alias("a"), F.col("home").alias("b")), ["a", "b"])
     empty = F.array().cast("array<bigint>")
     at_home = homes.where(F.col("node") == F.col("home")).join(nodes.select("node", "size"), "node")
     members = cut_lineage(
@@ -188,12 +202,25 @@ def link_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     sure = left.join(right.drop("pivot"), "home").where(short <= 0).groupBy("home", F.col("size1").alias("size"), F.col("a1").alias("a")).agg(F.sum(F.col("n2") - same.cast("int")).alias("links"))
     inside = members.join(sure, ["home", "size", "a"]).select("node", "links")
 
-    # links within a home that need grams both lack or both add
-    differ = members.select("home", "pivot", "node", "size", "a", F.explode(F.concat(F.transform("lacks", lambda x: F.struct(x.alias("gram"), F.lit(0).alias("side"))), F.transform("adds", lambda x: F.struct(x.alias("gram"), F.lit(1).alias("side"))))).alias("d"))
-    one, two = (differ.select("home", "d", "pivot", *[F.col(c).alias(f"{c}{i}") for c in ("node", "size", "a")]) for i in (1, 2))
-    most = F.least("a1", "a2") + F.least(F.col("size1") - F.col("pivot") + F.col("a1"), F.col("size2") - F.col("pivot") + F.col("a2"))
-    shared = one.join(two.drop("pivot"), (one["home"] == two["home"]) & (one["d"] == two["d"]) & (F.col("node1") < F.col("node2")) & (short > 0) & (u * most >= short))
-    extra = shared.groupBy("node1", "node2").agg(F.count("*").alias("o"), F.first(short).alias("short")).where(u * F.col("o") >= F.col("short")).select(F.col("node1").alias("a"), F.col("node2").alias("b"))
+    # links within a home that need grams both lack or both add: a pair that needs n common grams has one among the first (all - n + 1)
+    # of each node's grams, rarest first
+    crowd = members.where(F.col("a") + F.size("adds") > 0)
+    crowd = crowd.join(crowd.groupBy("home").agg(F.count("*").alias("m")).where(F.col("m") > 1).select("home"), "home")
+    differ = crowd.select("home", "pivot", "node", "size", "a", F.explode(F.concat(F.transform("lacks", lambda x: F.struct(x.alias("gram"), F.lit(0).alias("side"))), F.transform("adds", lambda x: F.struct(x.alias("gram"), F.lit(1).alias("side"))))).alias("d"))
+    common = differ.groupBy("home", "d").agg(F.count("*").alias("df")).where(F.col("df") > 1)
+    rarest = Window.partitionBy("node").orderBy(F.coalesce("df", F.lit(1)), "d")
+    # whatever the partner, the two differ in at most a quarter of the node's size: all but so many of its grams must be common
+    placed = differ.join(common, ["home", "d"], "left").withColumn("at", F.row_number().over(rarest)).where(F.col("df").isNotNull() & (F.col("at") <= F.floor(F.col("size") / 4) + 1))
+    one, two = (placed.select("home", "d", "pivot", *[F.col(c).alias(f"{c}{i}") for c in ("node", "size", "a", "at")]) for i in (1, 2))
+    adds = [F.col(f"size{i}") - F.col("pivot") + F.col(f"a{i}") for i in (1, 2)]
+    most = F.least("a1", "a2") + F.least(*adds)
+    needs = F.ceil(short / u)
+    early = [F.col(f"at{i}") <= F.col(f"a{i}") + adds[i - 1] - needs + 1 for i in (1, 2)]
+    met = one.join(two.drop("pivot"), (one["home"] == two["home"]) & (one["d"] == two["d"]) & (F.col("node1") < F.col("node2")) & (short > 0) & (needs <= most) & early[0] & early[1])
+    pairs = met.select("node1", "node2", needs.alias("needs")).distinct()
+    side = lambda i: members.select(F.col("node").alias(f"node{i}"), F.col("lacks").alias(f"lacks{i}"), F.col("adds").alias(f"adds{i}"))
+    shared = F.size(F.array_intersect("lacks1", "lacks2")) + F.size(F.array_intersect("adds1", "adds2"))
+    extra = pairs.join(side(1), "node1").join(side(2), "node2").where(shared >= F.col("needs")).select(F.col("node1").alias("a"), F.col("node2").alias("b"))
 
     # pairs of different homes in a bucket
     housed = buckets.join(homes, "node", "left").select("h", "node", F.coalesce("home", "node").alias("home"))
@@ -201,10 +228,12 @@ def link_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     across = doors.select("h", F.col("home").alias("home1")).join(doors.select("h", F.col("home").alias("home2")), "h").where(F.col("home1") < F.col("home2"))
     first = across.join(housed.select("h", F.col("home").alias("home1"), F.col("node").alias("x")), ["h", "home1"])
     crossing = first.join(housed.select("h", F.col("home").alias("home2"), F.col("node").alias("y")), ["h", "home2"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    others = cut_lineage(verify(cut_lineage(prune(crossing, nodes)), docs, nodes, key, text).select("a", "b").union(extra))
+    others = cut_lineage(verify(prune(crossing, nodes), texts).select("a", "b").union(extra))
 
     counted = inside.union(others.select(F.col("a").alias("node"), F.lit(1).alias("links"))).union(others.select(F.col("b").alias("node"), F.lit(1).alias("links"))).groupBy("node").agg(F.sum("links").alias("links"))
-    joined = components(others.select("a", "b").union(away.select("a", "b")))
+    # a home's links among its members join through the pivot, but for those found one by one
+    at_pivot = away.where(u * (F.col("size_b") - F.size("lacks")) >= t * (F.col("size_a") + F.col("size_b"))).select("a", "b")
+    joined = components(others.select("a", "b").union(at_pivot))
     named = nodes.select("node", "least", "copies").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     groups = named.groupBy("component").agg(F.min("least").alias("group"))
     facts = named.join(groups, "component").join(counted, "node", "left").select("node", "group", F.col("least").alias("set_key"), F.col("copies").alias("n_copies"), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"))
@@ -220,8 +249,8 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group, all its columns: that of the smallest key (of equal keys, the one with the smallest hash of its text)."""
     found = link_groups(docs, key, text)
-    first = found.groupBy("group").agg(F.min(F.struct(F.col(key).alias("k"), F.col("digest").alias("d"))).alias("x")).select("x.*")
-    ready = docs.withColumn("_d", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    kept = ready.join(first, F.col(key).eqNullSafe(F.col("k")) & (F.col("_d") == F.col("d")), "left_semi")
+    first = found.groupBy("group").agg(F.min(F.struct(F.col(key).alias("_first_key"), F.col("digest").alias("_first_digest"))).alias("x")).select("x.*")
+    ready = docs.withColumn("_digest", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    kept = ready.join(first, F.col(key).eqNullSafe(F.col("_first_key")) & (F.col("_digest") == F.col("_first_digest")), "left_semi")
     # rows repeated whole: one of them
-    return kept.dropDuplicates([key, "_d"]).drop("_d")
+    return kept.dropDuplicates([key, "_digest"]).drop("_digest")
