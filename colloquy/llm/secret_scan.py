@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, per_batch, read_table
+from .common import as_bytes, cut_lineage, per_batch, read_table
 
 MAX_OWNERS, SALTS = 2, 16
 
@@ -106,7 +106,7 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 def find_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", owner: str | Column = "source", repository: str | Column = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
     """Per row of df: base columns, all spans, and how many of them look live or are widely copied examples."""
-    scanned = scan(df, key, text, owner, repository)
+    scanned = cut_lineage(scan(df, key, text, owner, repository))  # texts are read once; what is found is small
     candidates = scanned.where(F.size("found") > 0).select("uid", "owner", "repository", F.explode("found").alias("x")).select("uid", "owner", "repository", "x.*")
     # a value that a third of all rows hold meets its counts in 16 tasks
     counts = ownership(candidates).select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
@@ -131,10 +131,10 @@ def redact(df: DataFrame, key: str = "doc_id", text: str = "text", owner: str |
     """df with every span of ``text`` replaced by ``[kind]``; n_chars, where df has it, follows. Rows and other columns stay."""
     name = lambda c: F.col(c) if isinstance(c, str) else c
     ready = df.withColumn("_row", F.xxhash64(F.col(key), F.col(text), name(owner), name(repository)))
-    found = find_secrets(ready, "_row", text, owner, repository).where(F.col("spans") != "").select("_row", "spans").dropDuplicates(["_row"])
+    found = find_secrets(ready, "_row", text, owner, repository).where(F.col("spans") != "").select("_row", F.col("spans").alias("_spans")).dropDuplicates(["_row"])
     joined = ready.join(found, "_row", "left")
     kind = dict(df.dtypes)[text]
-    parts = F.transform(F.split("spans", ","), lambda s: F.struct(F.split(s, ":")[0].alias("k"), F.split(s, ":")[1].cast("int").alias("s"), F.split(s, ":")[2].cast("int").alias("e")))
+    parts = F.transform(F.split("_spans", ","), lambda s: F.struct(F.split(s, ":")[0].alias("k"), F.split(s, ":")[1].cast("int").alias("s"), F.split(s, ":")[2].cast("int").alias("e")))
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     done = F.aggregate(
         parts, start,
@@ -142,9 +142,9 @@ def redact(df: DataFrame, key: str = "doc_id", text: str = "text", owner: str |
             F.struct(F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, x["s"] - a["at"]), F.lit("["), x["k"], F.lit("]")).alias("out"), x["e"].alias("at"))),
         lambda a: F.concat(a["out"], F.substr(F.col(text), a["at"] + 1)),
     )
-    clean = joined.withColumn(text, F.when(F.col("spans").isNull(), F.col(text)).otherwise(done).cast(kind))
+    clean = joined.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(done).cast(kind))
     if "n_chars" in df.columns:
-        clean = clean.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(dict(df.dtypes)["n_chars"]))
+        clean = clean.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(dict(df.dtypes)["n_chars"]))
     return clean.select(*[F.col(c) for c in df.columns])
 
 
