@@ -35,7 +35,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    sc._jvm.System.gc()  # shuffle files of lineages cut before have no owner now; Spark's cleaner takes them from the disks
+    return out
 
 
 def as_bytes(texts: pa.Array) -> list[bytes]:
