@@ -15,8 +15,8 @@ from colloquy.operators.filters import session_filter
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Offset of reciprocal ranks, and messages taken for each session wanted from the vectors.
 RRF, PER_SESSION = 10, 5
-#: Query vectors that may be broadcast.
-MOST_QUERIES = 10_000
+#: Many-query search: query vectors in a block, vectors in a chunk, pairs measured at once, and queries whose nearest a task holds.
+BLOCK, CHUNK, PAIRS, HELD = 512, 4_096, 100_000, 10_000
 
 
 def build_postings(messages: DataFrame) -> DataFrame:
@@ -115,30 +115,85 @@ def knn_search(sessions: DataFrame, messages: DataFrame, vectors: DataFrame, que
     return near.join(owner, "message_id").join(scope, "session_id", "left_semi").groupBy("session_id").agg(F.min("distance").alias("distance"))
 
 
+def _first(query, ids, distance, k: int):
+    """The k nearest of each query, ties by id."""
+    import numpy as np
+
+    order = np.lexsort((ids, distance, query))
+    at = query[order]
+    keep = order[np.arange(len(at)) - np.searchsorted(at, at) < k]
+    return query[keep], ids[keep], distance[keep]
+
+
+def _nearest(wanted, x, ids, k: int):
+    """(query's row, id, distance) of the k nearest rows of x for each wanted vector, ties by id; products choose, differences measure."""
+    import numpy as np
+
+    take = min(k, len(x))
+    norms = (x * x).sum(1)
+    far = norms[None, :] - 2 * wanted @ x.T
+    edge = np.partition(far, take - 1, axis=1)[:, take - 1 : take]
+    query, at = np.nonzero(far <= edge + 1e-9 * (1 + norms.max() + (wanted * wanted).sum(1)[:, None]))
+    distance = np.empty(len(at))
+    for i in range(0, len(at), PAIRS):
+        some = slice(i, i + PAIRS)
+        distance[some] = np.sqrt(((wanted[query[some]] - x[at[some]]) ** 2).sum(1))
+    return _first(query, ids[at], distance, k)
+
+
+def _packed(vectors: DataFrame, key: str, most: int, names: tuple[str, str]) -> DataFrame:
+    """Rows of at most ``most`` vectors: their ids and their numbers as bytes."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, most):
+                some = batch.slice(i, most)
+                ids, x = some.column(0).to_numpy(zero_copy_only=False), some.column(1).flatten().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array([ids.astype(np.int64).tobytes()], pa.binary()), pa.array([x.astype(np.float64).tobytes()], pa.binary())], names=list(names))
+
+    return vectors.select(key, "embedding").mapInArrow(run, f"{names[0]} binary, {names[1]} binary")
+
+
 def knn_batch(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, message_id, distance): the k nearest vectors of each query, in blocks.
+    """(query_id, message_id, distance): the k nearest vectors of each query, whatever their number.
 
-    Queries are broadcast only up to MOST_QUERIES. Each task keeps the k nearest of each batch of its vectors, so what is dealt out by
-    query grows with queries x tasks, not with vectors x queries."""
+    Blocks of query vectors meet chunks of vectors in a join, so neither side passes through the driver; Spark broadcasts the blocks
+    while they are few. Each task keeps the k nearest of each query, so what is dealt out by query grows with queries x tasks, not with
+    vectors x queries."""
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
-    rows = queries.select("query_id", "embedding").limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries; run them in blocks")
-    ids = [r[0] for r in rows]
-    wanted = np.array([r[1] for r in rows], float)
+    names = ["query_id", "message_id", "distance"]
 
     def near(batches):
-        for pdf in batches:
-            if len(pdf) and ids:
-                x = np.array(pdf["embedding"].tolist(), float)
-                far = np.sqrt(np.maximum(0, (x * x).sum(1)[None, :] - 2 * wanted @ x.T + (wanted * wanted).sum(1)[:, None]))
-                take = min(k, len(pdf))
-                part = np.argpartition(far, take - 1, axis=1)[:, :take]
-                yield pd.DataFrame({"query_id": np.repeat(ids, take), "message_id": pdf["message_id"].to_numpy()[part].ravel(), "distance": np.take_along_axis(far, part, 1).ravel()})
-
-    local = vectors.select("message_id", "embedding").mapInPandas(near, "query_id bigint, message_id bigint, distance double")
+        held: dict = {}
+        n = 0
+
+        def rows():
+            for asked, (query, ids, distance) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(asked, np.int64)[query]), pa.array(ids), pa.array(distance)], names=names)
+
+        for batch in batches:
+            for asked, wanted, ids, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids = np.frombuffer(ids, np.int64)
+                found = _nearest(np.frombuffer(wanted).reshape(len(asked) // 8, -1), np.frombuffer(x).reshape(len(ids), -1), ids, k)
+                if asked in held:
+                    found = _first(*(np.concatenate(two) for two in zip(held[asked], found, strict=True)), k)
+                elif n + len(asked) // 8 > HELD:
+                    yield from rows()
+                    held.clear()
+                    n = 0
+                n += 0 if asked in held else len(asked) // 8
+                held[asked] = found
+        yield from rows()
+
+    # dealt out once each, so that a product of many partitions reads them again instead of making them again
+    blocks = _packed(queries, "query_id", BLOCK, ("asked", "wanted")).hint("repartition")
+    chunks = _packed(vectors, "message_id", CHUNK, ("ids", "x")).hint("repartition")
+    pairs = blocks.crossJoin(chunks).select("asked", "wanted", "ids", "x")
+    local = pairs.mapInArrow(near, "query_id bigint, message_id bigint, distance double")
     order = Window.partitionBy("query_id").orderBy("distance", "message_id")
     return local.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n")
 

@@ -115,3 +115,21 @@ def test_evaluation_set_is_read(spark, tmp_path):
     assert evaluate.read_entries(spark, str(tmp_path / "e.json")).first()["expected"][0]["source_id"] == "x"
     with pytest.raises(Exception):
         evaluate.read_entries(spark, str(tmp_path / "none.json"))
+
+
+def test_many_query_vectors(spark, monkeypatch):
+    """More queries than a block or a task holds, and ties decided by id."""
+    import numpy as np
+
+    for name, n in (("BLOCK", 8), ("CHUNK", 16), ("HELD", 20), ("MOST_QUERIES", 20)):
+        monkeypatch.setattr(search, name, n, raising=False)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 4)).astype(np.float32)
+    x[40:80] = x[40]
+    vectors = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "message_id bigint, embedding array<float>")
+    found = search.knn_batch(vectors, vectors.withColumnRenamed("message_id", "query_id"), 5).collect()
+    x = x.astype(float)
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    want = {(q, int(m)) for q in range(90) for m in np.lexsort((np.arange(90), far[q]))[:5]}
+    assert {(r["query_id"], r["message_id"]) for r in found} == want and len(found) == 450
+    assert all(math.isclose(r["distance"], far[r["query_id"], r["message_id"]], abs_tol=1e-9) for r in found)
