@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import col
@@ -37,3 +37,13 @@ def masked_mean(vectors: str | Column, mask: str | Column) -> Column:
     zeros = F.transform(F.get(col(vectors), 0), lambda _: F.lit(0.0))
     summed = F.aggregate(weighted, zeros, lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
     return F.when(total > 0, F.transform(summed, lambda x: x / total))
+
+
+def mean_by(rows: DataFrame, key: str, vector: str, mask: Column) -> DataFrame:
+    """(key, m): mean of a group's vectors whose mask is true, position by position; no row where none is.
+
+    Partial sums are made where the rows are read, so a group may have any number of rows; ``masked_mean`` is for the tokens of one text."""
+    numbers = rows.where(mask).select(key, F.posexplode(vector).alias("position", "x"))
+    means = numbers.groupBy(key, "position").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    # as many rows a group as a vector has numbers
+    return means.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("position", "x"))).alias("m")).select(key, F.col("m.x").alias("m"))

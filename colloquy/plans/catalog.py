@@ -421,8 +421,7 @@ def normalized_vectors(v: Views) -> DataFrame:
 
 @query("SELECT label, round(avg(embedding[1]::DOUBLE), 6) AS first, round(avg(embedding[64]::DOUBLE), 6) AS last FROM embeddings WHERE vec_id % 2 = 0 GROUP BY label")
 def pooled_vectors(v: Views) -> DataFrame:
-    tokens = v.table("embeddings").groupBy("label").agg(F.collect_list("embedding").alias("v"), F.collect_list((F.col("vec_id") % 2 == 0).cast("int")).alias("mask"))
-    pooled = tokens.select("label", VX.masked_mean("v", "mask").alias("m"))
+    pooled = VX.mean_by(v.table("embeddings"), "label", "embedding", F.col("vec_id") % 2 == 0)
     return pooled.select("label", F.round(F.get("m", 0), 6).alias("first"), F.round(F.get("m", 63), 6).alias("last"))
 
 

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +78,17 @@ def test_arguments():
 def test_resume_commands(spark):
     got = filters.source_table(spark).select("source", filters.resume_command(F.col("source"), F.lit("i")).alias("c"))
     assert dict(map(tuple, got.collect())) == {"claude-code": "claude --resume i", "opencode": "opencode --session i", "codex": "codex resume i", "copilot-cli": "copilot --resume=i", "gemini-cli": None, "kiro-cli": None, "cursor": None}
+
+
+def test_pooling_gathers_no_group(spark):
+    """Means by group, and no array of a group's vectors in the registered query's plan."""
+    rows = spark.createDataFrame([(1, [1.0, 2.0], True), (1, [3.0, 4.0], True), (1, [9.0, 9.0], False), (2, [5.0, 5.0], False)], "label int, embedding array<float>, used boolean")
+    assert [(r[0], r[1]) for r in VX.mean_by(rows, "label", "embedding", F.col("used")).collect()] == [(1, [2.0, 3.0])]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the given tables are not here")
+def test_pooled_query_sums_in_parts(spark):
+    from colloquy.plans.catalog import QUERIES
+
+    plan = QUERIES["pooled_vectors"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(embedding" not in plan and "avg(" in plan
