@@ -4,12 +4,13 @@ Texts are sets of word 5-grams; texts with equal sets form one node, so copies a
 MinHash band are candidates. Candidates' MinHash values are compared step by step; a pair is dropped as soon as the posterior
 probability (uniform prior) of reaching the threshold falls below the tolerance. The rest are verified exactly.
 
-No bucket's pairs are all written out. In each bucket the node that stands in the most company is the pivot; candidates are first
+No large bucket's pairs are all written out. In each bucket the node that stands in the most company is the pivot; candidates are first
 the pairs of pivot and member. A member's home is the pivot, of similarity HOME and more, that most members are close to. For two
 members of one home, the size of their intersection is |pivot| - a - b + o, where a and b count the pivot's grams each lacks and o
 the grams that both lack or both add: pairs that reach the threshold with o = 0 are counted by sizes alone, without a row for each
 pair; those that need o are met by prefix filtering over the grams in which members differ from the pivot, rarest first. Pairs of
-different homes in a bucket are candidates of their own. Every link of a candidate bucket is counted exactly once; at similarity 0.8
+different homes in a bucket of few homes are candidates of their own; where a bucket has many (texts that share a passage and little
+else), only nodes that share one of their rarest grams are: a pair that reaches the threshold always does. Every link of a candidate bucket is counted exactly once; at similarity 0.8
 the bands miss three links in a million.
 
 Texts of fewer than five words have one gram of all their words; null, empty and blank texts have none and are equal to each other
@@ -32,6 +33,8 @@ SHINGLE, THRESHOLD = 5, (4, 5)  # the similarity as a fraction: 0.8
 ROWS, BANDS = 5, 32
 #: Least similarity to a pivot at which a node may have its home there.
 HOME = (1, 4)
+#: Homes a bucket may have for all pairs of them to be written out; fuller buckets meet by prefix filtering.
+DOORS = 16
 TOLERANCE, STEP = 1e-6, 32
 
 _r = np.random.default_rng(20240229)
@@ -164,6 +167,30 @@ def homes_of(close: DataFrame) -> DataFrame:
     return own.select(F.col("a").alias("node"), F.when(stays, F.col("a")).otherwise(F.col("best.b")).alias("home"))
 
 
+def share_rare_grams(housed: DataFrame, texts: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """Pairs (a, b) of nodes of different homes that may reach the threshold: each shares one of the other's rarest grams, and sizes allow it.
+
+    A pair at the threshold t has at least t times the grams of either in common, so one of them is among the first (1 - t) of each
+    and one more, in any order that is the same for all. Homes meet first, so members of one home are never paired here."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        every = [grams(t) for t in as_bytes(batch.column(2))]
+        sizes = [len(g) for g in every]
+        return {"node": batch.column(0), "home": batch.column(1), "size": sizes, "grams": list_array(np.concatenate(every), sizes, pa.int64())}
+
+    held = per_batch(housed.join(texts, "node"), ["node", "home", "text"], run, "node binary, home binary, size int, grams array<bigint>")
+    held = held.select("node", "home", "size", F.explode("grams").alias("gram"))
+    common = held.groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") > 1)
+    rarest = Window.partitionBy("node").orderBy(F.coalesce("df", F.lit(1)), "gram")
+    short = F.col("size") - F.ceil(F.col("size") * threshold[0] / threshold[1] - 1e-9) + 1
+    placed = cut_lineage(held.join(common, "gram", "left").withColumn("at", F.row_number().over(rarest)).where(F.col("df").isNotNull() & (F.col("at") <= short)).select("node", "home", "size", "gram"))
+    doors = placed.select("home", "gram").distinct()
+    met = doors.withColumnRenamed("home", "home1").join(doors.withColumnRenamed("home", "home2"), "gram").where(F.col("home1") < F.col("home2"))
+    one, two = (placed.select("gram", *[F.col(c).alias(f"{c}{i}") for c in ("home", "node", "size")]) for i in (1, 2))
+    near = F.least("size1", "size2") * threshold[1] >= F.greatest("size1", "size2") * threshold[0]
+    return met.join(one, ["gram", "home1"]).join(two, ["gram", "home2"]).where(near).select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
+
+
 def link_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, digest, group (smallest key of the rows that links join), set_key (smallest key with equal grams), n_copies, n_links
     (other nodes linked to the row's node)."""
@@ -225,9 +252,12 @@ def link_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     # pairs of different homes in a bucket
     housed = buckets.join(homes, "node", "left").select("h", "node", F.coalesce("home", "node").alias("home"))
     doors = cut_lineage(housed.select("h", "home").distinct())
-    across = doors.select("h", F.col("home").alias("home1")).join(doors.select("h", F.col("home").alias("home2")), "h").where(F.col("home1") < F.col("home2"))
+    full = doors.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > DOORS).select("h")
+    few = doors.join(full, "h", "left_anti")
+    across = few.select("h", F.col("home").alias("home1")).join(few.select("h", F.col("home").alias("home2")), "h").where(F.col("home1") < F.col("home2"))
     first = across.join(housed.select("h", F.col("home").alias("home1"), F.col("node").alias("x")), ["h", "home1"])
-    crossing = first.join(housed.select("h", F.col("home").alias("home2"), F.col("node").alias("y")), ["h", "home2"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    crossing = first.join(housed.select("h", F.col("home").alias("home2"), F.col("node").alias("y")), ["h", "home2"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    crossing = crossing.union(share_rare_grams(housed.join(full, "h", "left_semi").select("node", "home").distinct(), texts)).distinct()
     others = cut_lineage(verify(prune(crossing, nodes), texts).select("a", "b").union(extra))
 
     counted = inside.union(others.select(F.col("a").alias("node"), F.lit(1).alias("links"))).union(others.select(F.col("b").alias("node"), F.lit(1).alias("links"))).groupBy("node").agg(F.sum("links").alias("links"))

@@ -106,3 +106,28 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(n)] + [(bytes([100]), bytes([101]))], "a binary, b binary")
     got = {bytes(r["node"]): bytes(r["component"]) for r in jj.components(edges).collect()}
     assert {got[bytes([i])] for i in range(n + 1)} == {b"\x00"} and got[b"e"] == b"d"
+
+
+def test_full_buckets_equal_brute_force(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(jj, "DOORS", 0, raising=False)  # all pairs of different homes meet by their rarest grams
+    rows = near_copies(6, 5, 30)
+    assert found(jj.link_groups(docs_of(rows, 4))) == brute(rows)
+
+
+def test_texts_that_share_a_passage_are_not_all_paired(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(jj, "DOORS", 2, raising=False)
+    r = np.random.default_rng(8)
+    passage = " ".join(f"p{i}" for i in range(62))
+    rows = [(i, passage + " " + " ".join(f"u{x}" for x in r.integers(0, 10**9, 95))) for i in range(800)]
+    rows += [(900, rows[0][1] + " more"), (901, rows[1][1] + " more")]
+    pairs, prune = [], jj.prune
+
+    def counted(found, nodes, threshold=jj.THRESHOLD):
+        if threshold == jj.THRESHOLD:
+            pairs.append(found.count())
+        return prune(found, nodes, threshold)
+
+    monkeypatch.setattr(jj, "prune", counted)
+    got = {r["doc_id"]: r["n_links"] for r in jj.link_groups(docs_of(rows, 4)).collect()}
+    assert {i for i, n in got.items() if n} == {0, 1, 900, 901}
+    assert sum(pairs) < 200, pairs
