@@ -4,7 +4,7 @@ Texts are sets of word 5-grams; texts with equal sets form one node, so copies a
 MinHash band are candidates. Candidates' MinHash values are compared step by step; a pair is dropped as soon as the posterior
 probability (uniform prior) of reaching the threshold falls below the tolerance. The rest are verified exactly.
 
-No large bucket's pairs are all written out. In each bucket the node that stands in the most company is the pivot; candidates are first
+Pairs within a home are never all written out; those of two homes that meet in a bucket of few homes are. In each bucket the node that stands in the most company is the pivot; candidates are first
 the pairs of pivot and member. A member's home is the pivot, of similarity HOME and more, that most members are close to. For two
 members of one home, the size of their intersection is |pivot| - a - b + o, where a and b count the pivot's grams each lacks and o
 the grams that both lack or both add: pairs that reach the threshold with o = 0 are counted by sizes alone, without a row for each
