@@ -67,9 +67,6 @@ def count_tokens(texts: DataFrame, text: str = "text") -> DataFrame:
         if total:
             yield rows()
 
-    from .common import bounded_batches
-
-    bounded_batches(texts.sparkSession)
     return texts.select(text).mapInArrow(run, "token binary, ending int, c bigint").groupBy("token").agg(F.first("ending").alias("ending"), F.sum("c").alias("c"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -11,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows an Arrow batch may hold on its way to Python; bounds a worker's memory when texts are long.
-BATCH_ROWS = 512
+#: Rows and bytes that a function from batch to batch gets at once; bound a worker's memory when texts are long.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,26 +21,44 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for batches of very long texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+def scratch_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors share: the one the cluster names in spark.checkpoint.dir.
 
+    Only where none is named and the session is local, as in tests, a temporary folder is set."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it from there.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; a folder of our own is set only where none is named,
-    as in local tests."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    out = df.checkpoint(eager=True)
-    sc._jvm.System.gc()  # shuffle files of lineages cut before have no owner now; Spark's cleaner takes them from the disks
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write df as a table in the shared folder and read it from there; release() deletes it when nothing needs it any more."""
+    path = f"{scratch_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
     return out
 
 
+def release(*written: DataFrame) -> None:
+    """Delete tables of cut_lineage whose readers have all been written themselves."""
+    for df in written:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as no column of df has (Spark's names don't tell cases apart)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def as_bytes(texts: pa.Array) -> list[bytes]:
     """UTF-8 of each text; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -47,9 +66,22 @@ def as_bytes(texts: pa.Array) -> list[bytes]:
     return texts.fill_null("").cast(pa.binary() if pa.types.is_string(texts.type) else pa.large_binary()).to_pylist()
 
 
-def per_batch(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
-    """mapInArrow with a function from a batch to the output's columns, in the order of schema."""
-    bounded_batches(df.sparkSession)
+def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most BATCH_ROWS rows and about BATCH_BYTES bytes; a row that is larger stands alone."""
+    rows, at = batch.num_rows, 0
+    if rows <= BATCH_ROWS and batch.nbytes <= BATCH_BYTES:
+        yield batch
+        return
+    while at < rows:
+        n = min(BATCH_ROWS, rows - at)
+        while n > 1 and batch.slice(at, n).nbytes > BATCH_BYTES:
+            n = -(-n // 2)
+        yield batch.slice(at, n)
+        at += n
+
+
+def per_batch(df: DataFrame, columns: list, fn: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
+    """mapInArrow with a function from a portion of rows to the output's columns, in the order of schema."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -57,9 +89,10 @@ def per_batch(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                arrays = [v if isinstance(v, pa.Array) else pa.array(v, type=f.type) for v, f in zip(out.values(), arrow, strict=True)]
-                yield pa.RecordBatch.from_arrays([a if a.type == f.type else a.cast(f.type) for a, f in zip(arrays, arrow, strict=True)], schema=arrow)
+            for some in portions(batch):
+                if some.num_rows and (out := fn(some)) is not None:
+                    arrays = [v if isinstance(v, pa.Array) else pa.array(v, type=f.type) for v, f in zip(out.values(), arrow, strict=True)]
+                    yield pa.RecordBatch.from_arrays([a if a.type == f.type else a.cast(f.type) for a, f in zip(arrays, arrow, strict=True)], schema=arrow)
 
     return df.select(*columns).mapInArrow(run, schema)
 

@@ -108,6 +108,30 @@ def test_components_of_a_long_chain(spark):
     assert {got[bytes([i])] for i in range(n + 1)} == {b"\x00"} and got[b"e"] == b"d"
 
 
+def test_small_blocks_equal_brute_force(spark, docs_of, monkeypatch):
+    units, meet = jj.count_in_units, jj.meet
+    monkeypatch.setattr(jj, "count_in_units", lambda members: units(members, block=5, most_grams=300))
+    monkeypatch.setattr(jj, "meet", lambda places, nodes: meet(places, nodes, block=3))
+    monkeypatch.setattr(jj, "HOME", (3, 4))  # more homes, so that more pairs are of different ones
+    rows = near_copies(9, 3, 40)
+    assert found(jj.link_groups(docs_of(rows, 4))) == brute(rows)
+
+
+def test_overlaps_either_way():
+    r = np.random.default_rng(5)
+    parts = [np.unique(r.integers(0, 9000, 800)) for _ in range(12)]
+    x, y = np.triu_indices(12, 1)
+    want = [len(np.intersect1d(parts[i], parts[j])) for i, j in zip(x, y, strict=True)]
+    assert jj.overlaps(parts, x, y).tolist() == want and jj.overlaps(parts, x[:9], y[:9]).tolist() == want[:9]
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(i, f"a b c d e f {i % 3}", "keep me", "x", "y") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, digest string, _digest string, first_key string")
+    kept = jj.keep_one(docs)
+    assert kept.columns == docs.columns and {tuple(r)[2:] for r in kept.collect()} == {("keep me", "x", "y")} and kept.count() == 3
+
+
 def test_full_buckets_equal_brute_force(spark, docs_of, monkeypatch):
     monkeypatch.setattr(jj, "DOORS", 0, raising=False)  # all pairs of different homes meet by their rarest grams
     rows = near_copies(6, 5, 30)
@@ -120,14 +144,20 @@ def test_texts_that_share_a_passage_are_not_all_paired(spark, docs_of, monkeypat
     passage = " ".join(f"p{i}" for i in range(62))
     rows = [(i, passage + " " + " ".join(f"u{x}" for x in r.integers(0, 10**9, 95))) for i in range(800)]
     rows += [(900, rows[0][1] + " more"), (901, rows[1][1] + " more")]
-    pairs, prune = [], jj.prune
+    pairs, prune, meet = [], jj.prune, jj.meet
 
     def counted(found, nodes, threshold=jj.THRESHOLD):
         if threshold == jj.THRESHOLD:
             pairs.append(found.count())
         return prune(found, nodes, threshold)
 
+    def met(places, nodes):
+        sizes = [r["count"] for r in places.groupBy("place").count().collect()]
+        pairs.append(sum(n * (n - 1) // 2 for n in sizes))  # pairs looked at, not only those that survive
+        return meet(places, nodes)
+
     monkeypatch.setattr(jj, "prune", counted)
+    monkeypatch.setattr(jj, "meet", met)
     got = {r["doc_id"]: r["n_links"] for r in jj.link_groups(docs_of(rows, 4)).collect()}
     assert {i for i, n in got.items() if n} == {0, 1, 900, 901}
     assert sum(pairs) < 200, pairs
