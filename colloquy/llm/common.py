@@ -66,21 +66,21 @@ def as_bytes(texts: pa.Array) -> list[bytes]:
     return texts.fill_null("").cast(pa.binary() if pa.types.is_string(texts.type) else pa.large_binary()).to_pylist()
 
 
-def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of at most BATCH_ROWS rows and about BATCH_BYTES bytes; a row that is larger stands alone."""
+def portions(batch: pa.RecordBatch, most_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most BATCH_ROWS rows and about most_bytes bytes; a row that is larger stands alone."""
     rows, at = batch.num_rows, 0
-    if rows <= BATCH_ROWS and batch.nbytes <= BATCH_BYTES:
+    if rows <= BATCH_ROWS and batch.nbytes <= most_bytes:
         yield batch
         return
     while at < rows:
         n = min(BATCH_ROWS, rows - at)
-        while n > 1 and batch.slice(at, n).nbytes > BATCH_BYTES:
+        while n > 1 and batch.slice(at, n).nbytes > most_bytes:
             n = -(-n // 2)
         yield batch.slice(at, n)
         at += n
 
 
-def per_batch(df: DataFrame, columns: list, fn: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
+def per_batch(df: DataFrame, columns: list, fn: Callable[[pa.RecordBatch], dict | None], schema: str, most_bytes: int = BATCH_BYTES) -> DataFrame:
     """mapInArrow with a function from a portion of rows to the output's columns, in the order of schema."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -89,7 +89,7 @@ def per_batch(df: DataFrame, columns: list, fn: Callable[[pa.RecordBatch], dict
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in portions(batch):
+            for some in portions(batch, most_bytes):
                 if some.num_rows and (out := fn(some)) is not None:
                     arrays = [v if isinstance(v, pa.Array) else pa.array(v, type=f.type) for v, f in zip(out.values(), arrow, strict=True)]
                     yield pa.RecordBatch.from_arrays([a if a.type == f.type else a.cast(f.type) for a, f in zip(arrays, arrow, strict=True)], schema=arrow)

@@ -8,11 +8,14 @@ another piece here) whose perturbed maximum is a Gumbel value truncated at its p
 and so on. The value that would come next gives each drawn segmentation its inclusion score.
 
 Pieces never cross from a word into the space before the next word, nor a line end, so the lattice falls apart into short ones, one
-for each word; equal words of a batch share one, and all are filled and sampled as numpy arrays. Random numbers are a hash of the row's
-key, round, word and step: a row draws the same whatever rows stand beside it.
+for each word; a worker keeps those of the words it has met, up to a bound. Random numbers are a hash of the row's key (64 bits),
+round, place and step: a row draws the same whatever rows stand beside it. Along a path the mass of the siblings falls, and a Gumbel
+value of 53 random bits is at most 37, so decisions whose siblings cannot be among the K largest any more are passed over exactly.
 
 Null and empty texts have one segmentation, of no pieces, included with certainty; texts with fewer than K segmentations give all they
-have. Repeated rows give equal rows; equal texts under other keys draw anew.
+have. Repeated rows give equal rows; equal texts under other keys draw anew, a null key is a key of its own. Ties between perturbed
+values go to the earlier decision. Columns of any name pass; an empty table gives no rows. A text is held whole, with some 60 bytes of
+working memory for each of its characters.
 """
 
 from __future__ import annotations
@@ -20,11 +23,11 @@ from __future__ import annotations
 import re
 import zlib
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import as_bytes, list_array, per_batch, read_table
 
@@ -32,6 +35,10 @@ K, POWER, LONGEST = 3, 1.0, 16
 UNIT = re.compile(r" *[^ \n]+| +|\n")
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0x100000001B3)
+#: Pieces of word lattices that a worker keeps before it begins anew; bytes of texts that are sampled together.
+KEPT, TOGETHER = 10_000_000, 2 << 20
+#: Decisions of a path that are looked at first, and more than the largest Gumbel value of a 53-bit number.
+WINDOW, TALLEST = 400, 37.5
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -43,7 +50,35 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def uniform(seed: np.ndarray, counter: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) by seed and counter."""
-    return ((mix(seed + counter.astype(np.uint64) * GOLDEN) >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
+    u = mix(seed + counter.astype(np.uint64) * GOLDEN) >> np.uint64(11)
+    return np.minimum((u.astype(float) + 0.5) * 2.0**-53, 1 - 2.0**-53)
+
+
+def gumbel(seed: np.ndarray, counter: np.ndarray) -> np.ndarray:
+    return -np.log(-np.log(uniform(seed, counter)))
+
+
+def counters(round_: int, kind: int, place) -> np.ndarray:
+    """Numbers that differ by round, kind (0: whole lattice, 1: steps, 2: siblings) and place (under 2 ** 48)."""
+    return np.asarray(place).astype(np.uint64) + np.uint64((3 * round_ + kind) << 48)
+
+
+class Strings:
+    """The string of each id, one after the other, so that strings of many ids are put together as arrays."""
+
+    def __init__(self, strings: list[bytes]):
+        self.flat = np.frombuffer(b"".join(strings), np.uint8)
+        self.size = np.fromiter(map(len, strings), np.int32, len(strings))
+        self.start = np.cumsum(self.size) - self.size
+
+    def join(self, ids: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """All ids' strings joined, and where each run of ids (by its end) ends in them."""
+        size = self.size[ids]
+        total = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(size, out=total[1:])
+        at = np.repeat(self.start[ids] - total[:-1], size)
+        at += np.arange(len(at))
+        return self.flat[at].tobytes(), total[ends]
 
 
 class Vocabulary:
@@ -62,6 +97,7 @@ class Vocabulary:
         hashes = np.array([self._hash(self.bytes[i].decode()) for i in usable], np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.ids, self.weights = hashes[order], np.array(usable)[order], -POWER * np.log1p(np.maximum(rank, 0))[order]
+        self.text = Strings(self.bytes)
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self.hashes >> np.uint64(44)] = True
 
@@ -87,54 +123,82 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-class Lattices:
-    """Lattices of many units. Node base[u] + j stands before the unit's j-th code point. Edges (pieces) lie by the node they end at and
-    their length; key is node plus cumulated share, so that one search of node plus a uniform number draws a piece for every walker."""
+class Index(dict):
+    """Numbers for words, in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
 
-    def __init__(self, units: list[str], voc: Vocabulary):
-        size = self.size = np.fromiter(map(len, units), np.int64, len(units))
-        self.base = np.zeros(len(units), np.int64)
+class Lattices:
+    """Lattices of the words met so far. Node base[w] + j stands before the word's j-th code point. The edges (pieces) of a node are
+    those that end there, the likeliest first; bound is their cumulated share, and one uniform number a step draws an edge."""
+
+    def __init__(self, voc: Vocabulary, most: int = KEPT):
+        self.voc, self.most = voc, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.index, self.nodes, self.edges = Index(), 0, 0
+        self.size, self.base = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.begin, self.options = np.zeros(0, np.int32), np.zeros(0, np.int16)
+        self.node, self.length, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int8), np.zeros(0, np.int32)
+        self.bound, self.log = np.zeros(0, np.float32), np.zeros(0, np.float32)
+
+    def words(self, texts: list[str]) -> list[np.ndarray]:
+        """The numbers of each text's words; lattices of new ones are added."""
+        if self.edges > self.most:
+            self.clear()
+        old = len(self.index)
+        out = []
+        for t in texts:
+            units = UNIT.findall(" " + t) if t else []
+            out.append(np.fromiter(map(self.index.__getitem__, units), np.int64, len(units)))
+        self._add(list(self.index)[old:] if old else list(self.index))
+        return out
+
+    def _put(self, name: str, at: int, values: np.ndarray) -> None:
+        """values at a place of an array that doubles when it is full."""
+        have = getattr(self, name)
+        if at + len(values) > len(have):
+            grown = np.zeros(max(2 * len(have), at + len(values)), have.dtype)
+            grown[:at] = have[:at]
+            setattr(self, name, grown)
+            have = grown
+        have[at : at + len(values)] = values
+
+    def _add(self, units: list[str]) -> None:
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        base = np.zeros(len(units), np.int64)
         codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
         first = np.cumsum(size) - size
         order = np.argsort(size, kind="stable")
         cuts = np.flatnonzero(np.diff(size[order], prepend=-1))
-        parts, nodes = [], 0
+        known = len(self.index) - len(units)
         for i, a in enumerate(cuts):
             some = order[a : cuts[i + 1] if i + 1 < len(cuts) else len(order)]
             n = int(size[some[0]])
             step = max(1, 1_000_000 // (n + 1) // min(n, LONGEST))
             for j in range(0, len(some), step):
                 here = some[j : j + step]
-                self.base[here] = nodes + np.arange(len(here)) * (n + 1)
-                parts.append(self._edges(codes[first[here][:, None] + np.arange(n)], nodes, voc))
-                nodes += len(here) * (n + 1)
-        kinds = (np.int64, np.int64, np.int32, np.float64)
-        self.node, self.length, self.ids, self.share = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, t) for k, t in enumerate(kinds))
-        self.options = np.bincount(self.node, minlength=nodes + 1)
-        self.begin = np.cumsum(self.options) - self.options
-        total = np.concatenate([[0.0], np.cumsum(self.share)])
-        cum = total[1:] - total[self.begin[self.node]]
-        last = np.diff(self.node, append=-1) != 0
-        cum[last] = 1.0
-        self.key = self.node + np.minimum(cum, 1.0)
-        # the likeliest edge of each node, which most draws take without a search
-        best = np.zeros(nodes + 1)
-        best[self.node[np.flatnonzero(last)]] = np.maximum.reduceat(self.share, np.flatnonzero(np.diff(self.node, prepend=-1))) if len(self.node) else []
-        at = np.flatnonzero(self.share == best[self.node])[::-1]
-        self.top = np.zeros(nodes + 1, np.int64)
-        self.top[self.node[at]] = at
-        self.top_share = best
-        self.top_begin = self.key[self.top] - np.arange(nodes + 1) - best if len(self.node) else best
-        self.log = np.log(self.share)
-        with np.errstate(divide="ignore"):
-            self.rest = np.where(self.options[self.node] > 1, np.log(np.maximum(1 - self.share, 1e-12)), -np.inf)
+                base[here] = self.nodes + np.arange(len(here)) * (n + 1)
+                node, length, ids, share, bound = self._edges(codes[first[here][:, None] + np.arange(n)], self.voc)
+                count = np.bincount(node, minlength=len(here) * (n + 1))
+                self._put("begin", self.nodes, self.edges + np.cumsum(count) - count)
+                self._put("options", self.nodes, count)
+                for name, values in (("node", node + self.nodes), ("length", length), ("ids", ids), ("bound", bound), ("log", np.log(share))):
+                    self._put(name, self.edges, values)
+                self.nodes, self.edges = self.nodes + len(count), self.edges + len(node)
+        self._put("size", known, size)
+        self._put("base", known, base)
 
     @staticmethod
-    def _edges(chars: np.ndarray, base: int, voc: Vocabulary) -> tuple[np.ndarray, ...]:
-        """(node, length, id, share) of all pieces in units of one size; a character without piece has minus one minus its code point for id."""
+    def _edges(chars: np.ndarray, voc: Vocabulary) -> tuple[np.ndarray, ...]:
+        """(node, length, id, share, bound) of all pieces in units of one size; a character without piece has minus one minus its code point for id."""
         m, n = chars.shape
         width = min(n, LONGEST)
-        weight = np.full((n + 1, m, width), -np.inf)
+        weight = np.full((n + 1, m, width), -np.inf, np.float32)
         ids = np.zeros((n + 1, m, width), np.int32)
         rolled = np.zeros((n, m), np.uint64)  # hash of the d code points from each place
         wide = chars.T.astype(np.uint64) + np.uint64(1)
@@ -148,8 +212,8 @@ class Lattices:
             c = chars.T[alone].astype(np.int64)
             weight[1:, :, 0][alone] = voc.byte_weight * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
             ids[1:, :, 0][alone] = -1 - c
-        alpha = np.zeros((n + 1, m))
-        share = np.zeros((m, n + 1, width))
+        alpha = np.zeros((n + 1, m), np.float32)
+        share = np.zeros((m, n + 1, width), np.float32)
         for j in range(1, n + 1):
             k = min(j, LONGEST)
             x = weight[j, :, :k] + alpha[j - k : j][::-1].T
@@ -158,8 +222,15 @@ class Lattices:
             total = e.sum(1)
             alpha[j] = top + np.log(total)
             share[:, j, :k] = e / total[:, None]
+        rank = np.argsort(-share, axis=2, kind="stable")
+        share = np.take_along_axis(share, rank, 2)
+        bound = np.cumsum(share, axis=2)
         flat = np.flatnonzero(share)
-        return base + flat // width, flat % width + 1, ids.transpose(1, 0, 2).ravel()[flat], share.ravel()[flat]
+        node = flat // width
+        bound = bound.ravel()[flat]
+        bound[np.diff(node, append=-1) != 0] = 1.0  # the last edge of a node takes what is left
+        rank = rank.ravel()[flat]
+        return node, rank + 1, ids.transpose(1, 0, 2).ravel()[node * width + rank], share.ravel()[flat], bound
 
 
 def _walk(lat: Lattices, node: np.ndarray, floor: np.ndarray, seed: np.ndarray, counter: np.ndarray, barred: dict[int, list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -168,20 +239,17 @@ def _walk(lat: Lattices, node: np.ndarray, floor: np.ndarray, seed: np.ndarray,
     alive, step = np.arange(len(node)), 0  # every word has a code point
     while len(alive):
         u = uniform(seed[alive], counter[alive] + np.uint64(step))
-        here = node[alive]
-        edge = lat.top[here]
-        share = lat.top_share[here]
-        rest = np.flatnonzero(u >= share)
-        if len(rest):  # the other edges: the likeliest one's stretch is left out
-            at = here[rest]
-            v = u[rest] - share[rest]
-            v += np.where(v < lat.top_begin[at], 0, share[rest])
-            edge[rest] = np.clip(np.searchsorted(lat.key, at + v), lat.begin[at], lat.begin[at] + lat.options[at] - 1)
+        edge = lat.begin[node[alive]]
+        on = np.flatnonzero(u >= lat.bound[edge])
+        while len(on):
+            edge[on] += 1
+            on = on[u[on] >= lat.bound[edge[on]]]
         if step == 0:
             for w, gone in barred.items():
-                free = [e for e in range(lat.begin[node[w]], lat.begin[node[w]] + lat.options[node[w]]) if e not in gone]
-                cum = np.cumsum(lat.share[free])
-                edge[w] = free[min(int(np.searchsorted(cum, u[w] * cum[-1])), len(free) - 1)]
+                first = int(lat.begin[node[w]])
+                free = [e for e in range(first, first + int(lat.options[node[w]])) if e not in gone]
+                cum = np.cumsum(np.exp(lat.log[free], dtype=float))
+                edge[w] = free[min(int(np.searchsorted(cum, u[w] * cum[-1], "right")), len(free) - 1)]
         walkers.append(alive)
         edges.append(edge)
         node[alive] -= lat.length[edge]
@@ -198,100 +266,150 @@ def _walk(lat: Lattices, node: np.ndarray, floor: np.ndarray, seed: np.ndarray,
     return np.repeat(np.arange(len(node)), count), out
 
 
-def sample(texts: list[str], seeds: np.ndarray, voc: Vocabulary, k: int = K) -> list[list[tuple[np.ndarray, float, float]]]:
-    """For each text, up to k of (ids, log-probability, inclusion score), largest perturbed value first."""
-    index: dict[str, int] = {}
-    words = [[index.setdefault(u, len(index)) for u in UNIT.findall(" " + t)] if t else [] for t in texts]
-    lat = Lattices(list(index), voc)
+def _siblings(lat: Lattices, edge: np.ndarray, bounds: np.ndarray, docs: np.ndarray, logp: np.ndarray, left: np.ndarray, seeds: np.ndarray, r: int, k: int, window: int = WINDOW) -> dict[int, list[tuple[float, int]]]:
+    """The k largest perturbed values among the siblings of each document's new decisions: document to (value, decision), largest first.
+
+    logp: of what comes before the first decision; left: mass that the first decision's node has left, nan where only the edge is gone."""
+    out: dict[int, list[tuple[float, int]]] = {}
+    start, n = bounds[docs], bounds[docs + 1] - bounds[docs]
+    width = int(min(window, n.max(initial=0)))
+    if not width:
+        return {int(d): [] for d in docs}
+    inside = np.arange(width)[None, :] < n[:, None]
+    e = edge[np.where(inside, start[:, None] + np.arange(width), 0)]
+    logs = np.where(inside, lat.log[e].astype(float), 0.0)
+    total = np.cumsum(logs, axis=1) + logp[docs][:, None]
+    with np.errstate(divide="ignore"):
+        rest = np.where(lat.options[lat.node[e]] > 1, np.log(np.maximum(1 - np.exp(logs), 1e-12)), -np.inf)
+        special = left[docs]
+        rest[:, 0] = np.where(np.isnan(special), rest[:, 0], np.where(special > 0, np.log(np.maximum(special, 1e-12)), -np.inf))
+    g = np.where(inside, total - logs + rest + gumbel(seeds[docs][:, None], counters(r, 2, np.arange(width))[None, :]), -np.inf)
+    best = np.argsort(-g, axis=1, kind="stable")[:, :k]
+    value = np.take_along_axis(g, best, 1)
+    later = []
+    for i, d in enumerate(docs.tolist()):
+        if n[i] > width and (best.shape[1] < k or not total[i, -1] + TALLEST < value[i, k - 1]):
+            later.append(d)  # decisions beyond the window still have a chance
+        else:
+            out[d] = [(v, p) for v, p in zip(value[i].tolist(), best[i].tolist(), strict=True) if v > -np.inf]
+    if later:
+        out |= _siblings(lat, edge, bounds, np.array(later), logp, left, seeds, r, k, 4 * window)
+    return out
+
+
+def sample_batch(texts: list[str], seeds: np.ndarray, lat: Lattices, k: int = K) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
+    """For each round: (documents that have a segmentation, ids one after the other in reading order, how many of each, log-probabilities);
+    and the perturbed value that would come next for each document (-inf if none would)."""
+    words = lat.words(texts)
     count = np.fromiter(map(len, words), np.int64, len(words))
     begins = np.cumsum(count) - count
-    unit = np.fromiter(chain.from_iterable(words), np.int64, int(count.sum()))
+    unit = np.concatenate(words) if words else np.zeros(0, np.int64)
     doc = np.repeat(np.arange(len(texts)), count)
     inside = np.arange(len(unit)) - np.repeat(begins, count)
+    size = lat.size[unit]
+    place = np.cumsum(size) - size
+    place -= np.repeat(place[begins[count > 0]], count[count > 0])  # in code points of the text
     floor = lat.base[unit]
-    end = floor + lat.size[unit]
+    end = floor + size
     paths: list[list[dict]] = [[] for _ in texts]
     # perturbed value of the whole lattice, by document
-    value = -np.log(-np.log(uniform(seeds, np.zeros(len(texts), np.uint64))))
+    value = gumbel(seeds, counters(0, 0, np.zeros(len(texts))))
     # the path and decision from which the next path of a document departs; none where no segmentation is left
     departs: list[tuple[int, int] | None] = [(-1, 0)] * len(texts)
+    rounds = []
     for r in range(k):
-        node, on, barred = end.copy(), np.ones(len(texts), bool), {}
-        start, logp = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        node, barred = end.copy(), {}
+        start, logp, left = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.full(len(texts), np.nan)
+        on = np.array([c is not None for c in departs], bool)
+        if not on.any():
+            break
         for d, c in enumerate(departs):
-            if c is None:
-                on[d] = False
-            elif r:
+            if c is not None and r:
                 p = paths[d][c[0]]
                 at = int(begins[d] + p["word"][c[1]])
-                start[d], logp[d] = p["word"][c[1]], lat.log[p["edge"][: c[1]]].sum()
+                start[d], logp[d] = p["word"][c[1]], lat.log[p["edge"][: c[1]]].sum(dtype=float)
                 node[at] = lat.node[p["edge"][c[1]]]
                 barred[at] = [*p["gone"].get(c[1], []), int(p["edge"][c[1]])]
         some = np.flatnonzero(on[doc] & (inside >= start[doc]))
-        counter = inside[some].astype(np.uint64) * np.uint64(4096) + (np.uint64(r) << np.uint64(56)) + np.uint64(1 << 20)
         local = dict(zip(np.searchsorted(some, list(barred)).tolist(), barred.values(), strict=True)) if barred else {}
-        w, edge = _walk(lat, node[some], floor[some], seeds[doc[some]], counter, local)
+        w, edge = _walk(lat, node[some], floor[some], seeds[doc[some]], counters(r, 1, place[some]), local)
         w = some[w]
-        bounds = np.searchsorted(doc[w], np.arange(len(texts) + 1))
-        new = np.diff(bounds)
-        # log-probability of what comes before each decision; each decision's siblings, all at once
-        logs = lat.log[edge]
-        total = np.cumsum(logs)
-        before = total - logs - np.repeat(np.concatenate([[0.0], total])[bounds[:-1]], new) + np.repeat(logp, new)
-        phi = before + lat.rest[edge]
+        bounds = np.searchsorted(w, np.append(begins, len(unit)))
+        logs = lat.log[edge].astype(float)
         for d, c in enumerate(departs):
             if r and c is not None:
                 a = bounds[d]
                 gone = [*barred[int(begins[d] + start[d])], int(edge[a])]
-                left = 1 - lat.share[gone].sum() if len(gone) < lat.options[lat.node[edge[a]]] else 0.0
-                phi[a] = before[a] + np.log(max(left, 1e-12)) if left else -np.inf
-        order = np.arange(len(phi)) - np.repeat(bounds[:-1], new)
-        g = phi - np.log(-np.log(uniform(np.repeat(seeds, new), order.astype(np.uint64) + (np.uint64(r + 1) << np.uint64(58)))))
-        with np.errstate(divide="ignore", over="ignore"):
-            cut = np.where(np.isfinite(phi), -np.logaddexp(-np.repeat(value, new), -g), -np.inf)
+                left[d] = max(0.0, 1 - np.exp(lat.log[gone], dtype=float).sum()) if len(gone) < lat.options[lat.node[edge[a]]] else 0.0
+        found = _siblings(lat, edge, bounds, np.flatnonzero(on), logp, left, seeds, r, k)
+        chosen_w, chosen_e, sizes, sums = [], [], [], []
         for d, c in enumerate(departs):
             if c is None:
                 continue
             a, b = bounds[d], bounds[d + 1]
-            one = {"word": w[a:b] - begins[d], "edge": edge[a:b], "from": 0, "gone": {}, "value": cut[a:b]}
+            word, path, gone, before = w[a:b] - begins[d], edge[a:b], {}, 0
             if r:
-                p, at = paths[d][c[0]], c[1]
-                one = one | {"word": np.concatenate([p["word"][:at], one["word"]]), "edge": np.concatenate([p["edge"][:at], one["edge"]]), "from": at, "gone": {at: barred[int(begins[d] + start[d])]}}
-                p["value"][at - p["from"]] = -np.inf  # that subtree is split up now
-            one["logp"] = float(logp[d] + logs[a:b].sum())
-            paths[d].append(one)
+                p, before = paths[d][c[0]], c[1]
+                word, path = np.concatenate([p["word"][:before], word]), np.concatenate([p["edge"][:before], path])
+                gone = {before: barred[int(begins[d] + start[d])]}
+                p["value"] = [x for x in p["value"] if x[1] != before]  # that subtree is split up now
+            values = [(-float(np.logaddexp(-value[d], -g)), x + before) for g, x in found[d]]
+            paths[d].append({"word": word, "edge": path, "gone": gone, "value": values})
+            chosen_w.append(word + begins[d])
+            chosen_e.append(path)
+            sizes.append(len(path))
+            sums.append(float(logp[d] + logs[a:b].sum()))
             best, where = -np.inf, None
             for i, p in enumerate(paths[d]):
-                if len(p["value"]):
-                    t = int(p["value"].argmax())
-                    if p["value"][t] > best:
-                        best, where = float(p["value"][t]), (i, t + p["from"])
+                if p["value"] and p["value"][0][0] > best:
+                    best, where = p["value"][0][0], (i, p["value"][0][1])
             departs[d], value[d] = where, best
-        if not any(departs):
-            break
-    out = []
-    for d in range(len(texts)):
-        kappa = value[d] if departs[d] is not None else -np.inf
-        out.append([(_ids(lat, p, voc), p["logp"], float(-np.expm1(-np.exp(min(700.0, p["logp"] - kappa)))) if np.isfinite(kappa) else 1.0) for p in paths[d]])
-    return out
+        ids, n = _reading_order(lat, np.concatenate(chosen_w), np.concatenate(chosen_e), np.array(sizes, np.int64))
+        rounds.append((np.flatnonzero(on), ids, n, np.array(sums)))
+    return rounds, value
 
 
-def _ids(lat: Lattices, path: dict, voc: Vocabulary) -> np.ndarray:
-    """Piece ids of a path in reading order: decisions run from a word's end to its start."""
-    word = path["word"]
+def _reading_order(lat: Lattices, word: np.ndarray, edge: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of many paths in reading order, and how many each has: decisions run from a word's end to its start."""
     if not len(word):
-        return np.zeros(0, np.int32)
-    starts = np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1])
-    sizes = np.diff(np.append(starts, len(word)))
-    ids = lat.ids[path["edge"]][np.repeat(2 * starts + sizes - 1, sizes) - np.arange(len(word))]
+        return np.zeros(0, np.int32), sizes
+    starts = np.flatnonzero(np.diff(word, prepend=-1))
+    each = np.diff(np.append(starts, len(word)))
+    ids = lat.ids[edge[np.repeat(2 * starts + each - 1, each) - np.arange(len(word))]]
     raw = ids < 0
     if raw.any():  # characters without piece become their bytes
         data = [chr(-1 - i).encode() for i in ids[raw].tolist()]
-        sizes = np.ones(len(ids), np.int64)
-        sizes[raw] = [len(x) for x in data]
-        ids = np.repeat(ids, sizes)
-        ids[np.repeat(raw, sizes)] = np.frombuffer(b"".join(data), np.uint8).astype(np.int32) + voc.byte_id
-    return ids
+        times = np.ones(len(ids), np.int64)
+        times[raw] = [len(x) for x in data]
+        total = np.concatenate([[0], np.cumsum(times)])
+        ends = np.cumsum(sizes)
+        sizes = total[ends] - total[ends - sizes]
+        ids = np.repeat(ids, times)
+        ids[np.repeat(raw, times)] = np.frombuffer(b"".join(data), np.uint8).astype(np.int32) + lat.voc.byte_id
+    return ids, sizes
+
+
+def inclusion(logp: np.ndarray, kappa: np.ndarray) -> np.ndarray:
+    """Probability of a segmentation to have a perturbed value above the next one's; certain where no other is left."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.where(np.isfinite(kappa), -np.expm1(-np.exp(np.minimum(700.0, logp - kappa))), 1.0)
+
+
+def sample(texts: list[str], seeds: np.ndarray, voc: Vocabulary, k: int = K) -> list[list[tuple[np.ndarray, float, float]]]:
+    """For each text, up to k of (ids, log-probability, inclusion score), largest perturbed value first."""
+    out: list[list] = [[] for _ in texts]
+    rounds, kappa = sample_batch(texts, seeds, Lattices(voc), k)
+    for docs, ids, n, logp in rounds:
+        ends = np.cumsum(n)
+        for d, a, b, x, q in zip(docs.tolist(), (ends - n).tolist(), ends.tolist(), logp.tolist(), inclusion(logp, kappa[docs]).tolist(), strict=True):
+            out[d].append((ids[a:b], x, q))
+    return out
+
+
+@lru_cache(1)
+def lattices(path: str) -> Lattices:
+    """The lattices a worker keeps."""
+    return Lattices(vocabulary(path))
 
 
 def decode_ids(ids, voc: Vocabulary) -> str:
@@ -300,23 +418,48 @@ def decode_ids(ids, voc: Vocabulary) -> str:
     return data.decode(errors="replace")[1:] if data[:1] == b" " else data.decode(errors="replace")
 
 
-def encode_samples(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", k: int = K, seed: int = 0) -> DataFrame:
-    """(key, sample, ids, logp, inclusion): up to k distinct segmentations of each text."""
+def seed_of(key: str, seed: int = 0):
+    """64 bits by the key; a null key has bits of its own."""
+    return F.xxhash64(F.col(key).isNull(), F.col(key), F.lit(seed))
+
+
+def _samples(df: DataFrame, path: str, key: str, text: str, k: int, seed: int, more, schema: str) -> DataFrame:
+    """(key, sample, logp, inclusion, ...) of up to k segmentations of each text; more makes the other columns of a round's ids."""
     kind = dict(df.dtypes)[key]
 
     def run(batch: pa.RecordBatch) -> dict:
-        keys = batch.column(0).to_pylist()
-        seeds = mix(np.array([zlib.crc32(str(x).encode()) for x in keys], np.uint64) + np.uint64(seed) * GOLDEN)
-        found = sample([t.decode() for t in as_bytes(batch.column(1))], seeds, vocabulary(path), k)
-        at = pa.array([i for i, rows in enumerate(found) for _ in rows], pa.int64())
-        flat = [row for rows in found for row in rows]
-        ids = np.concatenate([row[0] for row in flat]) if flat else np.zeros(0, np.int32)
-        return {
-            "key": batch.column(0).take(at), "sample": [i for rows in found for i in range(len(rows))], "ids": list_array(ids.astype(np.int32), [len(row[0]) for row in flat], pa.int32()),
-            "logp": [row[1] for row in flat], "inclusion": [row[2] for row in flat],
-        }
+        seeds = mix(batch.column(1).to_numpy().view(np.uint64))
+        rounds, kappa = sample_batch([t.decode() for t in as_bytes(batch.column(2))], seeds, lattices(path), k)
+        order = np.argsort(np.concatenate([docs for docs, *_ in rounds]), kind="stable")  # the samples of a text one after the other
+        take = lambda parts: np.concatenate(parts)[order]
+        docs, logp = take([x[0] for x in rounds]), take([x[3] for x in rounds])
+        made = [more(ids, n) for _, ids, n, _ in rounds]
+        others = [pa.concat_arrays([m[i] for m in made]).take(pa.array(order)) for i in range(len(made[0]))]
+        return {"key": batch.column(0).take(pa.array(docs)), "sample": take([np.full(len(x[0]), r) for r, x in enumerate(rounds)]), "logp": logp, "inclusion": inclusion(logp, kappa[docs]), **dict(enumerate(others))}
+
+    return per_batch(df, [key, seed_of(key, seed), text], run, f"`{key}` {kind}, sample int, logp double, inclusion double, {schema}", TOGETHER)
+
+
+def encode_samples(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", k: int = K, seed: int = 0) -> DataFrame:
+    """(key, sample, logp, inclusion, ids): up to k distinct segmentations of each text."""
+    return _samples(df, path, key, text, k, seed, lambda ids, n: [list_array(ids, n, pa.int32())], "ids array<int>")
+
+
+def sample_digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", k: int = K, seed: int = 0) -> DataFrame:
+    """(key, sample, logp, inclusion, n_pieces, ids_crc32, text_crc32): crc32 of each segmentation's ids (little-endian unsigned 32 bits each) and of the text decoded from them."""
 
-    return per_batch(df, [key, text], run, f"`{key}` {kind}, sample int, ids array<int>, logp double, inclusion double")
+    def more(ids: np.ndarray, n: np.ndarray) -> list[pa.Array]:
+        voc, ends = vocabulary(path), np.cumsum(n)
+        whole = memoryview(ids.astype("<u4").tobytes())
+        spoken, till = voc.text.join(ids, ends)
+        cut = lambda a, b: spoken[a + (spoken[a : a + 1] == b" ") : b] if b > a else b""  # noqa: E731  the space that begins every text goes
+        return [
+            pa.array(n, pa.int32()),
+            pa.array([zlib.crc32(whole[4 * (b - size) : 4 * b]) for b, size in zip(ends.tolist(), n.tolist(), strict=True)], pa.int64()),
+            pa.array([zlib.crc32(cut(a, b)) for a, b in zip([0, *till[:-1].tolist()], till.tolist(), strict=True)], pa.int64()),
+        ]
+
+    return _samples(df, path, key, text, k, seed, more, "n_pieces int, ids_crc32 bigint, text_crc32 bigint")
 
 
 def decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
@@ -339,10 +482,5 @@ def default_model() -> str:
 
 def op7_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: digests of each sampled segmentation, and of the text decoded from it."""
-    from pyspark.sql import functions as F
-
-    path = default_model()
-    found = encode_samples(read_table(spark, sf_dir, "documents"), path)
-    ready = found.select("doc_id", "ids", "sample", F.size("ids").alias("n_pieces"), F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"), "logp", "inclusion")
-    back = decode(ready, path, keep=["sample", "n_pieces", "ids_crc32", "logp", "inclusion"])
-    return back.select("doc_id", "sample", "n_pieces", "ids_crc32", "logp", "inclusion", F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+    found = sample_digests(read_table(spark, sf_dir, "documents"), default_model())
+    return found.select("doc_id", "sample", "n_pieces", "ids_crc32", "logp", "inclusion", "text_crc32")
