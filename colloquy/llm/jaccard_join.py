@@ -42,6 +42,8 @@ HOME = (1, 4)
 DOORS = 16
 #: Members of a block, and grams that tell them from their pivot; a unit holds two blocks.
 BLOCK, GRAMS = 256, 100_000
+#: Tasks in which the members of one home meet its counts.
+SALTS = 8
 TOLERANCE, STEP = 1e-6, 32
 
 _r = np.random.default_rng(20240229)
@@ -227,19 +229,20 @@ def count_in_units(members: DataFrame, threshold: tuple[int, int] = THRESHOLD, b
     members: node, home, pivot (its size), size, a, lacks, adds, values. A member may stand in several rows of the result."""
     t, u = threshold[0], sum(threshold)
     light = 2 * (t * F.col("size") + u * F.col("a")) <= u * F.col("pivot")
-    weighed = members.withColumn("light", light)
+    weighed = members.withColumn("light", light).withColumn("salt", hashed_block("node", F.lit(SALTS)))
+    every_salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     grams_of = F.size("lacks") + F.size("adds")
     homes = weighed.groupBy("home").agg(
         F.count_if("light").alias("n_light"), F.count_if(~F.col("light")).alias("n_heavy"), F.sum(F.when(F.col("light"), grams_of).otherwise(0)).alias("g_light"), F.sum(F.when(F.col("light"), 0).otherwise(grams_of)).alias("g_heavy")
     )
-    sure = weighed.where("light").join(homes.where("n_light > 1").select("home", "n_light"), "home").select("node", (F.col("n_light") - 1).alias("links"), F.lit(None).cast("binary").alias("peer"))
+    sure = weighed.where("light").join(homes.where("n_light > 1").select("home", "n_light", every_salt), ["home", "salt"]).select("node", (F.col("n_light") - 1).alias("links"), F.lit(None).cast("binary").alias("peer"))
 
     blocks = lambda n, g: F.ceil(F.greatest(n / block, g / most_grams)).cast("int")
     whole = (F.col("n_light") + F.col("n_heavy") <= block) & (F.col("g_light") + F.col("g_heavy") <= most_grams)
     dealt = homes.where((F.col("n_heavy") > 0) & (F.col("n_light") + F.col("n_heavy") > 1)).select(
         "home", F.when(whole, 1).otherwise(blocks(F.col("n_heavy"), F.col("g_heavy"))).alias("heavy_blocks"), F.when(whole, 0).otherwise(blocks(F.col("n_light"), F.col("g_light"))).alias("light_blocks")
     )
-    placed = weighed.join(dealt, "home").withColumn("b", F.when(F.col("light") & (F.col("light_blocks") > 0), F.col("heavy_blocks") + hashed_block("node", F.col("light_blocks"))).otherwise(hashed_block("node", F.col("heavy_blocks"))))
+    placed = weighed.join(dealt.select("*", every_salt), ["home", "salt"]).withColumn("b", F.when(F.col("light") & (F.col("light_blocks") > 0), F.col("heavy_blocks") + hashed_block("node", F.col("light_blocks"))).otherwise(hashed_block("node", F.col("heavy_blocks"))))
     # a heavy block meets every block, a light one the heavy ones
     partners = F.when(F.col("b") < F.col("heavy_blocks"), F.col("heavy_blocks") + F.col("light_blocks")).otherwise(F.col("heavy_blocks"))
     spread = placed.withColumn("q", F.explode(F.sequence(F.lit(0), partners - 1)))
