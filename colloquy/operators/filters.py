@@ -104,8 +104,8 @@ def recent_then_filter(sessions: DataFrame, sources: list[str] | None, time_rang
 
 
 def by_newest(results: DataFrame) -> DataFrame:
-    """Search results by newest instead of relevance; equal times keep their rank."""
-    return results.orderBy(F.col("started_at").desc(), "rank")
+    """Search results (a list that is already limited) by newest instead of relevance, with their new place; equal times keep their order."""
+    return results.withColumn("place", F.row_number().over(Window.orderBy(F.col("started_at").desc(), "position"))).orderBy("place")
 
 
 def preview(messages: DataFrame, count: int = 30, chars: int = 300, lines: int = 6) -> DataFrame:

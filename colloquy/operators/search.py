@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from colloquy.functions.text import age_label, cut, rewrite_query, snippet, tokens
 from colloquy.functions.vectors import l2
 from colloquy.operators.filters import session_filter
+from colloquy.operators.stats import is_embedded
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Offset of reciprocal ranks, and messages taken for each session wanted from the vectors.
@@ -230,6 +231,12 @@ def hybrid_search(
     return F.broadcast(placed).join(sessions, F.col("session_id") == F.col("id")).drop("id").orderBy("position")
 
 
+def search_with(encoder, sessions: DataFrame, messages: DataFrame, vectors: DataFrame, state: DataFrame, query: str, **scope) -> DataFrame:
+    """Hybrid search with the query's vector by an encoder; keywords alone, and no encoder called, until a session is done or in work."""
+    vector = encoder(query) if is_embedded(state) else None
+    return hybrid_search(sessions, messages, vectors, query, vector, **scope)
+
+
 def result_listing(results: DataFrame, labels: DataFrame, as_of_ms: int) -> DataFrame:
     """Lines of a result list: position, source label, match label, age, title, snippet of 120 characters, directory."""
     return results.join(F.broadcast(labels), "source", "left").select(

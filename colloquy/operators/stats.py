@@ -79,6 +79,19 @@ def work_list(sessions: DataFrame, state: DataFrame, n: int = 1) -> DataFrame:
     return pending.orderBy(F.col("touched").desc(), "session_id").limit(n).select("session_id", "title", "units_total")
 
 
+def claim(sessions: DataFrame, state: DataFrame, n: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(the next n pending sessions, the state after they are taken): a taken session is processing and has no error any more."""
+    taken = work_list(sessions, state, n)
+    marked = state.join(F.broadcast(taken.select("session_id", F.lit(True).alias("taken"))), "session_id", "left")  # n rows
+    after = marked.withColumn("status", F.when(F.col("taken"), "processing").otherwise(F.col("status"))).withColumn("last_error", F.when(F.col("taken").isNull(), F.col("last_error")))
+    return taken, after.drop("taken")
+
+
+def is_embedded(state: DataFrame) -> bool:
+    """Whether any session is done or in work, so that a query's vector can find something."""
+    return not state.where(F.col("status").isin("done", "processing")).isEmpty()
+
+
 def largest_pending_session(messages: DataFrame, vectors: DataFrame) -> DataFrame:
     """The session with most embeddable messages still to do; with none to do, the one with most embeddable messages."""
     all_units = messages.where(embeddable()).join(vectors.select("message_id", F.lit(0).alias("has")).dropDuplicates(["message_id"]), "message_id", "left")

@@ -1,10 +1,12 @@
 """Incremental merge of scanned sessions into the stored tables.
 
-Parquet has no MERGE: a merge writes version N + 1 of each table and then moves the pointer file, so readers see either version whole.
+Parquet has no MERGE. Rows are kept in buckets by their session; a merge writes new versions of the buckets it touches, and one manifest,
+written aside and renamed, names the versions of all buckets of all tables: readers see the tables before or after a run, never between.
 Sessions are unique by (source, source_id); one that is missing from a scan stays."""
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,31 +25,49 @@ def session_id(source: str = "source", source_id: str = "source_id") -> Column:
     return F.sha2(F.concat_ws("\n", source, source_id), 256)
 
 
+WRITTEN = ("new", "updated", "reprocessed")
+
+
+def _followed(raw: DataFrame, stored: DataFrame, cutoff_ms: int | None, force: bool) -> DataFrame:
+    """Entries with their action and whether they stand in the end: each is compared with what its key holds after the entries before it.
+
+    Entries outside the window count for nothing. Changed: another message count, or an update time that is there and differs."""
+    known = stored.select("source", "source_id", F.struct(F.lit(True).alias("known"), F.col("updated_at").alias("at"), F.col("message_count").cast("int").alias("n")).alias("held"))
+    order = Window.partitionBy("source", "source_id").orderBy("listing", "updated_at", F.size("messages"))
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    entry = F.struct(F.col("updated_at").alias("at"), F.size("messages").alias("n"), (~F.coalesce(within_window(cutoff_ms), F.lit(False))).alias("out"))
+    # times and counts alone are gathered, not messages
+    listed = raw.withColumn("place", F.row_number().over(order)).withColumn("entries", F.collect_list(entry).over(every)).join(known, ["source", "source_id"], "left")
+    start = F.struct(F.coalesce("held.known", F.lit(False)).alias("known"), F.col("held.at").alias("at"), F.coalesce("held.n", F.lit(-1)).alias("n"), F.array().cast("array<string>").alias("actions"))
+
+    def follow(state: Column, x: Column) -> Column:
+        changed = (x["n"] != state["n"]) | (x["at"].isNotNull() & ~x["at"].eqNullSafe(state["at"]))
+        action = F.when(x["out"], "filtered").when(~state["known"], "new").when(changed, "updated").otherwise("reprocessed" if force else "unchanged")
+        written = action.isin(*WRITTEN)
+        return F.struct((state["known"] | written).alias("known"), F.when(written, x["at"]).otherwise(state["at"]).alias("at"), F.when(written, x["n"]).otherwise(state["n"]).alias("n"), F.array_append(state["actions"], action).alias("actions"))
+
+    done = listed.withColumn("actions", F.aggregate("entries", start, follow)["actions"])
+    last = F.array_max(F.transform("actions", lambda a, i: F.when(a.isin(*WRITTEN), i + 1)))
+    return done.withColumn("action", F.get("actions", F.col("place") - 1)).withColumn("stands", F.coalesce(F.col("place") == last, F.lit(False))).drop("place", "entries", "held", "actions")
+
+
+def nothing_stored(raw: DataFrame) -> DataFrame:
+    return raw.sparkSession.createDataFrame([], SESSION_SCHEMA)
+
+
 def last_differing(raw: DataFrame) -> DataFrame:
-    """One entry for each key: entries that repeat the one before (same count, same or no time) count for nothing, the last of the rest wins."""
-    order = Window.partitionBy("source", "source_id").orderBy("listing")
-    count = F.size("messages")
-    differs = F.lag(F.lit(1)).over(order).isNull() | (count != F.lag(count).over(order)) | (F.col("updated_at").isNotNull() & ~F.col("updated_at").eqNullSafe(F.lag("updated_at").over(order)))
-    kept = raw.withColumn("differs", differs).where("differs").drop("differs")
-    return kept.withColumn("last", F.row_number().over(Window.partitionBy("source", "source_id").orderBy(F.col("listing").desc()))).where("last = 1").drop("last")
+    """One entry for each key: of entries that differ from the last one kept (another count, or another time that is there) the last."""
+    return _followed(raw, nothing_stored(raw), None, False).where("stands").drop("action", "stands")
 
 
 def last_entry(raw: DataFrame) -> DataFrame:
     """One entry for each key: the last, outright (forced runs)."""
-    order = Window.partitionBy("source", "source_id").orderBy(F.col("listing").desc())
-    return raw.withColumn("last", F.row_number().over(order)).where("last = 1").drop("last")
+    return _followed(raw, nothing_stored(raw), None, True).where("stands").drop("action", "stands")
 
 
 def plan(raw: DataFrame, stored: DataFrame, cutoff_ms: int | None = None, force: bool = False) -> DataFrame:
-    """Scanned entries with the action each calls for: filtered, new, updated, reprocessed or unchanged.
-
-    Changed: another message count, or a scanned update time that is there and differs from the stored one."""
-    entries = last_entry(raw) if force else last_differing(raw)
-    known = stored.select("source", "source_id", F.col("updated_at").alias("stored_at"), F.col("message_count").alias("stored_count"), F.lit(True).alias("known"))
-    both = entries.join(known, ["source", "source_id"], "left")
-    changed = (F.size("messages") != F.col("stored_count")) | (F.col("updated_at").isNotNull() & ~F.col("updated_at").eqNullSafe(F.col("stored_at")))
-    action = F.when(~within_window(cutoff_ms), "filtered").when(F.col("known").isNull(), "new").when(changed, "updated").otherwise("reprocessed" if force else "unchanged")
-    return both.withColumn("action", action).drop("stored_at", "stored_count", "known")
+    """Scanned entries with the action each calls for (filtered, new, updated, reprocessed or unchanged), and whether the entry stands after the run."""
+    return _followed(raw, stored, cutoff_ms, force)
 
 
 def tabular_changes(listed: DataFrame, stored: DataFrame) -> DataFrame:
@@ -95,8 +115,8 @@ def delete_sessions(ids: DataFrame, sessions: DataFrame, messages: DataFrame, ve
 
 
 def merge(planned: DataFrame, sessions: DataFrame, messages: DataFrame, vectors: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The tables after a plan: new, updated and reprocessed sessions replace what is stored, with their messages; vectors of replaced messages go."""
-    todo = planned.where(F.col("action").isin("new", "updated", "reprocessed"))
+    """The tables after a plan: entries that stand replace what is stored of their sessions, messages too; vectors of replaced messages go."""
+    todo = planned.where("stands")
     fresh = session_rows(todo)
     keys = ["source", "source_id"]
     ids = sessions.join(fresh.select(*keys), keys, "left_semi").select(F.col("id").alias("session_id"))
@@ -108,64 +128,139 @@ def merge(planned: DataFrame, sessions: DataFrame, messages: DataFrame, vectors:
 
 
 class Store:
-    """Versioned parquet tables under a path that Spark can reach: <path>/<table>/v=<version>, the current version named in <path>/_current/<table>."""
+    """Parquet tables in buckets under a path that Spark can reach: <path>/<table>/<version>/bucket=<n>.
+
+    <path>/_log/<number>.json is a manifest: for each table and bucket the versions that make it up. The highest number counts. A run
+    that finds its number taken when it is done has lost to another writer and fails; nothing it wrote is seen."""
+
+    #: Versions of a bucket that appended rows may make before it is written anew.
+    PARTS = 16
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
         self.spark, self.path = spark, path.rstrip("/")
+        self.buckets = self.manifest()[1].get("buckets", buckets)
 
     def _fs(self, path: str):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def version(self, table: str) -> str | None:
-        fs, p = self._fs(f"{self.path}/_current/{table}")
-        if not fs.exists(p):
-            return None
-        return self.spark.read.text(str(p), wholetext=True).first()[0].strip()
+    def _names(self, path: str) -> list[str]:
+        fs, p = self._fs(path)
+        return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+    def manifest(self) -> tuple[int, dict]:
+        """Number and content of the current manifest; 0 before the first write."""
+        names = [n for n in self._names(f"{self.path}/_log") if n.endswith(".json")]
+        if not names:
+            return 0, {"tables": {}}
+        return int(names[-1][:-5]), json.loads(self.spark.read.text(f"{self.path}/_log/{names[-1]}", wholetext=True).first()[0])
+
+    def _paths(self, table: str, manifest: dict, buckets: list[int] | None = None) -> list[str]:
+        parts = manifest["tables"].get(table, {})
+        return [f"{self.path}/{table}/{v}/bucket={b}" for b, versions in sorted(parts.items()) if buckets is None or int(b) in buckets for v in versions]
+
+    def _load(self, table: str, schema: str, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def read(self, table: str, schema: str) -> DataFrame:
-        """The current version; no rows before the first write."""
-        v = self.version(table)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{table}/v={v}") if v else self.spark.createDataFrame([], schema)
-
-    def write(self, tables: dict[str, DataFrame], partition_by: dict[str, str] | None = None) -> None:
-        """All tables as a new version; pointers move only when every table is written."""
-        v = uuid.uuid4().hex
-        for name, df in tables.items():
-            out = df.write
-            if partition_by and name in partition_by:
-                out = out.partitionBy(partition_by[name])
-            out.parquet(f"{self.path}/{name}/v={v}")
-        for name in tables:
-            fs, p = self._fs(f"{self.path}/_current/{name}")
-            stream = fs.create(p, True)
-            stream.write(bytearray(v.encode()))
-            stream.close()
-
-    def append(self, table: str, rows: DataFrame) -> None:
-        """Rows added to the current version (bulk append)."""
-        v = self.version(table)
-        if v is None:
-            self.write({table: rows})
-        else:
-            rows.write.mode("append").parquet(f"{self.path}/{table}/v={v}")
-
-
-def sync(raw: DataFrame, store: Store, cutoff_ms: int | None = None, force: bool = False, enabled: list[str] | None = None) -> DataFrame:
-    """One run over scanned entries: plan, merge, write; gives the counters."""
+        """All rows; none before the first write."""
+        return self._load(table, schema, self._paths(table, self.manifest()[1]))
+
+    def read_buckets(self, table: str, schema: str, buckets: list[int]) -> DataFrame:
+        """Rows of some buckets, with their bucket."""
+        found = self._load(table, schema, self._paths(table, self.manifest()[1], buckets))
+        paths = bool(self._paths(table, self.manifest()[1], buckets))
+        return found.withColumn("bucket", F.regexp_extract("_metadata.file_path", r"/bucket=(\d+)/", 1).cast("int") if paths else F.lit(0))
+
+    def bucket(self, session: str) -> Column:
+        """The bucket of a session's rows in all tables."""
+        return F.pmod(F.xxhash64(session), F.lit(self.buckets)).cast("int")
+
+    def _placed(self, table: str, rows: DataFrame) -> DataFrame:
+        if "bucket" in rows.columns:
+            return rows
+        return rows.withColumn("bucket", self.bucket("session_id") if "session_id" in rows.columns else self.bucket("id") if table == "sessions" else F.lit(0))
+
+    def _put(self, table: str, rows: DataFrame) -> dict[str, list[str]]:
+        """Rows as a version that no manifest names yet: its buckets."""
+        version = f"v={uuid.uuid4().hex}"
+        self._placed(table, rows).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{table}/{version}")
+        return {n.split("=")[1]: [version] for n in self._names(f"{self.path}/{table}/{version}") if n.startswith("bucket=")}
+
+    def _commit(self, base: int, tables: dict) -> None:
+        text = json.dumps({"buckets": self.buckets, "tables": tables})
+        aside, target = f"{self.path}/_log/.{uuid.uuid4().hex}", f"{self.path}/_log/{base + 1:020d}.json"
+        fs, p = self._fs(aside)
+        stream = fs.create(p, False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        if fs.exists(self._fs(target)[1]) or not fs.rename(p, self._fs(target)[1]):
+            raise RuntimeError(f"another writer has committed version {base + 1}")
+
+    def write(self, tables: dict[str, DataFrame], only: list[int] | None = None) -> None:
+        """Tables as new versions, whole or in the named buckets alone; one manifest for all."""
+        base, held = self.manifest()
+        after = dict(held["tables"])
+        for name, rows in tables.items():
+            kept = {b: v for b, v in after.get(name, {}).items() if only is not None and int(b) not in only}
+            after[name] = kept | self._put(name, rows)
+        self._commit(base, after)
+
+    def append(self, tables: dict[str, DataFrame]) -> None:
+        """Rows added to tables; a bucket of many versions becomes one."""
+        base, held = self.manifest()
+        after = dict(held["tables"])
+        for name, rows in tables.items():
+            parts = dict(after.get(name, {}))
+            full = [int(b) for b, v in parts.items() if len(v) >= self.PARTS]
+            if full:
+                schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "bucket")
+                rows = self._placed(name, rows).unionByName(self.read_buckets(name, schema, full))
+                parts = {b: v for b, v in parts.items() if int(b) not in full}
+            for b, v in self._put(name, rows).items():
+                parts[b] = [*parts.get(b, []), *v]
+            after[name] = parts
+        self._commit(base, after)
+
+    def aside(self, rows: DataFrame) -> tuple[DataFrame, str]:
+        """Rows written once under the store's path for the length of a run, and where."""
+        path = f"{self.path}/_staging/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path), path
+
+    def discard(self, path: str) -> None:
+        fs, p = self._fs(path)
+        fs.delete(p, True)
+
+
+VECTOR_SCHEMA = "message_id bigint, embedding array<float>"
+
+
+def sync(raw: DataFrame, store: Store, cutoff_ms: int | None = None, force: bool = False, enabled: list[str] | None = None, pruned: DataFrame | None = None) -> DataFrame:
+    """One run over scanned entries: plan, merge, write; gives the counters, with those of files pruned before (action, sessions).
+
+    What is scanned is parsed once. Only buckets of sessions that change are read and written; vectors of replaced messages go in the same version."""
     scanned = raw.where(F.col("source").isin(enabled)) if enabled else raw
-    sessions, messages = store.read("sessions", SESSION_SCHEMA), store.read("messages", MESSAGE_SCHEMA)
-    planned = plan(scanned, sessions, cutoff_ms, force)
+    sessions = store.read("sessions", SESSION_SCHEMA)
+    planned, path = store.aside(plan(scanned, sessions, cutoff_ms, force))
     done = counters(planned)
+    if pruned is not None:
+        done = done.unionByName(pruned.withColumn("messages", F.lit(0).cast("bigint"))).groupBy("action").agg(F.sum("sessions").alias("sessions"), F.sum("messages").alias("messages"))
     rows = done.collect()  # at most five actions
-    store.write(merge(planned, sessions, messages))
+    todo = planned.where("stands")
+    ids = sessions.join(todo.select("source", "source_id"), ["source", "source_id"], "left_semi").select("id").union(todo.select(session_id().alias("id")))
+    touched = sorted(r[0] for r in ids.select(store.bucket("id")).distinct().collect())  # at most as many as there are buckets
+    if touched:
+        held = {name: store.read_buckets(name, schema, touched) for name, schema in (("sessions", SESSION_SCHEMA), ("messages", MESSAGE_SCHEMA), ("vectors", VECTOR_SCHEMA))}
+        after = merge(planned, held["sessions"].drop("bucket"), held["messages"].drop("bucket"), held["vectors"])
+        store.write(after, only=touched)
+    store.discard(path)
     return store.spark.createDataFrame(rows, done.schema)
 
 
 def append_job_phase(store: Store, job: str, phase: str, detail: str | None, at_ms: int) -> None:
     """A row of the run log."""
-    store.append("job_log", store.spark.createDataFrame([(job, phase, detail, at_ms)], JOB_SCHEMA))
+    store.append({"job_log": store.spark.createDataFrame([(job, phase, detail, at_ms)], JOB_SCHEMA)})
 
 
 JOB_SCHEMA = "job string, phase string, detail string, updated_at bigint"

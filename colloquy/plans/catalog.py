@@ -149,7 +149,7 @@ def in_session_search(v: Views) -> DataFrame:
 
 
 STATE = """,
-units AS (SELECT session_id, count(*) AS units_total, count(has) AS units_done FROM messages LEFT JOIN (SELECT DISTINCT message_id, 1 AS has FROM vectors) USING (message_id)
+units AS (SELECT session_id, count(*) AS units_total, count(has) AS units_done FROM messages LEFT JOIN (SELECT DISTINCT message_id, 1 AS has FROM vectors WHERE message_id // 100000 % 3 <> 1) USING (message_id)
   WHERE role = 'user' AND length(content) > 2 GROUP BY 1),
 state AS (SELECT id AS session_id, coalesce(units_total, 0) AS units_total, coalesce(units_done, 0) AS units_done,
   CASE WHEN coalesce(units_done, 0) >= coalesce(units_total, 0) THEN 'done' WHEN id IN ('s3', 's10') THEN 'failed' WHEN units_done > 0 THEN 'processing' ELSE 'pending' END AS status,
@@ -160,7 +160,7 @@ state AS (SELECT id AS session_id, coalesce(units_total, 0) AS units_total, coal
 
 def _state(v: Views) -> DataFrame:
     failed = v.sessions.where(F.col("id").isin("s3", "s10")).select(F.col("id").alias("session_id"), F.lit("out of memory").alias("error"), F.lit(1).alias("at"))
-    return stats.embedding_state(v.sessions, v.messages, v.vectors, failed)
+    return stats.embedding_state(v.sessions, v.messages, v.vectors.where("message_id div 100000 % 3 <> 1"), failed)  # a third of the sessions has no vectors yet
 
 
 @query(STATE + "SELECT * FROM state")
@@ -195,6 +195,14 @@ def work_list(v: Views) -> DataFrame:
     return stats.work_list(v.sessions, _state(v), 10)
 
 
+@query(
+    STATE + """SELECT state.session_id, units_total, CASE WHEN n <= 10 THEN 'processing' ELSE status END AS status, CASE WHEN n <= 10 THEN NULL ELSE last_error END AS last_error FROM state LEFT JOIN (
+  SELECT session_id, row_number() OVER (ORDER BY coalesce(updated_at, started_at) DESC, session_id) AS n FROM state JOIN sessions ON id = session_id WHERE status = 'pending') t USING (session_id)"""
+)
+def claim(v: Views) -> DataFrame:
+    return stats.claim(v.sessions, _state(v), 10)[1].select("session_id", "units_total", "status", "last_error")
+
+
 @query(STATE + "SELECT count(*) FILTER (status = 'pending') > 0 AS pending_exists FROM state")
 def pending_exists(v: Views) -> DataFrame:
     return stats.pending_exists(_state(v))
@@ -269,9 +277,16 @@ PLAN = f""",
 c AS (SELECT *, regexp_extract(id, '\\d+')::BIGINT AS c FROM sessions),
 entries AS (SELECT * REPLACE (CASE WHEN c % 7 = 3 THEN {AS_OF} WHEN c % 5 = 0 THEN updated_at + 1000 ELSE updated_at END AS updated_at) FROM c),
 stored AS (SELECT source_id, updated_at AS stored_at, message_count + (c % 6 = 1)::INT AS stored_count FROM c WHERE c % 4 <> 0),
-planned AS (SELECT source_id, message_count, e.id, CASE WHEN coalesce(updated_at, started_at) < {AS_OF - 35 * X.DAY_MS} THEN 'filtered' WHEN stored_count IS NULL THEN 'new'
-  WHEN message_count <> stored_count OR (updated_at IS NOT NULL AND updated_at IS DISTINCT FROM stored_at) THEN 'updated' ELSE 'unchanged' END AS action
-  FROM entries e LEFT JOIN stored USING (source_id))
+first AS (SELECT c.*, stored_at, stored_count, stored_count IS NOT NULL AS known, coalesce(c.updated_at, started_at) < {AS_OF - 35 * X.DAY_MS} AS outside,
+  CASE WHEN c.c % 5 = 0 THEN c.updated_at + 1000 ELSE c.updated_at END AS moved FROM c LEFT JOIN stored USING (source_id)),
+one AS (SELECT *, CASE WHEN coalesce(moved, started_at) < {AS_OF - 35 * X.DAY_MS} THEN 'filtered' WHEN NOT known THEN 'new'
+  WHEN message_count <> stored_count OR (moved IS NOT NULL AND moved IS DISTINCT FROM stored_at) THEN 'updated' ELSE 'unchanged' END AS action FROM first),
+two AS (SELECT *, action IN ('new', 'updated') AS written FROM one),
+again AS (SELECT * REPLACE (CASE WHEN NOT known AND NOT written THEN 'new'
+  WHEN message_count <> CASE WHEN written THEN message_count ELSE stored_count END OR {AS_OF} IS DISTINCT FROM CASE WHEN written THEN moved ELSE stored_at END THEN 'updated' ELSE 'unchanged' END AS action) FROM two WHERE c % 7 = 3),
+planned AS (SELECT source_id, message_count, id, action, c % 7 <> 3 OR (SELECT action FROM again a WHERE a.source_id = two.source_id) = 'unchanged' AS last, 1 AS n FROM two
+  UNION ALL SELECT source_id, message_count, id, action, true, 2 FROM again),
+done AS (SELECT source_id, any_value(id) AS id, any_value(message_count) AS message_count, bool_or(action IN ('new', 'updated')) AS written FROM planned GROUP BY 1)
 """
 
 
@@ -279,12 +294,14 @@ def _plan(v: Views, force: bool = False) -> DataFrame:
     return sync.plan(_raw(v), _stored(v), AS_OF - 35 * X.DAY_MS, force)
 
 
-@query(PLAN + "SELECT source_id, action FROM planned")
+@query(PLAN + "SELECT source_id, action, action IN ('new', 'updated') AND last AS stands FROM planned")
 def sync_plan(v: Views) -> DataFrame:
-    return _plan(v).select("source_id", "action")
+    return _plan(v).select("source_id", "action", "stands")
 
 
-@query(PLAN + "SELECT source_id, CASE WHEN action = 'unchanged' THEN 'reprocessed' ELSE action END AS action FROM planned")
+# A forced run replaces what is unchanged too; a second entry is then compared with the first.
+@query(PLAN + """SELECT source_id, CASE WHEN action = 'unchanged' THEN 'reprocessed' ELSE action END AS action FROM planned WHERE n = 1
+UNION ALL SELECT source_id, CASE WHEN one.action = 'filtered' THEN (SELECT CASE a.action WHEN 'unchanged' THEN 'reprocessed' ELSE a.action END FROM again a WHERE a.source_id = one.source_id) WHEN moved IS DISTINCT FROM """ + str(AS_OF) + """ THEN 'updated' ELSE 'reprocessed' END FROM one WHERE c % 7 = 3""")
 def sync_plan_forced(v: Views) -> DataFrame:
     return _plan(v, True).select("source_id", "action")
 
@@ -295,16 +312,31 @@ def sync_counters(v: Views) -> DataFrame:
 
 
 @query(
-    PLAN + """SELECT c.source_id, CASE WHEN action IN ('new', 'updated') THEN c.message_count ELSE stored_count END AS message_count, title, action IN ('new', 'updated') AS fresh
-FROM planned JOIN c USING (source_id) LEFT JOIN stored USING (source_id) WHERE action IN ('new', 'updated') OR stored_count IS NOT NULL"""
+    PLAN + """SELECT c.source_id, CASE WHEN written THEN c.message_count ELSE stored_count END AS message_count, title, written AS fresh, n_messages, digest
+FROM done JOIN c USING (source_id) LEFT JOIN stored USING (source_id) JOIN (
+  SELECT 'conv-' || conv_id AS source_id, count(*) AS n_messages, md5(string_agg(seq || role || content, chr(10) ORDER BY seq)) AS digest FROM messages GROUP BY 1) USING (source_id)
+WHERE written OR stored_count IS NOT NULL"""
 )
 def sync_merge(v: Views) -> DataFrame:
+    merged = _merged(v)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.concat(F.col("seq").cast("string"), "role", "content").alias("t")))), lambda x: x["t"]), "\n")
+    said = merged["messages"].groupBy(F.col("session_id").alias("id")).agg(F.count("*").alias("n_messages"), F.md5(text.cast("binary")).alias("digest"))
+    return merged["sessions"].join(said, "id").select("source_id", "message_count", "title", (F.length("id") > 20).alias("fresh"), "n_messages", "digest")
+
+
+def _merged(v: Views) -> dict[str, DataFrame]:
     stored = _stored(v)
-    merged = sync.merge(_plan(v), stored, v.messages.where(F.lit(False)).withColumn("seq", F.col("seq").cast("int")))["sessions"]
-    return merged.select("source_id", "message_count", "title", (F.length("id") > 20).alias("fresh"))
+    held = v.messages.join(stored.select(F.col("id").alias("session_id")), "session_id", "left_semi").withColumn("seq", F.col("seq").cast("int")).select("message_id", "session_id", "role", "content", "timestamp", "seq")
+    return sync.merge(_plan(v), stored, held, v.vectors)
+
 
+@query(PLAN + "SELECT message_id FROM vectors WHERE message_id NOT IN (SELECT message_id FROM messages JOIN done ON done.id = session_id JOIN stored USING (source_id) WHERE written)")
+def sync_vectors(v: Views) -> DataFrame:
+    """Vectors left after a merge: none of a replaced message."""
+    return _merged(v)["vectors"].select("message_id")
 
-@query(PLAN + "SELECT source_id FROM entries LEFT JOIN stored USING (source_id) WHERE NOT coalesce(updated_at IS NOT DISTINCT FROM stored_at AND message_count = stored_count, false)")
+
+@query(PLAN + "SELECT source_id FROM (SELECT source_id, message_count, CASE WHEN n = 2 AND action2 <> 'unchanged' THEN " + str(AS_OF) + " ELSE moved END AS updated_at FROM one LEFT JOIN (SELECT source_id, 2 AS n, action AS action2 FROM again) USING (source_id)) LEFT JOIN stored USING (source_id) WHERE NOT coalesce(updated_at IS NOT DISTINCT FROM stored_at AND message_count = stored_count, false)")
 def tabular_changes(v: Views) -> DataFrame:
     listed = sync.last_differing(_raw(v)).select("source_id", "updated_at", F.size("messages").alias("message_count"))
     return sync.tabular_changes(listed, _stored(v)).select("source_id")
@@ -348,29 +380,39 @@ def session_labels(v: Views) -> DataFrame:
 _OFFSETS = r"list_transform(list_filter(range(1, length(content) + 1), lambda i: substr(lower(content), i, 2) = 'th'), lambda i: i - 1)"
 
 
-@query(f"SELECT message_id, array_to_string({_OFFSETS}, ',') AS offsets FROM messages WHERE strlen(lower(content)) = strlen(content)")
+@query(f"SELECT message_id, CASE WHEN strlen(lower(content)) = strlen(content) THEN array_to_string({_OFFSETS}, ',') ELSE '' END AS offsets FROM (SELECT message_id, content || CASE WHEN message_id % 9 = 0 THEN ' THE İth' ELSE '' END AS content FROM messages)")
 def match_offsets(v: Views) -> DataFrame:
-    rows = v.messages.where(F.octet_length(F.lower("content")) == F.octet_length("content"))
+    """Every ninth message gets a letter whose lower case is longer, so it has no offsets."""
+    rows = v.messages.withColumn("content", F.when(F.col("message_id") % 9 == 0, F.concat("content", F.lit(" THE İth"))).otherwise(F.col("content")))
     return rows.select("message_id", F.array_join(F.transform(X.match_offsets("content", "TH"), lambda x: x.cast("string")), ",").alias("offsets"))
 
 
-# Evaluation: every fifth session is looked for by the first words of its title.
+# Evaluation: the first words of every fifth session's title, and a vector for each; one half looks for that session, the other for the next one.
 def _entries(v: Views) -> DataFrame:
     c = F.regexp_extract("id", r"\d+", 0).cast("bigint")
-    return v.sessions.where(c % 5 == 0).select(c.alias("query_id"), F.substring_index("title", " ", 4).alias("query"), F.array(F.struct("source", "source_id")).alias("expected"))
+    wanted = F.when(c % 10 == 0, c).otherwise(c + 1)
+    source = F.element_at(F.array(*[F.lit(s) for s in filters.SOURCE_IDS]), (wanted % len(filters.SOURCE_IDS) + 1).cast("int"))
+    expected = F.array(F.struct(source.alias("source"), F.concat(F.lit("conv-"), wanted).alias("source_id")))
+    return v.sessions.where(c % 5 == 0).select(c.alias("query_id"), F.substring_index("title", " ", 4).alias("query"), expected.alias("expected"))
 
 
 EVAL = r""",
 toks AS (SELECT message_id, session_id, list_filter(string_split_regex(lower(strip_accents(content)), '[^\p{L}\p{N}\p{Co}]+'), lambda x: x <> '') AS ts FROM messages),
 lens AS (SELECT message_id, len(ts) AS dl FROM toks),
 post AS (SELECT message_id, session_id, term, count(*) AS f FROM (SELECT message_id, session_id, unnest(ts) AS term FROM toks) GROUP BY ALL),
-q AS (SELECT regexp_extract(id, '\d+')::BIGINT AS query_id, array_to_string(string_split(title, ' ')[1:4], ' ') AS query, source_id FROM sessions WHERE regexp_extract(id, '\d+')::BIGINT % 5 = 0),
+q AS (SELECT regexp_extract(id, '\d+')::BIGINT AS query_id, array_to_string(string_split(title, ' ')[1:4], ' ') AS query, 'conv-' || (regexp_extract(id, '\d+')::BIGINT + (regexp_extract(id, '\d+')::BIGINT % 10 <> 0)::INT) AS source_id FROM sessions WHERE regexp_extract(id, '\d+')::BIGINT % 5 = 0),
 words AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, lower(regexp_replace(unnest(string_split_regex(query, '\s+')), '[^\p{L}\p{N}_]', '', 'g')) AS term FROM q) WHERE term <> '' GROUP BY ALL),
 idf AS (SELECT term, CASE WHEN raw <= 0 THEN 1e-6 ELSE raw END AS idf FROM (SELECT term, ln(((SELECT count(*) FROM lens) - count(*) + 0.5) / (count(*) + 0.5)) AS raw FROM post WHERE term IN (SELECT term FROM words) GROUP BY term)),
 scored AS (SELECT query_id, session_id, message_id, round(-sum(idf * times * f * 2.2 / (f + 1.2 * (1 - 0.75 + 0.75 * dl / (SELECT avg(dl) FROM lens)))), 9) AS r
   FROM words JOIN post USING (term) JOIN idf USING (term) JOIN lens USING (message_id) GROUP BY ALL),
 best AS (SELECT query_id, session_id, min(r) AS r FROM scored GROUP BY ALL),
-ranked AS (SELECT query_id, session_id, row_number() OVER (PARTITION BY query_id ORDER BY r, session_id) AS rank FROM best QUALIFY rank <= 20),
+kw AS (SELECT query_id, session_id, row_number() OVER (PARTITION BY query_id ORDER BY r, session_id) - 1 AS wr FROM best QUALIFY wr < 400),
+near AS (SELECT query_id, message_id, list_distance(e.embedding::DOUBLE[], v.embedding) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY list_distance(e.embedding::DOUBLE[], v.embedding), message_id) AS n
+  FROM q JOIN embeddings e ON e.vec_id = query_id, vectors v QUALIFY n <= 2000),
+vec AS (SELECT query_id, session_id, row_number() OVER (PARTITION BY query_id ORDER BY d, session_id) - 1 AS vr FROM (SELECT query_id, session_id, min(distance) AS d FROM near JOIN messages USING (message_id) GROUP BY ALL)),
+ranked AS (SELECT query_id, session_id, CASE WHEN wr IS NOT NULL AND vr IS NOT NULL THEN 'HYB' WHEN wr IS NOT NULL THEN 'FTS' ELSE 'VEC' END AS match,
+  row_number() OVER (PARTITION BY query_id ORDER BY coalesce(1.0::DOUBLE / (11 + wr), 0) + coalesce(1.0::DOUBLE / (11 + vr), 0) DESC, session_id) AS rank
+  FROM kw FULL OUTER JOIN vec USING (query_id, session_id) QUALIFY rank <= 20),
 results AS (SELECT ranked.*, source, source_id, title FROM ranked JOIN sessions ON id = session_id),
 details AS (SELECT q.query_id, query, min(rank) AS best_rank, count(rank) AS hits, 1 AS n_expected FROM q LEFT JOIN results ON results.query_id = q.query_id AND results.source_id = q.source_id GROUP BY ALL)
 """
@@ -378,7 +420,9 @@ details AS (SELECT q.query_id, query, min(rank) AS best_rank, count(rank) AS hit
 
 def _results(v: Views) -> tuple[DataFrame, DataFrame]:
     entries, lengths = _entries(v), search.build_lengths(v.messages)
-    return entries, evaluate.batch_results(entries, v.sessions, search.build_postings(v.messages), lengths, search.corpus_stats(lengths))
+    asked = v.table("embeddings").select(F.col("vec_id").alias("query_id"), "embedding").join(entries.select("query_id"), "query_id", "left_semi")
+    near = evaluate.near_sessions(asked, v.vectors, v.messages)
+    return entries, evaluate.batch_results(entries, v.sessions, search.build_postings(v.messages), lengths, search.corpus_stats(lengths), near)
 
 
 @query(EVAL + "SELECT query_id, query, best_rank, hits, n_expected FROM details")
@@ -399,18 +443,22 @@ def eval_failures(v: Views) -> DataFrame:
     return evaluate.failures(evaluate.query_details(*_results(v))).select("query_id", "query")
 
 
-@query(EVAL + "SELECT results.query_id, rank, 'FTS' AS match, source, results.source_id, results.source_id = q.source_id AS is_expected FROM results JOIN q ON q.query_id = results.query_id WHERE rank <= 10")
+@query(EVAL + "SELECT results.query_id, rank, match, source, results.source_id, results.source_id = q.source_id AS is_expected FROM results JOIN q ON q.query_id = results.query_id WHERE rank <= 10")
 def eval_summaries(v: Views) -> DataFrame:
     return evaluate.summaries(*_results(v)).drop("title")
 
 
 @query(
     """SELECT query_id, message_id, round(distance, 6) AS distance FROM (SELECT q.vec_id AS query_id, message_id, list_distance(q.embedding::DOUBLE[], v.embedding) AS distance,
-  row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], v.embedding), message_id) AS n FROM embeddings q, vectors v WHERE q.vec_id % 50 = 0) WHERE n <= 10 AND distance > 1e-6"""
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], v.embedding), message_id) AS n FROM embeddings q, vectors v WHERE q.vec_id % 20 = 0) WHERE n <= 10"""
 )
 def knn_batch(v: Views) -> DataFrame:
-    asked = v.table("embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return search.knn_batch(v.vectors, asked, 10).where("distance > 1e-6").withColumn("distance", F.round("distance", 6))
+    return search.knn_batch(v.vectors, _asked(v), 10).withColumn("distance", F.round("distance", 6))
+
+
+def _asked(v: Views) -> DataFrame:
+    """The stated query set."""
+    return v.table("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 @query("SELECT message_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x * x))), 6) AS before, round(1.0, 6)::DOUBLE AS after FROM vectors")
@@ -449,17 +497,39 @@ def session_listing(v: Views) -> DataFrame:
     return export.listing(v.sessions)
 
 
-@query()
+@query("SELECT message_id, session_id, NULL::VARCHAR AS error, 384 AS dimension, 1.0::DOUBLE AS norm FROM messages WHERE role = 'user' AND length(content) > 2 AND message_id NOT IN (SELECT message_id FROM vectors)")
 def embed_pending(v: Views) -> DataFrame:
-    """Vectors of the default encoder for all pending messages; SQL has no encoder."""
-    return embed.embed_pending(v.sessions, v.messages, v.vectors)[0]
+    """Vectors of the default encoder for all pending messages: of unit length, whatever they say."""
+    done = embed.embed_pending(v.sessions, v.messages, v.vectors)
+    return done.select("message_id", "session_id", "error", F.size("embedding").alias("dimension"), F.round(F.sqrt(VX.dot("embedding", "embedding")), 4).alias("norm"))
 
 
 @query()
 def approximate_neighbours(v: Views) -> DataFrame:
-    """Nearest vectors by random projections; SQL has none."""
-    asked = v.table("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return embed.approximate_neighbours(v.vectors, asked, 10)
+    """Nearest vectors by cells; SQL has none."""
+    return embed.approximate_neighbours(v.vectors, _asked(v), 10)
+
+
+@query("SELECT count(*) AS queries, true AS reached FROM embeddings WHERE vec_id % 20 = 0")
+def approximate_recall(v: Views) -> DataFrame:
+    """Whether the cells find nine of ten true neighbours, over the stated query set against all vectors."""
+    exact = search.knn_batch(v.vectors, _asked(v), 10).select("query_id", "message_id", F.lit(1).alias("is_near"))
+    both = exact.join(approximate_neighbours(v).withColumn("found", F.lit(1)).select("query_id", "message_id", "found"), ["query_id", "message_id"], "left")
+    return both.agg(F.countDistinct("query_id").alias("queries"), (F.count("found") >= 0.9 * F.count("*")).alias("reached"))
+
+
+@query(keyword_sql(WORDS) + vector_sql() + FUSED + "SELECT session_id, row_number() OVER (ORDER BY started_at DESC, position) AS place FROM found")
+def newest_first(v: Views) -> DataFrame:
+    return filters.by_newest(_hybrid(v)).select("session_id", "place")
+
+
+@query(STATE + keyword_sql(WORDS) + ", vec AS (SELECT NULL::VARCHAR AS session_id, NULL::BIGINT AS vr WHERE false)" + FUSED + "SELECT position, session_id, score, match FROM found")
+def keywords_until_embedded(v: Views) -> DataFrame:
+    """Nothing is embedded, so no vector is asked for."""
+    none = v.vectors.where(F.lit(False))
+    state = stats.embedding_state(v.sessions, v.messages, none).where("units_total > 0")
+    found = search.search_with(lambda _: v.query_vector, v.sessions, v.messages, none, state, WORDS)
+    return found.select("position", "session_id", F.round("score", 9).alias("score"), "match")
 
 
 for _name, (_fn, _sql) in rendered.ROUND_TRIPS.items():

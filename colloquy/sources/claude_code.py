@@ -7,16 +7,20 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import variant as V
 from colloquy.functions.text import decode_directory, rfc3339_ms
-from colloquy.sources.files import assemble, first_time, joined, json_lines, list_files, named, parent_of, read_all, stem_of
+from colloquy.sources.files import Folder, assemble, first_time, joined, json_lines, list_files, named, parent_of, read_all, scan_files, stem_of
 
 SOURCE = "claude-code"
 
 
+def folders(root: str) -> list[Folder]:
+    return [Folder(f"{root}/projects/*", "*.jsonl"), Folder(f"{root}/transcripts", "*.jsonl", recursive=True)]
+
+
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """(path, modified_ms, source_id, directory): one level under projects, whose folder names the directory; any level under transcripts, without one."""
-    projects = list_files(spark, f"{root}/projects/*", "*.jsonl").withColumn("directory", decode_directory(parent_of()))
-    loose = list_files(spark, f"{root}/transcripts", "*.jsonl", recursive=True).withColumn("directory", F.lit(None).cast("string"))
-    return projects.unionByName(loose).withColumn("source_id", stem_of())
+    projects, loose = (list_files(spark, [f]) for f in folders(root))
+    both = projects.withColumn("directory", decode_directory(parent_of())).unionByName(loose.withColumn("directory", F.lit(None).cast("string")))
+    return both.withColumn("source_id", stem_of())
 
 
 def sidecars(files: DataFrame) -> DataFrame:
@@ -63,8 +67,12 @@ def parse(files: DataFrame, index: DataFrame | None = None) -> DataFrame:
     )
 
 
+def scan_changed(spark: SparkSession, root: str, stored: DataFrame | None = None, cutoff_ms: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(raw sessions, counts of what was pruned) of the files that stored sessions and the cutoff leave."""
+    files, counts = scan_files(spark, folders(root), listing(spark, root), stored, cutoff_ms)
+    return parse(files, sidecars(read_all(spark, [Folder(f"{root}/sessions", "*.json")]))), counts
+
+
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """All sessions under a root."""
-    found = listing(spark, root)
-    content = read_all(spark, f"{root}/projects/*", "*.jsonl").unionByName(read_all(spark, f"{root}/transcripts", "*.jsonl", recursive=True)).select("path", "content")
-    return parse(found.join(content, "path"), sidecars(read_all(spark, f"{root}/sessions", "*.json")))
+    return scan_changed(spark, root)[0]

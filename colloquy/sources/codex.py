@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import variant as V
 from colloquy.functions.text import rfc3339_ms
-from colloquy.sources.files import assemble, first_time, joined, json_lines, last_time, list_files, named, read_all, stem_of
+from colloquy.sources.files import Folder, assemble, first_time, joined, json_lines, list_files, named, scan_files, stem_of
 
 SOURCE = "codex"
 UUID = r"-([0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12})$"
@@ -19,13 +19,13 @@ def file_id(path: str | Column = "path") -> Column:
     return F.when(found != "", found)
 
 
+def folders(root: str) -> list[Folder]:
+    return [Folder(f"{root}/{folder}", pattern, recursive=True) for folder in ("sessions", "archived_sessions") for pattern in ("*.jsonl", "*.json")]
+
+
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """(path, modified_ms, source_id) of rollouts in use and archived, at any level."""
-    parts = [list_files(spark, f"{root}/{folder}", pattern, recursive=True) for folder in ("sessions", "archived_sessions") for pattern in ("*.jsonl", "*.json")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("source_id", file_id()).where(F.col("source_id").isNotNull())
+    return list_files(spark, folders(root)).withColumn("source_id", file_id()).where(F.col("source_id").isNotNull())
 
 
 def content_text(content: Column) -> Column:
@@ -37,31 +37,35 @@ def content_text(content: Column) -> Column:
 
 
 def parse(files: DataFrame) -> DataFrame:
-    """Raw sessions of files (path, content). The last session record counts, even where it lacks a field; an answer logged in two forms is two messages."""
-    lines = json_lines(files.select("path", "content"))
+    """Raw sessions of files (path, modified_ms, content). A session is known by the id in its file's name, and its time of update is the file's.
+
+    A file named otherwise goes by the id in its last session record, else by its name. That record counts even where it lacks a
+    field; an answer logged in two forms is two messages."""
+    lines = json_lines(files.select("path", "modified_ms", "content"))
     v = F.col("v")
     kind, payload = V.string(v, "$.type"), V.string(v, "$.payload.type")
     spoken = V.string(v, "$.payload.message")
+    by = ["path", "modified_ms"]
     meta = lines.where((kind == "session_meta") & V.present(v, "$.payload")).groupBy("path").agg(
         F.max_by(F.struct(V.string(v, "$.payload.id").alias("id"), V.string(v, "$.payload.cwd").alias("cwd"), rfc3339_ms(V.string(v, "$.payload.timestamp")).alias("at")), "line_no").alias("meta")
     )
     event = (kind == "event_msg") & payload.isin("user_message", "agent_message")
     answer = (kind == "response_item") & (payload == "message") & (V.string(v, "$.payload.role") == "assistant")
     rows = lines.where(event | answer).select(
-        "path", "line_no", F.when(payload == "user_message", "user").otherwise("assistant").alias("role"), F.when(event, spoken).otherwise(content_text(V.get(v, "$.payload.content"))).alias("content"), rfc3339_ms(V.string(v, "$.timestamp")).alias("timestamp")
+        *by, "line_no", F.when(payload == "user_message", "user").otherwise("assistant").alias("role"), F.when(event, spoken).otherwise(content_text(V.get(v, "$.payload.content"))).alias("content"), rfc3339_ms(V.string(v, "$.timestamp")).alias("timestamp")
     )
-    sessions = assemble(rows.where(F.col("content") != ""), ["path"], ["line_no"]).join(meta, "path", "left")
+    sessions = assemble(rows.where(F.col("content") != ""), by, ["line_no"]).join(meta, "path", "left")
     return sessions.select(
-        F.lit(SOURCE).alias("source"), F.coalesce("meta.id", stem_of()).alias("source_id"), F.col("meta.cwd").alias("directory"), F.coalesce(F.col("meta.at"), first_time(), F.lit(0)).cast("bigint").alias("started_at"),
-        last_time().alias("updated_at"), F.lit(None).cast("string").alias("entrypoint"), F.xxhash64("path").alias("listing"), "messages",
+        F.lit(SOURCE).alias("source"), F.coalesce(file_id(), F.col("meta.id"), stem_of()).alias("source_id"), F.col("meta.cwd").alias("directory"), F.coalesce(F.col("meta.at"), first_time(), F.lit(0)).cast("bigint").alias("started_at"),
+        F.col("modified_ms").alias("updated_at"), F.lit(None).cast("string").alias("entrypoint"), F.xxhash64("path").alias("listing"), "messages",
     )
 
 
+def scan_changed(spark: SparkSession, root: str, stored: DataFrame | None = None, cutoff_ms: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(raw sessions, counts of what was pruned) of the files that stored sessions and the cutoff leave."""
+    files, counts = scan_files(spark, folders(root), listing(spark, root), stored, cutoff_ms)
+    return parse(files), counts
+
+
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    found = listing(spark, root)
-    content = None
-    for folder in ("sessions", "archived_sessions"):
-        for pattern in ("*.jsonl", "*.json"):
-            part = read_all(spark, f"{root}/{folder}", pattern, recursive=True).select("path", "content")
-            content = part if content is None else content.unionByName(part)
-    return parse(content.join(found.select("path"), "path", "left_semi"))
+    return scan_changed(spark, root)[0]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import variant as V
 from colloquy.functions.text import rfc3339_ms, trim
-from colloquy.sources.files import argument_text, assemble, first_time, joined, json_lines, last_time, list_files, named, parent_of, read_all
+from colloquy.sources.files import Folder, argument_text, assemble, first_time, joined, json_lines, list_files, named, parent_of, prune, pruned, read_all, read_files
 
 SOURCE = "copilot-cli"
 #: Lines in which the id of a session is looked for before its log is read.
@@ -15,15 +15,24 @@ PEEK = 16
 
 
 def peek_id(files: DataFrame) -> DataFrame:
-    """(path, source_id): the id of the first session start within the first lines, else the folder's name."""
-    lines = json_lines(files.select("path", "content")).where(F.col("line_no") < PEEK)
-    v = F.col("v")
-    found = lines.where((V.string(v, "$.type") == "session.start") & V.string(v, "$.data.sessionId").isNotNull()).groupBy("path").agg(F.min_by(V.string(v, "$.data.sessionId"), "line_no").alias("id"))
-    return files.select("path").join(found, "path", "left").select("path", F.coalesce("id", parent_of()).alias("source_id"))
+    """(path, source_id): the id of the first session start, if it stands within the first lines and has one, else the folder's name."""
+    return files.select("path", _peeked().alias("source_id"))
+
+
+def _peeked() -> Column:
+    """The id by which a file's session is known, from its first lines alone."""
+    values = F.transform(F.slice(F.split("content", "\n", PEEK + 1), 1, PEEK), lambda line: V.parse(trim(line)))
+    starts = F.filter(values, lambda v: V.string(v, "$.type") == "session.start")
+    return F.coalesce(V.string(F.get(starts, 0), "$.data.sessionId"), parent_of())
+
+
+def folders(root: str) -> list[Folder]:
+    return [Folder(f"{root}/*", "events.jsonl")]
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    return list_files(spark, f"{root}/*", "events.jsonl")
+    """(path, modified_ms) of logs; their ids stand inside."""
+    return list_files(spark, folders(root))
 
 
 def request_text(requests: Column) -> Column:
@@ -31,8 +40,9 @@ def request_text(requests: Column) -> Column:
 
 
 def parse(files: DataFrame) -> DataFrame:
-    """Raw sessions of files (path, content). A finished tool has the name of the latest start before it with its id, else "tool"."""
-    lines = json_lines(files.select("path", "content"))
+    """Raw sessions of files (path, modified_ms, content), known by their first lines' id, updated when the file was. A finished tool has the name of the latest start before it with its id, else "tool"."""
+    by = ["path", "modified_ms", "source_id"]
+    lines = json_lines(files.select("path", "modified_ms", _peeked().alias("source_id"), "content"))
     v = F.col("v")
     kind = V.string(v, "$.type")
     text = lambda c: trim(F.coalesce(c, F.lit("")))
@@ -40,23 +50,36 @@ def parse(files: DataFrame) -> DataFrame:
     result = text(F.coalesce(V.string(v, "$.data.result.detailedContent"), V.string(v, "$.data.result.content")))
     call = F.coalesce(V.string(v, "$.data.toolCallId"), F.concat(F.lit("\n"), "line_no"))  # without id: alone
     rows = lines.where(V.present(v, "$.data")).select(
-        "path", "line_no", kind.alias("kind"), rfc3339_ms(V.string(v, "$.timestamp")).alias("timestamp"), call.alias("call"), F.when(kind == "tool.execution_start", V.string(v, "$.data.toolName")).alias("started"), prose.alias("prose"),
-        request_text(V.get(v, "$.data.toolRequests")).alias("requests"), result.alias("result"), V.string(v, "$.data.sessionId").alias("id"), rfc3339_ms(V.string(v, "$.data.startTime")).alias("at"), V.string(v, "$.data.context.cwd").alias("cwd"),
+        *by, "line_no", kind.alias("kind"), rfc3339_ms(V.string(v, "$.timestamp")).alias("timestamp"), call.alias("call"), F.when(kind == "tool.execution_start", V.string(v, "$.data.toolName")).alias("started"), prose.alias("prose"),
+        request_text(V.get(v, "$.data.toolRequests")).alias("requests"), result.alias("result"), rfc3339_ms(V.string(v, "$.data.startTime")).alias("at"), V.string(v, "$.data.context.cwd").alias("cwd"),
     )
     before = Window.partitionBy("path", "call").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     tool = rows.where(F.col("kind").isin("tool.execution_start", "tool.execution_complete")).withColumn("tool", F.coalesce(F.last("started", ignorenulls=True).over(before), F.lit("tool")))
-    done = tool.where((F.col("kind") == "tool.execution_complete") & (F.col("result") != "")).select("path", "line_no", F.lit("assistant").alias("role"), F.concat(F.lit("["), "tool", F.lit("] "), "result").alias("content"), "timestamp")
+    done = tool.where((F.col("kind") == "tool.execution_complete") & (F.col("result") != "")).select(*by, "line_no", F.lit("assistant").alias("role"), F.concat(F.lit("["), "tool", F.lit("] "), "result").alias("content"), "timestamp")
     spoken = rows.where(F.col("kind").isin("user.message", "assistant.message")).select(
-        "path", "line_no", F.when(F.col("kind") == "user.message", "user").otherwise("assistant").alias("role"),
+        *by, "line_no", F.when(F.col("kind") == "user.message", "user").otherwise("assistant").alias("role"),
         F.concat_ws("\n", F.when(F.col("prose") != "", F.col("prose")), F.when((F.col("kind") == "assistant.message") & (F.col("requests") != ""), F.col("requests"))).alias("content"), "timestamp",
     ).where(F.col("content") != "")
-    meta = rows.where(F.col("kind") == "session.start").groupBy("path").agg(F.max_by(F.struct("id", "at", "cwd"), "line_no").alias("meta"))
-    sessions = assemble(spoken.unionByName(done), ["path"], ["line_no"]).join(meta, "path", "left")
+    meta = rows.where(F.col("kind") == "session.start").groupBy("path").agg(F.max_by(F.struct("at", "cwd"), "line_no").alias("meta"))
+    sessions = assemble(spoken.unionByName(done), by, ["line_no"]).join(meta, "path", "left")
     return sessions.select(
-        F.lit(SOURCE).alias("source"), F.coalesce("meta.id", parent_of()).alias("source_id"), F.col("meta.cwd").alias("directory"), F.coalesce(F.col("meta.at"), first_time(), F.lit(0)).cast("bigint").alias("started_at"), last_time().alias("updated_at"),
+        F.lit(SOURCE).alias("source"), "source_id", F.col("meta.cwd").alias("directory"), F.coalesce(F.col("meta.at"), first_time(), F.lit(0)).cast("bigint").alias("started_at"), F.col("modified_ms").alias("updated_at"),
         F.lit(None).cast("string").alias("entrypoint"), F.xxhash64("path").alias("listing"), "messages",
     )
 
 
+def scan_changed(spark: SparkSession, root: str, stored: DataFrame | None = None, cutoff_ms: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(raw sessions, counts of what was pruned). Files older than the cutoff are not opened; of the others the ids stand in the first lines, so
+    those of unchanged sessions are opened but not parsed."""
+    if stored is None:
+        return parse(read_all(spark, folders(root))), None
+    found = listing(spark, root)
+    young = found if cutoff_ms is None else found.where(F.col("modified_ms") >= cutoff_ms)
+    files = read_files(spark, young) if cutoff_ms is not None else read_all(spark, folders(root))
+    marked = prune(files.select("path", "modified_ms", _peeked().alias("source_id")), stored)
+    old = found.where(F.lit(False) if cutoff_ms is None else F.col("modified_ms") < cutoff_ms).agg(F.count("*").alias("sessions")).where("sessions > 0").select(F.lit("filtered").alias("action"), "sessions")
+    return parse(files.join(marked.where("scan = 'parse'").select("path"), "path", "left_semi")), pruned(marked).unionByName(old)
+
+
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    return parse(read_all(spark, f"{root}/*", "events.jsonl"))
+    return scan_changed(spark, root)[0]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import variant as V
 from colloquy.functions.text import trim
-from colloquy.sources.files import assemble, joined, json_lines, list_files, read_all, stem_of
+from colloquy.sources.files import Folder, assemble, joined, json_lines, list_files, scan_files, stem_of
 
 SOURCE = "cursor"
 # Keys of the table.
@@ -15,9 +15,13 @@ PROJECTS, MEMBERSHIP = "glass.localAgentProjects.v1", "glass.localAgentProjectMe
 TRANSCRIPT = r"/agent-transcripts/([^/]+)/\1\.jsonl$"
 
 
+def folders(root: str) -> list[Folder]:
+    return [Folder(root, "*.jsonl", recursive=True)]
+
+
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """Transcripts whose file is named as its folder, under agent-transcripts."""
-    return list_files(spark, root, "*.jsonl", recursive=True).where(F.col("path").rlike(TRANSCRIPT)).withColumn("source_id", stem_of())
+    return list_files(spark, folders(root)).where(F.col("path").rlike(TRANSCRIPT)).withColumn("source_id", stem_of())
 
 
 def directories(items: DataFrame) -> DataFrame:
@@ -59,6 +63,11 @@ def parse(files: DataFrame, folders: DataFrame | None = None) -> DataFrame:
     )
 
 
+def scan_changed(spark: SparkSession, root: str, stored: DataFrame | None = None, cutoff_ms: int | None = None, items: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(raw sessions, counts of what was pruned) of the files that stored sessions and the cutoff leave; items: the key-value table."""
+    files, counts = scan_files(spark, folders(root), listing(spark, root), stored, cutoff_ms)
+    return parse(files, directories(items) if items is not None else None), counts
+
+
 def scan(spark: SparkSession, root: str, items: DataFrame | None = None) -> DataFrame:
-    found = read_all(spark, root, "*.jsonl", recursive=True).where(F.col("path").rlike(TRANSCRIPT))
-    return parse(found, directories(items) if items is not None else None)
+    return scan_changed(spark, root, items=items)[0]

@@ -1,9 +1,14 @@
 """Listing and reading of session files.
 
-A listing reads paths and times only. What a listing prunes is never opened."""
+A listing reads paths and times only. What a listing prunes is never opened: files that survive are read by their paths."""
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+from functools import reduce
+from itertools import islice
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,14 +16,48 @@ from colloquy.functions import variant as V
 from colloquy.functions.text import trim
 
 RAW_MESSAGE = "struct<role:string,content:string,timestamp:bigint>"
+LISTED = "path string, modified_ms bigint"
+#: Paths that one read names.
+PATHS = 10_000
+
+
+@dataclass(frozen=True)
+class Folder:
+    """Files of a name under a path, which may be a glob."""
+
+    path: str
+    pattern: str
+    recursive: bool = False
+
+
+def is_there(spark: SparkSession, path: str) -> bool:
+    """Whether a path, or anything that a glob stands for, exists."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
+
+
+def _reader(spark: SparkSession):
+    return spark.read.format("binaryFile").option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true")
+
+
+def _load(spark: SparkSession, folders: list[Folder], columns: list[Column], schema: str) -> DataFrame:
+    """Columns of all files of the folders; a folder that is not there holds none."""
+    parts = []
+    for f in folders:
+        if is_there(spark, f.path):
+            reader = _reader(spark).option("pathGlobFilter", f.pattern)
+            parts.append((reader.option("recursiveFileLookup", "true") if f.recursive else reader).load(f.path).select(*columns))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
-def list_files(spark: SparkSession, path: str, pattern: str, recursive: bool = False) -> DataFrame:
+def _times() -> list[Column]:
+    return [F.col("path"), F.unix_millis("modificationTime").alias("modified_ms")]
+
+
+def list_files(spark: SparkSession, folders: list[Folder]) -> DataFrame:
     """(path, modified_ms) of files; no content is read."""
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("ignoreMissingFiles", "true")
-    if recursive:
-        reader = reader.option("recursiveFileLookup", "true")
-    return reader.load(path).select("path", F.unix_millis("modificationTime").alias("modified_ms"))
+    return _load(spark, folders, _times(), LISTED)
 
 
 def name_of(path: str | Column = "path") -> Column:
@@ -41,25 +80,40 @@ def prune(listing: DataFrame, stored: DataFrame, cutoff_ms: int | None = None) -
     return listing.join(known, "source_id", "left").withColumn("scan", todo).drop("stored_at")
 
 
-def read_files(spark: SparkSession, listing: DataFrame, path: str, pattern: str, recursive: bool = False) -> DataFrame:
-    """(path, modified_ms, content) of listed files that are valid UTF-8. A bad file is left out whole and the scan goes on.
+def _texts() -> list[Column]:
+    return [*_times(), F.col("content").cast("string").alias("content")]
+
 
-    The listing joins the files' paths, so that content of others is dropped before anything else is done with it."""
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("ignoreMissingFiles", "true")
-    if recursive:
-        reader = reader.option("recursiveFileLookup", "true")
-    found = reader.load(path).select("path", F.unix_millis("modificationTime").alias("modified_ms"), F.col("content").cast("string").alias("content"))
-    return found.join(listing.select("path"), "path", "left_semi").where(F.is_valid_utf8("content"))
+def read_all(spark: SparkSession, folders: list[Folder]) -> DataFrame:
+    """(path, modified_ms, content) of all files that are valid UTF-8. A bad file is left out whole and the scan goes on."""
+    return _load(spark, folders, _texts(), f"{LISTED}, content string").where(F.is_valid_utf8("content"))
 
 
-def read_all(spark: SparkSession, path: str, pattern: str, recursive: bool = False) -> DataFrame:
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("ignoreMissingFiles", "true")
-    if recursive:
-        reader = reader.option("recursiveFileLookup", "true")
-    found = reader.load(path).select("path", F.unix_millis("modificationTime").alias("modified_ms"), F.col("content").cast("string").alias("content"))
+def read_files(spark: SparkSession, listing: DataFrame, paths: int = PATHS) -> DataFrame:
+    """The same of listed files alone, read by their paths, so many paths a read: no other file is opened."""
+    names = (re.sub(r"([\\*?\[\]{}])", r"\\\1", r["path"]) for r in listing.select("path").toLocalIterator())
+    parts = []
+    while some := list(islice(names, paths)):
+        parts.append(_reader(spark).load(some).select(*_texts()))
+    found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], f"{LISTED}, content string")
     return found.where(F.is_valid_utf8("content"))
 
 
+def scan_files(spark: SparkSession, folders: list[Folder], listing: DataFrame, stored: DataFrame | None = None, cutoff_ms: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(files with content and the listing's columns, (action, sessions) of what was pruned): all files, or with stored sessions those that prune() leaves."""
+    keep = [c for c in listing.columns if c != "modified_ms"]
+    if stored is None:
+        return read_all(spark, folders).join(listing.select(*keep), "path"), None
+    marked = prune(listing, stored, cutoff_ms)
+    left = marked.where("scan = 'parse'")
+    return read_files(spark, left).join(left.select(*keep), "path"), pruned(marked)
+
+
+def pruned(marked: DataFrame) -> DataFrame:
+    """(action, sessions) of a listing's files that are not parsed."""
+    return marked.where("scan <> 'parse'").groupBy(F.when(F.col("scan") == "skipped", "unchanged").otherwise(F.col("scan")).alias("action")).agg(F.count("*").alias("sessions"))
+
+
 def json_lines(files: DataFrame) -> DataFrame:
     """The files' lines that are JSON: all columns but the content, with line number and value."""
     keep = [c for c in files.columns if c != "content"]
@@ -90,7 +144,3 @@ def assemble(messages: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 
 def first_time() -> Column:
     return F.get("messages", 0)["timestamp"]
-
-
-def last_time() -> Column:
-    return F.element_at("messages", -1)["timestamp"]

@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import variant as V
 from colloquy.functions.text import rfc3339_ms, trim
-from colloquy.sources.files import argument_text, assemble, joined, list_files, named, parent_of, read_all, stem_of
+from colloquy.sources.files import Folder, argument_text, assemble, joined, list_files, named, parent_of, read_all, stem_of
 
 SOURCE = "gemini-cli"
 
 
+def folders(root: str) -> list[Folder]:
+    return [Folder(root, "*.json", recursive=True)]
+
+
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    return list_files(spark, root, "*.json", recursive=True).where(parent_of() == "chats").withColumn("source_id", stem_of())
+    return list_files(spark, folders(root)).where(parent_of() == "chats").withColumn("source_id", stem_of())
 
 
 def tool_text(calls: Column) -> Column:
@@ -43,4 +47,4 @@ def parse(files: DataFrame) -> DataFrame:
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    return parse(read_all(spark, root, "*.json", recursive=True).where(parent_of() == "chats"))
+    return parse(read_all(spark, folders(root)).where(parent_of() == "chats"))

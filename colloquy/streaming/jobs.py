@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from colloquy.operators.embed import embed_pending, upsert_vectors
-from colloquy.operators.sync import MESSAGE_SCHEMA, SESSION_SCHEMA, Store, sync
+from colloquy.operators.embed import embed_pending
+from colloquy.operators.sync import MESSAGE_SCHEMA, SESSION_SCHEMA, VECTOR_SCHEMA, Store, sync
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
-VECTOR_SCHEMA = "message_id bigint, embedding array<float>"
 
 
 def sync_stream(spark: SparkSession, path: str, pattern: str, parse: Callable[[DataFrame], DataFrame], store: Store, checkpoint: str, **options) -> StreamingQuery:
@@ -23,8 +22,9 @@ def sync_stream(spark: SparkSession, path: str, pattern: str, parse: Callable[[D
 
 
 def embed_run(store: Store, encoder=None) -> None:
-    """Embed all that is pending, once: vectors are written and failures appended; nothing is marked or locked, since the run owns its work."""
+    """Embed all that is pending, once: each text is encoded once, vectors and failures are appended in one version."""
     sessions, messages, vectors = store.read("sessions", SESSION_SCHEMA), store.read("messages", MESSAGE_SCHEMA), store.read("vectors", VECTOR_SCHEMA)
-    new, failed = embed_pending(sessions, messages, vectors, encoder)
-    store.write({"vectors": upsert_vectors(vectors, new)})
-    store.append("failures", failed)
+    done, path = store.aside(embed_pending(sessions, messages, vectors, encoder))
+    good, bad = done.where(F.col("error").isNull()), done.where(F.col("error").isNotNull())
+    store.append({"vectors": good.select("message_id", "embedding", store.bucket("session_id").alias("bucket")), "failures": bad.select("session_id", "message_id", "error")})
+    store.discard(path)

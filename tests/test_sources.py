@@ -1,4 +1,6 @@
 import json
+import os
+import time
 
 import pytest
 
@@ -43,9 +45,10 @@ def test_codex(spark, tmp_path):
     put(tmp_path, "sessions/notes.jsonl", lines({"type": "event_msg", "payload": {"type": "user_message", "message": "q"}}))
     put(tmp_path, f"archived_sessions/r-{UUID[:-1]}1.jsonl", b"\xff\xfe\xfd\xfc")
     found = codex.scan(spark, str(tmp_path))
-    assert said(found) == {"id-1": [("user", "q", 1704067201000), ("assistant", "a\n[f] {}\no", 1704067202000)]}
+    assert said(found) == {UUID: [("user", "q", 1704067201000), ("assistant", "a\n[f] {}\no", 1704067202000)]}
     row = found.first()
-    assert (row["directory"], row["started_at"], row["updated_at"]) == (None, 1704067200000, 1704067202000)
+    modified = int((tmp_path / f"sessions/2024/01/rollout-2024-{UUID}.jsonl").stat().st_mtime_ns // 10**6)
+    assert (row["directory"], row["started_at"], row["updated_at"]) == (None, 1704067200000, modified)
 
 
 def test_opencode(spark):
@@ -88,8 +91,9 @@ def test_copilot(spark, tmp_path):
     put(tmp_path, "dir3/other.txt", "x")
     found = copilot.scan(spark, str(tmp_path))
     assert {k: [m[1] for m in v] for k, v in said(found).items()} == {"c": ["q", 'a\n[sh] {"c":"ls"}', "[tool] early", "[sh] long", "[tool] x"], "dir2": ["q"]}
-    files = spark.createDataFrame([("/a/dir9/events.jsonl", lines(*["{}"] * 16, {"type": "session.start", "data": {"sessionId": "late"}})), ("/a/dir8/events.jsonl", events)], "path string, content string")
-    assert dict(map(tuple, copilot.peek_id(files).collect())) == {"/a/dir9/events.jsonl": "dir9", "/a/dir8/events.jsonl": "c"}
+    assert {r["updated_at"] for r in found.collect()} == {int(f.stat().st_mtime_ns // 10**6) for f in tmp_path.glob("*/events.jsonl")}
+    files = spark.createDataFrame([("/a/dir9/events.jsonl", lines(*["{}"] * 16, {"type": "session.start", "data": {"sessionId": "late"}})), ("/a/dir8/events.jsonl", events), ("/a/dir7/events.jsonl", lines({"type": "session.start", "data": {}}, {"type": "session.start", "data": {"sessionId": "second"}}))], "path string, content string")
+    assert dict(map(tuple, copilot.peek_id(files).collect())) == {"/a/dir9/events.jsonl": "dir9", "/a/dir8/events.jsonl": "c", "/a/dir7/events.jsonl": "dir7"}
 
 
 def test_cursor(spark, tmp_path):
@@ -119,6 +123,58 @@ def test_listing_reads_no_content(spark, tmp_path):
     assert "content:binary" not in plan and "modificationTime" in plan
 
 
+def message(text):
+    return {"type": "event_msg", "payload": {"type": "user_message", "message": text}}
+
+
+def rollout(n):
+    return f"sessions/rollout-x-{UUID[:-2]}{n:02d}.jsonl"
+
+
+def roots(path):
+    return {"codex": f"{path}/codex", "claude-code": f"{path}/cc", "gemini-cli": f"{path}/gem", "copilot-cli": f"{path}/cpl", "cursor": (f"{path}/cur", None)}
+
+
+def test_absent_folders_hold_no_sessions(spark, tmp_path):
+    from colloquy.sources.every import scan_all
+
+    raw, counts = scan_all(spark, roots(tmp_path))
+    assert raw.count() == 0 and counts.count() == 0
+    put(tmp_path, f"codex/{rollout(0)}", lines(message("q")))  # no archive beside it
+    assert scan_all(spark, roots(tmp_path))[0].count() == 1
+    assert scan_all(spark, roots(tmp_path), enabled=["cursor"])[0].count() == 0
+
+
+def test_sync_opens_changed_files_alone(spark, tmp_path):
+    from colloquy.sources.every import sync_sources
+
+    store = sync.Store(spark, str(tmp_path / "store"))
+    count = lambda d: {r["action"]: (r["sessions"], r["messages"]) for r in d.collect()}
+    run = lambda **k: count(sync_sources(spark, roots(tmp_path), store, **k))
+    for n in range(3):
+        put(tmp_path, f"codex/{rollout(n)}", lines(message(f"m{n}")))
+    put(tmp_path, "cc/projects/-p/[odd] name {1}.jsonl", lines({"type": "user", "message": {"content": "hello"}}))
+    put(tmp_path, "cpl/d/events.jsonl", lines({"type": "user.message", "data": {"content": "q"}}))
+    assert run() == {"new": (5, 5)}
+    assert run() == {"unchanged": (5, 0)}
+    # a file of which nothing changed by its time is not opened, even if its content could not be read
+    path = tmp_path / "codex" / rollout(0)
+    at = path.stat().st_mtime_ns
+    path.write_bytes(b"x" * 5000)
+    os.utime(path, ns=(at, at))
+    put(tmp_path, f"codex/{rollout(1)}", lines(message("m1"), message("more")))
+    put(tmp_path, "cc/projects/-p/[odd] name {1}.jsonl", lines({"type": "user", "message": {"content": "again"}}))
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        assert run() == {"updated": (2, 3), "unchanged": (3, 0)}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    said_now = {r["content"] for r in store.read("messages", sync.MESSAGE_SCHEMA).collect()}
+    assert said_now == {"m0", "m1", "more", "m2", "again", "q"}
+    late = int(time.time() * 1000) + 10**7
+    assert run(cutoff_ms=late) == {"filtered": (5, 0)}
+
+
 @pytest.mark.parametrize("name, ok", [(f"/a/rollout-x-{UUID}.jsonl", True), (f"/a/{UUID}.jsonl", False), ("/a/notes.jsonl", False)])
 def test_codex_names(spark, name, ok):
     got = spark.createDataFrame([(name,)], "path string").select(codex.file_id().alias("i")).first()["i"]

@@ -15,6 +15,11 @@ def actions(planned):
     return {r["source_id"]: r["action"] for r in planned.collect()}
 
 
+def followed(planned):
+    """(action, stands) of a key's entries in their order."""
+    return [(r["action"], r["stands"]) for r in sorted(planned.collect(), key=lambda r: r["listing"])]
+
+
 def stored(spark, *rows):
     return spark.createDataFrame([(f"x-{i}", "codex", i, "t", None, 1000, u, n, None) for i, u, n in rows], sync.SESSION_SCHEMA)
 
@@ -41,6 +46,64 @@ def test_the_last_differing_entry_wins(spark):
     assert sync.last_entry(rows).first()["messages"][0]["content"] == "w"
 
 
+def test_entries_are_compared_with_what_is_kept(spark):
+    one = lambda *rows: raw(spark, *[("a", u, texts, n) for n, (u, texts) in enumerate(rows)])
+    # the third has the time of the first, which is kept: the second has none
+    assert sync.last_differing(one((1, ["x"]), (None, ["y"]), (1, ["z"]))).first()["messages"][0]["content"] == "x"
+    assert followed(sync.plan(one((1, ["x"]), (None, ["y"]), (1, ["z"])), stored(spark))) == [("new", True), ("unchanged", False), ("unchanged", False)]
+    # what is stored changes and changes back: the last is written
+    assert followed(sync.plan(one((6, ["x"]), (5, ["y"])), stored(spark, ("a", 5, 1)))) == [("updated", False), ("updated", True)]
+    # entries outside the window count for nothing
+    assert followed(sync.plan(one((900, ["x"]), (2, ["y"])), stored(spark), cutoff_ms=500)) == [("new", True), ("filtered", False)]
+    assert followed(sync.plan(one((5, ["x"]), (5, ["y"])), stored(spark, ("a", 5, 1)), force=True)) == [("reprocessed", False), ("reprocessed", True)]
+
+
+def test_vectors_of_replaced_messages_go_with_them(spark, tmp_path):
+    store = sync.Store(spark, str(tmp_path))
+    sync.sync(raw(spark, ("a", 1, ["first text"], 0), ("b", 1, ["other text"], 1)), store)
+    jobs.embed_run(store)
+    before = {r["message_id"]: r["embedding"] for r in store.read("vectors", jobs.VECTOR_SCHEMA).collect()}
+    sync.sync(raw(spark, ("a", 2, ["second words"], 0)), store)
+    left = {r["message_id"] for r in store.read("vectors", jobs.VECTOR_SCHEMA).collect()}
+    changed = (set(before) - left).pop()
+    assert len(before) == 2 and len(left) == 1
+    jobs.embed_run(store)
+    after = {r["message_id"]: r["embedding"] for r in store.read("vectors", jobs.VECTOR_SCHEMA).collect()}
+    assert after.keys() == before.keys() and after[changed] != before[changed]
+
+
+def test_a_run_writes_touched_buckets_alone(spark, tmp_path):
+    store = sync.Store(spark, str(tmp_path), buckets=8)
+    sync.sync(raw(spark, *[(f"s{i}", 1, ["m"], i) for i in range(40)]), store)
+    before = store.manifest()[1]["tables"]
+    sync.sync(raw(spark, ("s3", 2, ["new"], 0)), store)
+    number, held = store.manifest()
+    differs = lambda t: [b for b in before[t] if before[t][b] != held["tables"][t].get(b)]
+    assert number == 2 and differs("sessions") == differs("messages") and len(differs("sessions")) == 1 and len(before["sessions"]) == 8
+    assert store.read("sessions", sync.SESSION_SCHEMA).count() == 40 and sync.Store(spark, str(tmp_path)).buckets == 8
+    sync.sync(raw(spark, ("s3", 2, ["new"], 0)), store)
+    assert store.manifest()[0] == 2  # nothing changed, nothing written
+    with pytest.raises(RuntimeError):
+        store._commit(1, held["tables"])
+
+
+def test_appends_are_gathered(spark, tmp_path):
+    store = sync.Store(spark, str(tmp_path))
+    for i in range(store.PARTS + 3):
+        sync.append_job_phase(store, "sync", "scan", None, i)
+    assert len(store.manifest()[1]["tables"]["job_log"]["0"]) == 3
+    assert store.read("job_log", sync.JOB_SCHEMA).count() == store.PARTS + 3
+
+
+def test_claimed_sessions_are_in_work(spark):
+    sessions = stored(spark, ("a", 5, 1), ("b", 9, 1), ("c", 7, 1))
+    state = spark.createDataFrame([("x-a", 2, "pending", None), ("x-b", 1, "failed", "e"), ("x-c", 3, "pending", "old")], "session_id string, units_total int, status string, last_error string")
+    taken, after = stats.claim(sessions, state, 1)
+    assert [tuple(r) for r in taken.collect()] == [("x-c", "t", 3)]
+    assert {r["session_id"]: (r["status"], r["last_error"]) for r in after.collect()} == {"x-a": ("pending", None), "x-b": ("failed", "e"), "x-c": ("processing", None)}
+    assert stats.is_embedded(after) and not stats.is_embedded(state)
+
+
 def test_runs_are_idempotent_and_nothing_is_deleted(spark, tmp_path):
     store = sync.Store(spark, str(tmp_path))
     count = lambda d: {r["action"]: r["sessions"] for r in d.collect()}
