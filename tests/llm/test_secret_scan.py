@@ -58,6 +58,27 @@ def test_redaction(spark, docs_of):
     assert sorted((str(r["doc_id"]), str(r["text"]), r["n_chars"]) for r in got.collect()) == sorted([("1", "é [assign] and [access].", 24), ("2", "None", 0), ("3", "clean", 5), ("3", "clean", 5), ("None", "[assign]!", 9)])
 
 
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, f"token = {HEX}", "a", "keep", "x", 7), (2, "clean", "a", "me", "y", 8)], "doc_id bigint, text string, source string, _row string, spans string, row int")
+    got = ss.redact(docs)
+    assert got.dtypes == docs.dtypes and sorted(tuple(r)[1:] for r in got.collect()) == [("[assign]", "a", "keep", "x", 7), ("clean", "a", "me", "y", 8)]
+
+
+def test_both_counts_tell_examples(spark):
+    value = "ghp_" + "aB3" * 12
+    docs = spark.createDataFrame([(i, f"v {value}", "one owner", f"repo{i}") for i in range(10)], "doc_id bigint, text string, source string, repo string")
+    few, many = (ss.find_secrets(d, repository="repo") for d in (docs.limit(5), docs))
+    assert {r["spans"] for r in few.collect()} == {"live:2:42"} and {(r["spans"], r["most_repositories"]) for r in many.collect()} == {("", 0)}
+
+
+def test_candidates_of_a_long_text_take_linear_time():
+    import time
+
+    one = "".join(f"x ghp_{'aB3' * 12}{i:06d} " for i in range(20_000)).encode()
+    at = time.process_time()
+    assert len(ss.scan_text(one)) == 20_000 and time.process_time() - at < 5
+
+
 def test_empty_table(spark, docs_of):
     empty = docs_of([(1, "x")]).limit(0)
     assert ss.find_secrets(empty).count() == 0 and ss.redact(empty).count() == 0
