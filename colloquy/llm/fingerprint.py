@@ -2,11 +2,13 @@
 
 Words (runs without white space) are hashed, every run of K words has a rolling hash, and of each window of W such hashes the
 smallest is kept, the rightmost among equals; a hash kept by several windows counts once. Kept hashes carry the place of their first
-word. Any run of W + K - 1 words that two texts share gives both a common hash. In texts that hardly use white space (over 40 code
-points a word), words are pieces of up to 16 code points.
+word. Any run of W + K - 1 words that two texts share gives both a common hash. A run without white space of more than LONGEST code
+points (scripts without spaces, encoded data) counts as a word for each code point, so the same holds within it.
 
 Texts of fewer than K words have one hash of all their words; null, empty and blank texts have an empty fingerprint. Two empty
-fingerprints are alike (1.0), an empty and any other are not (0.0). Equal texts have equal fingerprints; repeated rows stay.
+fingerprints are alike (1.0), an empty and any other are not (0.0). Equal texts have equal fingerprints; repeated rows stay, each with a
+result of its own. Rows of one key follow one another by a hash of their text, so a key that many rows share stands in many tasks. A
+null key comes last. Columns of any name pass by; an empty table gives no rows; texts of up to 2 ** PLACE_BITS words are fingerprinted whole.
 """
 
 from __future__ import annotations
@@ -16,9 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 
-K, W = 5, 8
-#: Rows that stand together while each finds the one after it.
-BUCKET_ROWS, COARSE, MOST_BUCKETS = 1500, 512, 1 << 18
+K, W, LONGEST = 5, 8, 32
+#: Rows that stand together while each finds the one after it, buckets in a coarse step, most buckets, and rows looked at to place a bucket's edge.
+BUCKET_ROWS, COARSE, MOST_BUCKETS, PER_BUCKET = 1500, 512, 1 << 16, 8
 #: Bits of the hash that are compared in a window, before those of the place.
 PLACE_BITS = 27
 
@@ -26,10 +28,10 @@ PLACE_BITS = 27
 def add_fingerprint(df: DataFrame, text: str, hashes: str, places: str, k: int = K, w: int = W) -> DataFrame:
     """df with the kept hashes of text and the places of their first words."""
     keep = list(df.columns)
-    split = F.array_remove(F.split(text, r"[\t-\r ]+"), "")
-    words = df.select("*", split.alias("_split")).select(
-        *keep, F.when(F.length(text) > 40 * F.greatest(F.size("_split"), F.lit(1)), F.regexp_extract_all(text, F.lit(r"(\S{1,16})"), F.lit(1))).otherwise(F.col("_split")).alias("_words")
-    )
+    runs = F.array_remove(F.split(text, r"[\t-\r ]+"), "")
+    long = F.exists("_runs", lambda x: F.length(x) > LONGEST)
+    each = F.flatten(F.transform("_runs", lambda x: F.when(F.length(x) > LONGEST, F.array_remove(F.split(x, ""), "")).otherwise(F.array(x))))
+    words = df.select("*", runs.alias("_runs")).select(*keep, F.when(long, each).otherwise(F.col("_runs")).alias("_words"))
     hashed = words.select(*keep, F.transform("_words", lambda x: F.xxhash64(x)).alias("_h"))
     grams = hashed.select(*keep, F.transform(F.slice("_h", 1, F.greatest(F.size("_h") - (k - 1), F.lit(1))), lambda x, i: F.xxhash64(x, *[F.get("_h", i + j) for j in range(1, k)])).alias("_g"))
     last = (1 << PLACE_BITS) - 1
@@ -58,25 +60,32 @@ def likeness(a: str, b: str) -> Column:
 
 
 def with_next(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """df with next_<column>: each row's values of the row after it by descending key (equal keys by the first column), the first after the last.
+    """df with next_<column>: each row's values of the row after it by descending key (equal keys by a hash of the first column), the first after the last.
 
-    Rows stand in buckets of neighbouring keys. The first key of each bucket also stands, as a guest, at the end of the bucket
-    before it, so that no window crosses buckets; a null key comes last."""
-    low = F.coalesce(F.col(key).cast("bigint"), F.lit(-(2**63)))
-    keys = df.select(low.alias("k"))
-    n, top = keys.agg(F.count("*"), F.max("k")).first()
+    Rows stand in buckets of neighbours, whose edges are rows of a sample by hash. The first row of each bucket also stands, as a
+    guest, at the end of the bucket before it, so that no window crosses buckets; a null key comes last."""
+    place = F.struct(F.coalesce(F.col(key).cast("bigint"), F.lit(-(2**63))).alias("k"), F.xxhash64(columns[0]).alias("h"))
+    placed = df.withColumn("_k", place)
+    n, top = placed.agg(F.count("*"), F.max("_k")).first()
     buckets = max(1, min(MOST_BUCKETS, n // BUCKET_ROWS))
-    cuts = keys.agg(F.percentile_approx("k", [i / buckets for i in range(1, buckets)], max(10_000, 4 * buckets))).first()[0] if buckets > 1 else []
-    edges = sorted({top if top is not None else 0, *cuts}, reverse=True)
-    array = lambda v: F.split(F.lit(",".join(map(str, v))), ",").cast("array<bigint>")
+    edges = [tuple(top) if top else (0, 0)]
+    if buckets > 1:
+        every = max(1, n // (PER_BUCKET * buckets))
+        seen = sorted({tuple(r["_k"]) for r in placed.select("_k").where(F.pmod(F.xxhash64("_k"), F.lit(every)) == 0).collect()}, reverse=True)  # some PER_BUCKET x MOST_BUCKETS pairs at most
+        edges = sorted({edges[0], *seen[PER_BUCKET // 2 :: PER_BUCKET]}, reverse=True)
+
+    def array(some: list) -> Column:
+        parts = [F.split(F.lit(",".join(str(x[i]) for x in some)), ",").cast("array<bigint>") for i in (0, 1)]
+        return F.zip_with(*parts, lambda k, h: F.struct(k.alias("k"), h.alias("h")))
+
     over = lambda a: F.size(F.filter(a, lambda b: b >= F.col("_k")))
     coarse = over(array(edges[::COARSE])) - 1
-    placed = df.withColumn("_k", low).withColumn("_c", coarse).withColumn("_b", F.col("_c") * COARSE + over(F.slice(array(edges), F.col("_c") * COARSE + 1, COARSE)) - 1)
+    dealt = placed.withColumn("_c", coarse).withColumn("_b", F.col("_c") * COARSE + over(F.slice(array(edges), F.col("_c") * COARSE + 1, COARSE)) - 1)
     is_edge = F.array_contains(F.slice(array(edges), F.col("_b") + 1, 1), F.col("_k"))
     before = F.when(F.col("_b") == 0, len(edges) - 1).otherwise(F.col("_b") - 1)
     stays = F.struct(F.col("_b").alias("b"), F.lit(0).alias("guest"))
     guest = F.struct(before.alias("b"), F.lit(1).alias("guest"))
-    both = placed.withColumn("_at", F.explode(F.when(is_edge, F.array(stays, guest)).otherwise(F.array(stays))))
+    both = dealt.withColumn("_at", F.explode(F.when(is_edge, F.array(stays, guest)).otherwise(F.array(stays))))
     order = Window.partitionBy(F.col("_at.b")).orderBy(F.col("_at.guest"), F.col("_k").desc(), F.col(columns[0]))
     led = both.select(*df.columns, "_at", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
     return led.where(F.col("_at.guest") == 0).drop("_at")

@@ -7,8 +7,7 @@ from colloquy.llm import fingerprint as fp
 
 
 def words_of(text):
-    words = [w for w in re.split(r"[\t-\r ]+", text) if w]
-    return re.findall(r"\S{1,16}", text) if len(text) > 40 * max(1, len(words)) else words
+    return [x for w in re.split(r"[\t-\r ]+", text) if w for x in (w if len(w) > fp.LONGEST else [w])]
 
 
 def xx(spark, rows):
@@ -66,6 +65,27 @@ def test_a_shared_run_shares_a_hash(spark, docs_of):
     assert common
 
 
+def test_shifted_texts_without_spaces_share_hashes(spark, docs_of):
+    import random
+
+    random.seed(3)
+    base = "".join(random.choice("abcdefghij") for _ in range(3000))
+    rows = [(1, base), (2, "x" + base), (3, "some words before " + base[:1500] + "Z" + base[1500:])]
+    kept = [set(r["hs"]) for r in fp.add_fingerprint(docs_of(rows).orderBy("doc_id"), "text", "hs", "ps").select("hs").collect()]
+    assert all(len(kept[0] & other) > 0.9 * len(kept[0]) for other in kept[1:])
+
+
+def test_rows_of_one_key_stand_in_many_buckets(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(fp, "BUCKET_ROWS", 7)
+    rows = [(5, f"t{i}") for i in range(150)] + [(None, f"n{i}") for i in range(80)] + [(9, "first"), (1, "low")]
+    df = fp.with_next(docs_of(rows, 5).select("doc_id", "text"), "doc_id", ["text"])
+    got = {(r["doc_id"], r["text"]): r["next_text"] for r in df.collect()}
+    assert len(got) == len(rows) and sorted(got.values()) == sorted(t for _, t in rows)  # one ring
+    assert got[(9, "first")].startswith("t") and got[(1, "low")].startswith("n") and list(got.values()).count("first") == 1
+    sizes = df.groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in sizes) < 200
+
+
 def test_next_over_many_buckets(spark, docs_of, monkeypatch):
     monkeypatch.setattr(fp, "BUCKET_ROWS", 7)
     monkeypatch.setattr(fp, "COARSE", 4)
