@@ -2,14 +2,16 @@
 
 ``encode`` stores the UTF-8 bytes of a text, padded with 255 to a positive multiple of 576, as a greyscale baseline JPEG: each
 payload byte is the level of one 8 x 8 block, so it is the block's only (DC) coefficient and survives exactly. Blocks stand 24 to
-a row (a multiple of 24 for very long payloads, to stay under the format's 65,535 rows), with a restart marker after each 24.
+a row (a multiple of 24 for long payloads, to stay under the format's 65,535 rows), with a restart marker after each 24. A payload of
+more blocks than one image can hold (MOST) is stored as several images, one after the other.
 
 ``features`` parses any baseline JPEG's markers, Huffman-decodes its scan and rebuilds the DC-only luminance thumbnail. Restart
 segments of all images of a batch that share their tables are decoded in step, one symbol of every segment at a time, so the serial
 Huffman code runs on numpy vectors.
 
-Null and empty texts store one padded block row (576 bytes of 255). Equal texts give equal values. A stored value that is not a
-baseline JPEG gives null features.
+Null and empty texts store one padded block row (576 bytes of 255). Equal texts give equal values, repeated rows each their own. A
+stored value that is not a baseline JPEG gives null features. Columns of any name pass by; an empty table gives no rows. Texts of any
+length are stored whole; a worker's memory grows with the longest one.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import as_bytes, per_batch, read_table
 
 UNIT, SEGMENT, SLICE = 576, 24, 1 << 16
+#: Payload bytes of one image: 8,184 blocks across and 8,191 down are the format's limit.
+MOST = 8184 * 8191 // UNIT * UNIT
 
 # Fixed values of the JPEG standard (ITU-T T.81, table K.3): codes of each length 1..16, and their symbols.
 DC_BITS = [0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]
@@ -127,8 +131,14 @@ def _code_segments(samples: np.ndarray, markers: np.ndarray) -> tuple[bytes, np.
 
 
 def encode_texts(texts: list[bytes]) -> list[bytes]:
-    """A JPEG for each payload, all payloads coded together in slices of bounded size."""
+    """A JPEG for each payload (several in a row beyond MOST bytes), all payloads coded together in slices of bounded size."""
     padded = [t + b"\xff" * (-len(t) % UNIT or (0 if t else UNIT)) for t in texts]
+    each = [-(-len(p) // MOST) for p in padded]
+    images = iter(_encode_images([p[i : i + MOST] for p in padded for i in range(0, len(p), MOST)]))
+    return [b"".join([next(images) for _ in range(n)]) for n in each]
+
+
+def _encode_images(padded: list[bytes]) -> list[bytes]:
     shapes = [geometry(len(p)) for p in padded]
     padded = [p + b"\xff" * (a * d - len(p)) for p, (a, d) in zip(padded, shapes, strict=True)]
     rows = np.array([len(p) // SEGMENT for p in padded], np.int64)
@@ -143,6 +153,21 @@ def encode_texts(texts: list[bytes]) -> list[bytes]:
     return [header(*shape) + scan[a:b] for shape, a, b in zip(shapes, [0, *ends[:-1]], ends, strict=True)]
 
 
+def split_images(data: bytes) -> list[bytes]:
+    """The images of a stored value: each ends at the end marker of its scan."""
+    out, at = [], 0
+    while data[at : at + 2] == b"\xff\xd8":
+        try:
+            end = data.find(b"\xff\xd9", parse(data[at:])["scan"] + at)
+        except (NotBaseline, IndexError, struct.error):
+            break
+        if end < 0:
+            break
+        out.append(data[at : end + 2])
+        at = end + 2
+    return out if out and at == len(data) else [data]
+
+
 class NotBaseline(ValueError):
     """The bytes are no baseline JPEG."""
 
@@ -326,14 +351,18 @@ def features(df: DataFrame, key: str = "doc_id", media: str = "media", n_bytes:
     def run(batch: pa.RecordBatch) -> dict:
         images = [m or b"" for m in batch.column(2).to_pylist()]
         out: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")}
-        for size, image, thumb in zip(batch.column(1).to_pylist(), images, thumbnails(images), strict=True):
-            payload = None
+        parts = [split_images(m) for m in images]
+        found = iter(thumbnails([x for some in parts for x in some]))
+        for size, image, some in zip(batch.column(1).to_pylist(), images, parts, strict=True):
+            thumbs = [next(found) for _ in some]
+            payload, thumb = None, thumbs[0] if None not in thumbs else None
             if thumb is not None:
-                payload = thumb[2].tobytes()[: size + (-size % UNIT or (0 if size else UNIT))]
+                whole = size + (-size % UNIT or (0 if size else UNIT))
+                payload = b"".join([x[2].tobytes()[: min(MOST, max(0, whole - i * MOST))] for i, x in enumerate(thumbs)])
             row = {
                 "payload_bytes": payload and len(payload), "payload_sha256": payload and hashlib.sha256(payload).hexdigest(), "tail_crc32": payload and zlib.crc32(payload[-32:]),
                 "media_bytes": len(image), "media_sha256": hashlib.sha256(image).hexdigest(),
-                "feature": thumb and f"{thumb[0]}x{thumb[1]}:{thumbnail_hash(thumb[2])}", "width": thumb and thumb[0], "height": thumb and thumb[1],
+                "feature": thumb and ";".join([f"{x[0]}x{x[1]}:{thumbnail_hash(x[2])}" for x in thumbs]), "width": thumb and thumb[0], "height": thumb and thumb[1],
             }
             for k, v in row.items():
                 out[k].append(v)

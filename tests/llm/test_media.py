@@ -26,6 +26,17 @@ def test_very_long_payload_stays_within_the_format():
     assert max(x["width"], x["height"]) <= 65_535 and media.thumbnails([image])[0][2].tobytes()[: len(data)] == data
 
 
+def test_payloads_beyond_one_image_are_several(spark, docs_of, monkeypatch):
+    assert media.geometry(media.MOST)[0] * 8 <= 65_535 and media.geometry(media.MOST)[1] <= 8191
+    monkeypatch.setattr(media, "MOST", 576 * 3)
+    texts = ["a" * 10_000, "b" * 576 * 3, "c" * (576 * 3 + 1), ""]
+    data = [t.encode() for t in texts]
+    stored = media.encode_texts(data)
+    assert [len(media.split_images(m)) for m in stored] == [6, 1, 2, 1]
+    for d, m in zip(data, stored, strict=True):
+        assert b"".join(x[2].tobytes()[: 576 * 3] for x in media.thumbnails(media.split_images(m)))[: len(padded(d))] == padded(d)
+
+
 def bits_of(table):
     return {s: format(c, f"0{n}b") for s, c, n in media.canonical(*table)}
 
