@@ -9,12 +9,14 @@ works on counts of equal lengths and equal fillings, never on single pieces. The
 the pieces join.
 
 A null or empty text is one piece that holds id 1 alone. A text of exactly the sequence's length is one piece. Repeated rows are
-packed each on their own. An empty table gives no rows.
+packed each on their own; pieces of one length take their places in the order of a hash, then of key and piece. An empty table gives no
+rows. Columns of any name pass by; texts of any length are cut whole, none of their ids is left out.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from functools import lru_cache
 
@@ -32,7 +34,10 @@ CACHE = 900_000
 SHARE = 0.7
 #: Bins below stay out of patterns: their short pieces fill the gaps of residuals.
 LEAST_BIN = 6
-SALTS = 64
+#: Tasks that share the pieces of one length, and pieces of one length for each more.
+SALTS, EACH_SALT, MOST_SALTS = 64, 1_000_000, 4096
+#: Rows of the plan's table that are broadcast, at most.
+BROADCAST = 500_000
 
 
 @lru_cache(2)
@@ -42,7 +47,8 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-#: Letters, then ASCII punctuation without the apostrophe: the vocabulary's rule splits such a string just there.
+#: ASCII punctuation without the apostrophe. Letters and then such marks: the vocabulary's rule splits a string just there.
+MARKS = frozenset(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 PLAIN = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
 
 
@@ -68,21 +74,27 @@ class Encoder:
     def _plain(self, words: list[bytes], into: dict[bytes, bytes]) -> list[bytes]:
         """Ids of the words that are plain, into a table; the words that are not."""
         model, letters, others, later = tokenizer(self.path).model, byte_letters(), [], []
-        ready: dict[str, bytes] = {}
+        known = self.known
         for w in words:
-            m = PLAIN.fullmatch(text := w.decode())
-            if not m or not (base := m[1]).isalpha() or max(base) >= "\u0250" or "\u0130" in base:
-                others.append(w)
-                continue
-            base = base.lower()
-            ids = ready.get(base)
+            # the usual cases first: ASCII letters, or those and one closing mark
+            if w.isalpha():
+                base, end = w.lower(), b""
+            elif w[:-1].isalpha() and w[-1] in MARKS:
+                base, end = w[:-1].lower(), w[-1:]
+            else:
+                m = PLAIN.fullmatch(w.decode())
+                if not m or not m[1].isalpha() or max(m[1]) >= "\u0250" or "\u0130" in m[1]:
+                    others.append(w)
+                    continue
+                base, end = m[1].lower().encode(), m[2].encode()
+            ids = known.get(base) or into.get(base)
             if ids is None:
-                name = base if base.isascii() else "".join([letters[b] for b in base.encode()])
-                ids = ready[base] = np.array([t.id for t in model.tokenize(name)], "<u4").tobytes()
-            if len(text) == len(m[1]):
-                into[w] = ids
+                name = base.decode() if base.isascii() else "".join([letters[b] for b in base])
+                ids = into[base] = array("I", [t.id for t in model.tokenize(name)]).tobytes()
+            if end:
+                later.append((w, ids, end))
             else:
-                later.append((w, ids, m[2].encode()))
+                into[w] = ids
         ends = [e for e in {x[2] for x in later} if e not in into]
         self._whole(ends, into)
         for w, ids, end in later:
@@ -93,7 +105,7 @@ class Encoder:
         for i in range(0, len(words), 20_000):
             some = words[i : i + 20_000]
             for w, e in zip(some, tokenizer(self.path).encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                into[w] = np.array(e.ids, "<u4").tobytes()
+                into[w] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -268,17 +280,16 @@ def slots(groups: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int
     return out
 
 
-def ranked(pieces: DataFrame) -> DataFrame:
+def ranked(pieces: DataFrame, salts: int = SALTS) -> DataFrame:
     """Pieces with their rank among all of the same length, counted from 0.
 
-    Pieces of one length are split by a hash into SALTS groups, ranked within, and shifted by the sizes of the groups before (a table
-    of at most LENGTH x SALTS rows), so a length that a third of all pieces share stands in many tasks."""
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("key", "piece", "start", "ids_crc32"), F.lit(SALTS)))
+    Pieces of one length are split by a hash into groups, ranked within, and shifted by the sizes of the groups before (a table of at
+    most LENGTH x salts rows, which Spark broadcasts only while it is small), so a length that a third of all pieces share stands in many tasks."""
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("key", "piece", "start", "ids_crc32"), F.lit(salts)))
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = sizes.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     order = Window.partitionBy("length", "salt").orderBy("key", "piece", "ids_crc32")
-    # at most LENGTH x SALTS rows of three numbers
-    return salted.withColumn("r", F.row_number().over(order) - 1).join(F.broadcast(before), ["length", "salt"]).withColumn("rank", F.col("r") + F.col("before")).drop("r", "before", "salt")
+    return salted.withColumn("r", F.row_number().over(order) - 1).join(before, ["length", "salt"]).withColumn("rank", F.col("r") + F.col("before")).drop("r", "before", "salt")
 
 
 def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, end: int = END) -> DataFrame:
@@ -289,7 +300,10 @@ def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", leng
     spark = df.sparkSession
     places = spark.createDataFrame(table or [(0, 0, 0, 0, 1, 0)], "length bigint, first bigint, n bigint, sequence bigint, each bigint, offset bigint")
     # slots number a few for each length: fillings are counted, not sequences
-    joined = ranked(pieces).join(F.broadcast(places), "length").where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n")))
+    if len(table) <= BROADCAST:
+        places = F.broadcast(places)
+    salts = min(MOST_SALTS, max(SALTS, max(histogram.values(), default=0) // EACH_SALT))
+    joined = ranked(pieces, salts).join(places, "length").where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n")))
     inside = F.col("rank") - F.col("first")
     return joined.select(
         F.col("key").alias(key), "piece", "start", "length", "ids_crc32", (F.col("sequence") + F.floor(inside / F.col("each"))).cast("bigint").alias("sequence_id"),
