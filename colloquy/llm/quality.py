@@ -4,11 +4,13 @@ The whole text is cut into overlapping chunks of ``2 * STEP`` bytes, one every `
 give each chunk its activations; the largest activation of each filter over the whole document, and the largest mean over
 overlapping stretches of chunks, go through one logistic unit to one probability.
 
-The network learns from a bounded sample of labelled rows (``SAMPLE`` for each label, by hash of the id; whole texts), by Adam with
-balanced labels. Labels, language, source and id are never inputs of a score.
+The network learns from a bounded sample of labelled rows (``SAMPLE`` for each label, by hash of the id; whole texts of at most
+``LONGEST`` bytes, so that what reaches the driver is bounded too), by Adam with balanced labels. Labels, language, source and id are
+never inputs of a score. Texts of any length are scored whole.
 
-Null and empty texts are scored as a text of padding alone. A training set without both labels gives the neutral score 0.5 to all
-texts. Repeated rows each get their score; equal texts get equal scores.
+Null and empty texts are scored as a text of padding alone. A training set without both labels, as any that is empty, gives the neutral
+score 0.5 to all texts; an empty table gives no rows. Repeated rows each get their score; equal texts get equal scores. Where an id has
+several labels, one of them counts; ties in the sample's order go to the smaller id. Columns of any name pass.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from .common import as_bytes, fold, per_batch, read_table
 STEP, EMBED, FILTERS, STRETCH = 4, 8, 24, 32
 #: Labelled rows of each label that the network learns from, at most.
 SAMPLE = 1200
+#: Bytes of a text that it learns from, at most.
+LONGEST = 1 << 17
 EPOCHS, BATCH, RATE = 14, 24, 0.006
 THRESHOLD = 0.3
 
@@ -143,7 +147,7 @@ def sample(docs: DataFrame, labels: DataFrame, held_out: int | None, key: str =
         some = named.where(F.col("label") == value).dropDuplicates(["key"]).orderBy(order, "key").limit(size)
         chosen = some if chosen is None else chosen.unionAll(some)
     # at most 2 * size ids, whatever the input's size
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").orderBy(order, "key", "text").limit(2 * size).collect()
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST).join(F.broadcast(chosen), "key").orderBy(order, "key", "text").limit(2 * size).collect()
     return [((r["text"] or "").encode(), r["label"]) for r in rows]
 
 
