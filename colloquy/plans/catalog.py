@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from colloquy.functions import text as X
 from colloquy.functions import vectors as VX
 from colloquy.operators import embed, evaluate, export, filters, search, stats, sync
-from colloquy.plans import rendered
+from colloquy.plans import rendered, tools
 from colloquy.plans.views import AS_OF, SQL, Views
 
 WORDS, PHRASES = "The der the", "of_the the_of, THE!"
@@ -532,7 +532,67 @@ def keywords_until_embedded(v: Views) -> DataFrame:
     return found.select("position", "session_id", F.round("score", 9).alias("score"), "match")
 
 
-for _name, (_fn, _sql) in rendered.ROUND_TRIPS.items():
+@query("SELECT id, source, source_id FROM sessions WHERE id IN (SELECT session_id FROM messages WHERE message_id % 7 = 0)")
+def sessions_by_id(v: Views) -> DataFrame:
+    return filters.sessions_by_id(v.sessions, v.messages.where("message_id % 7 = 0").select("session_id")).select("id", "source", "source_id")
+
+
+@query("SELECT source, source_id, updated_at, message_count FROM sessions WHERE source = 'codex'")
+def session_meta(v: Views) -> DataFrame:
+    return filters.session_meta(v.sessions, "codex")
+
+
+@query("SELECT message_id, role, md5(content) AS digest, seq FROM messages WHERE session_id = (SELECT max(session_id) FROM messages)")
+def messages_of(v: Views) -> DataFrame:
+    last = v.messages.agg(F.max("session_id")).first()[0]
+    return filters.messages_of(v.messages, last).select("message_id", "role", F.md5(F.col("content").cast("binary")).alias("digest"), "seq")
+
+
+@query(f"SELECT id FROM sessions WHERE source = 'copilot-cli' AND started_at >= {AS_OF - 30 * X.DAY_MS}")
+def resolved_arguments(v: Views) -> DataFrame:
+    """A source named by its label, whatever the case, and a range named by days."""
+    return v.sessions.where(filters.session_filter(filters.resolve_source("cpl"), filters.resolve_range("30D"), None, AS_OF)).select("id")
+
+
+@query("SELECT source, count(*) AS n FROM sessions WHERE source NOT IN ('codex', 'cursor') GROUP BY 1")
+def enabled_scope(v: Views) -> DataFrame:
+    """Sessions of the sources left on, an unknown name among those switched off; all on is no filter."""
+    scope = filters.default_scope(filters.enabled_sources(disabled=["cursor", "codex", "nobody", "codex"]))
+    assert filters.default_scope(filters.enabled_sources()) is None
+    return v.sessions.where(filters.session_filter(scope)).groupBy("source").agg(F.count("*").alias("n"))
+
+
+_NOISE_SQL = "CASE message_id % 5 WHEN 0 THEN '  <command-message>' WHEN 1 THEN '<local-command-caveat>' WHEN 2 THEN chr(10) || '# New session - ' WHEN 3 THEN 'x# New session - ' ELSE '' END || content"
+
+
+@query(f"SELECT message_id, regexp_matches({_NOISE_SQL}, '^[\\s\\p{{Z}}]*(<command-message>|<local-command-caveat>|# New session -)') AS noise FROM messages")
+def noise(v: Views) -> DataFrame:
+    m = F.col("message_id") % 5
+    text = F.concat(F.when(m == 0, "  <command-message>").when(m == 1, "<local-command-caveat>").when(m == 2, "\n# New session - ").when(m == 3, "x# New session - ").otherwise(""), "content")
+    return v.messages.select("message_id", X.is_noise(text).alias("noise"))
+
+
+@query(
+    f"""SELECT message_id, CASE message_id % 4 WHEN 0 THEN {AS_OF} - (message_id % 30) * {X.DAY_MS} WHEN 1 THEN {AS_OF} - (message_id % 30) * 7 * {X.DAY_MS} WHEN 2 THEN {AS_OF} - (message_id % 30) * 30 * {X.DAY_MS} END AS cutoff FROM messages"""
+)
+def relative_cutoffs(v: Views) -> DataFrame:
+    n = (F.col("message_id") % 30).cast("string")
+    text = F.when(F.col("message_id") % 4 == 3, F.concat(n, F.lit("y"))).otherwise(F.concat(F.lit(" "), n, F.element_at(F.array(F.lit("d"), F.lit("w"), F.lit("m")), (F.col("message_id") % 4 % 3 + 1).cast("int")), F.lit(" ")))
+    return v.messages.select("message_id", X.relative_cutoff(text, AS_OF).alias("cutoff"))
+
+
+@query(
+    """SELECT job, phase, detail, updated_at FROM (SELECT user_id::VARCHAR AS job, CASE WHEN event_type <> 'click' THEN event_type END AS phase, event_id::VARCHAR AS detail, epoch_us(ts) * 1000 + event_id % 1000 AS updated_at,
+  row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) * 1000 + event_id % 1000 DESC) AS n FROM events) WHERE n = 1 AND phase IS NOT NULL"""
+)
+def job_states(v: Views) -> DataFrame:
+    """The last phase of each job from a log; one kind of row clears a job."""
+    at = F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + F.col("event_id") % 1000
+    log = v.table("events").select(F.col("user_id").cast("string").alias("job"), F.when(F.col("event_type") != "click", F.col("event_type")).alias("phase"), F.col("event_id").cast("string").alias("detail"), at.alias("updated_at"))
+    return sync.job_state(log)
+
+
+for _name, (_fn, _sql) in (rendered.ROUND_TRIPS | tools.TOOLS).items():
     QUERIES[_name] = lambda spark, sf_dir, fn=_fn: fn(Views(spark, sf_dir))
     ORACLE_SQL[_name] = SQL + _sql
 

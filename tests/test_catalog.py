@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from colloquy.plans.catalog import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("conversations", "embeddings")
+TABLES = ("conversations", "embeddings", "events")
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the given tables are not here")
 
