@@ -21,9 +21,11 @@ BLOCK, CHUNK, PAIRS, HELD = 512, 4_096, 100_000, 10_000
 
 
 def build_postings(messages: DataFrame) -> DataFrame:
-    """Inverted index: (term, message_id, session_id, tf, positions), sorted by term within files so that a scan prunes to a query's terms."""
-    words = messages.select("message_id", "session_id", F.posexplode(tokens("content")).alias("position", "term"))
-    return words.groupBy("term", "message_id", "session_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
+    """Inverted index: (term, message_id, session_id, length, tf, positions), length being the message's in tokens; sorted by term within files
+    so that a scan prunes to a query's terms."""
+    said = messages.select("message_id", "session_id", tokens("content").alias("terms"))
+    words = said.select("message_id", "session_id", F.size("terms").alias("length"), F.posexplode("terms").alias("position", "term"))
+    return words.groupBy("term", "message_id", "session_id", "length").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
 
 
 def build_lengths(messages: DataFrame) -> DataFrame:
@@ -44,15 +46,18 @@ def write_index(messages: DataFrame, path: str, partitions: int = 64) -> None:
 
 
 def word_frequencies(postings: DataFrame, words: list[list[str]]) -> DataFrame:
-    """(word, message_id, session_id, f): how often each word, that is a row of one or more adjacent terms, stands in a message."""
-    parts = []
+    """(word, message_id, session_id, length, f): how often each word, that is a row of one or more adjacent terms, stands in a message.
+
+    The postings are read once for all terms; a message's places of them meet in one row."""
+    terms = sorted({t for word in words for t in word})
+    held = postings.where(F.col("term").isin(terms)).groupBy("message_id", "session_id", "length").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
+    counts = []
     for i, word in enumerate(words):
-        first = postings.where(F.col("term") == word[0]).select("message_id", "session_id", F.col("positions").alias("at"))
+        places = F.coalesce(F.col("at")[word[0]], F.array().cast("array<int>"))
         for j, term in enumerate(word[1:], 1):
-            other = postings.where(F.col("term") == term).select("message_id", F.col("positions").alias("there"))
-            first = first.join(other, "message_id").select("message_id", "session_id", F.array_intersect("at", F.transform("there", _back(j))).alias("at"))
-        parts.append(first.where(F.size("at") > 0).select(F.lit(i).alias("word"), "message_id", "session_id", F.size("at").alias("f")))
-    return reduce(DataFrame.unionByName, parts)
+            places = F.array_intersect(places, F.transform(F.coalesce(F.col("at")[term], F.array().cast("array<int>")), _back(j)))
+        counts.append(F.struct(F.lit(i).alias("word"), F.size(places).alias("f")))
+    return held.select("message_id", "session_id", "length", F.explode(F.filter(F.array(*counts), lambda x: x["f"] > 0)).alias("x")).select("x.word", "message_id", "session_id", "length", "x.f")
 
 
 def _back(j: int):
@@ -75,7 +80,7 @@ def score_messages(postings: DataFrame, lengths: DataFrame, query: str, stats: t
     idf = idf.select("word", F.when(F.col("raw") <= 0, LEAST_IDF).otherwise(F.col("raw")).alias("idf"))
     repeat = reduce(lambda c, i: c.when(F.col("word") == i, times[tuple(words[i])]), range(len(words)), F.when(F.lit(False), 0))
     weight = F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.lit(mean)))
-    scored = found.join(F.broadcast(idf), "word").join(lengths, "message_id")
+    scored = found.join(F.broadcast(idf), "word")
     return scored.groupBy("message_id", "session_id").agg((-F.sum(F.col("idf") * weight * repeat)).alias("rank"))
 
 
