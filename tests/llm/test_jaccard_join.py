@@ -1,9 +1,14 @@
 from collections import Counter, defaultdict
 
+import os
+
 import numpy as np
+import pytest
 
 from colloquy.llm import jaccard_join as jj
 
+SF = "/root/testdata/sf0.01"
+
 
 def brute(rows):
     """Per row: (id, class, links), by all pairs of distinct sets of word 5-grams."""
@@ -66,6 +71,17 @@ def test_equals_brute_force(spark, docs_of):
     assert found(jj.link_groups(docs_of(rows, 4))) == brute(rows)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the given tables are not here")
+def test_links_of_the_given_documents(spark):
+    """All links of the documents whose id is divisible by 20, by brute force against all."""
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    sets = {i: frozenset(jj.grams(t.encode()).tolist()) for i, t in docs.items()}
+    distinct = set(sets.values())
+    got = {r["doc_id"]: r["n_links"] for r in jj.op8_jaccard_join(spark, SF).collect()}
+    for i in (i for i in docs if i % 20 == 0):
+        assert got[i] == sum(s != sets[i] and 9 * len(s & sets[i]) >= 4 * (len(s) + len(sets[i])) for s in distinct if s and sets[i]), i
+
+
 def test_odd_rows(spark, docs_of, odd):
     rows = odd + [(30, "a  b\tc"), (31, "a b c d e"), (32, "a b c d e f"), (33, None)]
     got = jj.link_groups(docs_of(rows))

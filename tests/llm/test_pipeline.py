@@ -2,6 +2,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from colloquy.llm import packing
@@ -51,11 +52,36 @@ def test_run_is_its_stages(spark, folder):
     assert rows(got) == rows(want)
 
 
+def test_odd_documents_go_through_all_stages(spark, folder, tmp_path, odd):
+    """Null, empty, very long and repeated texts, a null id, and columns named as operators name theirs."""
+    path, docs, texts = folder
+    extra = ["row", "spans", "digest", "_digest", "key", "uid", "score", "predicted", "home", "first_key"]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts[:80])] + [(None if i is None else 1000 + i, t, None, None, None) for i, t in odd]
+    frame = spark.createDataFrame(rows, docs.schema).select("*", *[F.lit(f"keep {c}").alias(c) for c in extra])
+    step = frame
+    for name, stage in cp.STAGES[:-1]:
+        before = step.count()
+        step = stage(spark, step, path)
+        assert step.columns == frame.columns, name
+        assert step.count() <= before and all(r[c] == f"keep {c}" for r in step.collect() for c in extra), name
+    packed = cp.STAGES[-1][1](spark, step, path)
+    assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in step.collect()}
+
+
+def test_an_empty_table_goes_through(spark, folder, tmp_path):
+    path, docs, _ = folder
+    none = str(tmp_path / "none")
+    docs.limit(0).write.parquet(f"{none}/documents.parquet")
+    spark.read.parquet(f"{path}/labels.parquet").limit(0).write.parquet(f"{none}/labels.parquet")
+    assert cp.run(spark, none).count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the given tables are not here")
-@pytest.mark.parametrize("name", ["op1_quality", "op3_license_scan", "op4_secret_scan", "op7_piece_sampling", "op9_html_extract", "op10_media_columns"])
+@pytest.mark.parametrize("name", [f"op{n}_" for n in range(1, 11)])
 def test_queries_run_over_whole_tables(spark, name):
     from colloquy.llm.queries import QUERIES
 
+    name = next(q for q in QUERIES if q.startswith(name))
     table = "pages" if name == "op9_html_extract" else "documents"
     n = spark.read.parquet(f"{SF}/{table}.parquet").count()
     assert QUERIES[name](spark, SF).count() >= n
