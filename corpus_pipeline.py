@@ -1,7 +1,10 @@
 """The training-data pipeline: documents of good quality, one of each group of near duplicates, without secrets, packed into sequences.
 
-Null and empty texts: the classifier scores them as padding; those it keeps count as copies of one another. Columns beyond those of
-documents pass through all stages but the last. Each stage's result is written and reread before the next begins.
+Null and empty texts: the classifier scores them as padding; those it keeps count as copies of one another, and the last stage packs one
+piece for the one that stays. Repeated rows and equal texts count as copies too; of each group the row of the smallest id stays, of
+equal ids the one with the smallest hash of its text. An empty table gives no rows, and labels without both kinds reject nothing. Texts of
+any length pass whole. Columns beyond those of documents, whatever their names, pass through all stages but the last. Each stage's
+result is written and reread before the next begins.
 """
 
 from __future__ import annotations
