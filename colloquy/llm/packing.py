@@ -30,10 +30,6 @@ from .common import as_bytes, cut_lineage, per_batch, read_table
 LENGTH, END, BINS, MOST_PARTS = 4096, 1, 64, 4
 #: Distinct white-space-free strings whose ids a worker keeps.
 CACHE = 900_000
-#: Share of the fitted repeats that is used; the rest stays with the residuals, which need pieces of every length to fill gaps.
-SHARE = 0.7
-#: Bins below stay out of patterns: their short pieces fill the gaps of residuals.
-LEAST_BIN = 6
 #: Tasks that share the pieces of one length, and pieces of one length for each more.
 SALTS, EACH_SALT, MOST_SALTS = 64, 1_000_000, 4096
 #: Rows of the plan's table that are broadcast, at most.
@@ -143,7 +139,7 @@ def digests(pieces: DataFrame) -> DataFrame:
     return pieces.select("key", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
 
 
-def patterns(bins: int = BINS, parts: int = MOST_PARTS, least: int = LEAST_BIN) -> list[tuple[int, ...]]:
+def patterns(bins: int = BINS, parts: int = MOST_PARTS, least: int = 1) -> list[tuple[int, ...]]:
     """Falling tuples of up to parts bin numbers (least..bins) that sum to bins."""
     out: list[tuple[int, ...]] = []
 
@@ -187,7 +183,7 @@ def plan(histogram: dict[int, int], length: int = LENGTH, bins: int = BINS) -> l
     width = -(-length // bins)
     groups: list[tuple[tuple[int, ...], int]] = [((length,), int(left[length]))] if left[length] else []
     left[length] = 0
-    coarse = np.array([0.0 if b + 1 < LEAST_BIN else left[b * width + 1 : min((b + 1) * width, length) + 1].sum() for b in range(bins)], float)
+    coarse = np.array([left[b * width + 1 : min((b + 1) * width, length) + 1].sum() for b in range(bins)], float)
     opened: Counter[tuple[int, ...]] = Counter()
 
     def largest(most: int, least: int = 1) -> int:
@@ -209,7 +205,7 @@ def plan(histogram: dict[int, int], length: int = LENGTH, bins: int = BINS) -> l
         found = patterns(bins)
         repeats = fit_repeats(coarse, found)
         for j in np.argsort(-repeats, kind="stable"):
-            todo = int(repeats[j] * SHARE)
+            todo = int(repeats[j])
             while todo > 0:
                 taken: list[int] = []
                 for b in found[j][:-2]:  # lengths of the bin, the largest first
