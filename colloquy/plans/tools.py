@@ -14,7 +14,8 @@ from colloquy.plans.views import Views
 from colloquy.sources import claude_code, codex, copilot, cursor, gemini, kiro, opencode
 from colloquy.sources.files import parent_of
 
-_NUMBER = F.substring("session_id", 2, 20).cast("bigint")
+def _number():
+    return F.substring("session_id", 2, 20).cast("bigint")
 
 
 def _said(raw: DataFrame, *more: str) -> DataFrame:
@@ -38,8 +39,8 @@ def claude_code_tools(v: Views) -> DataFrame:
     )
     line = F.struct(F.col("role").alias("type"), F.struct(F.parse_json(F.concat(F.lit("["), F.array_join(blocks, ","), F.lit("]"))).alias("content")).alias("message"), _rfc("timestamp").alias("timestamp"))
     files = _lines(v, line, F.concat(F.lit("/h/projects/-home-me--cfg/"), "session_id", F.lit(".jsonl"))).withColumn("directory", decode_directory(parent_of()))
-    records = v.messages.select("session_id").distinct().where(_NUMBER % 2 == 0).select(
-        F.to_json(F.struct(F.col("session_id").alias("sessionId"), F.when(_NUMBER % 4 == 0, F.concat(F.lit("/w/"), "session_id")).alias("cwd"), F.when(_NUMBER % 3 == 0, F.lit(7)).alias("startedAt"), F.lit("cli").alias("entrypoint"))).alias("content")
+    records = v.messages.select("session_id").distinct().where(_number() % 2 == 0).select(
+        F.to_json(F.struct(F.col("session_id").alias("sessionId"), F.when(_number() % 4 == 0, F.concat(F.lit("/w/"), "session_id")).alias("cwd"), F.when(_number() % 3 == 0, F.lit(7)).alias("startedAt"), F.lit("cli").alias("entrypoint"))).alias("content")
     ).unionByName(v.spark.createDataFrame([("broken",)], "content string"))
     return _said(claude_code.parse(files, claude_code.sidecars(records)), "directory", "started_at", "entrypoint")
 
@@ -103,7 +104,7 @@ def copilot_tools(v: Views) -> DataFrame:
 def cursor_directories(v: Views) -> DataFrame:
     """Sessions lead to projects, projects to folders; a third of the sessions has no project, one project no folder."""
     one = v.messages.select("session_id").distinct()
-    members = one.where(_NUMBER % 3 != 0).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("session_id", F.concat(F.lit("p"), (_NUMBER % 4).cast("string")))))).alias("value")).select(F.lit(cursor.MEMBERSHIP).alias("key"), "value")
+    members = one.where(_number() % 3 != 0).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("session_id", F.concat(F.lit("p"), (_number() % 4).cast("string")))))).alias("value")).select(F.lit(cursor.MEMBERSHIP).alias("key"), "value")
     projects = v.spark.createDataFrame([(cursor.PROJECTS, '[{"id":"p0","workspace":{"uri":{"fsPath":"/zero"}}},{"id":"p1","workspace":{"uri":{"fsPath":"/one"}}},{"id":"p2"},{"id":"p3","workspace":{"uri":{"fsPath":"/three"}}}]')], "key string, value string")
     use = F.to_json(F.struct(F.lit("tool_use").alias("type"), F.lit("w").alias("name"), F.struct(F.col("seq").alias("a")).alias("input")))
     content = F.parse_json(F.concat(F.lit("["), F.to_json(F.struct(F.lit("text").alias("type"), F.lit("t").alias("text"))), F.lit(","), use, F.lit("]")))
