@@ -26,6 +26,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ END = b""
 #: Begins the name under which a text's own row goes through the join; no word holds a space.
 OWN = b" "
 #: Distinct words, and word-context pairs, that a worker keeps before it sends them on.
-CACHE, PAIRS = 300_000, 4_000_000
+CACHE, PAIRS = 300_000, 2_500_000
 #: What stands for a word without a broadcast class in a transition: this and more.
 LATER = 1 << 16
 
@@ -87,7 +88,7 @@ class Index(dict):
 
 
 def contexts(texts: DataFrame, units: dict[bytes, int], text: str = "text") -> DataFrame:
-    """(token, context, n): for each token the units beside it (after it: the unit; before it: UNITS + the unit) and how often, as 32-bit numbers.
+    """(token, unit, context, n): for each token its own unit, the units beside it (after it: the unit; before it: UNITS + the unit) and how often, as 32-bit numbers.
 
     The end stands before each text. A task sends a token once for each of its totals; each token's rows are then added up to one."""
 
@@ -101,11 +102,11 @@ def contexts(texts: DataFrame, units: dict[bytes, int], text: str = "text") -> D
             keys = keys[order]
             starts = np.flatnonzero(np.diff(keys, prepend=-1))
             keys, counts = keys[starts], np.add.reduceat(counts[order], starts)
-            token, context = keys // (2 * UNITS), (keys % (2 * UNITS)).astype("<u4")
+            token = keys // (2 * UNITS)
             names = list(index)
             first = np.flatnonzero(np.diff(token, prepend=-1))
-            lists = [pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer((np.append(first, len(token)) * 4).astype(np.int64).tobytes()), pa.py_buffer(x.astype("<u4").tobytes())]).cast(pa.binary()) for x in (context, counts)]
-            return pa.RecordBatch.from_arrays([pa.array([names[t] for t in token[first].tolist()], pa.binary()), *lists], names=["token", "context", "n"])
+            own = token[first]
+            return pa.RecordBatch.from_arrays([pa.array([names[t] for t in own.tolist()], pa.binary()), pa.array(np.array(unit_of, np.int32)[own]), *_packed(first, keys % (2 * UNITS), counts)], names=names_of)
 
         for batch in batches:
             for some in portions(batch):
@@ -126,36 +127,59 @@ def contexts(texts: DataFrame, units: dict[bytes, int], text: str = "text") -> D
             yield rows()
 
     def add(batches):
-        last, parts = None, []
-
-        def one():
-            keys, n = (np.concatenate([np.frombuffer(p[i], "<u4") for p in parts]) for i in (0, 1))
-            keys, at = np.unique(keys, return_inverse=True)
-            return last, keys.tobytes(), np.bincount(at, weights=n).astype("<u4").tobytes()
-
+        held = None
         for batch in batches:
-            out = []
-            for token, keys, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if token != last and parts:
-                    out.append(one() if len(parts) > 1 else (last, *parts[0]))
-                    parts = []
-                last = token
-                parts.append((keys, n))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], names=["token", "context", "n"])
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in one()], names=["token", "context", "n"])
-
-    schema = "token binary, context binary, n binary"
+            batch = pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(batch.columns, kinds, strict=True)], names=names_of)
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            token = batch.column(0)
+            n = batch.num_rows
+            opens = np.ones(n, bool)
+            opens[1:] = pc.not_equal(token.slice(1), token.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(opens)
+            cut = int(starts[-1])  # the last token may go on in the next batch
+            held = batch.slice(cut)
+            if cut:
+                yield summed(batch.slice(0, cut), starts[:-1])
+        if held is not None and held.num_rows:
+            yield summed(held, np.zeros(1, np.int64))
+
+    def summed(batch: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        """Rows of one token added up; starts: the first row of each."""
+        (keys, size), (n, _) = _flat(batch.column(2)), _flat(batch.column(3))
+        token = np.repeat(np.repeat(np.arange(len(starts)), np.diff(np.append(starts, batch.num_rows))), size)
+        keys = token * (2 * UNITS) + keys
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        at = np.flatnonzero(np.diff(keys, prepend=-1))
+        keys, n = keys[at], np.add.reduceat(n[order], at)
+        at = pa.array(starts)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *_packed(np.flatnonzero(np.diff(keys // (2 * UNITS), prepend=-1)), keys % (2 * UNITS), n)], names=names_of)
+
+    names_of, kinds = ["token", "unit", "context", "n"], [pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+    schema = "token binary, unit int, context binary, n binary"
     return texts.select(text).mapInArrow(run, schema).repartition("token").sortWithinPartitions("token").mapInArrow(add, schema)
 
 
-def _unpacked(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens; the row, context and count of each pair."""
-    raw, times = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-    keys, n = (np.frombuffer(b"".join(x), "<u4").astype(np.int64) for x in (raw, times))
-    size = [len(x) // 4 for x in raw]
-    return batch.column(0).to_pylist(), np.repeat(np.arange(batch.num_rows), size), keys, n
+def _packed(first: np.ndarray, *numbers: np.ndarray) -> list[pa.Array]:
+    """Each row's numbers as bytes, 32 bits each; first: where each row begins."""
+    ends = (np.append(first, len(numbers[0])) * 4).astype(np.int64)
+    return [pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(x.astype("<u4").tobytes())]).cast(pa.binary()) for x in numbers]
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows of such bytes, and how many each row has."""
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    values = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    return values.view("<u4").astype(np.int64), np.diff(ends) // 4
+
+
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Units of the tokens; the row, context and count of each pair. Columns: token, unit, context, n."""
+    (keys, size), (n, _) = _flat(batch.column(2)), _flat(batch.column(3))
+    return batch.column(1).to_numpy(), np.repeat(np.arange(batch.num_rows), size), keys, n
 
 
 def _summed(table: DataFrame, width: int, fill) -> np.ndarray:
@@ -164,7 +188,7 @@ def _summed(table: DataFrame, width: int, fill) -> np.ndarray:
     def run(batches):
         total = np.zeros(width)
         for batch in batches:
-            for some in portions(batch):
+            for some in portions(batch, rows=4096):
                 fill(some, total)
         at = np.flatnonzero(total)
         for i in range(0, len(at), 100_000):
@@ -177,14 +201,13 @@ def _summed(table: DataFrame, width: int, fill) -> np.ndarray:
     return out
 
 
-def unit_bigrams(table: DataFrame, units: dict[bytes, int]) -> np.ndarray:
+def unit_bigrams(table: DataFrame) -> np.ndarray:
     """Matrix of how often one unit follows another, from the contexts after each word."""
 
     def fill(batch: pa.RecordBatch, total: np.ndarray) -> None:
-        tokens, row, keys, n = _unpacked(batch)
-        unit = np.array([units[w] if w in units else ending(w) for w in tokens], np.int64)
+        unit, row, keys, n = _unpacked(batch)
         after = keys < UNITS
-        total += np.bincount(unit[row[after]] * UNITS + keys[after], weights=n[after], minlength=UNITS * UNITS)
+        total += np.bincount(unit[row[after]].astype(np.int64) * UNITS + keys[after], weights=n[after], minlength=UNITS * UNITS)
 
     return _summed(table, UNITS * UNITS, fill).reshape(UNITS, UNITS)
 
@@ -282,30 +305,26 @@ def frequent(counts: DataFrame, most: int, also: str | None = None) -> dict:
 class Classes:
     """Where words go: the classes of the units that stand for themselves, what share of an ending's words each class has, and class bigrams."""
 
-    def __init__(self, units: dict[bytes, int], cls: np.ndarray, table: np.ndarray, share: np.ndarray):
-        self.fixed = {w: int(cls[u]) for w, u in units.items()}
+    def __init__(self, cls: np.ndarray, table: np.ndarray, share: np.ndarray):
         self.cls, self.table, self.share = cls, table, share
         self.step = transitions(table) * np.log(10)
         self.size = np.log(table.sum(0) + 1)
 
-    def of(self, batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens, their classes, their counts, and how often each class stands before them."""
-        tokens, row, keys, n = _unpacked(batch)
+    def of(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The ending of each token (the last for those that are units of their own), its class, its count, and how often each class stands before it."""
+        unit, row, keys, n = _unpacked(batch)
         place = 2 * row + (keys >= UNITS)
-        beside = np.zeros((2 * len(tokens), CLASSES))
+        beside = np.zeros((2 * len(unit), CLASSES))
         for i in range(0, len(place), 100_000):
             p = place[i : i + 100_000]
             starts = np.flatnonzero(np.diff(p, prepend=-1))
             beside[p[starts]] += np.add.reduceat(self.share[keys[i : i + 100_000] % UNITS] * n[i : i + 100_000, None], starts)
         after, before = beside[0::2], beside[1::2]
-        count = np.bincount(row[keys >= UNITS], weights=n[keys >= UNITS], minlength=len(tokens))
+        count = np.bincount(row[keys >= UNITS], weights=n[keys >= UNITS], minlength=len(unit))
         gain = before @ self.step + after @ self.step.T - count[:, None] * self.size[None, :]
         gain[:, CLASSES - 1] = -np.inf  # the end's own
-        cls = gain.argmax(1)
-        for i, w in enumerate(tokens):
-            if w in self.fixed:
-                cls[i] = self.fixed[w]
-        return tokens, cls, count, before
+        own = (unit < TOP) | (unit == END_UNIT)
+        return np.where(own, ENDINGS, unit - TOP), np.where(own, self.cls[unit], gain.argmax(1)), count, before
 
 
 def count_classes(table: DataFrame, classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -313,9 +332,9 @@ def count_classes(table: DataFrame, classes: Classes) -> tuple[np.ndarray, np.nd
     c2, width = CLASSES * CLASSES, (ENDINGS + 1) * CLASSES
 
     def fill(batch: pa.RecordBatch, total: np.ndarray) -> None:
-        tokens, cls, count, before = classes.of(batch)
+        end, cls, count, before = classes.of(batch)
         np.add.at(total[:c2].reshape(CLASSES, CLASSES).T, cls, before)
-        place = np.array([ENDINGS if w in classes.fixed else ending(w) - TOP for w in tokens], np.int64) * CLASSES + cls
+        place = end * CLASSES + cls
         total[c2 : c2 + width] += np.bincount(place, weights=count, minlength=width)
         total[c2 + width :] += np.bincount(place, minlength=width)
 
@@ -327,10 +346,10 @@ def assigned(table: DataFrame, classes: Classes) -> DataFrame:
     """(token, c, cls) of all training tokens."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        tokens, cls, count, _ = classes.of(batch)
+        _, cls, count, _ = classes.of(batch)
         return {"token": batch.column(0), "c": count.astype(np.int64), "cls": cls.astype(np.int32)}
 
-    return per_batch(table, ["token", "context", "n"], run, "token binary, c bigint, cls int")
+    return per_batch(table, ["token", "unit", "context", "n"], run, "token binary, c bigint, cls int")
 
 
 class Model:
@@ -342,17 +361,17 @@ class Model:
         most = frequent(counts.where(F.octet_length("token") > 0), min(top, TOP))
         units = {w: i for i, w in enumerate(sorted(most, key=lambda w: (-most[w], w)))} | {END: END_UNIT}
         table = cut_lineage(contexts(texts, units, text))
-        bigrams = unit_bigrams(table, units)
+        bigrams = unit_bigrams(table)
         cls = exchange(bigrams)
         share = np.eye(CLASSES)[cls]
-        classes = Classes(units, cls, share.T @ bigrams @ share, share)
+        classes = Classes(cls, share.T @ bigrams @ share, share)
         for r in range(ROUNDS):
             pairs, mass, types = count_classes(table, classes)
             if r < ROUNDS - 1:  # the last count is that of the classes that stay
                 known = mass[:ENDINGS].sum(1, keepdims=True)
                 share = share.copy()
                 share[TOP:END_UNIT] = np.where(known > 0, mass[:ENDINGS] / np.maximum(known, 1), share[TOP:END_UNIT])
-                classes = Classes(units, cls, pairs, share)
+                classes = Classes(cls, pairs, share)
         self.classes = cut_lineage(assigned(table, classes))
         release(counts, table)
         self.n, self.v = mass.sum(), types.sum()

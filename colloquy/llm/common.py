@@ -66,14 +66,14 @@ def as_bytes(texts: pa.Array) -> list[bytes]:
     return texts.fill_null("").cast(pa.binary() if pa.types.is_string(texts.type) else pa.large_binary()).to_pylist()
 
 
-def portions(batch: pa.RecordBatch, most_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of at most BATCH_ROWS rows and about most_bytes bytes; a row that is larger stands alone."""
-    rows, at = batch.num_rows, 0
-    if rows <= BATCH_ROWS and batch.nbytes <= most_bytes:
+def portions(batch: pa.RecordBatch, most_bytes: int = BATCH_BYTES, rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most so many rows and about so many bytes; a row that is larger stands alone."""
+    total, at = batch.num_rows, 0
+    if total <= rows and batch.nbytes <= most_bytes:
         yield batch
         return
-    while at < rows:
-        n = min(BATCH_ROWS, rows - at)
+    while at < total:
+        n = min(rows, total - at)
         while n > 1 and batch.slice(at, n).nbytes > most_bytes:
             n = -(-n // 2)
         yield batch.slice(at, n)
