@@ -40,6 +40,19 @@ def test_base_equals_brute_force(spark, docs_of, odd, monkeypatch):
     check(docs_of, texts() + odd)
 
 
+def test_small_batches_give_the_same(spark, docs_of, odd, monkeypatch):
+    monkeypatch.setattr(brown_lm, "KNOWN", 5)
+    rows = texts() + odd
+    key = lambda r: (str(r["doc_id"]), round(r["score"], 6), round(r["base_score"], 6), r["n_known"])
+    want = sorted(map(key, brown_lm.score_documents(docs_of(rows, 3)).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        check(docs_of, rows)
+        assert sorted(map(key, brown_lm.score_documents(docs_of(rows, 3)).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_empty_tables(spark, docs_of):
     assert brown_lm.score_documents(docs_of([(1, "x")]).limit(0)).count() == 0
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
