@@ -443,9 +443,9 @@ def eval_failures(v: Views) -> DataFrame:
     return evaluate.failures(evaluate.query_details(*_results(v))).select("query_id", "query")
 
 
-@query(EVAL + "SELECT results.query_id, rank, match, source, results.source_id, results.source_id = q.source_id AS is_expected FROM results JOIN q ON q.query_id = results.query_id WHERE rank <= 10")
+@query(EVAL + "SELECT results.query_id, rank, match, source, results.source_id, results.source_id = q.source_id AS is_expected, CASE WHEN length(t) > 70 THEN substr(t, 1, 67) || '...' ELSE t END AS title FROM (SELECT *, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS t FROM results) results JOIN q ON q.query_id = results.query_id WHERE rank <= 10")
 def eval_summaries(v: Views) -> DataFrame:
-    return evaluate.summaries(*_results(v)).drop("title")
+    return evaluate.summaries(*_results(v))
 
 
 @query(
