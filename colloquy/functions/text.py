@@ -171,7 +171,7 @@ def rewrite_query(text: str) -> list[list[str]]:
     return [[t for t in w.translate(table).split("_") if t] for w in words if w]
 
 
-def sanitized_query(c: str | Column) -> Column:
-    """rewrite_query for a column of queries: array of words."""
-    words = F.transform(F.split(col(c), r"(?U)\s+"), lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}_]", "")))
-    return F.array_remove(words, "")
+def query_words(c: str | Column) -> Column:
+    """rewrite_query for a column of queries: an array of words, each the tokens that must stand in a row; words without a token are left out."""
+    words = F.transform(F.split(col(c), r"(?U)\s+"), lambda w: tokens(F.regexp_replace(w, r"[^\p{L}\p{N}_]", "")))
+    return F.filter(words, lambda w: F.size(w) > 0)

@@ -12,6 +12,11 @@ def _double(c: str | Column) -> Column:
     return col(c).cast("array<double>")
 
 
+def is_whole(v: str | Column, dimension: int) -> Column:
+    """Whether a vector is there, of the dimension asked for, with every number."""
+    return F.coalesce((F.size(col(v)) == dimension) & ~F.exists(col(v), lambda x: x.isNull() | F.isnan(x)), F.lit(False))
+
+
 def l2_squared(a: str | Column, b: str | Column) -> Column:
     return F.aggregate(F.zip_with(_double(a), _double(b), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 

@@ -1,4 +1,4 @@
-"""Embedding of messages, and approximate nearest neighbours."""
+"""Embedding of messages."""
 
 from __future__ import annotations
 
@@ -6,16 +6,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import embedding_text
-from colloquy.functions.vectors import l2
 from colloquy.operators.stats import pending_messages
 
 DIMENSION, BATCH, MOST_TOKENS = 384, 8, 512
-#: Cells of the approximate index: rows they are fitted on, most cells, the share a query looks into, and tasks of a cell.
-SAMPLE, MOST_CELLS, SHARE, SALTS = 20_000, 1024, 0.7, 8
 
 
 class HashedTerms:
@@ -79,60 +76,3 @@ def embed_pending(sessions: DataFrame, messages: DataFrame, vectors: DataFrame,
 def upsert_vectors(vectors: DataFrame, new: DataFrame) -> DataFrame:
     """Vectors with the new ones in place of those of the same message."""
     return vectors.join(new.select("message_id").distinct(), "message_id", "left_anti").unionByName(new)
-
-
-def fit_cells(vectors: DataFrame, cells: int | None = None, sample: int = SAMPLE, seed: int = 7) -> np.ndarray:
-    """Centres of cells by k-means over a bounded sample of the vectors (at most ``sample``, by hash of their ids); a cell for each 16 of
-    the sample and at most MOST_CELLS, unless told."""
-    rows = vectors.orderBy(F.xxhash64("message_id", F.lit(seed)), "message_id").limit(sample).select("embedding").toArrow()["embedding"].combine_chunks()
-    if not len(rows):
-        return np.zeros((0, 0))
-    x = rows.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), -1)
-    k = min(len(x), cells or max(1, min(MOST_CELLS, len(x) // 16)))
-    centres = x[np.random.default_rng(seed).choice(len(x), k, replace=False)]
-    for _ in range(12):
-        at = _nearest_cells(x, centres, 1)[:, 0]
-        total = np.zeros_like(centres)
-        np.add.at(total, at, x)
-        n = np.bincount(at, minlength=k)[:, None]
-        centres = np.where(n > 0, total / np.maximum(n, 1), centres)
-    return centres
-
-
-def _nearest_cells(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
-    """The n nearest cells of each row, nearest first."""
-    far = (centres * centres).sum(1)[None, :] - 2 * x @ centres.T
-    return np.argsort(far, axis=1, kind="stable")[:, :n]
-
-
-def in_cells(rows: DataFrame, key: str, centres: np.ndarray, n: int) -> DataFrame:
-    """(key, cell) of each row's n nearest cells."""
-    import pyarrow as pa
-
-    def run(batches):
-        for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
-            cells = _nearest_cells(x, centres, n)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(x)), cells.shape[1]))), pa.array(cells.ravel().astype(np.int32))], names=[key, "cell"])
-
-    return rows.select(key, "embedding").mapInArrow(run, f"{key} bigint, cell int")
-
-
-def approximate_neighbours(vectors: DataFrame, queries: DataFrame, k: int, cells: int | None = None, share: float = SHARE, salts: int = SALTS) -> DataFrame:
-    """(query_id, message_id, distance): nearest vectors among those of the cells nearest to the query (an addition for scale).
-
-    Every vector stands in its nearest cell, a query looks into the given share of all cells. The default share finds nine of ten true
-    neighbours even among random directions, which no cells part well; vectors in clusters need far less. Queries and vectors meet by cell; a cell's
-    vectors are dealt out to ``salts`` tasks, each of which keeps its nearest, so a hot cell doesn't stand in one task."""
-    centres = fit_cells(vectors, cells)
-    if not len(centres):
-        return vectors.select(F.col("message_id").alias("query_id"), "message_id", F.lit(0.0).alias("distance")).limit(0)
-    salt = F.pmod(F.xxhash64("message_id"), F.lit(salts)).cast("int")
-    placed = in_cells(vectors, "message_id", centres, 1).join(vectors, "message_id").withColumn("salt", salt)
-    asked = in_cells(queries, "query_id", centres, max(1, round(share * len(centres)))).join(queries.withColumnRenamed("embedding", "q"), "query_id")
-    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    met = asked.join(placed, ["cell", "salt"]).select("query_id", "message_id", "salt", l2("q", "embedding").alias("distance"))
-    for keys in (["query_id", "salt"], ["query_id"]):
-        order = Window.partitionBy(*keys).orderBy("distance", "message_id")
-        met = met.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n")
-    return met.drop("salt")

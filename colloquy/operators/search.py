@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import age_label, cut, rewrite_query, snippet, tokens
-from colloquy.functions.vectors import l2
+from colloquy.functions.vectors import is_whole, l2
 from colloquy.operators.filters import session_filter
 from colloquy.operators.stats import is_embedded
 
@@ -103,9 +103,9 @@ def fts_search(
 
 
 def knn_messages(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
-    """(message_id, distance) of the k nearest vectors by L2."""
+    """(message_id, distance) of the k nearest vectors by L2; vectors that are null, incomplete or of another length take no place."""
     literal = F.array(*[F.lit(float(x)) for x in query])
-    return vectors.select("message_id", l2("embedding", literal).alias("distance")).orderBy("distance", "message_id").limit(k)
+    return vectors.where(is_whole("embedding", len(query))).select("message_id", l2("embedding", literal).alias("distance")).orderBy("distance", "message_id").limit(k)
 
 
 def knn_search(sessions: DataFrame, messages: DataFrame, vectors: DataFrame, query: list[float], fetch: int = 60, *, condition: Column | None = None, prefilter: bool = False) -> DataFrame:
@@ -121,7 +121,7 @@ def knn_search(sessions: DataFrame, messages: DataFrame, vectors: DataFrame, que
     return near.join(owner, "message_id").join(scope, "session_id", "left_semi").groupBy("session_id").agg(F.min("distance").alias("distance"))
 
 
-def _first(query, ids, distance, k: int):
+def smallest(query, ids, distance, k: int):
     """The k nearest of each query, ties by id."""
     import numpy as np
 
@@ -144,10 +144,10 @@ def _nearest(wanted, x, ids, k: int):
     for i in range(0, len(at), PAIRS):
         some = slice(i, i + PAIRS)
         distance[some] = np.sqrt(((wanted[query[some]] - x[at[some]]) ** 2).sum(1))
-    return _first(query, ids[at], distance, k)
+    return smallest(query, ids[at], distance, k)
 
 
-def _packed(vectors: DataFrame, key: str, most: int, names: tuple[str, str]) -> DataFrame:
+def packed(vectors: DataFrame, key: str, most: int, names: tuple[str, str]) -> DataFrame:
     """Rows of at most ``most`` vectors: their ids and their numbers as bytes."""
     import numpy as np
     import pyarrow as pa
@@ -162,15 +162,22 @@ def _packed(vectors: DataFrame, key: str, most: int, names: tuple[str, str]) ->
     return vectors.select(key, "embedding").mapInArrow(run, f"{names[0]} binary, {names[1]} binary")
 
 
+def comparable(vectors: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of both, the vectors that are whole and as long as the longest query."""
+    dimension = queries.agg(F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()[0]
+    return vectors.where(is_whole("embedding", dimension)), queries.where(is_whole("embedding", dimension))
+
+
 def knn_batch(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, message_id, distance): the k nearest vectors of each query, whatever their number.
 
     Blocks of query vectors meet chunks of vectors in a join, so neither side passes through the driver; Spark broadcasts the blocks
     while they are few. Each task keeps the k nearest of each query, so what is dealt out by query grows with queries x tasks, not with
-    vectors x queries."""
+    vectors x queries. Vectors and queries count that are whole and as long as the longest query."""
     import numpy as np
     import pyarrow as pa
 
+    vectors, queries = comparable(vectors, queries)
     names = ["query_id", "message_id", "distance"]
 
     def near(batches):
@@ -186,7 +193,7 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 ids = np.frombuffer(ids, np.int64)
                 found = _nearest(np.frombuffer(wanted).reshape(len(asked) // 8, -1), np.frombuffer(x).reshape(len(ids), -1), ids, k)
                 if asked in held:
-                    found = _first(*(np.concatenate(two) for two in zip(held[asked], found, strict=True)), k)
+                    found = smallest(*(np.concatenate(two) for two in zip(held[asked], found, strict=True)), k)
                 elif n + len(asked) // 8 > HELD:
                     yield from rows()
                     held.clear()
@@ -196,8 +203,8 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         yield from rows()
 
     # dealt out once each, so that a product of many partitions reads them again instead of making them again
-    blocks = _packed(queries, "query_id", BLOCK, ("asked", "wanted")).hint("repartition")
-    chunks = _packed(vectors, "message_id", CHUNK, ("ids", "x")).hint("repartition")
+    blocks = packed(queries, "query_id", BLOCK, ("asked", "wanted")).hint("repartition")
+    chunks = packed(vectors, "message_id", CHUNK, ("ids", "x")).hint("repartition")
     pairs = blocks.crossJoin(chunks).select("asked", "wanted", "ids", "x")
     local = pairs.mapInArrow(near, "query_id bigint, message_id bigint, distance double")
     order = Window.partitionBy("query_id").orderBy("distance", "message_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import text as X
 from colloquy.functions import vectors as VX
-from colloquy.operators import embed, evaluate, export, filters, search, stats, sync
+from colloquy.operators import codes, embed, evaluate, export, filters, search, stats, sync
 from colloquy.plans import rendered, tools
 from colloquy.plans.views import AS_OF, SQL, Views
 
@@ -393,18 +393,24 @@ def _entries(v: Views) -> DataFrame:
     wanted = F.when(c % 10 == 0, c).otherwise(c + 1)
     source = F.element_at(F.array(*[F.lit(s) for s in filters.SOURCE_IDS]), (wanted % len(filters.SOURCE_IDS) + 1).cast("int"))
     expected = F.array(F.struct(source.alias("source"), F.concat(F.lit("conv-"), wanted).alias("source_id")))
-    return v.sessions.where(c % 5 == 0).select(c.alias("query_id"), F.substring_index("title", " ", 4).alias("query"), expected.alias("expected"))
+    words = F.substring_index("title", " ", 4)
+    query = F.when(c % 3 == 0, F.concat(F.regexp_replace(words, r"^(\S+) ", "$1_"), F.lit(" Thé"))).otherwise(words)  # a phrase and an accent in every third
+    return v.sessions.where(c % 5 == 0).select(c.alias("query_id"), query.alias("query"), expected.alias("expected"))
 
 
 EVAL = r""",
 toks AS (SELECT message_id, session_id, list_filter(string_split_regex(lower(strip_accents(content)), '[^\p{L}\p{N}\p{Co}]+'), lambda x: x <> '') AS ts FROM messages),
 lens AS (SELECT message_id, len(ts) AS dl FROM toks),
-post AS (SELECT message_id, session_id, term, count(*) AS f FROM (SELECT message_id, session_id, unnest(ts) AS term FROM toks) GROUP BY ALL),
-q AS (SELECT regexp_extract(id, '\d+')::BIGINT AS query_id, array_to_string(string_split(title, ' ')[1:4], ' ') AS query, 'conv-' || (regexp_extract(id, '\d+')::BIGINT + (regexp_extract(id, '\d+')::BIGINT % 10 <> 0)::INT) AS source_id FROM sessions WHERE regexp_extract(id, '\d+')::BIGINT % 5 = 0),
-words AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, lower(regexp_replace(unnest(string_split_regex(query, '\s+')), '[^\p{L}\p{N}_]', '', 'g')) AS term FROM q) WHERE term <> '' GROUP BY ALL),
-idf AS (SELECT term, CASE WHEN raw <= 0 THEN 1e-6 ELSE raw END AS idf FROM (SELECT term, ln(((SELECT count(*) FROM lens) - count(*) + 0.5) / (count(*) + 0.5)) AS raw FROM post WHERE term IN (SELECT term FROM words) GROUP BY term)),
+post AS (SELECT message_id, session_id, unnest(ts) AS term, generate_subscripts(ts, 1) AS pos FROM toks),
+four AS (SELECT regexp_extract(id, '\d+')::BIGINT AS query_id, array_to_string(string_split(title, ' ')[1:4], ' ') AS w FROM sessions),
+q AS (SELECT query_id, CASE WHEN query_id % 3 = 0 THEN regexp_replace(w, '^(\S+) ', '\1_') || ' Thé' ELSE w END AS query, 'conv-' || (query_id + (query_id % 10 <> 0)::INT) AS source_id FROM four WHERE query_id % 5 = 0),
+words AS (SELECT query_id, ws, count(*) AS times FROM (
+  SELECT query_id, list_filter(string_split_regex(lower(strip_accents(regexp_replace(unnest(string_split_regex(query, '\s+')), '[^\p{L}\p{N}_]', '', 'g'))), '[^\p{L}\p{N}\p{Co}]+'), lambda x: x <> '') AS ws FROM q) WHERE len(ws) > 0 GROUP BY ALL),
+parts AS (SELECT ws, unnest(ws) AS term, generate_subscripts(ws, 1) AS k FROM (SELECT DISTINCT ws FROM words)),
+held AS (SELECT ws, message_id, session_id, count(*) AS f FROM (SELECT ws, message_id, session_id, pos - k AS start FROM parts JOIN post USING (term) GROUP BY ALL HAVING count(*) = len(ws)) GROUP BY ALL),
+idf AS (SELECT ws, CASE WHEN raw <= 0 THEN 1e-6 ELSE raw END AS idf FROM (SELECT ws, ln(((SELECT count(*) FROM lens) - count(*) + 0.5) / (count(*) + 0.5)) AS raw FROM held GROUP BY ws)),
 scored AS (SELECT query_id, session_id, message_id, round(-sum(idf * times * f * 2.2 / (f + 1.2 * (1 - 0.75 + 0.75 * dl / (SELECT avg(dl) FROM lens)))), 9) AS r
-  FROM words JOIN post USING (term) JOIN idf USING (term) JOIN lens USING (message_id) GROUP BY ALL),
+  FROM words JOIN held USING (ws) JOIN idf USING (ws) JOIN lens USING (message_id) GROUP BY ALL),
 best AS (SELECT query_id, session_id, min(r) AS r FROM scored GROUP BY ALL),
 kw AS (SELECT query_id, session_id, row_number() OVER (PARTITION BY query_id ORDER BY r, session_id) - 1 AS wr FROM best QUALIFY wr < 400),
 near AS (SELECT query_id, message_id, list_distance(e.embedding::DOUBLE[], v.embedding) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY list_distance(e.embedding::DOUBLE[], v.embedding), message_id) AS n
@@ -448,10 +454,13 @@ def eval_summaries(v: Views) -> DataFrame:
     return evaluate.summaries(*_results(v))
 
 
-@query(
-    """SELECT query_id, message_id, round(distance, 6) AS distance FROM (SELECT q.vec_id AS query_id, message_id, list_distance(q.embedding::DOUBLE[], v.embedding) AS distance,
+#: Vectors that a query of the approximate search measures.
+RERANKED = 40
+NEAREST = """SELECT query_id, message_id, round(distance, 6) AS distance FROM (SELECT q.vec_id AS query_id, message_id, list_distance(q.embedding::DOUBLE[], v.embedding) AS distance,
   row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], v.embedding), message_id) AS n FROM embeddings q, vectors v WHERE q.vec_id % 20 = 0) WHERE n <= 10"""
-)
+
+
+@query(NEAREST)
 def knn_batch(v: Views) -> DataFrame:
     return search.knn_batch(v.vectors, _asked(v), 10).withColumn("distance", F.round("distance", 6))
 
@@ -482,10 +491,10 @@ def index_terms(v: Views) -> DataFrame:
 
 
 @query(
-    r""", labels(source, label) AS (VALUES """ + _LABELS + r"""), bodies AS (SELECT session_id, string_agg('## ' || CASE role WHEN 'user' THEN 'User' ELSE 'Assistant' END || chr(10) || chr(10) || content || chr(10), chr(10) ORDER BY seq) AS body FROM messages GROUP BY 1)
-SELECT id AS session_id, md5('Session: ' || title || chr(10) || 'Source: ' || label || chr(10) || CASE WHEN directory IS NULL THEN '' ELSE 'Directory: ' || directory || chr(10) END
-  || 'Date: ' || strftime(make_timestamp(started_at * 1000), '%Y-%m-%d %H:%M') || ' UTC' || chr(10) || 'Messages: ' || message_count || chr(10) || chr(10) || '---' || chr(10) || chr(10) || body) AS digest
-FROM sessions JOIN labels USING (source) JOIN bodies ON id = session_id"""
+    r""", bodies AS (SELECT session_id, count(*) AS n, string_agg('## ' || CASE role WHEN 'user' THEN 'User' ELSE 'Assistant' END || chr(10) || chr(10) || content || chr(10) || chr(10), '' ORDER BY seq) AS body FROM messages GROUP BY 1)
+SELECT id AS session_id, md5('Session: ' || title || chr(10) || 'Source: ' || source || chr(10) || CASE WHEN directory IS NULL THEN '' ELSE 'Directory: ' || directory || chr(10) END
+  || 'Date: ' || strftime(make_timestamp(started_at * 1000), '%Y-%m-%d %H:%M') || chr(10) || 'Messages: ' || n || chr(10) || chr(10) || '---' || chr(10) || chr(10) || body) AS digest
+FROM sessions JOIN bodies ON id = session_id"""
 )
 def export_transcripts(v: Views) -> DataFrame:
     found = export.transcripts(v.sessions, v.messages, filters.source_table(v.spark))
@@ -504,18 +513,17 @@ def embed_pending(v: Views) -> DataFrame:
     return done.select("message_id", "session_id", "error", F.size("embedding").alias("dimension"), F.round(F.sqrt(VX.dot("embedding", "embedding")), 4).alias("norm"))
 
 
-@query()
+@query(NEAREST)
 def approximate_neighbours(v: Views) -> DataFrame:
-    """Nearest vectors by cells; SQL has none."""
-    return embed.approximate_neighbours(v.vectors, _asked(v), 10)
+    """Nearest vectors by product-quantised codes, RERANKED of them measured; compared with the exact ones."""
+    return codes.approximate_neighbours(v.vectors, _asked(v), 10, RERANKED).withColumn("distance", F.round("distance", 6))
 
 
-@query("SELECT count(*) AS queries, true AS reached FROM embeddings WHERE vec_id % 20 = 0")
-def approximate_recall(v: Views) -> DataFrame:
-    """Whether the cells find nine of ten true neighbours, over the stated query set against all vectors."""
-    exact = search.knn_batch(v.vectors, _asked(v), 10).select("query_id", "message_id", F.lit(1).alias("is_near"))
-    both = exact.join(approximate_neighbours(v).withColumn("found", F.lit(1)).select("query_id", "message_id", "found"), ["query_id", "message_id"], "left")
-    return both.agg(F.countDistinct("query_id").alias("queries"), (F.count("found") >= 0.9 * F.count("*")).alias("reached"))
+@query(f"SELECT count(DISTINCT query_id) AS queries, count(*) AS pairs, count(*) AS found, least(1.0, {RERANKED}::DOUBLE / (SELECT count(*) FROM vectors)) AS share_read FROM ({NEAREST})")
+def approximate_found(v: Views) -> DataFrame:
+    """How many of the true neighbours the codes find, over the stated query set against all vectors, and what share of the full vectors a query measures."""
+    exact, found = search.knn_batch(v.vectors, _asked(v), 10), codes.approximate_neighbours(v.vectors, _asked(v), 10, RERANKED)
+    return codes.share_found(exact, found, v.vectors.count(), RERANKED).drop("share_found")
 
 
 @query(keyword_sql(WORDS) + vector_sql() + FUSED + "SELECT session_id, row_number() OVER (ORDER BY started_at DESC, position) AS place FROM found")

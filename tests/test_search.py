@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as X
-from colloquy.operators import evaluate, filters, search
+from colloquy.operators import codes, evaluate, filters, search
 
 CORPUS = [
     ("s1", "claude-code", "src-1", "how do I debug tokio async streams with backpressure"),
@@ -110,6 +110,19 @@ def test_evaluation(spark, store):
     assert evaluate.metrics(details.where(F.lit(False))).first()["mrr"] == 0.0
 
 
+def test_many_queries_find_what_single_ones_find(spark, store):
+    """Phrases and accents too: one rewriting for both."""
+    sessions, messages, _ = store
+    asked = ["snake_case", "Café", "tokio_tokio", "tokio tokio", "parser_of", "parser_of the_parser parser", "_", "cafe_tables zero_downtime", "a_segfault in_the"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id bigint, query string")
+    lengths = search.build_lengths(messages)
+    found = evaluate.batch_fts(queries, search.build_postings(messages), lengths, search.corpus_stats(lengths), 60).collect()
+    for n, query in enumerate(asked):
+        want = {r["session_id"]: r["rank"] for r in search.fts_search(sessions, messages, query).collect()}
+        assert {r["session_id"]: r["rank"] for r in found if r["query_id"] == n} == want
+    assert {r["session_id"] for r in found if r["query_id"] == 0} == {"s4"} == {r["session_id"] for r in found if r["query_id"] == 1}
+
+
 def test_evaluation_set_is_read(spark, tmp_path):
     (tmp_path / "e.json").write_text('[{"query": "a", "expected": [{"source": "codex", "source_id": "x"}]}]')
     assert evaluate.read_entries(spark, str(tmp_path / "e.json")).first()["expected"][0]["source_id"] == "x"
@@ -133,3 +146,40 @@ def test_many_query_vectors(spark, monkeypatch):
     want = {(q, int(m)) for q in range(90) for m in np.lexsort((np.arange(90), far[q]))[:5]}
     assert {(r["query_id"], r["message_id"]) for r in found} == want and len(found) == 450
     assert all(math.isclose(r["distance"], far[r["query_id"], r["message_id"]], abs_tol=1e-9) for r in found)
+
+
+ODD_VECTORS = [(90, None), (91, [1.0, 0.0]), (92, [None, 0.0, 0.0, 0.0, 0.0]), (93, [float("nan"), 0.0, 0.0, 0.0, 0.0]), (94, [])]
+
+
+def test_vectors_that_are_not_whole_take_no_place(spark, store):
+    _, _, vectors = store
+    mixed = vectors.unionByName(spark.createDataFrame(ODD_VECTORS, vectors.schema))
+    query = [1.0, 0.0, 0.0, 0.0, 0.0]
+    assert [r["message_id"] for r in search.knn_messages(mixed, query, 3).collect()] == [0, 1, 2]
+    asked = spark.createDataFrame([(1, query), (2, None)], "query_id bigint, embedding array<float>")
+    for found in (search.knn_batch(mixed, asked, 9), codes.approximate_neighbours(mixed, asked, 9)):
+        assert sorted((r["query_id"], r["message_id"]) for r in found.collect()) == [(1, i) for i in range(4)]
+    assert codes.approximate_neighbours(mixed.where("message_id >= 90 and message_id <> 91 and message_id < 93"), asked, 9).count() == 0
+
+
+def test_codes(spark):
+    """Coded distances are those to what codes stand for; re-ranking all is the exact search; few re-ranked find most."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 10)).astype(np.float32)
+    x[600:] = x[:300]  # ties
+    vectors = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "message_id bigint, embedding array<float>")
+    books = codes.fit(vectors, parts=4)
+    cell, code, bias = books.encode(x.astype(float))
+    near = np.concatenate([e[code[:, m]] for m, e in enumerate(books.entries)], axis=1) + books.centres[cell]
+    q = x[:7].astype(float)
+    assert np.allclose(books.far(books.tables(q), cell, code, bias), ((q[:, None] - near[None]) ** 2).sum(2)) and code.shape == (900, 4)
+    asked = vectors.where("message_id % 20 = 0").withColumnRenamed("message_id", "query_id")
+    rows = lambda d: sorted((r["query_id"], r["message_id"], round(r["distance"], 9)) for r in d.collect())
+    exact = search.knn_batch(vectors, asked, 10)
+    assert rows(codes.approximate_neighbours(vectors, asked, 10, rerank=900, parts=4)) == rows(exact)
+    one = codes.share_found(exact, codes.approximate_neighbours(vectors, asked, 10, rerank=80, parts=5), 900, 80).first()
+    assert one["queries"] == 45 and one["pairs"] == 450 and one["share_found"] >= 0.9 and one["share_read"] < 0.1
+    stored = codes.encode(vectors, books)
+    assert stored.count() == 900 and {len(r["code"]) for r in stored.collect()} == {4}

@@ -53,7 +53,9 @@ def test_small_expressions(spark):
     assert one(spark, X.message_time(F.lit(None).cast("bigint"))) == ""
     assert one(spark, X.percentage(F.lit(1), F.lit(0))) == 0.0
     assert one(spark, X.tokens("k"), k="Crème-brûlée x_y 3") == ["creme", "brulee", "x", "y", "3"]
-    assert one(spark, X.sanitized_query("k"), k=" Foo-Bar  a_b -- ") == ["foobar", "a_b"]
+    assert one(spark, X.query_words("k"), k=" Foo-Bar  a_b -- _ Café") == [["foobar"], ["a", "b"], ["cafe"]]
+    for text in ("snake_case Café", "a__b_ _c", "x", "--", "ÀÉ_î 3_4"):
+        assert one(spark, X.query_words("k"), k=text) == [w for w in X.rewrite_query(text) if w]
 
 
 def test_vectors(spark):
