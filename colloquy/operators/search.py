@@ -64,42 +64,55 @@ def _back(j: int):
     return lambda p: p - j
 
 
-def score_messages(postings: DataFrame, lengths: DataFrame, query: str, stats: tuple[int, float] | None = None) -> DataFrame | None:
-    """(message_id, session_id, rank): BM25 of the messages that hold any word of the query, smaller is better; None for a query without words.
-
-    Only the query's postings are read. Repeated words count as often as they stand in the query."""
-    rewritten = [w for w in rewrite_query(query) if w]
-    if not rewritten:
-        return None
-    n, mean = stats or corpus_stats(lengths)
-    times = Counter(map(tuple, rewritten))
-    words = [list(w) for w in times]
-    found = word_frequencies(postings, words)
-    # one row a word
-    idf = found.groupBy("word").agg(F.count("*").alias("n")).select("word", F.log((F.lit(n) - F.col("n") + 0.5) / (F.col("n") + 0.5)).alias("raw"))
+def score_words(found: DataFrame, times: list[int], n: int, mean: float, held: dict[int, int] | None = None) -> DataFrame:
+    """(message_id, session_id, rank) of the words' frequencies: BM25, smaller is better. times: how often each word stands in the query;
+    held: in how many messages it stands, where that isn't to be counted."""
+    if held is None:
+        counts = found.groupBy("word").agg(F.count("*").alias("n"))  # one row a word
+    else:
+        counts = found.sparkSession.createDataFrame(sorted(held.items()), "word int, n bigint")
+    idf = counts.select("word", F.log((F.lit(n) - F.col("n") + 0.5) / (F.col("n") + 0.5)).alias("raw"))
     idf = idf.select("word", F.when(F.col("raw") <= 0, LEAST_IDF).otherwise(F.col("raw")).alias("idf"))
-    repeat = reduce(lambda c, i: c.when(F.col("word") == i, times[tuple(words[i])]), range(len(words)), F.when(F.lit(False), 0))
+    repeat = reduce(lambda c, i: c.when(F.col("word") == i, times[i]), range(len(times)), F.when(F.lit(False), 0))
     weight = F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.lit(mean)))
     scored = found.join(F.broadcast(idf), "word")
     return scored.groupBy("message_id", "session_id").agg((-F.sum(F.col("idf") * weight * repeat)).alias("rank"))
 
 
+def score_messages(postings: DataFrame, lengths: DataFrame | None, query: str, stats: tuple[int, float] | None = None) -> DataFrame | None:
+    """(message_id, session_id, rank): BM25 of the messages that hold any word of the query; None for a query without words.
+
+    Only the query's postings are read. Repeated words count as often as they stand in the query."""
+    times = Counter(tuple(w) for w in rewrite_query(query) if w)
+    if not times:
+        return None
+    n, mean = stats or corpus_stats(lengths)
+    return score_words(word_frequencies(postings, [list(w) for w in times]), list(times.values()), n, mean)
+
+
+def best_sessions(scored: DataFrame, scope: DataFrame, fetch: int) -> DataFrame:
+    """(session_id, rank, message_id): the first sessions by their best message."""
+    hits = scored.join(scope, "session_id", "left_semi")
+    best = hits.withColumn("r", F.round("rank", 9)).groupBy("session_id").agg(F.min(F.struct("r", "message_id")).alias("best")).select("session_id", F.col("best.r").alias("rank"), F.col("best.message_id").alias("message_id"))
+    return best.orderBy("rank", "session_id").limit(fetch)
+
+
+def snippets_of(top: DataFrame, messages: DataFrame) -> DataFrame:
+    """A list's rows with the beginning of their message; at most as many look-ups as the list has rows."""
+    return top.join(messages.select("message_id", snippet("content").alias("snippet")), "message_id").select("session_id", "rank", "snippet")
+
+
 def fts_search(
     sessions: DataFrame, messages: DataFrame, query: str, fetch: int = 60, *, condition: Column | None = None, postings: DataFrame | None = None, lengths: DataFrame | None = None
 ) -> DataFrame:
     """(session_id, rank, snippet): sessions by their best message, which gives the snippet. Filters come before the limit.
 
-    With a stored index only the query's postings are read; without one they are built from the messages."""
-    empty = messages.select("session_id", F.lit(0.0).alias("rank"), F.lit("").alias("snippet")).where(F.lit(False))
+    The index is made from the messages unless one is given; search_index in ``index`` searches one that a store keeps up."""
     scored = score_messages(postings if postings is not None else build_postings(messages), lengths if lengths is not None else build_lengths(messages), query)
     if scored is None:
-        return empty
-    scope = sessions.where(condition) if condition is not None else sessions
-    hits = scored.join(scope.select(F.col("id").alias("session_id")), "session_id", "left_semi")
-    best = hits.withColumn("r", F.round("rank", 9)).groupBy("session_id").agg(F.min(F.struct("r", "message_id")).alias("best")).select("session_id", F.col("best.r").alias("rank"), F.col("best.message_id").alias("message_id"))
-    top = best.orderBy("rank", "session_id").limit(fetch)
-    # at most `fetch` rows look up their message
-    return top.join(messages.select("message_id", snippet("content").alias("snippet")), "message_id").select("session_id", "rank", "snippet")
+        return messages.select("session_id", F.lit(0.0).alias("rank"), F.lit("").alias("snippet")).where(F.lit(False))
+    scope = (sessions.where(condition) if condition is not None else sessions).select(F.col("id").alias("session_id"))
+    return snippets_of(best_sessions(scored, scope, fetch), messages)
 
 
 def knn_messages(vectors: DataFrame, query: list[float], k: int) -> DataFrame:

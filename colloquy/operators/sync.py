@@ -1,19 +1,16 @@
 """Incremental merge of scanned sessions into the stored tables.
 
-Parquet has no MERGE. Rows are kept in buckets by their session; a merge writes new versions of the buckets it touches, and one manifest,
-written aside and renamed, names the versions of all buckets of all tables: readers see the tables before or after a run, never between.
-Sessions are unique by (source, source_id); one that is missing from a scan stays."""
+Sessions are unique by (source, source_id); one that is missing from a scan stays. See ``store`` for how tables are merged on read."""
 
 from __future__ import annotations
 
-import json
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import first_user_message, is_noise, title
 from colloquy.operators.filters import within_window
+from colloquy.operators.index import merge_segments, segment_of
+from colloquy.operators.store import KEYS, UNINDEXED, Store
 
 SESSION_SCHEMA = "id string, source string, source_id string, title string, directory string, started_at bigint, updated_at bigint, message_count int, entrypoint string"
 MESSAGE_SCHEMA = "message_id bigint, session_id string, role string, content string, timestamp bigint, seq int"
@@ -127,145 +124,61 @@ def merge(planned: DataFrame, sessions: DataFrame, messages: DataFrame, vectors:
     return out
 
 
-class Store:
-    """Parquet tables in buckets under a path that Spark can reach: <path>/<table>/<version>/bucket=<n>.
-
-    <path>/_log/<number>.json is a manifest: for each table and bucket the versions that make it up. The highest number counts. A run
-    that finds its number taken when it is done has lost to another writer and fails; nothing it wrote is seen."""
-
-    #: Versions of a bucket that appended rows may make before it is written anew.
-    PARTS = 16
-
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path = spark, path.rstrip("/")
-        self.buckets = self.manifest()[1].get("buckets", buckets)
-
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def _names(self, path: str) -> list[str]:
-        fs, p = self._fs(path)
-        return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
-
-    def manifest(self) -> tuple[int, dict]:
-        """Number and content of the current manifest; 0 before the first write."""
-        names = [n for n in self._names(f"{self.path}/_log") if n.endswith(".json")]
-        if not names:
-            return 0, {"tables": {}}
-        return int(names[-1][:-5]), json.loads(self.spark.read.text(f"{self.path}/_log/{names[-1]}", wholetext=True).first()[0])
-
-    def _paths(self, table: str, manifest: dict, buckets: list[int] | None = None) -> list[str]:
-        parts = manifest["tables"].get(table, {})
-        return [f"{self.path}/{table}/{v}/bucket={b}" for b, versions in sorted(parts.items()) if buckets is None or int(b) in buckets for v in versions]
-
-    def _load(self, table: str, schema: str, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-
-    def read(self, table: str, schema: str) -> DataFrame:
-        """All rows; none before the first write."""
-        return self._load(table, schema, self._paths(table, self.manifest()[1]))
-
-    def read_buckets(self, table: str, schema: str, buckets: list[int]) -> DataFrame:
-        """Rows of some buckets, with their bucket."""
-        found = self._load(table, schema, self._paths(table, self.manifest()[1], buckets))
-        paths = bool(self._paths(table, self.manifest()[1], buckets))
-        return found.withColumn("bucket", F.regexp_extract("_metadata.file_path", r"/bucket=(\d+)/", 1).cast("int") if paths else F.lit(0))
-
-    def bucket(self, session: str) -> Column:
-        """The bucket of a session's rows in all tables."""
-        return F.pmod(F.xxhash64(session), F.lit(self.buckets)).cast("int")
-
-    def _placed(self, table: str, rows: DataFrame) -> DataFrame:
-        if "bucket" in rows.columns:
-            return rows
-        return rows.withColumn("bucket", self.bucket("session_id") if "session_id" in rows.columns else self.bucket("id") if table == "sessions" else F.lit(0))
-
-    def _put(self, table: str, rows: DataFrame) -> dict[str, list[str]]:
-        """Rows as a version that no manifest names yet: its buckets."""
-        version = f"v={uuid.uuid4().hex}"
-        self._placed(table, rows).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{table}/{version}")
-        return {n.split("=")[1]: [version] for n in self._names(f"{self.path}/{table}/{version}") if n.startswith("bucket=")}
-
-    def _commit(self, base: int, tables: dict) -> None:
-        text = json.dumps({"buckets": self.buckets, "tables": tables})
-        aside, target = f"{self.path}/_log/.{uuid.uuid4().hex}", f"{self.path}/_log/{base + 1:020d}.json"
-        fs, p = self._fs(aside)
-        stream = fs.create(p, False)
-        stream.write(bytearray(text.encode()))
-        stream.close()
-        if fs.exists(self._fs(target)[1]) or not fs.rename(p, self._fs(target)[1]):
-            raise RuntimeError(f"another writer has committed version {base + 1}")
-
-    def write(self, tables: dict[str, DataFrame], only: list[int] | None = None) -> None:
-        """Tables as new versions, whole or in the named buckets alone; one manifest for all."""
-        base, held = self.manifest()
-        after = dict(held["tables"])
-        for name, rows in tables.items():
-            kept = {b: v for b, v in after.get(name, {}).items() if only is not None and int(b) not in only}
-            after[name] = kept | self._put(name, rows)
-        self._commit(base, after)
-
-    def append(self, tables: dict[str, DataFrame]) -> None:
-        """Rows added to tables; a bucket of many versions becomes one."""
-        base, held = self.manifest()
-        after = dict(held["tables"])
-        for name, rows in tables.items():
-            parts = dict(after.get(name, {}))
-            full = [int(b) for b, v in parts.items() if len(v) >= self.PARTS]
-            if full:
-                schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "bucket")
-                rows = self._placed(name, rows).unionByName(self.read_buckets(name, schema, full))
-                parts = {b: v for b, v in parts.items() if int(b) not in full}
-            for b, v in self._put(name, rows).items():
-                parts[b] = [*parts.get(b, []), *v]
-            after[name] = parts
-        self._commit(base, after)
-
-    def aside(self, rows: DataFrame) -> tuple[DataFrame, str]:
-        """Rows written once under the store's path for the length of a run, and where."""
-        path = f"{self.path}/_staging/{uuid.uuid4().hex}"
-        rows.write.parquet(path)
-        return self.spark.read.schema(rows.schema).parquet(path), path
-
-    def discard(self, path: str) -> None:
-        fs, p = self._fs(path)
-        fs.delete(p, True)
+VECTOR_SCHEMA = "message_id bigint, embedding array<float>"
 
 
-VECTOR_SCHEMA = "message_id bigint, embedding array<float>"
+JOB_SCHEMA = "job string, phase string, detail string, updated_at bigint"
+FAILURE_SCHEMA = "session_id string, message_id bigint, error string, at bigint"
+#: Tables as they are stored, besides the index.
+STORED = {"sessions": SESSION_SCHEMA, "messages": MESSAGE_SCHEMA, "vectors": f"{VECTOR_SCHEMA}, session_id string", "failures": FAILURE_SCHEMA, "job_log": JOB_SCHEMA}
 
 
 def sync(raw: DataFrame, store: Store, cutoff_ms: int | None = None, force: bool = False, enabled: list[str] | None = None, pruned: DataFrame | None = None) -> DataFrame:
-    """One run over scanned entries: plan, merge, write; gives the counters, with those of files pruned before (action, sessions).
+    """One run over scanned entries: plan, write what changes, commit; gives the counters, with those of files pruned before (action, sessions).
 
-    What is scanned is parsed once. Only buckets of sessions that change are read and written; vectors of replaced messages go in the same version."""
+    What is scanned is parsed once. A run writes the new rows, tombstones of the sessions they replace, and a segment of the keyword
+    index; nothing that is stored is rewritten here (see upkeep). Vectors and failures of replaced sessions are dead with their messages."""
     scanned = raw.where(F.col("source").isin(enabled)) if enabled else raw
-    sessions = store.read("sessions", SESSION_SCHEMA)
+    base = store.manifest()
+    sessions = store.read("sessions", SESSION_SCHEMA, base)
     planned, path = store.aside(plan(scanned, sessions, cutoff_ms, force))
     done = counters(planned)
     if pruned is not None:
         done = done.unionByName(pruned.withColumn("messages", F.lit(0).cast("bigint"))).groupBy("action").agg(F.sum("sessions").alias("sessions"), F.sum("messages").alias("messages"))
     rows = done.collect()  # at most five actions
     todo = planned.where("stands")
-    ids = sessions.join(todo.select("source", "source_id"), ["source", "source_id"], "left_semi").select("id").union(todo.select(session_id().alias("id")))
-    touched = sorted(r[0] for r in ids.select(store.bucket("id")).distinct().collect())  # at most as many as there are buckets
-    if touched:
-        held = {name: store.read_buckets(name, schema, touched) for name, schema in (("sessions", SESSION_SCHEMA), ("messages", MESSAGE_SCHEMA), ("vectors", VECTOR_SCHEMA))}
-        after = merge(planned, held["sessions"].drop("bucket"), held["messages"].drop("bucket"), held["vectors"])
-        store.write(after, only=touched)
+    if any(r["action"] in WRITTEN for r in rows):
+        known = sessions.join(todo.select("source", "source_id"), ["source", "source_id"], "left_semi").select(F.col("id").alias("session_id"))
+        replaced, replaced_path = store.aside(known)
+        add = store.put("sessions", session_rows(todo), base)
+        fresh = message_rows(todo)
+        add += store.put("messages", fresh, base)
+        written = base | {"tables": {"messages": {b: [[v, n]] for t, b, v, n in add if t == "messages"}}}
+        new = store.read("messages", MESSAGE_SCHEMA, written)  # as just written, not parsed again
+        old = None
+        if not replaced.isEmpty():
+            add += store.put("tombstones", replaced, base) + store.put(UNINDEXED, replaced, base)
+            buckets = {r[0] for r in replaced.select(store.bucket("session_id", base)).distinct().collect()}  # at most as many as there are buckets
+            old = store.read("messages", MESSAGE_SCHEMA, base, buckets).join(replaced, "session_id", "left_semi")
+        add += segment_of(store, base, new, old)
+        store.commit(base, add, touched={b for t, b, *_ in add if t in KEYS})
+        store.discard(replaced_path)
     store.discard(path)
     return store.spark.createDataFrame(rows, done.schema)
 
 
+def upkeep(store: Store, keep: int = 3, age_ms: int = 86_400_000) -> None:
+    """Gather what runs have added: buckets that have grown by as much as they held, segments of like size; then drop what no manifest names."""
+    store.compact(STORED)
+    merge_segments(store)
+    store.vacuum(keep, age_ms)
+
+
 def append_job_phase(store: Store, job: str, phase: str, detail: str | None, at_ms: int) -> None:
     """A row of the run log."""
     store.append({"job_log": store.spark.createDataFrame([(job, phase, detail, at_ms)], JOB_SCHEMA)})
 
 
-JOB_SCHEMA = "job string, phase string, detail string, updated_at bigint"
-
-
 def job_state(log: DataFrame) -> DataFrame:
     """(job, phase, detail, updated_at): the last phase of each job; a cleared job (phase null) has none."""
     last = log.groupBy("job").agg(F.max_by(F.struct("phase", "detail", "updated_at"), "updated_at").alias("last"))

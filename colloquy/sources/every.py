@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.operators.filters import SOURCE_IDS
-from colloquy.operators.sync import RAW_SCHEMA, SESSION_SCHEMA, Store, sync
+from colloquy.operators.store import Store
+from colloquy.operators.sync import RAW_SCHEMA, SESSION_SCHEMA, sync
 from colloquy.sources import claude_code, codex, copilot, cursor, gemini, kiro, opencode
 
 PRUNED = "action string, sessions bigint"
@@ -45,5 +46,6 @@ def scan_all(spark: SparkSession, roots: dict, stored: DataFrame | None = None,
 
 def sync_sources(spark: SparkSession, roots: dict, store: Store, cutoff_ms: int | None = None, force: bool = False, enabled: list[str] | None = None) -> DataFrame:
     """One run from files to tables: scan, prune, plan, merge, write; gives the counters. A forced run opens and replaces everything."""
-    raw, pruned = scan_all(spark, roots, None if force else store.read("sessions", SESSION_SCHEMA), cutoff_ms, enabled)
+    nothing = force or not store.manifest()["number"]  # then every file is opened, without a list of them
+    raw, pruned = scan_all(spark, roots, None if nothing else store.read("sessions", SESSION_SCHEMA), cutoff_ms, enabled)
     return sync(raw, store, cutoff_ms, force, pruned=pruned)

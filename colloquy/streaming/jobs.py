@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from colloquy.operators.embed import embed_pending
-from colloquy.operators.sync import MESSAGE_SCHEMA, SESSION_SCHEMA, VECTOR_SCHEMA, Store, sync
+from colloquy.operators.stats import pending_messages
+from colloquy.operators.store import Store
+from colloquy.operators.sync import FAILURE_SCHEMA, MESSAGE_SCHEMA, SESSION_SCHEMA, VECTOR_SCHEMA, sync
 
+#: Messages embedded between two commits.
+PORTION = 1_000_000
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
@@ -21,10 +25,22 @@ def sync_stream(spark: SparkSession, path: str, pattern: str, parse: Callable[[D
     return ready.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: sync(parse(batch), store, **options)).trigger(availableNow=True).start()
 
 
-def embed_run(store: Store, encoder=None) -> None:
-    """Embed all that is pending, once: each text is encoded once, vectors and failures are appended in one version."""
-    sessions, messages, vectors = store.read("sessions", SESSION_SCHEMA), store.read("messages", MESSAGE_SCHEMA), store.read("vectors", VECTOR_SCHEMA)
-    done, path = store.aside(embed_pending(sessions, messages, vectors, encoder))
-    good, bad = done.where(F.col("error").isNull()), done.where(F.col("error").isNotNull())
-    store.append({"vectors": good.select("message_id", "embedding", store.bucket("session_id").alias("bucket")), "failures": bad.select("session_id", "message_id", "error")})
+def embed_run(store: Store, encoder=None, at_ms: int = 0, portion: int = PORTION) -> None:
+    """Embed all that is pending, once. Sessions go in portions of some ``portion`` messages, each committed with its vectors and failures,
+    so a run that is lost keeps what it has done. A session with a failure on record is not taken up again until it is replaced."""
+    base = store.manifest()
+    sessions, messages = store.read("sessions", SESSION_SCHEMA, base), store.read("messages", MESSAGE_SCHEMA, base)
+    vectors, failed = store.read("vectors", VECTOR_SCHEMA, base), store.read("failures", FAILURE_SCHEMA, base)
+    todo, path = store.aside(pending_messages(messages, vectors).join(failed.select("session_id").distinct(), "session_id", "left_anti"))
+    n = todo.count()
+    for i in range(-(-n // portion)):
+        some = todo.where(F.pmod(F.xxhash64("session_id", F.lit(1)), F.lit(-(-n // portion))) == i)
+        done, done_path = store.aside(embed_pending(sessions, some, vectors.where(F.lit(False)), encoder))
+        good, bad = done.where(F.col("error").isNull()), done.where(F.col("error").isNotNull())
+        after = store.append({"vectors": good.select("message_id", "embedding", "session_id"), "failures": bad.select("session_id", "message_id", "error", F.lit(at_ms).cast("bigint").alias("at"))}, base)
+        store.discard(done_path)
+        if after["number"] != base["number"] + 1:  # another writer came between: what is left may have changed
+            store.discard(path)
+            return embed_run(store, encoder, at_ms, portion)
+        base = after
     store.discard(path)

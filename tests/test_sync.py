@@ -72,29 +72,6 @@ def test_vectors_of_replaced_messages_go_with_them(spark, tmp_path):
     assert after.keys() == before.keys() and after[changed] != before[changed]
 
 
-def test_a_run_writes_touched_buckets_alone(spark, tmp_path):
-    store = sync.Store(spark, str(tmp_path), buckets=8)
-    sync.sync(raw(spark, *[(f"s{i}", 1, ["m"], i) for i in range(40)]), store)
-    before = store.manifest()[1]["tables"]
-    sync.sync(raw(spark, ("s3", 2, ["new"], 0)), store)
-    number, held = store.manifest()
-    differs = lambda t: [b for b in before[t] if before[t][b] != held["tables"][t].get(b)]
-    assert number == 2 and differs("sessions") == differs("messages") and len(differs("sessions")) == 1 and len(before["sessions"]) == 8
-    assert store.read("sessions", sync.SESSION_SCHEMA).count() == 40 and sync.Store(spark, str(tmp_path)).buckets == 8
-    sync.sync(raw(spark, ("s3", 2, ["new"], 0)), store)
-    assert store.manifest()[0] == 2  # nothing changed, nothing written
-    with pytest.raises(RuntimeError):
-        store._commit(1, held["tables"])
-
-
-def test_appends_are_gathered(spark, tmp_path):
-    store = sync.Store(spark, str(tmp_path))
-    for i in range(store.PARTS + 3):
-        sync.append_job_phase(store, "sync", "scan", None, i)
-    assert len(store.manifest()[1]["tables"]["job_log"]["0"]) == 3
-    assert store.read("job_log", sync.JOB_SCHEMA).count() == store.PARTS + 3
-
-
 def test_claimed_sessions_are_in_work(spark):
     sessions = stored(spark, ("a", 5, 1), ("b", 9, 1), ("c", 7, 1))
     state = spark.createDataFrame([("x-a", 2, "pending", None), ("x-b", 1, "failed", "e"), ("x-c", 3, "pending", "old")], "session_id string, units_total int, status string, last_error string")
@@ -145,12 +122,16 @@ def test_embedding_run_and_states(spark, tmp_path):
     jobs.embed_run(store, encoder)
     sessions, messages = store.read("sessions", sync.SESSION_SCHEMA), store.read("messages", sync.MESSAGE_SCHEMA)
     vectors = store.read("vectors", jobs.VECTOR_SCHEMA)
-    failed = store.read("failures", "session_id string, message_id bigint, error string").withColumn("at", F.lit(1))
+    failed = store.read("failures", sync.FAILURE_SCHEMA)
     state = stats.embedding_state(sessions, messages, vectors, failed).join(sessions.select(F.col("id").alias("session_id"), "source_id"), "session_id")
     assert {r["source_id"]: (r["status"], r["units_done"], r["units_total"]) for r in state.collect()} == {"a": ("failed", 1, 2), "b": ("done", 0, 0), "c": ("done", 1, 1)}
     one = stats.embedding_progress(sessions, state).first()
     assert one["total"] == sum(one[k] for k in ("done", "processing", "failed", "pending")) == 3
-    jobs.embed_run(store)
+    jobs.embed_run(store)  # a failed session is left alone, with an encoder that would do
+    assert store.read("vectors", jobs.VECTOR_SCHEMA).count() == 2 and store.read("failures", sync.FAILURE_SCHEMA).count() == 1
+    sync.sync(raw(spark, ("a", 2, ["one text", "calm text"], 0)), store)  # until it is replaced
+    assert store.read("failures", sync.FAILURE_SCHEMA).count() == 0
+    jobs.embed_run(store, at_ms=7, portion=1)
     assert store.read("vectors", jobs.VECTOR_SCHEMA).count() == 3
 
 
