@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from colloquy.functions import text as X
 from colloquy.functions import vectors as VX
 from colloquy.operators import codes, embed, evaluate, export, filters, search, stats, sync
-from colloquy.plans import rendered, tools
+from colloquy.plans import rendered, stored, tools
 from colloquy.plans.views import AS_OF, SQL, Views
 
 WORDS, PHRASES = "The der the", "of_the the_of, THE!"
@@ -600,6 +600,18 @@ def job_states(v: Views) -> DataFrame:
     return sync.job_state(log)
 
 
+_STORED = {
+    "fts_indexed": (lambda v: stored.fts_indexed(v, WORDS), stored.STORED_SQL + keyword_sql(WORDS) + "SELECT source_id, rank FROM kw JOIN sessions ON id = session_id"),
+    "fts_indexed_phrase": (lambda v: stored.fts_indexed(v, PHRASES), stored.STORED_SQL + keyword_sql(PHRASES) + "SELECT source_id, rank FROM kw JOIN sessions ON id = session_id"),
+    "sync_stored": (stored.sync_stored, stored.SYNC_STORED),
+    "embedding_runs": (stored.embedding_runs, stored.EMBEDDING_RUNS),
+    "index_blocks": (lambda v: stored.index_blocks(v, "the"), None),
+}
+for _name, (_fn, _sql) in _STORED.items():
+    QUERIES[_name] = lambda spark, sf_dir, fn=_fn: fn(Views(spark, sf_dir))
+    if _sql:
+        ORACLE_SQL[_name] = _sql
+
 for _name, (_fn, _sql) in (rendered.ROUND_TRIPS | tools.TOOLS).items():
     QUERIES[_name] = lambda spark, sf_dir, fn=_fn: fn(Views(spark, sf_dir))
     ORACLE_SQL[_name] = SQL + _sql
