@@ -30,6 +30,7 @@ TOKEN = re.compile(r"<!--|<[!?][^>]*+>|" + TAG + r"((?>[^>\"']++|\"[^\"]*+\"|'[^
 UNQUOTED = re.compile(r"<!--|<[!?][^>]*+>|" + TAG + r"([^>]*+)>")
 MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 NAME = re.compile(r"[a-z]+")
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math mi mn mo mrow mtext msup msub mfrac msqrt semantics annotation".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never text of the page.
@@ -39,7 +40,7 @@ QUIET = set("script style noscript template svg iframe object canvas audio video
 RAW = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in ("script", "style", "textarea", "title", "noscript", "iframe")}
 AROUND = set("nav footer header aside form menu dialog fieldset".split())
 MAIN = set("article main".split())
-#: Words in class, id or role that name parts around the main text, whatever stands beside them.
+#: Words in class, id or role that name parts around the main text (see names_around for where they stand in a name).
 AROUND_WORDS = set(
     "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer gdpr login menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion related replies share sharing sidebar signup sponsor sponsored subscribe toolbar topbar widget widgets".split()
 )
@@ -49,15 +50,31 @@ MAIN_WORDS = set("article content entry main post story".split())
 FEATURES = ("around", "named_around", "main", "heading", "item", "words", "links", "words_before", "links_before", "words_after", "links_after")
 
 
-def named(attributes: str) -> tuple[bool, bool]:
-    """Whether an element's names put it around the main text, and whether they put it there."""
+#: Words that say what a name's element is made of, not what it holds; before a name, words that only say what a page has.
+BUILT = set("area articles bar block body bottom box buttons card col column container content count footer form global header holder inner item items left link links list main meta outer panel post posts primary right row secondary section site slot space sticky stories text thread title top unit wrap wrapper zone".split())
+STATES = set("has have is no not with without".split())
+
+
+def names_around(words: list[str]) -> bool:
+    """Whether a name (its words in order) puts an element around the main text: its last word does, or its first before words of building alone."""
+    if not words or words[0] in STATES:
+        return False
+    tells = AROUND_WORDS | (set() if MAIN_WORDS & set(words) else WEAK_WORDS)
+    first = next((i for i, w in enumerate(words) if w in tells), len(words))
+    return first < len(words) and all(w in tells or w in BUILT or len(w) < 3 for w in words[first:])
+
+
+def named(attributes: str, tag: str = "div", within: bool = False) -> tuple[bool, bool]:
+    """Whether an element's names put it around the main text, and whether they put it there.
+
+    An article is around only by a name of one word, the main element never; a header within the main text is part of it."""
     around = main = False
     for found in MARKS.findall(attributes):
-        for name in "".join(found).lower().split():
-            words = set(NAME.findall(name))
-            if words & AROUND_WORDS or words & WEAK_WORDS and not words & MAIN_WORDS:
+        for name in CAMEL.sub("-", "".join(found)).lower().split():
+            words = NAME.findall(name)
+            if names_around(words) and tag != "main" and (tag != "article" or len(words) == 1) and not (within and words == ["header"]):
                 around = True
-            elif words & MAIN_WORDS:
+            elif set(words) & MAIN_WORDS:
                 main = True
     return around, main and not around
 
@@ -138,7 +155,7 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
             open_tags["p"] -= 1
         _, around, main, called = stack[-1] if stack else ("", 0, 0, 0)
         if tag != "html" and tag != "body":
-            outside, inside = named(m[3]) if m[3] else (False, False)
+            outside, inside = named(m[3], tag, main > 0) if m[3] else (False, False)
             called += outside
             main += tag in MAIN or inside
             around += tag in AROUND and not (tag == "header" and main)
@@ -194,6 +211,12 @@ LABELLED = [
     '<div>-<a href=1>Many stories stand here one beside the other in a long row of links</a> <a href=2>and it goes on and on for more than a line of them</a></div><article><p>+First.</p><p>+The second paragraph has more to say than the first one, and says it plainly.</p><p>+<a href=3>Read the report</a></p><p>+Third.</p></article><div>-<a href=4>Many more stories stand here one beside the other in a long row of links</a></div>',
     '<article><h1>+Sources</h1><p>+All that is told here was found in these.</p><ul><li>+<a href=1>The first book</a></li><li>+<a href=2>The second book</a></li><li>+<a href=3>A letter</a></li></ul><p>+<a href=4>All letters</a></p></article>',
     '<div>-<a href=1>A very long line of links leads the reader to all the other parts of this page and to its archive of old stories</a></div><main><p>+<a href=2>One</a></p><p>+Two</p></main>',
+    '<div class="layout with-sidebar"><article class="post has-comments"><h1>+Names that mislead</h1><p>+Text.</p><div id="share-prices"><p>+Prices of shares fell all day.</p></div><section id="related-work"><p>+Others have written on this before.</p></section></article><div class="sidebar-left">-Remarks</div><div class="comments-area">-I think so too</div></div>',
+    '<main class="widget-area"><p>+The main part of a page stays, whatever it is called.</p><div class="widget">-Weather: fair</div></main>',
+    '<div id="content"><div class="header"><h1>+A title in a head of its own</h1></div><p>+And its text.</p></div><div class="site-footer">-Made here</div>',
+    '<article id="notice-of-meeting"><h1>+Notice of meeting</h1><p>+We meet on Monday.</p></article><div class="cookie-notice">-We use cookies on this page</div>',
+    '<article class="article no-sidebar"><p>+A page without a sidebar says so in its name.</p><article class="comment"><p>-I like it that way, and so do all of my friends.</p></article><div id="commentForm">-Say what you think</div></article>',
+    '<div class="page has-footer"><div class="post is-promo-free"><h2>+Names again</h2><p>+Words of a state are none of a part.</p></div><div class="ad-slot-3">-Kettles, half price</div><div class="site-footer">-<a href=1>Imprint</a></div></div>',
 ]
 
 

@@ -4,8 +4,8 @@ Words of every text are hashed; all rolling k-grams of word hashes join the posi
 notices. A match votes for the diagonal (word place in the text minus word place in the notice); votes of one diagonal are
 aggregated before they are dealt out, and neighbouring diagonals merge (a word added or lost moves the diagonal by one). A merged span
 with half of the votes its notice can give is verified word by word: nearly all words agree, or a long stretch; words that tell
-licences apart (TELLING, and numbers of short notices) agree each at its place; and no such word stands in or beside the span that the
-notice hasn't. Of spans that overlap, the one with most votes stays (ties: the larger share, then the earlier notice).
+licences apart (FAMILIES, and numbers of short notices) agree each at its place; and no word that tells apart its own family's licences stands in or
+beside the span that the notice hasn't. Of spans that overlap, the one with most votes stays (ties: the larger share, then the earlier notice).
 
 Base labels come from exact phrases and always stay; a verified notice adds its own label. Null and empty texts have no words, no
 places (null first and last word), empty labels and score 0. Texts shorter than k words can hold base phrases only. Repeated rows
@@ -28,7 +28,7 @@ K, SLACK, COVERED, ENOUGH, VOTED = 4, 3, 0.87, 32, 0.5
 #: Words of a text that stand in one row, and words beside a span that may contradict it.
 STRETCH, FLANK = 512, 3
 #: Notices of so many words are short: their numbers must agree.
-SHORT = 20
+SHORT = 32
 #: The notices' k-grams are broadcast; more than this is refused.
 MAX_GRAMS = 100_000
 
@@ -53,28 +53,55 @@ NOTICES = [
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
     ("lgpl", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
     ("agpl", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-nc-sa", "Licensed under CC BY-NC-SA 4.0"),
-    ("cc-by-nc-nd", "Licensed under CC BY-NC-ND 4.0"),
-    ("cc-by-nd", "Licensed under CC BY-ND 4.0"),
-    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
-    ("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
-    ("cc-by-nc-nd", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
-    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
-    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     (
         "bsd",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
     ),
+    ("bsd", "Licensed under the BSD License"),
+    ("bsd", "Released under the BSD License"),
+    ("bsd", "Licensed under the BSD 2-Clause License"),
+    ("bsd", "Licensed under the BSD 3-Clause License"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
 ]
 
-# Words that tell licences apart.
-TELLING = "affero lesser library nc nd noderivatives noderivs noncommercial sa sharealike".split()
+# Further notices of the GNU and other families.
+NOTICES += [
+    ("apache", "Licensed under the Apache License, Version 1.1"),
+    ("lgpl", "you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation"),
+    ("mpl", "Licensed under the Mozilla Public License, version 2.0"),
+    ("mpl", "subject to the Mozilla Public License Version 1.1"),
+    ("epl", "made available under the terms of the Eclipse Public License v2.0"),
+    ("epl", "made available under the terms of the Eclipse Public License v1.0"),
+    ("cc0", "CC0 1.0 Universal"),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
+]
+for _n in ("2", "3"):
+    NOTICES += [
+        (f"gpl-{_n}", f"under the GNU GPL v{_n}"), (f"gpl-{_n}", f"under the GNU GPL version {_n}"), (f"gpl-{_n}", f"licensed under GNU GPL v{_n}"), (f"gpl-{_n}", f"licensed under GPLv{_n}"),
+        (f"gpl-{_n}-or-later", f"under the terms of the GNU General Public License as published by the Free Software Foundation, either version {_n} of the License, or (at your option) any later version"),
+    ]
+
+# Creative Commons kinds (label, initials, name), versions with the name of their unported form, and SPDX identifiers with their labels.
+CC_KINDS = [
+    ("cc-by", "BY", "Attribution"), ("cc-by-nc", "BY-NC", "Attribution-NonCommercial"), ("cc-by-nc-sa", "BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    ("cc-by-nc-nd", "BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"), ("cc-by-sa", "BY-SA", "Attribution-ShareAlike"), ("cc-by-nd", "BY-ND", "Attribution-NoDerivatives"),
+]
+CC_VERSIONS = [("4.0", "International"), ("3.0", "Unported"), ("3.0", "United States"), ("2.5", "Generic"), ("2.0", "Generic"), ("1.0", "Generic")]
+SPDX = {
+    "MIT": "mit", "Apache-2.0": "apache", "BSD-2-Clause": "bsd", "BSD-3-Clause": "bsd", "ISC": "isc", "Zlib": "zlib", "Unlicense": "unlicense", "CC0-1.0": "cc0", "MPL-2.0": "mpl", "EPL-2.0": "epl", "CC-BY-4.0": "cc-by", "CC-BY-SA-4.0": "cc-by-sa",
+    "GPL-2.0-only": "gpl-2", "GPL-3.0-only": "gpl-3", "GPL-2.0-or-later": "gpl-2-or-later", "GPL-3.0-or-later": "gpl-3-or-later", "LGPL-2.1-or-later": "lgpl", "LGPL-3.0-or-later": "lgpl", "AGPL-3.0-only": "agpl", "AGPL-3.0-or-later": "agpl",
+}
+for _label, _short, _name in CC_KINDS:
+    for _version, _form in CC_VERSIONS:
+        NOTICES += [(_label, f"Licensed under CC {_short} {_version}")] if _form != "United States" else []
+        NOTICES += [(_label, f"This work is licensed under a Creative Commons {_name} {_version} {_form} License"), (_label, f"{_name} {_version} {_form}")]
+NOTICES += [(_label, f"SPDX-License-Identifier: {_name}") for _name, _label in SPDX.items()]
+
+# Words that tell a family's licences apart, by the beginning of its labels.
+FAMILIES = {("gpl", "lgpl", "agpl"): "affero lesser".split(), ("cc-",): "nc nd noderivatives noderivs noncommercial sa sharealike".split()}
 
 #: Words are runs of letters a-z, digits and anything beyond ASCII, A-Z lower-cased.
 BREAK = bytes(b if chr(b) in "0123456789abcdefghijklmnopqrstuvwxyz" or b >= 128 else (b + 32 if 65 <= b <= 90 else 32) for b in range(256))
@@ -120,11 +147,11 @@ def base_places(words: list[bytes], data: bytes) -> list[tuple[int, str]]:
     return out
 
 
-def notice_facts(text: str) -> tuple[list[bytes], list[int], list[bytes]]:
+def notice_facts(label: str, text: str) -> tuple[list[bytes], list[int], list[bytes]]:
     """A notice's words, the places of those that must agree, and the words that must not stand in or beside its span."""
     words = words_of(text.encode())
-    apart = [w.encode() for w in TELLING]
-    telling = [i for i, w in enumerate(words) if w in apart or len(words) <= SHORT and w.isdigit()]
+    apart = [w.encode() for starts, some in FAMILIES.items() if label.startswith(starts) for w in some]
+    telling = [i for i, w in enumerate(words) if w in apart or w == b"library" or len(words) <= SHORT and w.isdigit()]
     return words, telling, [w for w in apart if w not in words]
 
 
@@ -133,7 +160,7 @@ def notice_grams(spark: SparkSession, notices: list[tuple[str, str]], k: int) ->
     rows: list[tuple] = [(0, -1, "", 0, 0, [], [], [])]
     signed = lambda some: word_hashes(some).view(np.int64).tolist()
     for n, (label, text) in enumerate(notices):
-        words, telling, rivals = notice_facts(text)
+        words, telling, rivals = notice_facts(label, text)
         rows += [(int(g), n, label, at, len(words), signed(words), telling, signed(rivals)) for at, g in enumerate(rolling(word_hashes(words), k))]
     if len(rows) > MAX_GRAMS:
         raise ValueError(f"{len(rows)} k-grams of notices; at most {MAX_GRAMS} are broadcast")

@@ -35,7 +35,8 @@ KINDS = ("assign", "access", "hex", "live")
 
 # Fixed patterns of further public key formats.
 FORMATS = re.compile(
-    r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]*"
+    # a key's lines, from 20 characters on, and what is left over before its end; prose after the header is none
+    r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:\s*+[A-Za-z0-9+/=]{20,}+)++(?:\s*+[A-Za-z0-9+/=]{1,19}+(?=\s*+-----END))?+(?:\s*+-----END (?:[A-Z]+ )*PRIVATE KEY-----)?+"
     r"|gh[pousr]_[A-Za-z0-9]{36,}"
     r"|xox[abprs]-[A-Za-z0-9-]{10,}"
     r"|[srp]k_(?:live|test)_[A-Za-z0-9]{16,}"

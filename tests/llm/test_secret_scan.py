@@ -44,6 +44,33 @@ def test_clean_text_has_no_spans(spark, docs_of):
     assert {r["spans"] for r in ss.find_secrets(docs_of(rows)).collect()} == {""}
 
 
+def test_a_key_ends_where_its_lines_end(spark, docs_of):
+    """Prose after a key's header is no secret, and nothing of it goes; a whole key does."""
+    prose = "-----BEGIN PRIVATE KEY----- is what a key file begins with and so all readers know it"
+    body = "\n".join("aB3x" * 16 for _ in range(3)) + "\nqQ=="
+    key = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    cut = "-----BEGIN PRIVATE KEY-----\n" + "aB4x" * 16
+    docs = docs_of([(1, prose), (2, f"see {key} and prose"), (3, cut + " then words follow")])
+    assert {r["doc_id"]: r["spans"] for r in ss.find_secrets(docs).collect()} == {1: "", 2: f"live:4:{4 + len(key)}", 3: f"live:0:{len(cut)}"}
+    assert {r["doc_id"]: r["text"] for r in ss.redact(docs).collect()} == {1: prose, 2: "see [live] and prose", 3: "[live] then words follow"}
+
+
+def test_live_spans_equal_brute_force(spark):
+    """Further candidates against owners counted by hand over random corpora."""
+    import random
+
+    rng = random.Random(8)
+    values = ["ghp_" + "".join(rng.choice("abcXYZ123") for _ in range(36)) for _ in range(6)]
+    rows = [(i, " ".join(rng.choice([*values, "word", "and"]) for _ in range(rng.randrange(0, 6))), f"owner{rng.randrange(4)}", f"repo{rng.randrange(12)}") for i in range(80)]
+    held = {v: ({r[2] for r in rows if v in r[1]}, {(r[2], r[3]) for r in rows if v in r[1]}) for v in values}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, repo string")
+    for owners, repositories in ((1, 3), (3, 9), (9, 99)):
+        got = {r["doc_id"]: r["spans"] for r in ss.find_secrets(docs, repository="repo", max_owners=owners, max_repositories=repositories).collect()}
+        for i, text, *_ in rows:
+            want = [f"live:{m.start()}:{m.end()}" for m in re.finditer("|".join(values), text) if len(held[m[0]][0]) <= owners and len(held[m[0]][1]) <= repositories]
+            assert got[i] == ",".join(want)
+
+
 def test_widely_held_value_in_many_rows(spark, docs_of):
     rows = [(i, f"k {HEX}") for i in range(300)]
     got = ss.find_secrets(docs_of(rows, 7)).collect()
