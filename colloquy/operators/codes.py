@@ -7,6 +7,7 @@ up in tables of the query's products with all entries, keeps a few hundred ids a
 
 from __future__ import annotations
 
+import io
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,12 +17,14 @@ from pyspark.sql import functions as F
 
 from colloquy.functions.vectors import is_whole, l2
 from colloquy.operators.search import BLOCK, comparable, packed, smallest
+from colloquy.operators.store import Store
 
 #: Vectors that codebooks are fitted on, cells, bytes of a code, entries of a codebook, rounds of fitting.
 SAMPLE, MOST_CELLS, PARTS, ENTRIES, ROUNDS = 20_000, 256, 32, 256, 10
 #: Ids re-ranked for each neighbour wanted, at least, and rows that a chunk of codes holds.
 PER_NEIGHBOUR, CHUNK = 4, 16_384
 
+VECTORS = "message_id bigint, embedding array<float>, session_id string"
 CODE_SCHEMA = "message_id bigint, cell int, code binary, bias float"
 
 
@@ -151,7 +154,7 @@ def search_codes(codes: DataFrame, vectors: DataFrame, queries: DataFrame, books
 
 
 def approximate_neighbours(vectors: DataFrame, queries: DataFrame, k: int, rerank: int | None = None, **fitting) -> DataFrame:
-    """The same from vectors alone: codebooks are fitted and every vector coded first. A store keeps both (see Store in sync)."""
+    """The same from vectors alone: codebooks are fitted and every vector coded first. A store keeps both (code_vectors, search_store)."""
     books = fit(vectors, **fitting)
     if books is None:
         return vectors.select(F.col("message_id").alias("query_id"), "message_id", F.lit(0.0).alias("distance")).limit(0)
@@ -163,3 +166,53 @@ def share_found(exact: DataFrame, found: DataFrame, n_vectors: int, rerank: int)
     both = exact.select("query_id", "message_id").join(found.select("query_id", "message_id", F.lit(1).alias("is_found")), ["query_id", "message_id"], "left")
     share = F.when(F.count("*") == 0, 1.0).otherwise(F.count("is_found") / F.count("*"))
     return both.agg(F.countDistinct("query_id").alias("queries"), F.count("*").alias("pairs"), F.count("is_found").alias("found"), share.alias("share_found"), F.lit(min(1.0, rerank / max(n_vectors, 1))).alias("share_read"))
+
+
+# In a store
+
+CODES = f"{CODE_SCHEMA}, session_id string"
+BOOKS = "books binary"
+
+
+def save_books(books: Codebooks) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, centres=books.centres, edges=np.array(books.edges), **{f"e{i}": e for i, e in enumerate(books.entries)})
+    return out.getvalue()
+
+
+def load_books(data: bytes) -> Codebooks:
+    held = np.load(io.BytesIO(data))
+    return Codebooks(held["centres"], held["edges"].tolist(), [held[f"e{i}"] for i in range(len(held["edges"]) - 1)])
+
+
+def stored_books(store: Store, manifest: dict) -> Codebooks | None:
+    """The store's codebooks: one row, some hundred kilobytes."""
+    row = store.read("codebooks", BOOKS, manifest).first()
+    return load_books(row[0]) if row else None
+
+
+def code_vectors(store: Store, **fitting) -> dict:
+    """Codes for the store's vectors that have none yet; codebooks are fitted the first time and kept. Codes die with their session's vectors."""
+    base = store.manifest()
+    vectors = store.read("vectors", VECTORS, base)
+    books = stored_books(store, base)
+    new = {}
+    if books is None:
+        books = fit(vectors, **fitting)
+        if books is None:
+            return base
+        new["codebooks"] = store.spark.createDataFrame([(bytearray(save_books(books)),)], BOOKS)
+    left = vectors.join(store.read("codes", CODES, base).select("message_id"), "message_id", "left_anti")
+    coded = encode(left, books).join(left.select("message_id", "session_id"), "message_id")
+    buckets = set(base["tables"].get("vectors", {}))
+    return store.append(new | {"codes": coded.select("message_id", "cell", "code", "bias", "session_id")}, base, touched=buckets)
+
+
+def search_store(store: Store, queries: DataFrame, k: int, rerank: int | None = None) -> DataFrame:
+    """search_codes over what code_vectors has coded."""
+    manifest = store.manifest()
+    books = stored_books(store, manifest)
+    vectors = store.read("vectors", "message_id bigint, embedding array<float>", manifest)
+    if books is None:
+        return queries.select("query_id", F.lit(0).cast("bigint").alias("message_id"), F.lit(0.0).alias("distance")).limit(0)
+    return search_codes(store.read("codes", CODE_SCHEMA, manifest), vectors, queries, books, k, rerank)

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from colloquy.operators import index, search, sync
+from colloquy.operators import codes, embed, index, search, sync
 from colloquy.operators.store import Conflict, Store
 from colloquy.streaming import jobs
 from tests.test_sync import raw
@@ -151,3 +151,23 @@ def test_vectors_stay_with_their_messages_through_upkeep(spark, tmp_path):
     assert vectors.count() == 22 == vectors.join(messages, "message_id", "left_semi").count()
     jobs.embed_run(store)
     assert store.read("vectors", sync.VECTOR_SCHEMA).count() == 23
+
+
+def test_codes_follow_the_stores_vectors(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    sync.sync(raw(spark, *[(f"s{i}", 1, [f"text {i} of {i % 7} and {i % 5}", f"more {i % 11} words {i}"], i) for i in range(30)]), store)
+    encoder = embed.HashedTerms(16)
+    jobs.embed_run(store, encoder)
+    asked = spark.createDataFrame([(1, embed.encode_query("text 3 of 3", encoder)), (2, embed.encode_query("more words", encoder))], "query_id bigint, embedding array<float>")
+    assert codes.search_store(store, asked, 5).count() == 0
+    codes.code_vectors(store, parts=8)
+    number = lambda: (store.read("codes", codes.CODE_SCHEMA).count(), store.read("codebooks", codes.BOOKS).count())
+    assert number() == (60, 1)
+    sync.sync(raw(spark, ("s3", 2, ["all new"], 0)), store)
+    assert number() == (58, 1)
+    jobs.embed_run(store, encoder)
+    codes.code_vectors(store)
+    assert number() == (59, 1)
+    sync.upkeep(store, keep=1, age_ms=0)
+    near = lambda d: sorted((r["query_id"], r["message_id"], round(r["distance"], 6)) for r in d.collect())
+    assert near(codes.search_store(store, asked, 5, 59)) == near(search.knn_batch(store.read("vectors", sync.VECTOR_SCHEMA), asked, 5))
