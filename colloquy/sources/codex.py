@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import variant as V
 from colloquy.functions.text import rfc3339_ms
-from colloquy.sources.files import Folder, assemble, first_time, joined, json_lines, list_files, named, scan_files, stem_of
+from colloquy.sources.files import Folder, assemble, body, first_time, joined, json_lines, list_files, named, scan_files, stem_of
 
 SOURCE = "codex"
 UUID = r"-([0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12})$"
@@ -41,7 +41,7 @@ def parse(files: DataFrame) -> DataFrame:
 
     A file named otherwise goes by the id in its last session record, else by its name. That record counts even where it lacks a
     field; an answer logged in two forms is two messages."""
-    lines = json_lines(files.select("path", "modified_ms", "content"))
+    lines = json_lines(files.select("path", "modified_ms", *body(files)))
     v = F.col("v")
     kind, payload = V.string(v, "$.type"), V.string(v, "$.payload.type")
     spoken = V.string(v, "$.payload.message")

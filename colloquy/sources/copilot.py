@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import variant as V
 from colloquy.functions.text import rfc3339_ms, trim
-from colloquy.sources.files import Folder, argument_text, assemble, first_time, joined, json_lines, list_files, named, parent_of, prune, pruned, read_all, read_files
+from colloquy.sources.files import Folder, argument_text, assemble, body, first_time, joined, json_lines, list_files, named, parent_of, prune, pruned
+from colloquy.sources.session_files import read_lines
 
 SOURCE = "copilot-cli"
 #: Lines in which the id of a session is looked for before its log is read.
@@ -19,9 +20,9 @@ def peek_id(files: DataFrame) -> DataFrame:
     return files.select("path", _peeked().alias("source_id"))
 
 
-def _peeked() -> Column:
+def _peeked(head: str = "content") -> Column:
     """The id by which a file's session is known, from its first lines alone."""
-    values = F.transform(F.slice(F.split("content", "\n", PEEK + 1), 1, PEEK), lambda line: V.parse(trim(line)))
+    values = F.transform(F.slice(F.split(head, "\n", PEEK + 1), 1, PEEK), lambda line: V.parse(trim(line)))
     starts = F.filter(values, lambda v: V.string(v, "$.type") == "session.start")
     return F.coalesce(V.string(F.get(starts, 0), "$.data.sessionId"), parent_of())
 
@@ -31,8 +32,8 @@ def folders(root: str) -> list[Folder]:
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """(path, modified_ms) of logs; their ids stand inside."""
-    return list_files(spark, folders(root))
+    """(path, modified_ms, size, head) of logs; their ids stand in their first lines, which are read and no others."""
+    return list_files(spark, folders(root), PEEK)
 
 
 def request_text(requests: Column) -> Column:
@@ -40,9 +41,10 @@ def request_text(requests: Column) -> Column:
 
 
 def parse(files: DataFrame) -> DataFrame:
-    """Raw sessions of files (path, modified_ms, content), known by their first lines' id, updated when the file was. A finished tool has the name of the latest start before it with its id, else "tool"."""
+    """Raw sessions of files (path, modified_ms, and content or lines with source_id), known by their first lines' id, updated when the file was. A finished tool has the name of the latest start before it with its id, else "tool"."""
     by = ["path", "modified_ms", "source_id"]
-    lines = json_lines(files.select("path", "modified_ms", _peeked().alias("source_id"), "content"))
+    name = "source_id" if "source_id" in files.columns else _peeked().alias("source_id")
+    lines = json_lines(files.select("path", "modified_ms", name, *body(files)))
     v = F.col("v")
     kind = V.string(v, "$.type")
     text = lambda c: trim(F.coalesce(c, F.lit("")))
@@ -69,16 +71,18 @@ def parse(files: DataFrame) -> DataFrame:
 
 
 def scan_changed(spark: SparkSession, root: str, stored: DataFrame | None = None, cutoff_ms: int | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """(raw sessions, counts of what was pruned). Files older than the cutoff are not opened; of the others the ids stand in the first lines, so
-    those of unchanged sessions are opened but not parsed."""
-    if stored is None:
-        return parse(read_all(spark, folders(root))), None
+    """(raw sessions, counts of what was pruned). Files older than the cutoff are not opened, and of the others those of unchanged sessions no
+    further than their first lines."""
     found = listing(spark, root)
-    young = found if cutoff_ms is None else found.where(F.col("modified_ms") >= cutoff_ms)
-    files = read_files(spark, young) if cutoff_ms is not None else read_all(spark, folders(root))
-    marked = prune(files.select("path", "modified_ms", _peeked().alias("source_id")), stored)
-    old = found.where(F.lit(False) if cutoff_ms is None else F.col("modified_ms") < cutoff_ms).agg(F.count("*").alias("sessions")).where("sessions > 0").select(F.lit("filtered").alias("action"), "sessions")
-    return parse(files.join(marked.where("scan = 'parse'").select("path"), "path", "left_semi")), pruned(marked).unionByName(old)
+    young = found if cutoff_ms is None or stored is None else found.where(F.col("modified_ms") >= cutoff_ms)
+    known = young.withColumn("source_id", F.coalesce(_peeked("head"), parent_of())).drop("head")
+    if stored is None:
+        return parse(read_lines(known)), None
+    marked = prune(known, stored)
+    # times alone, so nothing is peeked into
+    times = list_files(spark, folders(root))
+    old = times.where(F.lit(False) if cutoff_ms is None else F.col("modified_ms") < cutoff_ms).agg(F.count("*").alias("sessions")).where("sessions > 0").select(F.lit("filtered").alias("action"), "sessions")
+    return parse(read_lines(marked.where("scan = 'parse'").drop("scan"))), pruned(marked).unionByName(old)
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import variant as V
 from colloquy.functions.text import trim
-from colloquy.sources.files import Folder, assemble, joined, json_lines, list_files, scan_files, stem_of
+from colloquy.sources.files import Folder, assemble, body, joined, json_lines, list_files, scan_files, stem_of
 
 SOURCE = "cursor"
 # Keys of the table.
@@ -51,7 +51,7 @@ def content_text(items: Column, user: Column) -> Column:
 
 def parse(files: DataFrame, folders: DataFrame | None = None) -> DataFrame:
     """Raw sessions of files (path, modified_ms, content). Files tell no time of birth here: both times are the file's."""
-    lines = json_lines(files.select("path", "modified_ms", "content"))
+    lines = json_lines(files.select("path", "modified_ms", *body(files)))
     v = F.col("v")
     role = V.string(v, "$.role")
     rows = lines.where(role.isin("user", "assistant")).select("path", "modified_ms", "line_no", role.alias("role"), content_text(V.get(v, "$.message.content"), role == "user").alias("content"), F.lit(None).cast("bigint").alias("timestamp"))

@@ -1,24 +1,23 @@
 """Listing and reading of session files.
 
-A listing reads paths and times only. What a listing prunes is never opened: files that survive are read by their paths."""
+A listing reads paths, times and sizes only, in tasks. What it prunes is never opened: files that survive are read by lines, each in as
+many tasks as it has ranges of bytes."""
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from functools import reduce
-from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.functions import variant as V
 from colloquy.functions.text import trim
+from colloquy.sources.session_files import list_sessions, read_lines
 
 RAW_MESSAGE = "struct<role:string,content:string,timestamp:bigint>"
 LISTED = "path string, modified_ms bigint"
-#: Paths that one read names.
-PATHS = 10_000
+SIZED = f"{LISTED}, size bigint"
 
 
 @dataclass(frozen=True)
@@ -55,9 +54,10 @@ def _times() -> list[Column]:
     return [F.col("path"), F.unix_millis("modificationTime").alias("modified_ms")]
 
 
-def list_files(spark: SparkSession, folders: list[Folder]) -> DataFrame:
-    """(path, modified_ms) of files; no content is read."""
-    return _load(spark, folders, _times(), LISTED)
+def list_files(spark: SparkSession, folders: list[Folder], peek: int = 0) -> DataFrame:
+    """(path, modified_ms, size) of files, and with peek their first lines as head; no other content is read."""
+    columns = ["path", "modified_ms", "size"] + (["head"] if peek else [])
+    return reduce(DataFrame.unionByName, [list_sessions(spark, f.path, f.pattern, f.recursive, peek).select(*columns) for f in folders])
 
 
 def name_of(path: str | Column = "path") -> Column:
@@ -89,24 +89,12 @@ def read_all(spark: SparkSession, folders: list[Folder]) -> DataFrame:
     return _load(spark, folders, _texts(), f"{LISTED}, content string").where(F.is_valid_utf8("content"))
 
 
-def read_files(spark: SparkSession, listing: DataFrame, paths: int = PATHS) -> DataFrame:
-    """The same of listed files alone, read by their paths, so many paths a read: no other file is opened."""
-    names = (re.sub(r"([\\*?\[\]{}])", r"\\\1", r["path"]) for r in listing.select("path").toLocalIterator())
-    parts = []
-    while some := list(islice(names, paths)):
-        parts.append(_reader(spark).load(some).select(*_texts()))
-    found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], f"{LISTED}, content string")
-    return found.where(F.is_valid_utf8("content"))
-
-
 def scan_files(spark: SparkSession, folders: list[Folder], listing: DataFrame, stored: DataFrame | None = None, cutoff_ms: int | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """(files with content and the listing's columns, (action, sessions) of what was pruned): all files, or with stored sessions those that prune() leaves."""
-    keep = [c for c in listing.columns if c != "modified_ms"]
+    """(lines of files with the listing's columns, (action, sessions) of what was pruned): all files, or with stored sessions those that prune() leaves."""
     if stored is None:
-        return read_all(spark, folders).join(listing.select(*keep), "path"), None
+        return read_lines(listing), None
     marked = prune(listing, stored, cutoff_ms)
-    left = marked.where("scan = 'parse'")
-    return read_files(spark, left).join(left.select(*keep), "path"), pruned(marked)
+    return read_lines(marked.where("scan = 'parse'").drop("scan")), pruned(marked)
 
 
 def pruned(marked: DataFrame) -> DataFrame:
@@ -114,9 +102,16 @@ def pruned(marked: DataFrame) -> DataFrame:
     return marked.where("scan <> 'parse'").groupBy(F.when(F.col("scan") == "skipped", "unchanged").otherwise(F.col("scan")).alias("action")).agg(F.count("*").alias("sessions"))
 
 
+def body(files: DataFrame) -> list[str]:
+    """The columns that hold what files say: whole contents, or numbered lines."""
+    return ["line_no", "line"] if "line" in files.columns else ["content"]
+
+
 def json_lines(files: DataFrame) -> DataFrame:
     """The files' lines that are JSON: all columns but the content, with line number and value."""
-    keep = [c for c in files.columns if c != "content"]
+    keep = [c for c in files.columns if c not in body(files)]
+    if "line" in files.columns:
+        return files.select(*keep, "line_no", V.parse(trim("line")).alias("v")).where(F.col("v").isNotNull())
     lines = files.select(*keep, F.posexplode(F.split("content", "\n")).alias("line_no", "line"))
     return lines.select(*keep, "line_no", V.parse(trim("line")).alias("v")).where(F.col("v").isNotNull())
 

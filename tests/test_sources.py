@@ -5,7 +5,7 @@ import time
 import pytest
 
 from colloquy.operators import sync
-from colloquy.sources import claude_code, codex, copilot, cursor, gemini, kiro, opencode
+from colloquy.sources import claude_code, codex, copilot, cursor, gemini, kiro, opencode, session_files
 from colloquy.streaming import jobs
 
 UUID = "0199aaaa-bbbb-cccc-dddd-eeeeffff0000"
@@ -119,8 +119,49 @@ def test_stream_merges_new_files(spark, tmp_path):
 def test_listing_reads_no_content(spark, tmp_path):
     put(tmp_path, "projects/-p/a.jsonl", "x")
     (tmp_path / "transcripts").mkdir()
-    plan = claude_code.listing(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
-    assert "content:binary" not in plan and "modificationTime" in plan
+    found = claude_code.listing(spark, str(tmp_path))
+    assert found.first()["size"] == 1 and "content:binary" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_session_files_are_listed_in_tasks(spark, tmp_path):
+    for n in range(20):
+        put(tmp_path, f"d{n}/events.jsonl", "\n".join(f"line {i} é" for i in range(50)))
+    put(tmp_path, "d3/deep/events.jsonl", "deep")
+    put(tmp_path, "d3/other.txt", "no")
+    os.utime(tmp_path / "d5" / "events.jsonl", (1000, 1000))
+    found = session_files.list_sessions(spark, f"{tmp_path}/*", "events.jsonl", peek=3)
+    rows = found.collect()
+    assert len(rows) == 20 and {r["head"] for r in rows} == {"line 0 é\nline 1 é\nline 2 é"} and all(r["path"].startswith("file:/") for r in rows)
+    old = found.where("modified_ms <= 1000000")
+    assert [r["modified_ms"] for r in old.collect()] == [1_000_000]
+    assert session_files.list_sessions(spark, str(tmp_path), "events.jsonl", recursive=True).count() == 21
+    assert session_files.list_sessions(spark, f"{tmp_path}/nowhere", "*").count() == 0
+    reader = session_files.Reader({"path": str(tmp_path)})
+    left = list(reader.pushFilters([session_files.GreaterThan(("modified_ms",), 5), session_files.EqualTo(("head",), "x")]))
+    assert reader.filters == [("GreaterThan", "modified_ms", 5)] and len(left) == 1
+
+
+@pytest.mark.parametrize("text", ["a\nbb\n\nccc", "a\n", "", "\n\n", "x" * 50 + "\nend", "é☃\n" * 9])
+def test_ranges_of_lines_make_up_a_file(spark, tmp_path, text, monkeypatch):
+    monkeypatch.setattr(session_files, "CHUNK", 4)
+    put(tmp_path, "f", text)
+    data, want, at = text.encode(), [], 0
+    for line in data.split(b"\n"):
+        want.append((at, line))
+        at += len(line) + 1
+    want = want[:-1] if not want[-1][1] else want
+    system, inside, _ = session_files.file_system(str(tmp_path / "f"))
+    for step in (1, 2, 3, 7, 100):
+        assert [x for start in range(0, max(1, len(data)), step) for x in session_files.lines_of(system, inside, start, start + step)] == want
+
+
+def test_lines_are_read_in_ranges(spark, tmp_path):
+    put(tmp_path, "a/x.jsonl", "".join(f"line {i}\n" for i in range(1000)))
+    (tmp_path / "a" / "bad.jsonl").write_bytes(b"good\n" * 100 + b"\xff\xfe\n")
+    (tmp_path / "a" / "none.jsonl").write_bytes(b"")
+    listed = session_files.list_sessions(spark, f"{tmp_path}/a", "*.jsonl")
+    got = session_files.read_lines(listed, 64).orderBy("line_no").collect()
+    assert [r["line"] for r in got] == [f"line {i}" for i in range(1000)]
 
 
 def message(text):
@@ -160,15 +201,11 @@ def test_sync_opens_changed_files_alone(spark, tmp_path):
     # a file of which nothing changed by its time is not opened, even if its content could not be read
     path = tmp_path / "codex" / rollout(0)
     at = path.stat().st_mtime_ns
-    path.write_bytes(b"x" * 5000)
+    path.write_bytes(json.dumps(message("not to be seen")).encode())
     os.utime(path, ns=(at, at))
     put(tmp_path, f"codex/{rollout(1)}", lines(message("m1"), message("more")))
     put(tmp_path, "cc/projects/-p/[odd] name {1}.jsonl", lines({"type": "user", "message": {"content": "again"}}))
-    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
-    try:
-        assert run() == {"updated": (2, 3), "unchanged": (3, 0)}
-    finally:
-        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert run() == {"updated": (2, 3), "unchanged": (3, 0)}
     said_now = {r["content"] for r in store.read("messages", sync.MESSAGE_SCHEMA).collect()}
     assert said_now == {"m0", "m1", "more", "m2", "again", "q"}
     late = int(time.time() * 1000) + 10**7
