@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Column that names a row's session, for tables in buckets; rows of other tables stand in one bucket.
-KEYS = {"sessions": "id", "messages": "session_id", "vectors": "session_id", "failures": "session_id", "codes": "session_id", "tombstones": "session_id"}
+KEYS = {"sessions": "id", "messages": "session_id", "vectors": "session_id", "failures": "session_id", "claims": "session_id", "codes": "session_id", "tombstones": "session_id"}
 #: Tables in one bucket whose rows tombstones kill as well, kept as a table of their own until all segments are younger.
 INDEXED, UNINDEXED, ALL = "postings", "unindexed", "all"
 #: Bytes at which a bucket splits, versions of a bucket before they are gathered, and bits of the directory at most.

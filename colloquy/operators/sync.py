@@ -128,9 +128,10 @@ VECTOR_SCHEMA = "message_id bigint, embedding array<float>"
 
 
 JOB_SCHEMA = "job string, phase string, detail string, updated_at bigint"
+CLAIM_SCHEMA = "session_id string, run string, until bigint"
 FAILURE_SCHEMA = "session_id string, message_id bigint, error string, at bigint"
 #: Tables as they are stored, besides the index.
-STORED = {"sessions": SESSION_SCHEMA, "messages": MESSAGE_SCHEMA, "vectors": f"{VECTOR_SCHEMA}, session_id string", "failures": FAILURE_SCHEMA, "codes": "message_id bigint, cell int, code binary, bias float, session_id string", "job_log": JOB_SCHEMA}
+STORED = {"sessions": SESSION_SCHEMA, "messages": MESSAGE_SCHEMA, "vectors": f"{VECTOR_SCHEMA}, session_id string", "failures": FAILURE_SCHEMA, "claims": CLAIM_SCHEMA, "codes": "message_id bigint, cell int, code binary, bias float, session_id string", "job_log": JOB_SCHEMA}
 
 
 def sync(raw: DataFrame, store: Store, cutoff_ms: int | None = None, force: bool = False, enabled: list[str] | None = None, pruned: DataFrame | None = None) -> DataFrame:

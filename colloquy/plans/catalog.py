@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import text as X
 from colloquy.functions import vectors as VX
-from colloquy.operators import codes, embed, evaluate, export, filters, search, stats, sync
+from colloquy.operators import codes, embed, encoder, evaluate, export, filters, search, stats, sync
 from colloquy.plans import rendered, stored, tools
 from colloquy.plans.views import AS_OF, SQL, Views
 
@@ -460,6 +460,25 @@ NEAREST = """SELECT query_id, message_id, round(distance, 6) AS distance FROM (S
   row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], v.embedding), message_id) AS n FROM embeddings q, vectors v WHERE q.vec_id % 20 = 0) WHERE n <= 10"""
 
 
+@query()
+def encoder_metrics(v: Views) -> DataFrame:
+    """(encoder, total, hit_at_10, mrr): retrieval by vectors alone with hashed terms and with vectors learned from the corpus, for the queries
+    of the evaluation; SQL has neither."""
+    entries, lengths = _entries(v), search.build_lengths(v.messages)
+    none = search.build_postings(v.messages).where(F.lit(False))
+    model = encoder.fit(v.messages)
+    texts = v.messages.select(F.struct(F.col("message_id")).alias("k"), F.col("content").alias("t"))
+    hashed = embed.encode(texts, "k", "t").select("k.message_id", "embedding"), embed.encode(entries.select("query_id", "query"), "query_id", "query", prefix="query: ").select("query_id", "embedding")
+    learned = encoder.encode(v.messages, model, "message_id", "content"), encoder.encode(entries, model, "query_id", "query")
+    out = None
+    for name, (vectors, asked) in (("hashed terms", hashed), ("learned", learned)):
+        near = evaluate.near_sessions(asked, vectors, v.messages)
+        results = evaluate.batch_results(entries, v.sessions, none, lengths, (1, 1.0), near)
+        one = evaluate.metrics(evaluate.query_details(entries, results)).select(F.lit(name).alias("encoder"), "total", "hit_at_10", F.round("mrr", 6).alias("mrr"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(NEAREST)
 def knn_batch(v: Views) -> DataFrame:
     return search.knn_batch(v.vectors, _asked(v), 10).withColumn("distance", F.round("distance", 6))

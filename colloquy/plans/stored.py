@@ -5,14 +5,12 @@ that only their time has changed. What the store then holds must equal the given
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.operators import embed, index, stats, sync
+from colloquy.operators.scratch import scratch
 from colloquy.operators.store import Store
 from colloquy.plans.views import SQL, Views
 from colloquy.streaming import jobs
@@ -24,18 +22,6 @@ sessions AS (SELECT ids.id, s.* EXCLUDE (id) FROM sessions0 s JOIN ids ON old =
 messages AS (SELECT ids.id AS session_id, m.* EXCLUDE (session_id) FROM messages0 m JOIN ids ON old = m.session_id)"""
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir; a temporary one only where a local session names none."""
-    sc = spark.sparkContext
-    named = sc._jsc.sc().getCheckpointDir()
-    root = named.get() if named.nonEmpty() else sc.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
-        root = tempfile.mkdtemp(prefix="stores-")
-    return f"{root}/store-{uuid.uuid4().hex}"
-
-
 def filled(v: Views) -> Store:
     c = F.regexp_extract("id", r"\d+", 0).cast("bigint")
     item = F.struct("seq", F.struct("role", "content", "timestamp").alias("m"))
@@ -87,7 +73,7 @@ def _unsteady(texts: list[str]) -> np.ndarray:
 def embedding_runs(v: Views) -> DataFrame:
     """Embedding state after a run in which some texts fail and a second one that leaves failed sessions alone."""
     store = filled(v)
-    jobs.embed_run(store, _unsteady, at_ms=1, portion=200)
+    jobs.embed_run(store, _unsteady, at_ms=1)
     jobs.embed_run(store, embed.HashedTerms(16), at_ms=2)
     sessions, messages = _tables(store)
     state = stats.embedding_state(sessions, messages, store.read("vectors", sync.VECTOR_SCHEMA), store.read("failures", sync.FAILURE_SCHEMA))

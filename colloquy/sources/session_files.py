@@ -6,6 +6,7 @@ tasks and held by none."""
 
 from __future__ import annotations
 
+import time
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,10 +15,12 @@ from fnmatch import fnmatchcase
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 #: Tasks that list, bytes of a range of lines, bytes read at once, and lines of a batch.
 TASKS, RANGE, CHUNK, LINES = 8, 64 << 20, 1 << 20, 4096
+#: How far a stream stays behind the clock.
+LAG_MS = 2_000
 SCHEMA = "path string, modified_ms bigint, size bigint, head string"
 
 
@@ -90,8 +93,36 @@ class Reader(DataSourceReader):
             return None
 
 
+@dataclass
+class Span(InputPartition):
+    number: int
+    after: int
+    until: int
+
+
+class StreamReader(DataSourceStreamReader):
+    """Files by their times: a batch holds those changed after its start and not after its end, new and rewritten ones alike. A file that
+    changes again before it is listed moves to a later batch. The end lags behind the clock, so that no file of a batch's time is still to come."""
+
+    def __init__(self, options: dict):
+        self.files, self.lag = Reader(options), int(options.get("lag_ms", LAG_MS))
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"until": -1}
+
+    def latestOffset(self, *_) -> dict:  # noqa: N802
+        return {"until": int(time.time() * 1000) - self.lag}
+
+    def partitions(self, start: dict, end: dict) -> list[Span]:
+        return [Span(i, start["until"], end["until"]) for i in range(self.files.tasks)]
+
+    def read(self, partition: Span) -> Iterator[tuple]:
+        self.files.filters = [("GreaterThan", "modified_ms", partition.after), ("LessThanOrEqual", "modified_ms", partition.until)]
+        return self.files.read(Share(partition.number))
+
+
 class SessionFiles(DataSource):
-    """Options: path (may hold * and ? in folder names), pattern of file names, recursive, peek (first lines to read), tasks."""
+    """Options: path (may hold * and ? in folder names), pattern of file names, recursive, peek (first lines to read), tasks, lag_ms (streams)."""
 
     @classmethod
     def name(cls) -> str:
@@ -103,6 +134,9 @@ class SessionFiles(DataSource):
     def reader(self, schema) -> Reader:
         return Reader(dict(self.options))
 
+    def streamReader(self, schema) -> StreamReader:  # noqa: N802
+        return StreamReader(dict(self.options))
+
 
 def list_sessions(spark, path: str, pattern: str, recursive: bool = False, peek: int = 0) -> DataFrame:
     """(path, modified_ms, size, head) of files; nothing of them is read but what peek asks for."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,38 +10,79 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from colloquy.operators.embed import embed_pending
-from colloquy.operators.stats import pending_messages
-from colloquy.operators.store import Store
-from colloquy.operators.sync import FAILURE_SCHEMA, MESSAGE_SCHEMA, SESSION_SCHEMA, VECTOR_SCHEMA, sync
-
-#: Messages embedded between two commits.
-PORTION = 1_000_000
-FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
-
-
-def sync_stream(spark: SparkSession, path: str, pattern: str, parse: Callable[[DataFrame], DataFrame], store: Store, checkpoint: str, **options) -> StreamingQuery:
-    """Merge new session files as they arrive. A rewritten file keeps its path and is not seen again here: those need the batch run."""
-    files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    ready = files.select("path", F.unix_millis("modificationTime").alias("modified_ms"), F.col("content").cast("string").alias("content")).where(F.is_valid_utf8("content"))
-    return ready.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: sync(parse(batch), store, **options)).trigger(availableNow=True).start()
-
-
-def embed_run(store: Store, encoder=None, at_ms: int = 0, portion: int = PORTION) -> None:
-    """Embed all that is pending, once. Sessions go in portions of some ``portion`` messages, each committed with its vectors and failures,
-    so a run that is lost keeps what it has done. A session with a failure on record is not taken up again until it is replaced."""
-    base = store.manifest()
-    sessions, messages = store.read("sessions", SESSION_SCHEMA, base), store.read("messages", MESSAGE_SCHEMA, base)
-    vectors, failed = store.read("vectors", VECTOR_SCHEMA, base), store.read("failures", FAILURE_SCHEMA, base)
-    todo, path = store.aside(pending_messages(messages, vectors).join(failed.select("session_id").distinct(), "session_id", "left_anti"))
-    n = todo.count()
-    for i in range(-(-n // portion)):
-        some = todo.where(F.pmod(F.xxhash64("session_id", F.lit(1)), F.lit(-(-n // portion))) == i)
-        done, done_path = store.aside(embed_pending(sessions, some, vectors.where(F.lit(False)), encoder))
-        good, bad = done.where(F.col("error").isNull()), done.where(F.col("error").isNotNull())
-        after = store.append({"vectors": good.select("message_id", "embedding", "session_id"), "failures": bad.select("session_id", "message_id", "error", F.lit(at_ms).cast("bigint").alias("at"))}, base)
-        store.discard(done_path)
-        if after["number"] != base["number"] + 1:  # another writer came between: what is left may have changed
+from colloquy.operators.stats import embedding_state, work_list
+from colloquy.operators.store import Conflict, Store
+from colloquy.operators.sync import CLAIM_SCHEMA, FAILURE_SCHEMA, MESSAGE_SCHEMA, SESSION_SCHEMA, VECTOR_SCHEMA, sync
+from colloquy.sources.session_files import LAG_MS, SessionFiles, read_lines
+
+#: Sessions taken at a time, and how long a claim holds.
+SESSIONS, LEASE_MS = 10_000, 3_600_000
+
+
+def sync_stream(spark: SparkSession, path: str, pattern: str, parse: Callable[[DataFrame], DataFrame], store: Store, checkpoint: str, lag_ms: int = LAG_MS, **options) -> StreamingQuery:
+    """Merge session files as they come or are rewritten, by the same plan as a batch run; one that a lost run has merged already is unchanged.
+
+    parse gets lines (path, modified_ms, line_no, line), and source_id from the file's name or first lines where it asks for one."""
+    spark.dataSource.register(SessionFiles)
+    files = spark.readStream.format("session_files").option("path", path).option("pattern", pattern).option("recursive", "true").option("lag_ms", lag_ms).load()
+
+    def merge(batch: DataFrame, _: int) -> None:
+        sync(parse(read_lines(batch)), store, **options)
+
+    return files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge).trigger(availableNow=True).start()
+
+
+def claim(store: Store, run: str, now_ms: int, n: int = SESSIONS, lease_ms: int = LEASE_MS) -> DataFrame:
+    """(session_id) of up to n sessions that the run has taken: pending, without a failure on record, in nobody's hands; last touched first.
+
+    A claim is a row of the store. Two runs that reach for the same sessions touch the same buckets, so one commit fails and that run looks
+    again; a claim that is not given back ends with its lease."""
+    while True:
+        base = store.manifest()
+        state = stored_state(store, base, now_ms)
+        sessions = store.read("sessions", SESSION_SCHEMA, base)
+        taken, path = store.aside(work_list(sessions, state, n).select("session_id"))
+        if taken.isEmpty():
+            return taken
+        rows = taken.select("session_id", F.lit(run).alias("run"), F.lit(now_ms + lease_ms).cast("bigint").alias("until"))
+        try:
+            store.append({"claims": rows}, base)
+            return taken
+        except Conflict:
             store.discard(path)
-            return embed_run(store, encoder, at_ms, portion)
-        base = after
-    store.discard(path)
+
+
+def stored_state(store: Store, manifest: dict, now_ms: int) -> DataFrame:
+    """Embedding state of all stored sessions, those in somebody's hands as processing."""
+    read = lambda t, s: store.read(t, s, manifest)
+    state = embedding_state(read("sessions", SESSION_SCHEMA), read("messages", MESSAGE_SCHEMA), read("vectors", VECTOR_SCHEMA), read("failures", FAILURE_SCHEMA))
+    by_run = read("claims", CLAIM_SCHEMA).groupBy("session_id", "run").agg(F.max("until").alias("until"), F.min("until").alias("given_back"))
+    held = by_run.where((F.col("until") > now_ms) & (F.col("given_back") >= 0)).select("session_id", F.lit(True).alias("held")).distinct()
+    # sessions that are half done and in nobody's hands are pending again
+    status = F.when(F.col("status").isin("done", "failed"), F.col("status")).when(F.col("held"), "processing").otherwise("pending")
+    return state.join(held, "session_id", "left").withColumn("status", status).drop("held")
+
+
+def embed_run(store: Store, encoder=None, at_ms: int = 0, n: int = SESSIONS, lease_ms: int = LEASE_MS) -> int:
+    """Embed what is pending, n sessions at a time: claim them, encode, commit vectors, failures and the claims' return in one manifest.
+
+    A run that is lost keeps what it has committed, and its last claims end with their lease. A session with a failure on record is
+    not taken up again until it is replaced. Gives the number of sessions worked on."""
+    total = 0
+    while True:
+        run = uuid.uuid4().hex  # a name of its own for each claim, so one that is given back stays so
+        taken = claim(store, run, at_ms, n, lease_ms)
+        if taken.isEmpty():
+            return total
+        base = store.manifest()
+        mine = taken.join(store.read("claims", CLAIM_SCHEMA, base).where(F.col("run") == run).select("session_id").distinct(), "session_id", "left_semi")  # a replaced session's claim is dead
+        sessions, messages = store.read("sessions", SESSION_SCHEMA, base), store.read("messages", MESSAGE_SCHEMA, base).join(mine, "session_id", "left_semi")
+        done, path = store.aside(embed_pending(sessions, messages, store.read("vectors", VECTOR_SCHEMA, base), encoder))
+        good, bad = done.where(F.col("error").isNull()), done.where(F.col("error").isNotNull())
+        back = taken.select("session_id", F.lit(run).alias("run"), F.lit(-1).cast("bigint").alias("until"))
+        try:
+            store.append({"vectors": good.select("message_id", "embedding", "session_id"), "failures": bad.select("session_id", "message_id", "error", F.lit(at_ms).cast("bigint").alias("at")), "claims": back}, base)
+            total += taken.count()
+        except Conflict:  # a bucket has changed meanwhile: give the sessions back and take what is pending then
+            store.append({"claims": back})
+        store.discard(path)

@@ -106,14 +106,23 @@ def test_cursor(spark, tmp_path):
     assert found.first()["directory"] == "/w"
 
 
-def test_stream_merges_new_files(spark, tmp_path):
+def test_stream_merges_new_and_rewritten_files(spark, tmp_path):
+    """After restarts from the checkpoint the store holds what a batch run would; what has not changed is not listed again."""
     root, store = tmp_path / "in", sync.Store(spark, str(tmp_path / "store"))
-    run = lambda: jobs.sync_stream(spark, str(root), "*.jsonl", codex.parse, store, str(tmp_path / "ck")).awaitTermination(120)
-    for n in range(2):
-        put(root, f"r{n}.jsonl", lines({"type": "event_msg", "payload": {"type": "user_message", "message": f"m{n}"}}))
-        assert run() in (True, None)
-        assert store.read("sessions", sync.SESSION_SCHEMA).count() == n + 1
-    assert {r["title"] for r in store.read("sessions", sync.SESSION_SCHEMA).collect()} == {"m0", "m1"}
+    run = lambda: jobs.sync_stream(spark, str(root), "*.jsonl", codex.parse, store, str(tmp_path / "ck"), lag_ms=0).awaitTermination(120)
+    titles = lambda: {r["title"] for r in store.read("sessions", sync.SESSION_SCHEMA).collect()}
+    said = lambda *texts: lines(*[{"type": "event_msg", "payload": {"type": "user_message", "message": t}} for t in texts])
+    put(root, "r0.jsonl", said("m0"))
+    run()
+    assert titles() == {"m0"}
+    time.sleep(0.05)
+    put(root, "r1.jsonl", said("m1"))
+    put(root, "r0.jsonl", said("m0 again", "and more"))
+    run()
+    assert titles() == {"m0 again", "m1"} and store.read("messages", sync.MESSAGE_SCHEMA).count() == 3
+    number = store.manifest()["number"]
+    run()
+    assert store.manifest()["number"] == number
 
 
 def test_listing_reads_no_content(spark, tmp_path):

@@ -144,7 +144,7 @@ def test_a_common_word_reads_few_blocks(spark, tmp_path):
 def test_vectors_stay_with_their_messages_through_upkeep(spark, tmp_path):
     store = Store(spark, str(tmp_path), bucket_bytes=3_000)
     sync.sync(raw(spark, *[(f"s{i}", 1, [f"text {i}", "more of it"], i) for i in range(12)]), store)
-    jobs.embed_run(store, portion=5)
+    assert jobs.embed_run(store, n=5) == 12
     sync.sync(raw(spark, ("s1", 2, ["other"], 0)), store)
     sync.upkeep(store, keep=1, age_ms=0)
     vectors, messages = store.read("vectors", sync.VECTOR_SCHEMA), store.read("messages", sync.MESSAGE_SCHEMA)
@@ -171,3 +171,21 @@ def test_codes_follow_the_stores_vectors(spark, tmp_path):
     sync.upkeep(store, keep=1, age_ms=0)
     near = lambda d: sorted((r["query_id"], r["message_id"], round(r["distance"], 6)) for r in d.collect())
     assert near(codes.search_store(store, asked, 5, 59)) == near(search.knn_batch(store.read("vectors", sync.VECTOR_SCHEMA), asked, 5))
+
+
+def test_two_runs_never_embed_a_session_twice(spark, tmp_path):
+    """Each takes a session from under the other's hands only when the lease is over; a lost run's work stays."""
+    one, two = Store(spark, str(tmp_path)), Store(spark, str(tmp_path))
+    sync.sync(raw(spark, *[(f"s{i}", i + 1, [f"text {i}"], i) for i in range(4)]), one)
+    first = {r[0] for r in jobs.claim(one, "a", 100, n=2, lease_ms=50).collect()}
+    assert len(first) == 2 and {r["status"] for r in jobs.stored_state(one, one.manifest(), 120).collect()} == {"processing", "pending"}
+    assert jobs.embed_run(two, at_ms=120) == 2  # the other two
+    done = {r["session_id"] for r in two.read("vectors", "session_id string, message_id bigint").collect()}
+    assert len(done) == 2 and not done & first
+    assert jobs.claim(two, "b", 149).count() == 0 and jobs.embed_run(two, at_ms=151) == 2  # the lease is over
+    assert two.read("vectors", sync.VECTOR_SCHEMA).count() == 4 == two.read("vectors", sync.VECTOR_SCHEMA).select("message_id").distinct().count()
+    base = one.manifest()
+    rows = spark.createDataFrame([(next(iter(first)), "a", 10)], sync.CLAIM_SCHEMA)
+    one.append({"claims": rows}, base)
+    with pytest.raises(Conflict):  # both reached for the same session
+        two.append({"claims": rows}, base)

@@ -131,7 +131,7 @@ def test_embedding_run_and_states(spark, tmp_path):
     assert store.read("vectors", jobs.VECTOR_SCHEMA).count() == 2 and store.read("failures", sync.FAILURE_SCHEMA).count() == 1
     sync.sync(raw(spark, ("a", 2, ["one text", "calm text"], 0)), store)  # until it is replaced
     assert store.read("failures", sync.FAILURE_SCHEMA).count() == 0
-    jobs.embed_run(store, at_ms=7, portion=1)
+    jobs.embed_run(store, at_ms=7, n=1)
     assert store.read("vectors", jobs.VECTOR_SCHEMA).count() == 3
 
 
