@@ -43,7 +43,7 @@ def request_text(requests: Column) -> Column:
 def parse(files: DataFrame) -> DataFrame:
     """Raw sessions of files (path, modified_ms, and content or lines with source_id), known by their first lines' id, updated when the file was. A finished tool has the name of the latest start before it with its id, else "tool"."""
     by = ["path", "modified_ms", "source_id"]
-    name = "source_id" if "source_id" in files.columns else _peeked().alias("source_id")
+    name = "source_id" if "line" in files.columns else _peeked().alias("source_id")
     lines = json_lines(files.select("path", "modified_ms", name, *body(files)))
     v = F.col("v")
     kind = V.string(v, "$.type")
