@@ -173,16 +173,21 @@ def blocks_read(store: Store, sessions: DataFrame, query: str, fetch: int = 60,
     return blocks.groupBy("term").agg(F.count("*").alias("blocks"), F.count_if(needed).alias("blocks_read"))
 
 
+def like_size(held: list) -> list[str]:
+    """Of versions (name, bytes) those of a tier that has enough of them to be gathered."""
+    tiers: dict[int, list] = {}
+    for version, size in held:
+        tiers.setdefault(int(math.log(max(size, 1), GROWTH)), []).append(version)
+    return [v for tier in tiers.values() if len(tier) >= FAN for v in tier]
+
+
 def merge_segments(store: Store) -> dict:
     """Gather segments of like size (FAN of a tier of GROWTH times the bytes) into one each, without dead postings; statistics into one row a term.
 
     A tombstone is kept until every segment is younger."""
     base = store.manifest()
     held = base["tables"].get(INDEXED, {}).get(ALL, [])
-    tiers: dict[int, list] = {}
-    for version, size in held:
-        tiers.setdefault(int(math.log(max(size, 1), GROWTH)), []).append(version)
-    due = [v for tier in tiers.values() if len(tier) >= FAN for v in tier]
+    due = like_size(held)
     if not due:
         return base
     some = base | {"tables": base["tables"] | {INDEXED: {ALL: [v for v in held if v[0] in due]}}}

@@ -11,6 +11,7 @@ from colloquy.functions.text import first_user_message, is_noise, title
 from colloquy.operators.filters import within_window
 from colloquy.operators.index import merge_segments, segment_of
 from colloquy.operators.store import KEYS, UNINDEXED, Store
+from colloquy.operators.summaries import deltas_of, marked, merge_counts, touched_state, unkept
 
 SESSION_SCHEMA = "id string, source string, source_id string, title string, directory string, started_at bigint, updated_at bigint, message_count int, entrypoint string"
 MESSAGE_SCHEMA = "message_id bigint, session_id string, role string, content string, timestamp bigint, seq int"
@@ -134,6 +135,33 @@ FAILURE_SCHEMA = "session_id string, message_id bigint, error string, at bigint"
 STORED = {"sessions": SESSION_SCHEMA, "messages": MESSAGE_SCHEMA, "vectors": f"{VECTOR_SCHEMA}, session_id string", "failures": FAILURE_SCHEMA, "claims": CLAIM_SCHEMA, "codes": "message_id bigint, cell int, code binary, bias float, session_id string", "job_log": JOB_SCHEMA}
 
 
+def _followed_by(store: Store, base: dict, replaced: DataFrame, add: list[tuple]) -> list[tuple]:
+    """Versions that go with the sessions and messages just written, in place of replaced sessions (session_id): tombstones, a segment of the keyword index, summaries."""
+    written = base | {"tables": {t: {b: [[v, n]] for x, b, v, n in add if x == t} for t in ("sessions", "messages")}}
+    read = lambda t, s: store.read(t, s, written)  # noqa: E731  as just written, not parsed again
+    new, out, old, gone = read("messages", MESSAGE_SCHEMA), [], None, None
+    come = marked(read("sessions", SESSION_SCHEMA), new, read("vectors", VECTOR_SCHEMA))
+    if not replaced.isEmpty():
+        out += store.put("tombstones", replaced, base) + store.put(UNINDEXED, replaced, base)
+        buckets = {r[0] for r in replaced.select(store.bucket("session_id", base)).distinct().collect()}  # at most as many as there are buckets
+        old = store.read("messages", MESSAGE_SCHEMA, base, buckets).join(replaced, "session_id", "left_semi")
+        gone = touched_state(store, base, replaced, buckets)
+    return out + segment_of(store, base, new, old) + deltas_of(store, base, come, gone)
+
+
+def delete_stored(store: Store, ids: DataFrame) -> int:
+    """Sessions (session_id) leave the store, with their messages, vectors, failures and claims, the index and the summaries; gives how many there were."""
+    base = store.manifest()
+    known = store.read("sessions", SESSION_SCHEMA, base).join(ids.select(F.col("session_id").alias("id")), "id", "left_semi")
+    gone, path = store.aside(known.select(F.col("id").alias("session_id")))
+    n = gone.count()
+    if n:
+        add = _followed_by(store, base, gone, [])
+        store.commit(base, add, touched={b for t, b, *_ in add if t in KEYS}, still=unkept(base))
+    store.discard(path)
+    return n
+
+
 def sync(raw: DataFrame, store: Store, cutoff_ms: int | None = None, force: bool = False, enabled: list[str] | None = None, pruned: DataFrame | None = None) -> DataFrame:
     """One run over scanned entries: plan, write what changes, commit; gives the counters, with those of files pruned before (action, sessions).
 
@@ -151,27 +179,19 @@ def sync(raw: DataFrame, store: Store, cutoff_ms: int | None = None, force: bool
     if any(r["action"] in WRITTEN for r in rows):
         known = sessions.join(todo.select("source", "source_id"), ["source", "source_id"], "left_semi").select(F.col("id").alias("session_id"))
         replaced, replaced_path = store.aside(known)
-        add = store.put("sessions", session_rows(todo), base)
-        fresh = message_rows(todo)
-        add += store.put("messages", fresh, base)
-        written = base | {"tables": {"messages": {b: [[v, n]] for t, b, v, n in add if t == "messages"}}}
-        new = store.read("messages", MESSAGE_SCHEMA, written)  # as just written, not parsed again
-        old = None
-        if not replaced.isEmpty():
-            add += store.put("tombstones", replaced, base) + store.put(UNINDEXED, replaced, base)
-            buckets = {r[0] for r in replaced.select(store.bucket("session_id", base)).distinct().collect()}  # at most as many as there are buckets
-            old = store.read("messages", MESSAGE_SCHEMA, base, buckets).join(replaced, "session_id", "left_semi")
-        add += segment_of(store, base, new, old)
-        store.commit(base, add, touched={b for t, b, *_ in add if t in KEYS})
+        add = store.put("sessions", session_rows(todo), base) + store.put("messages", message_rows(todo), base)
+        add += _followed_by(store, base, replaced, add)
+        store.commit(base, add, touched={b for t, b, *_ in add if t in KEYS}, still=unkept(base))
         store.discard(replaced_path)
     store.discard(path)
     return store.spark.createDataFrame(rows, done.schema)
 
 
 def upkeep(store: Store, keep: int = 3, age_ms: int = 86_400_000) -> None:
-    """Gather what runs have added: buckets that have grown by as much as they held, segments of like size; then drop what no manifest names."""
+    """Gather what runs have added: buckets that have grown by as much as they held, segments and counts of like size; then drop what no manifest names."""
     store.compact(STORED)
     merge_segments(store)
+    merge_counts(store)
     store.vacuum(keep, age_ms)
 
 

@@ -11,7 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from colloquy.operators.embed import embed_pending
 from colloquy.operators.stats import embedding_state, work_list
-from colloquy.operators.store import Conflict, Store
+from colloquy.operators.store import KEYS, Conflict, Store
+from colloquy.operators.summaries import deltas_of, touched_state, unkept
 from colloquy.operators.sync import CLAIM_SCHEMA, FAILURE_SCHEMA, MESSAGE_SCHEMA, SESSION_SCHEMA, VECTOR_SCHEMA, sync
 from colloquy.sources.session_files import LAG_MS, SessionFiles, read_lines
 
@@ -80,9 +81,17 @@ def embed_run(store: Store, encoder=None, at_ms: int = 0, n: int = SESSIONS, lea
         done, path = store.aside(embed_pending(sessions, messages, store.read("vectors", VECTOR_SCHEMA, base), encoder))
         good, bad = done.where(F.col("error").isNull()), done.where(F.col("error").isNotNull())
         back = taken.select("session_id", F.lit(run).alias("run"), F.lit(-1).cast("bigint").alias("until"))
+        tables = {"vectors": good.select("message_id", "embedding", "session_id"), "failures": bad.select("session_id", "message_id", "error", F.lit(at_ms).cast("bigint").alias("at")), "claims": back}
+        add = [v for name, rows in tables.items() for v in store.put(name, rows, base)]
+        before, before_path = store.aside(touched_state(store, base, mine))
+        tried = done.groupBy(F.col("session_id").alias("id")).agg(F.count_if(F.col("error").isNotNull()).alias("lost"))
+        # all that was pending has been tried: a session is done unless one of its texts has failed
+        status = F.when(F.col("lost") > 0, "failed").when(F.col("lost") == 0, "done").otherwise(F.col("status"))
+        add += deltas_of(store, base, before.join(tried, "id", "left").withColumn("status", status), before)
         try:
-            store.append({"vectors": good.select("message_id", "embedding", "session_id"), "failures": bad.select("session_id", "message_id", "error", F.lit(at_ms).cast("bigint").alias("at")), "claims": back}, base)
+            store.commit(base, add, touched={b for t, b, *_ in add if t in KEYS}, still=unkept(base))
             total += taken.count()
         except Conflict:  # a bucket has changed meanwhile: give the sessions back and take what is pending then
             store.append({"claims": back})
+        store.discard(before_path)
         store.discard(path)
