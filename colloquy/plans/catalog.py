@@ -624,6 +624,8 @@ _STORED = {
     "fts_indexed_phrase": (lambda v: stored.fts_indexed(v, PHRASES), stored.STORED_SQL + keyword_sql(PHRASES) + "SELECT source_id, rank FROM kw JOIN sessions ON id = session_id"),
     "sync_stored": (stored.sync_stored, stored.SYNC_STORED),
     "embedding_runs": (stored.embedding_runs, stored.EMBEDDING_RUNS),
+    "summaries_kept": (stored.summaries_kept, stored.SUMMARIES_KEPT),
+    "scope_kept": (lambda v: stored.scope_kept(v, SCOPE["sources"], filters.time_cutoff(SCOPE["time_range"], AS_OF)), stored.SCOPE_KEPT + SCOPE_SQL),
     "index_blocks": (lambda v: stored.index_blocks(v, "the"), None),
 }
 for _name, (_fn, _sql) in _STORED.items():

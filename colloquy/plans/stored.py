@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.operators import embed, index, stats, sync
+from colloquy.operators import embed, index, stats, summaries, sync
 from colloquy.operators.scratch import scratch
 from colloquy.operators.store import Store
 from colloquy.plans.views import SQL, Views
@@ -80,9 +80,42 @@ def embedding_runs(v: Views) -> DataFrame:
     return state.join(sessions.select(F.col("id").alias("session_id"), "source_id"), "session_id").select("source_id", "units_total", "units_done", "status", "last_error")
 
 
+def _counted(v: Views) -> Store:
+    """A store in which some texts have failed, then every 17th session is deleted, then some sessions come again with another time."""
+    store = filled(v)
+    jobs.embed_run(store, _unsteady, at_ms=1)
+    sessions, messages = _tables(store)
+    n = F.regexp_extract("source_id", r"\d+", 0).cast("bigint")
+    sync.delete_stored(store, sessions.where(n % 17 == 0).select(F.col("id").alias("session_id")))
+    item = F.struct("seq", F.struct("role", "content", "timestamp").alias("m"))
+    said = messages.groupBy(F.col("session_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["m"]).alias("messages"))
+    again = sessions.where((n % 19 == 0) & (n % 17 != 0)).join(said, "id")
+    sync.sync(again.select("source", "source_id", "directory", "started_at", F.lit(9).cast("bigint").alias("updated_at"), "entrypoint", n.alias("listing"), "messages"), store)
+    return store
+
+
+def summaries_kept(v: Views) -> DataFrame:
+    """The sources' summary and embedding progress that the runs have kept up."""
+    return summaries.source_summary(_counted(v))
+
+
+def scope_kept(v: Views, sources: list[str], cutoff_ms: int) -> DataFrame:
+    """Totals and progress of a scope that the runs have kept up."""
+    return summaries.scope_metrics(_counted(v), sources, cutoff_ms, now_ms=2)
+
+
 SYNC_STORED = STORED_SQL + """ SELECT id, source_id, title, directory, message_count, CASE WHEN c % 7 = 0 THEN 3 WHEN c % 3 = 0 OR c % 5 = 0 THEN 2 ELSE 1 END::BIGINT AS updated_at, digest
 FROM (SELECT *, regexp_extract(source_id, '\\d+')::BIGINT AS c FROM sessions) JOIN (SELECT session_id AS id, md5(string_agg(role || content, chr(10) ORDER BY seq)) AS digest FROM messages GROUP BY 1) USING (id)"""
 
 EMBEDDING_RUNS = STORED_SQL + """, units AS (SELECT id, source_id, m.session_id IS NOT NULL AS is_unit, coalesce((9 + length(substr(title || ': ' || content, 1, 500))) % 17 = 0, false) AS fails
   FROM sessions LEFT JOIN (SELECT * FROM messages WHERE role = 'user' AND length(content) > 2) m ON m.session_id = id)
 SELECT source_id, count(*) FILTER (is_unit) AS units_total, count(*) FILTER (is_unit AND NOT fails) AS units_done, CASE WHEN bool_or(fails) THEN 'failed' ELSE 'done' END AS status, CASE WHEN bool_or(fails) THEN 'no luck' END AS last_error FROM units GROUP BY ALL"""
+
+COUNTED = STORED_SQL + """, units AS (SELECT session_id, bool_or(coalesce(role = 'user' AND length(content) > 2, false)) AS has, bool_or(coalesce(role = 'user' AND length(content) > 2 AND (9 + length(substr(title || ': ' || content, 1, 500))) % 17 = 0, false)) AS fails
+  FROM messages JOIN sessions ON id = session_id GROUP BY 1),
+counted AS (SELECT *, CASE WHEN NOT has THEN 'done' WHEN c % 19 = 0 THEN 'pending' WHEN fails THEN 'failed' ELSE 'done' END AS status
+  FROM (SELECT *, regexp_extract(source_id, '\\d+')::BIGINT AS c FROM sessions) JOIN units ON id = session_id WHERE c % 17 <> 0)"""
+
+_PROGRESS = ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ("done", "failed", "pending"))
+SUMMARIES_KEPT = COUNTED + f" SELECT coalesce(source, 'total') AS source, count(*) AS sessions, sum(message_count)::BIGINT AS messages, min(started_at) AS oldest, max(started_at) AS newest, {_PROGRESS} FROM counted GROUP BY ROLLUP (source)"
+SCOPE_KEPT = COUNTED + f" SELECT count(*) AS sessions, coalesce(sum(message_count), 0)::BIGINT AS messages, count(*) AS total, {_PROGRESS}, 0::BIGINT AS processing, NULL::VARCHAR AS processing_title FROM counted WHERE "
