@@ -143,7 +143,12 @@ def session_preview(v: Views) -> DataFrame:
     return filters.preview(v.messages)
 
 
-@query(r"SELECT session_id, seq, role FROM messages WHERE len(list_filter(string_split(content, chr(10)), lambda l: contains(lower(regexp_replace(replace(l, chr(9), '    '), '\p{Cc}', '', 'g')), 'the t'))) > 0")
+def lines_sql(needle: str) -> str:
+    """Messages with a line that holds the needle, in SQL."""
+    return rf"SELECT session_id, seq, role FROM messages WHERE len(list_filter(string_split(content, chr(10)), lambda l: contains(lower(regexp_replace(replace(l, chr(9), '    '), '\p{{Cc}}', '', 'g')), '{needle}'))) > 0"
+
+
+@query(lines_sql("the t"))
 def in_session_search(v: Views) -> DataFrame:
     return filters.in_session_search(v.messages, "The T")
 
@@ -626,6 +631,7 @@ _STORED = {
     "embedding_runs": (stored.embedding_runs, stored.EMBEDDING_RUNS),
     "summaries_kept": (stored.summaries_kept, stored.SUMMARIES_KEPT),
     "scope_kept": (lambda v: stored.scope_kept(v, SCOPE["sources"], filters.time_cutoff(SCOPE["time_range"], AS_OF)), stored.SCOPE_KEPT + SCOPE_SQL),
+    "in_session_signed": (lambda v: stored.in_session_signed(v, "Anshtion"), stored.STORED_SQL + " " + lines_sql("anshtion")),
     "index_blocks": (lambda v: stored.index_blocks(v, "the"), None),
 }
 for _name, (_fn, _sql) in _STORED.items():

@@ -6,10 +6,10 @@ that only their time has changed. What the store then holds must equal the given
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.operators import embed, index, stats, summaries, sync
+from colloquy.operators import embed, index, signatures, stats, summaries, sync
 from colloquy.operators.scratch import scratch
 from colloquy.operators.store import Store
 from colloquy.plans.views import SQL, Views
@@ -80,17 +80,26 @@ def embedding_runs(v: Views) -> DataFrame:
     return state.join(sessions.select(F.col("id").alias("session_id"), "source_id"), "session_id").select("source_id", "units_total", "units_done", "status", "last_error")
 
 
+def _number() -> Column:
+    """The number in a session's id of its source."""
+    return F.regexp_extract("source_id", r"\d+", 0).cast("bigint")
+
+
+def _come_again(store: Store, sessions: DataFrame, messages: DataFrame, which: Column) -> None:
+    """Some sessions with the messages they had and another time."""
+    item = F.struct("seq", F.struct("role", "content", "timestamp").alias("m"))
+    said = messages.groupBy(F.col("session_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["m"]).alias("messages"))
+    again = sessions.where(which).join(said, "id")
+    sync.sync(again.select("source", "source_id", "directory", "started_at", F.lit(9).cast("bigint").alias("updated_at"), "entrypoint", _number().alias("listing"), "messages"), store)
+
+
 def _counted(v: Views) -> Store:
     """A store in which some texts have failed, then every 17th session is deleted, then some sessions come again with another time."""
     store = filled(v)
     jobs.embed_run(store, _unsteady, at_ms=1)
     sessions, messages = _tables(store)
-    n = F.regexp_extract("source_id", r"\d+", 0).cast("bigint")
-    sync.delete_stored(store, sessions.where(n % 17 == 0).select(F.col("id").alias("session_id")))
-    item = F.struct("seq", F.struct("role", "content", "timestamp").alias("m"))
-    said = messages.groupBy(F.col("session_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["m"]).alias("messages"))
-    again = sessions.where((n % 19 == 0) & (n % 17 != 0)).join(said, "id")
-    sync.sync(again.select("source", "source_id", "directory", "started_at", F.lit(9).cast("bigint").alias("updated_at"), "entrypoint", n.alias("listing"), "messages"), store)
+    sync.delete_stored(store, sessions.where(_number() % 17 == 0).select(F.col("id").alias("session_id")))
+    _come_again(store, sessions, messages, (_number() % 19 == 0) & (_number() % 17 != 0))
     return store
 
 
@@ -104,6 +113,15 @@ def scope_kept(v: Views, sources: list[str], cutoff_ms: int) -> DataFrame:
     return summaries.scope_metrics(_counted(v), sources, cutoff_ms, now_ms=2)
 
 
+def in_session_signed(v: Views, needle: str) -> DataFrame:
+    """Substring search that reads the chunks whose signatures can hold the needle; what the last run has added is not signed yet."""
+    store = filled(v)
+    signatures.sign(store, chunk_bytes=1 << 16)
+    sessions, messages = _tables(store)
+    _come_again(store, sessions, messages, _number() % 11 == 0)
+    return signatures.search_lines(store, needle)
+
+
 SYNC_STORED = STORED_SQL + """ SELECT id, source_id, title, directory, message_count, CASE WHEN c % 7 = 0 THEN 3 WHEN c % 3 = 0 OR c % 5 = 0 THEN 2 ELSE 1 END::BIGINT AS updated_at, digest
 FROM (SELECT *, regexp_extract(source_id, '\\d+')::BIGINT AS c FROM sessions) JOIN (SELECT session_id AS id, md5(string_agg(role || content, chr(10) ORDER BY seq)) AS digest FROM messages GROUP BY 1) USING (id)"""
 
