@@ -12,12 +12,18 @@ from colloquy.operators.filters import within_window
 from colloquy.operators.index import merge_segments, segment_of
 from colloquy.operators.store import KEYS, UNINDEXED, Store
 from colloquy.operators.summaries import deltas_of, marked, merge_counts, touched_state, unkept
+from colloquy.sources.rows import heads, number
 
 SESSION_SCHEMA = "id string, source string, source_id string, title string, directory string, started_at bigint, updated_at bigint, message_count int, entrypoint string"
 MESSAGE_SCHEMA = "message_id bigint, session_id string, role string, content string, timestamp bigint, seq int"
 RAW_SCHEMA = "source string, source_id string, directory string, started_at bigint, updated_at bigint, entrypoint string, listing bigint, messages array<struct<role:string,content:string,timestamp:bigint>>"
 
 
+def _size(entries: DataFrame) -> Column:
+    """Messages of an entry, which has them as an array or counts them."""
+    return F.size("messages") if "messages" in entries.columns else F.col("n_messages")
+
+
 def session_id(source: str = "source", source_id: str = "source_id") -> Column:
     """A derived key, the same in every run."""
     return F.sha2(F.concat_ws("\n", source, source_id), 256)
@@ -31,9 +37,9 @@ def _followed(raw: DataFrame, stored: DataFrame, cutoff_ms: int | None, force: b
 
     Entries outside the window count for nothing. Changed: another message count, or an update time that is there and differs."""
     known = stored.select("source", "source_id", F.struct(F.lit(True).alias("known"), F.col("updated_at").alias("at"), F.col("message_count").cast("int").alias("n")).alias("held"))
-    order = Window.partitionBy("source", "source_id").orderBy("listing", "updated_at", F.size("messages"))
+    order = Window.partitionBy("source", "source_id").orderBy("listing", "updated_at", _size(raw))
     every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    entry = F.struct(F.col("updated_at").alias("at"), F.size("messages").alias("n"), (~F.coalesce(within_window(cutoff_ms), F.lit(False))).alias("out"))
+    entry = F.struct(F.col("updated_at").alias("at"), _size(raw).alias("n"), (~F.coalesce(within_window(cutoff_ms), F.lit(False))).alias("out"))
     # times and counts alone are gathered, not messages
     listed = raw.withColumn("place", F.row_number().over(order)).withColumn("entries", F.collect_list(entry).over(every)).join(known, ["source", "source_id"], "left")
     start = F.struct(F.coalesce("held.known", F.lit(False)).alias("known"), F.col("held.at").alias("at"), F.coalesce("held.n", F.lit(-1)).alias("n"), F.array().cast("array<string>").alias("actions"))
@@ -77,7 +83,7 @@ def tabular_changes(listed: DataFrame, stored: DataFrame) -> DataFrame:
 
 def counters(planned: DataFrame) -> DataFrame:
     """(action, sessions, messages) of a plan."""
-    return planned.groupBy("action").agg(F.count("*").alias("sessions"), F.sum(F.size("messages")).alias("messages"))
+    return planned.groupBy("action").agg(F.count("*").alias("sessions"), F.sum(_size(planned)).alias("messages"))
 
 
 def message_rows(planned: DataFrame) -> DataFrame:
@@ -86,12 +92,21 @@ def message_rows(planned: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("session_id", "seq").alias("message_id"), "session_id", "m.role", "m.content", "m.timestamp", F.col("seq").cast("int").alias("seq"))
 
 
+def numbered_rows(events: DataFrame, planned: DataFrame) -> DataFrame:
+    """Messages of planned entries from their event rows, as message_rows."""
+    rows = number(events, planned.select("source", "entry", session_id().alias("session_id")))
+    return rows.select(F.xxhash64("session_id", "seq").alias("message_id"), "session_id", "role", "content", "timestamp", "seq")
+
+
 def session_rows(planned: DataFrame) -> DataFrame:
     """Session rows of planned entries: title and count from their messages, without a second pass over them."""
-    user = F.filter("messages", lambda m: m["role"] == "user")
-    telling = F.filter(user, lambda m: ~is_noise(m["content"]))
-    first = F.coalesce(F.get(telling, 0)["content"], F.get(user, 0)["content"])
-    return planned.select(session_id().alias("id"), "source", "source_id", title(first).alias("title"), "directory", "started_at", "updated_at", F.size("messages").alias("message_count"), "entrypoint")
+    if "messages" in planned.columns:
+        user = F.filter("messages", lambda m: m["role"] == "user")
+        telling = F.filter(user, lambda m: ~is_noise(m["content"]))
+        first = F.coalesce(F.get(telling, 0)["content"], F.get(user, 0)["content"])
+    else:
+        first = F.col("first_text")
+    return planned.select(session_id().alias("id"), "source", "source_id", title(first).alias("title"), "directory", "started_at", "updated_at", _size(planned).alias("message_count"), "entrypoint")
 
 
 def titles(messages: DataFrame) -> DataFrame:
@@ -162,10 +177,10 @@ def delete_stored(store: Store, ids: DataFrame) -> int:
     return n
 
 
-def sync(raw: DataFrame, store: Store, cutoff_ms: int | None = None, force: bool = False, enabled: list[str] | None = None, pruned: DataFrame | None = None) -> DataFrame:
+def sync(raw: DataFrame, store: Store, cutoff_ms: int | None = None, force: bool = False, enabled: list[str] | None = None, pruned: DataFrame | None = None, events: DataFrame | None = None) -> DataFrame:
     """One run over scanned entries: plan, write what changes, commit; gives the counters, with those of files pruned before (action, sessions).
 
-    What is scanned is parsed once. A run writes the new rows, tombstones of the sessions they replace, and a segment of the keyword
+    What is scanned is parsed once. With event rows, raw holds entries without their messages (see sync_rows). A run writes the new rows, tombstones of the sessions they replace, and a segment of the keyword
     index; nothing that is stored is rewritten here (see upkeep). Vectors and failures of replaced sessions are dead with their messages."""
     scanned = raw.where(F.col("source").isin(enabled)) if enabled else raw
     base = store.manifest()
@@ -179,7 +194,7 @@ def sync(raw: DataFrame, store: Store, cutoff_ms: int | None = None, force: bool
     if any(r["action"] in WRITTEN for r in rows):
         known = sessions.join(todo.select("source", "source_id"), ["source", "source_id"], "left_semi").select(F.col("id").alias("session_id"))
         replaced, replaced_path = store.aside(known)
-        add = store.put("sessions", session_rows(todo), base) + store.put("messages", message_rows(todo), base)
+        add = store.put("sessions", session_rows(todo), base) + store.put("messages", message_rows(todo) if events is None else numbered_rows(events, todo), base)
         add += _followed_by(store, base, replaced, add)
         store.commit(base, add, touched={b for t, b, *_ in add if t in KEYS}, still=unkept(base))
         store.discard(replaced_path)
@@ -187,6 +202,14 @@ def sync(raw: DataFrame, store: Store, cutoff_ms: int | None = None, force: bool
     return store.spark.createDataFrame(rows, done.schema)
 
 
+def sync_rows(events: DataFrame, store: Store, cutoff_ms: int | None = None, force: bool = False, enabled: list[str] | None = None, pruned: DataFrame | None = None) -> DataFrame:
+    """One run over sessions that come as event rows, as sync(): rows are written aside once, entries are planned without their messages."""
+    staged, path = store.aside(events.where(F.col("source").isin(enabled)) if enabled else events)
+    done = sync(heads(staged), store, cutoff_ms, force, pruned=pruned, events=staged)
+    store.discard(path)
+    return done
+
+
 def upkeep(store: Store, keep: int = 3, age_ms: int = 86_400_000) -> None:
     """Gather what runs have added: buckets that have grown by as much as they held, segments and counts of like size; then drop what no manifest names."""
     store.compact(STORED)

@@ -628,6 +628,7 @@ _STORED = {
     "fts_indexed": (lambda v: stored.fts_indexed(v, WORDS), stored.STORED_SQL + keyword_sql(WORDS) + "SELECT source_id, rank FROM kw JOIN sessions ON id = session_id"),
     "fts_indexed_phrase": (lambda v: stored.fts_indexed(v, PHRASES), stored.STORED_SQL + keyword_sql(PHRASES) + "SELECT source_id, rank FROM kw JOIN sessions ON id = session_id"),
     "sync_stored": (stored.sync_stored, stored.SYNC_STORED),
+    "sync_stored_rows": (lambda v: stored.sync_stored(v, stored.filled_by_rows), stored.SYNC_STORED),
     "embedding_runs": (stored.embedding_runs, stored.EMBEDDING_RUNS),
     "summaries_kept": (stored.summaries_kept, stored.SUMMARIES_KEPT),
     "scope_kept": (lambda v: stored.scope_kept(v, SCOPE["sources"], filters.time_cutoff(SCOPE["time_range"], AS_OF)), stored.SCOPE_KEPT + SCOPE_SQL),

@@ -5,6 +5,8 @@ that only their time has changed. What the store then holds must equal the given
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from colloquy.operators import embed, index, signatures, stats, summaries, sync
 from colloquy.operators.scratch import scratch
 from colloquy.operators.store import Store
 from colloquy.plans.views import SQL, Views
+from colloquy.sources import rows
 from colloquy.streaming import jobs
 
 #: The views with the ids that a store gives.
@@ -36,14 +39,32 @@ def filled(v: Views) -> Store:
     return store
 
 
+def filled_by_rows(v: Views) -> Store:
+    """As filled(), from rows of messages that are never gathered; the numbers that messages have are stretched, so that a session has many stretches."""
+    n, store = F.regexp_extract("id", r"\d+", 0).cast("bigint"), Store(v.spark, scratch(v.spark))
+    said = v.messages.select("session_id", "role", F.col("content").alias("text"), "timestamp", (F.col("seq") * (rows.STRETCH // 2)).alias("place")).join(v.sessions.withColumn("n", n), F.col("session_id") == F.col("id"))
+    found = said.select("source", F.col("id").alias("entry"), "place", "role", "text", "timestamp", "source_id", "directory", "started_at", "entrypoint", "n")
+
+    def run(which: Column, at: int, content: Column) -> None:
+        same = {"source": F.col("source"), "entry": F.col("entry"), "place": F.col("place"), "source_id": F.col("source_id"), "directory": F.col("directory"), "started_at": F.col("started_at"), "dated": F.lit(True), "listing": F.col("n")}
+        sync.sync_rows(rows.events(found.where(which), **same, role=F.col("role"), content=content, timestamp=F.col("timestamp"), updated_at=F.lit(at), told=F.when(F.col("place") == 0, rows.told(entrypoint=F.col("entrypoint")))), store)
+
+    n, text = F.col("n"), F.col("text")
+    run(n % 3 != 0, 1, F.when(n % 5 == 0, F.concat(F.lit("the zzz "), text)).otherwise(text))
+    run((n % 3 == 0) | (n % 5 == 0), 2, text)
+    sync.upkeep(store)
+    run(n % 7 == 0, 3, text)
+    return store
+
+
 def _tables(store: Store) -> tuple[DataFrame, DataFrame]:
     manifest = store.manifest()
     return store.read("sessions", sync.SESSION_SCHEMA, manifest), store.read("messages", sync.MESSAGE_SCHEMA, manifest)
 
 
-def sync_stored(v: Views) -> DataFrame:
+def sync_stored(v: Views, fill: Callable[[Views], Store] = filled) -> DataFrame:
     """Every session as the store has it after all runs, and what its messages say."""
-    sessions, messages = _tables(filled(v))
+    sessions, messages = _tables(fill(v))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.concat("role", "content").alias("t")))), lambda x: x["t"]), "\n")
     said = messages.groupBy(F.col("session_id").alias("id")).agg(F.md5(text.cast("binary")).alias("digest"))
     return sessions.join(said, "id").select("id", "source_id", "title", "directory", "message_count", "updated_at", "digest")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import variant as V
 from colloquy.functions.text import decode_directory, rfc3339_ms
-from colloquy.sources.files import Folder, assemble, first_time, joined, json_lines, list_files, named, parent_of, read_all, scan_files, stem_of
+from colloquy.sources.files import Folder, joined, json_lines, list_files, named, parent_of, read_all, scan_files, stem_of
+from colloquy.sources.rows import events, gather, side
 
 SOURCE = "claude-code"
 
@@ -50,27 +51,33 @@ def argument_text_of(x: Column) -> Column:
     return V.text_of(V.get(x, "$.input"))
 
 
+def event_rows(files: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """Event rows of files (path, modified_ms, content or lines, source_id, directory), and of the sidecar index."""
+    v = F.col("v")
+    kind, content = V.string(v, "$.type"), content_text(V.get(v, "$.message.content"))
+    said = kind.isin("user", "assistant") & V.present(v, "$.message") & (F.col("content") != "")
+    found = events(
+        json_lines(files).withColumn("content", content), source=F.lit(SOURCE), entry=F.col("path"), place=F.col("line_no"), role=F.when(said, kind), content=F.col("content"), timestamp=rfc3339_ms(V.string(v, "$.timestamp")),
+        source_id=F.col("source_id"), directory=F.col("directory"), updated_at=F.col("modified_ms"), listing=F.xxhash64("path"), bad=F.col("bad"),
+    )
+    return found if index is None else found.unionByName(side(index.select("source_id", F.col("cwd").alias("directory"), F.col("started").alias("started_at"), "entrypoint"), SOURCE))
+
+
 def parse(files: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """Raw sessions of files (path, modified_ms, content, source_id, directory)."""
-    lines = json_lines(files)
-    v = F.col("v")
-    kind = V.string(v, "$.type")
-    rows = lines.where(kind.isin("user", "assistant") & V.present(v, "$.message")).select(
-        "path", "modified_ms", "source_id", "directory", "line_no", kind.alias("role"), content_text(V.get(v, "$.message.content")).alias("content"), rfc3339_ms(V.string(v, "$.timestamp")).alias("timestamp")
-    )
-    sessions = assemble(rows.where(F.col("content") != ""), ["path", "modified_ms", "source_id", "directory"], ["line_no"])
-    if index is None:
-        index = files.sparkSession.createDataFrame([], "source_id string, cwd string, started bigint, entrypoint string")
-    named_rows = sessions.join(index, "source_id", "left")
-    return named_rows.select(
-        F.lit(SOURCE).alias("source"), "source_id", F.coalesce("cwd", "directory").alias("directory"), F.coalesce("started", first_time(), F.lit(0)).cast("bigint").alias("started_at"), F.col("modified_ms").alias("updated_at"), "entrypoint", F.xxhash64("path").alias("listing"), "messages"
-    )
+    return gather(event_rows(files, index))
+
+
+def scan_events(spark: SparkSession, root: str, stored: DataFrame | None = None, cutoff_ms: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(event rows, counts of what was pruned) of the files that stored sessions and the cutoff leave."""
+    files, counts = scan_files(spark, folders(root), listing(spark, root), stored, cutoff_ms)
+    return event_rows(files, sidecars(read_all(spark, [Folder(f"{root}/sessions", "*.json")]))), counts
 
 
 def scan_changed(spark: SparkSession, root: str, stored: DataFrame | None = None, cutoff_ms: int | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(raw sessions, counts of what was pruned) of the files that stored sessions and the cutoff leave."""
-    files, counts = scan_files(spark, folders(root), listing(spark, root), stored, cutoff_ms)
-    return parse(files, sidecars(read_all(spark, [Folder(f"{root}/sessions", "*.json")]))), counts
+    found, counts = scan_events(spark, root, stored, cutoff_ms)
+    return gather(found), counts
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:

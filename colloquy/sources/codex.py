@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import variant as V
 from colloquy.functions.text import rfc3339_ms
-from colloquy.sources.files import Folder, assemble, body, first_time, joined, json_lines, list_files, named, scan_files, stem_of
+from colloquy.sources.files import Folder, body, joined, json_lines, list_files, named, scan_files, stem_of
+from colloquy.sources.rows import events, gather, told
 
 SOURCE = "codex"
 UUID = r"-([0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12})$"
@@ -36,35 +37,41 @@ def content_text(content: Column) -> Column:
     return F.when(V.is_kind(content, "ARRAY"), joined(F.transform(V.array(content), item))).otherwise(F.lit(""))
 
 
-def parse(files: DataFrame) -> DataFrame:
-    """Raw sessions of files (path, modified_ms, content). A session is known by the id in its file's name, and its time of update is the file's.
+def event_rows(files: DataFrame) -> DataFrame:
+    """Event rows of files (path, modified_ms, content or lines). A session is known by the id in its file's name, and its time of update is the file's.
 
     A file named otherwise goes by the id in its last session record, else by its name. That record counts even where it lacks a
     field; an answer logged in two forms is two messages."""
     lines = json_lines(files.select("path", "modified_ms", *body(files)))
     v = F.col("v")
     kind, payload = V.string(v, "$.type"), V.string(v, "$.payload.type")
-    spoken = V.string(v, "$.payload.message")
-    by = ["path", "modified_ms"]
-    meta = lines.where((kind == "session_meta") & V.present(v, "$.payload")).groupBy("path").agg(
-        F.max_by(F.struct(V.string(v, "$.payload.id").alias("id"), V.string(v, "$.payload.cwd").alias("cwd"), rfc3339_ms(V.string(v, "$.payload.timestamp")).alias("at")), "line_no").alias("meta")
-    )
+    record = (kind == "session_meta") & V.present(v, "$.payload")
     event = (kind == "event_msg") & payload.isin("user_message", "agent_message")
     answer = (kind == "response_item") & (payload == "message") & (V.string(v, "$.payload.role") == "assistant")
-    rows = lines.where(event | answer).select(
-        *by, "line_no", F.when(payload == "user_message", "user").otherwise("assistant").alias("role"), F.when(event, spoken).otherwise(content_text(V.get(v, "$.payload.content"))).alias("content"), rfc3339_ms(V.string(v, "$.timestamp")).alias("timestamp")
-    )
-    sessions = assemble(rows.where(F.col("content") != ""), by, ["line_no"]).join(meta, "path", "left")
-    return sessions.select(
-        F.lit(SOURCE).alias("source"), F.coalesce(file_id(), F.col("meta.id"), stem_of()).alias("source_id"), F.col("meta.cwd").alias("directory"), F.coalesce(F.col("meta.at"), first_time(), F.lit(0)).cast("bigint").alias("started_at"),
-        F.col("modified_ms").alias("updated_at"), F.lit(None).cast("string").alias("entrypoint"), F.xxhash64("path").alias("listing"), "messages",
+    content = F.when(event, V.string(v, "$.payload.message")).when(answer, content_text(V.get(v, "$.payload.content")))
+    said = F.when(F.col("content") != "", F.when(payload == "user_message", "user").otherwise("assistant"))
+    about = told(V.string(v, "$.payload.id"), V.string(v, "$.payload.cwd"), rfc3339_ms(V.string(v, "$.payload.timestamp")))
+    return events(
+        lines.withColumn("content", content), source=F.lit(SOURCE), entry=F.col("path"), place=F.col("line_no"), role=said, content=F.col("content"), timestamp=rfc3339_ms(V.string(v, "$.timestamp")), told=F.when(record, about),
+        source_id=file_id(), fallback=stem_of(), updated_at=F.col("modified_ms"), listing=F.xxhash64("path"), bad=F.col("bad"),
     )
 
 
+def parse(files: DataFrame) -> DataFrame:
+    """Raw sessions of files (path, modified_ms, content)."""
+    return gather(event_rows(files))
+
+
+def scan_events(spark: SparkSession, root: str, stored: DataFrame | None = None, cutoff_ms: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(event rows, counts of what was pruned) of the files that stored sessions and the cutoff leave."""
+    files, counts = scan_files(spark, folders(root), listing(spark, root), stored, cutoff_ms)
+    return event_rows(files), counts
+
+
 def scan_changed(spark: SparkSession, root: str, stored: DataFrame | None = None, cutoff_ms: int | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(raw sessions, counts of what was pruned) of the files that stored sessions and the cutoff leave."""
-    files, counts = scan_files(spark, folders(root), listing(spark, root), stored, cutoff_ms)
-    return parse(files), counts
+    found, counts = scan_events(spark, root, stored, cutoff_ms)
+    return gather(found), counts
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:

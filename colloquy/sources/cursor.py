@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import variant as V
 from colloquy.functions.text import trim
-from colloquy.sources.files import Folder, assemble, body, joined, json_lines, list_files, scan_files, stem_of
+from colloquy.sources.files import Folder, body, joined, json_lines, list_files, scan_files, stem_of
+from colloquy.sources.rows import events, gather, side
 
 SOURCE = "cursor"
 # Keys of the table.
@@ -49,24 +50,33 @@ def content_text(items: Column, user: Column) -> Column:
     return F.coalesce(joined(F.transform(V.array(items), item)), F.lit(""))
 
 
-def parse(files: DataFrame, folders: DataFrame | None = None) -> DataFrame:
-    """Raw sessions of files (path, modified_ms, content). Files tell no time of birth here: both times are the file's."""
-    lines = json_lines(files.select("path", "modified_ms", *body(files)))
+def event_rows(files: DataFrame, folders: DataFrame | None = None) -> DataFrame:
+    """Event rows of files (path, modified_ms, content or lines), and of a table (source_id, directory). Files tell no time of birth here: both times are the file's."""
     v = F.col("v")
     role = V.string(v, "$.role")
-    rows = lines.where(role.isin("user", "assistant")).select("path", "modified_ms", "line_no", role.alias("role"), content_text(V.get(v, "$.message.content"), role == "user").alias("content"), F.lit(None).cast("bigint").alias("timestamp"))
-    sessions = assemble(rows.where(F.col("content") != ""), ["path", "modified_ms"], ["line_no"]).withColumn("source_id", stem_of())
-    if folders is None:
-        folders = files.sparkSession.createDataFrame([], "source_id string, directory string")
-    return sessions.join(folders, "source_id", "left").select(
-        F.lit(SOURCE).alias("source"), "source_id", "directory", F.col("modified_ms").alias("started_at"), F.col("modified_ms").alias("updated_at"), F.lit(None).cast("string").alias("entrypoint"), F.xxhash64("path").alias("listing"), "messages"
-    )
+    lines = json_lines(files.select("path", "modified_ms", *body(files))).withColumn("content", content_text(V.get(v, "$.message.content"), role == "user"))
+    found = events(
+        lines, source=F.lit(SOURCE), entry=F.col("path"), place=F.col("line_no"), role=F.when(role.isin("user", "assistant") & (F.col("content") != ""), role), content=F.col("content"),
+        source_id=stem_of(), started_at=F.col("modified_ms"), dated=F.lit(True), updated_at=F.col("modified_ms"), listing=F.xxhash64("path"), bad=F.col("bad"),
+    )
+    return found if folders is None else found.unionByName(side(folders, SOURCE))
 
 
-def scan_changed(spark: SparkSession, root: str, stored: DataFrame | None = None, cutoff_ms: int | None = None, items: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """(raw sessions, counts of what was pruned) of the files that stored sessions and the cutoff leave; items: the key-value table."""
+def parse(files: DataFrame, folders: DataFrame | None = None) -> DataFrame:
+    """Raw sessions of files (path, modified_ms, content)."""
+    return gather(event_rows(files, folders))
+
+
+def scan_events(spark: SparkSession, root: str, stored: DataFrame | None = None, cutoff_ms: int | None = None, items: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(event rows, counts of what was pruned) of the files that stored sessions and the cutoff leave; items: the key-value table."""
     files, counts = scan_files(spark, folders(root), listing(spark, root), stored, cutoff_ms)
-    return parse(files, directories(items) if items is not None else None), counts
+    return event_rows(files, directories(items) if items is not None else None), counts
+
+
+def scan_changed(spark: SparkSession, root: str, stored: DataFrame | None = None, cutoff_ms: int | None = None, items: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(raw sessions, counts of what was pruned), as scan_events."""
+    found, counts = scan_events(spark, root, stored, cutoff_ms, items)
+    return gather(found), counts
 
 
 def scan(spark: SparkSession, root: str, items: DataFrame | None = None) -> DataFrame:

@@ -92,9 +92,9 @@ def read_all(spark: SparkSession, folders: list[Folder]) -> DataFrame:
 def scan_files(spark: SparkSession, folders: list[Folder], listing: DataFrame, stored: DataFrame | None = None, cutoff_ms: int | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(lines of files with the listing's columns, (action, sessions) of what was pruned): all files, or with stored sessions those that prune() leaves."""
     if stored is None:
-        return read_lines(listing), None
+        return read_lines(listing, marked=True), None
     marked = prune(listing, stored, cutoff_ms)
-    return read_lines(marked.where("scan = 'parse'").drop("scan")), pruned(marked)
+    return read_lines(marked.where("scan = 'parse'").drop("scan"), marked=True), pruned(marked)
 
 
 def pruned(marked: DataFrame) -> DataFrame:
@@ -108,12 +108,12 @@ def body(files: DataFrame) -> list[str]:
 
 
 def json_lines(files: DataFrame) -> DataFrame:
-    """The files' lines that are JSON: all columns but the content, with line number and value."""
+    """The files' lines that are JSON: all columns but the content, with line number and value; and as bad those that are no text."""
     keep = [c for c in files.columns if c not in body(files)]
     if "line" in files.columns:
-        return files.select(*keep, "line_no", V.parse(trim("line")).alias("v")).where(F.col("v").isNotNull())
+        return files.select(*keep, "line_no", V.parse(trim("line")).alias("v"), F.col("line").isNull().alias("bad")).where(F.col("v").isNotNull() | F.col("bad"))
     lines = files.select(*keep, F.posexplode(F.split("content", "\n")).alias("line_no", "line"))
-    return lines.select(*keep, "line_no", V.parse(trim("line")).alias("v")).where(F.col("v").isNotNull())
+    return lines.select(*keep, "line_no", V.parse(trim("line")).alias("v"), F.lit(False).alias("bad")).where(F.col("v").isNotNull())
 
 
 def joined(parts: Column) -> Column:
@@ -135,7 +135,3 @@ def assemble(messages: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Messages (role, content, timestamp) in order as an array for each key; keys without messages have no row."""
     item = F.struct(*order, F.struct("role", "content", F.col("timestamp").cast("bigint").alias("timestamp")).alias("m"))
     return messages.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["m"]).cast(f"array<{RAW_MESSAGE}>").alias("messages"))
-
-
-def first_time() -> Column:
-    return F.get("messages", 0)["timestamp"]

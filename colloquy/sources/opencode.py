@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from colloquy.functions import variant as V
 from colloquy.functions.text import trim
 from colloquy.operators.sync import tabular_changes
-from colloquy.sources.files import assemble, named
+from colloquy.sources.files import named
+from colloquy.sources.rows import events, gather
 
 SOURCE = "opencode"
 
@@ -43,15 +44,20 @@ def sessions_in_window(sessions: DataFrame, cutoff_ms: int | None = None) -> Dat
     return kept if cutoff_ms is None else kept.where(F.coalesce("time_updated", "time_created") >= cutoff_ms)
 
 
-def parse(sessions: DataFrame, messages: DataFrame, parts: DataFrame, cutoff_ms: int | None = None, stored: DataFrame | None = None) -> DataFrame:
-    """Raw sessions; with stored sessions, only those whose time or message count differs, told before any part is rendered."""
+def event_rows(sessions: DataFrame, messages: DataFrame, parts: DataFrame, cutoff_ms: int | None = None, stored: DataFrame | None = None) -> DataFrame:
+    """Event rows; with stored sessions, only of those whose time or message count differs, told before any part is rendered."""
     scope = sessions_in_window(sessions, cutoff_ms).select(F.col("id").alias("session_id"), "directory", "time_created", "time_updated")
     found = message_parts(messages, parts)
     if stored is not None:
         listed = scope.join(message_counts(found), "session_id").select(F.col("session_id").alias("source_id"), F.col("time_updated").alias("updated_at"), "message_count")
         changed = tabular_changes(listed, stored).select(F.col("source_id").alias("session_id"))
         found = found.join(changed, "session_id", "left_semi")
-    rows = assemble(found.withColumn("timestamp", F.col("created")), ["session_id"], ["created", "part_id"])
-    return rows.join(scope, "session_id").select(
-        F.lit(SOURCE).alias("source"), F.col("session_id").alias("source_id"), "directory", F.col("time_created").alias("started_at"), F.col("time_updated").alias("updated_at"), F.lit(None).cast("string").alias("entrypoint"), F.xxhash64("session_id").alias("listing"), "messages"
-    )
+    return events(
+        found.join(scope, "session_id"), source=F.lit(SOURCE), entry=F.col("session_id"), place=F.col("created"), tie=F.col("part_id"), role=F.col("role"), content=F.col("content"), timestamp=F.col("created"),
+        source_id=F.col("session_id"), directory=F.col("directory"), started_at=F.col("time_created"), dated=F.lit(True), updated_at=F.col("time_updated"), listing=F.xxhash64("session_id"),
+    )
+
+
+def parse(sessions: DataFrame, messages: DataFrame, parts: DataFrame, cutoff_ms: int | None = None, stored: DataFrame | None = None) -> DataFrame:
+    """Raw sessions, as event_rows."""
+    return gather(event_rows(sessions, messages, parts, cutoff_ms, stored))

@@ -171,9 +171,9 @@ def lines_of(system, path: str, start: int, end: int) -> Iterator[tuple[int, byt
             yield at, rest
 
 
-def read_lines(listing: DataFrame, range_bytes: int = RANGE) -> DataFrame:
+def read_lines(listing: DataFrame, range_bytes: int = RANGE, marked: bool = False) -> DataFrame:
     """The listing's columns with (line_no, line) of each file's lines; a line's number is where it begins. Files that aren't UTF-8 throughout
-    are left out whole, files that have gone meanwhile have no lines."""
+    are left out whole (marked: their lines that aren't are null, and nothing is shuffled by file), files that have gone meanwhile have no lines."""
     keep = [c for c in listing.columns if c not in ("head", "size")]
     ranges = listing.select(*keep, F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(range_bytes))).alias("_start"))
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -210,5 +210,7 @@ def read_lines(listing: DataFrame, range_bytes: int = RANGE) -> DataFrame:
 
     spread = ranges.repartition(F.xxhash64("path", "_start")).select(*keep, "_start")
     found = spread.mapInArrow(run, ddl)
+    if marked:
+        return found
     bad = F.max(F.col("line").isNull()).over(Window.partitionBy("path"))
     return found.withColumn("_bad", bad).where(~F.col("_bad")).drop("_bad")

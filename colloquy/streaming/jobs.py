@@ -13,7 +13,7 @@ from colloquy.operators.embed import embed_pending
 from colloquy.operators.stats import embedding_state, work_list
 from colloquy.operators.store import KEYS, Conflict, Store
 from colloquy.operators.summaries import deltas_of, touched_state, unkept
-from colloquy.operators.sync import CLAIM_SCHEMA, FAILURE_SCHEMA, MESSAGE_SCHEMA, SESSION_SCHEMA, VECTOR_SCHEMA, sync
+from colloquy.operators.sync import CLAIM_SCHEMA, FAILURE_SCHEMA, MESSAGE_SCHEMA, SESSION_SCHEMA, VECTOR_SCHEMA, sync, sync_rows
 from colloquy.sources.session_files import LAG_MS, SessionFiles, read_lines
 
 #: Sessions taken at a time, and how long a claim holds.
@@ -23,12 +23,13 @@ SESSIONS, LEASE_MS = 10_000, 3_600_000
 def sync_stream(spark: SparkSession, path: str, pattern: str, parse: Callable[[DataFrame], DataFrame], store: Store, checkpoint: str, lag_ms: int = LAG_MS, **options) -> StreamingQuery:
     """Merge session files as they come or are rewritten, by the same plan as a batch run; one that a lost run has merged already is unchanged.
 
-    parse gets lines (path, modified_ms, line_no, line), and source_id from the file's name or first lines where it asks for one."""
+    parse gets lines (path, modified_ms, line_no, line; null where it isn't UTF-8) and gives event rows, or raw sessions with their messages as arrays."""
     spark.dataSource.register(SessionFiles)
     files = spark.readStream.format("session_files").option("path", path).option("pattern", pattern).option("recursive", "true").option("lag_ms", lag_ms).load()
 
     def merge(batch: DataFrame, _: int) -> None:
-        sync(parse(read_lines(batch)), store, **options)
+        found = parse(read_lines(batch, marked=True))
+        (sync if "messages" in found.columns else sync_rows)(found, store, **options)
 
     return files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge).trigger(availableNow=True).start()
 

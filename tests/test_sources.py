@@ -106,10 +106,11 @@ def test_cursor(spark, tmp_path):
     assert found.first()["directory"] == "/w"
 
 
-def test_stream_merges_new_and_rewritten_files(spark, tmp_path):
+@pytest.mark.parametrize("parse", [codex.parse, codex.event_rows])
+def test_stream_merges_new_and_rewritten_files(spark, tmp_path, parse):
     """After restarts from the checkpoint the store holds what a batch run would; what has not changed is not listed again."""
     root, store = tmp_path / "in", sync.Store(spark, str(tmp_path / "store"))
-    run = lambda: jobs.sync_stream(spark, str(root), "*.jsonl", codex.parse, store, str(tmp_path / "ck"), lag_ms=0).awaitTermination(120)
+    run = lambda: jobs.sync_stream(spark, str(root), "*.jsonl", parse, store, str(tmp_path / "ck"), lag_ms=0).awaitTermination(120)
     titles = lambda: {r["title"] for r in store.read("sessions", sync.SESSION_SCHEMA).collect()}
     said = lambda *texts: lines(*[{"type": "event_msg", "payload": {"type": "user_message", "message": t}} for t in texts])
     put(root, "r0.jsonl", said("m0"))
