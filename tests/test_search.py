@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as X
-from colloquy.operators import codes, evaluate, filters, search
+from colloquy.operators import codes, embed, evaluate, filters, search
 
 CORPUS = [
     ("s1", "claude-code", "src-1", "how do I debug tokio async streams with backpressure"),
@@ -183,3 +183,33 @@ def test_codes(spark):
     assert one["queries"] == 45 and one["pairs"] == 450 and one["share_found"] >= 0.9 and one["share_read"] < 0.1
     stored = codes.encode(vectors, books)
     assert stored.count() == 900 and {len(r["code"]) for r in stored.collect()} == {4}
+
+
+def test_rows_dealt_out_grow_with_the_queries(spark):
+    """What tasks keep of a query is kept once, however many chunks there are."""
+    import numpy as np
+
+    x = np.random.default_rng(8).normal(size=(4000, 6))
+    vectors = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "message_id bigint, embedding array<float>").repartition(16)
+    asked = vectors.where("message_id < 2100").withColumnRenamed("message_id", "query_id")
+    plan = search.knn_batch(vectors, asked, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "BroadcastNestedLoopJoin" not in plan
+    blocks, tasks = search.dealt(asked, 512)
+    chunks = search.packed(vectors, "message_id", 512, ("ids", "x"))
+    parts = search.meet(search.packed(blocks, "query_id", 512, ("asked", "wanted")), chunks, tasks).rdd.getNumPartitions()
+    assert tasks == 5 and parts == tasks * max(1, spark.sparkContext.defaultParallelism // tasks)
+
+
+def test_frequent_words_make_no_row_for_a_query_and_a_message(spark):
+    """Queries that all hold a word of every message: the same lists as single searches, and no join makes their product."""
+    messages = spark.createDataFrame([(i, f"s{i % 40}", f"the of w{i % 7} x{i % 11}" + " the" * (i % 3)) for i in range(300)], "message_id bigint, session_id string, content string")
+    sessions = messages.select(F.col("session_id").alias("id")).distinct()
+    asked = [f"the the_of w{i % 7} x{i % 11}" for i in range(60)]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id bigint, query string")
+    lengths = search.build_lengths(messages)
+    found = evaluate.batch_fts(queries, search.build_postings(messages), lengths, search.corpus_stats(lengths), 10)
+    assert "CartesianProduct" in found._jdf.queryExecution().executedPlan().toString()
+    got = found.collect()
+    for n in (0, 13, 59):
+        want = [(r["session_id"], r["rank"]) for r in search.fts_search(sessions, messages, asked[n], 10).orderBy("rank", "session_id").collect()]
+        assert [(r["session_id"], r["rank"]) for r in sorted(got, key=lambda r: r["wr"]) if r["query_id"] == n] == want
