@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.vectors import is_whole, l2
-from colloquy.operators.search import BLOCK, comparable, packed, smallest
+from colloquy.operators.search import BLOCK, comparable, dealt, meet, packed, row_by_row, smallest
 from colloquy.operators.store import Store
 
 #: Vectors that codebooks are fitted on, cells, bytes of a code, entries of a codebook, rounds of fitting.
 SAMPLE, MOST_CELLS, PARTS, ENTRIES, ROUNDS = 20_000, 256, 32, 256, 10
-#: Ids re-ranked for each neighbour wanted, at least, and rows that a chunk of codes holds.
-PER_NEIGHBOUR, CHUNK = 4, 16_384
+#: Ids re-ranked for each neighbour wanted, at least, rows that a chunk of codes holds, and queries whose distances to a chunk stand in memory at once.
+PER_NEIGHBOUR, CHUNK, MEASURED = 4, 16_384, 32
 
 VECTORS = "message_id bigint, embedding array<float>, session_id string"
 CODE_SCHEMA = "message_id bigint, cell int, code binary, bias float"
@@ -120,25 +120,28 @@ def _chunks(codes: DataFrame) -> DataFrame:
 
 
 def shortlist(codes: DataFrame, queries: DataFrame, books: Codebooks, n: int) -> DataFrame:
-    """(query_id, message_id): the n nearest of each query by coded distances, ties by id. Each task keeps n a query, so what is dealt out
-    grows with queries x tasks; blocks of queries meet chunks of codes in a join, neither passes through the driver."""
+    """(query_id, message_id): the n nearest of each query by coded distances, ties by id. Each task keeps n for each of its
+    queries, so what is dealt out grows with the queries; blocks of queries meet chunks of codes in a join, neither passes through the driver."""
 
     def near(batches):
         held: dict = {}
-        for batch in batches:
-            for asked, wanted, ids, cells, code, bias in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = np.frombuffer(ids, np.int64)
-                tables = books.tables(np.frombuffer(wanted).reshape(len(asked) // 8, -1))
-                far = books.far(tables, np.frombuffer(cells, np.int32), np.frombuffer(code, np.uint8).reshape(len(ids), -1), np.frombuffer(bias, np.float32))
-                take = min(n, len(ids))
+        for asked, wanted, ids, cells, code, bias in row_by_row(batches):
+            ids, wanted = np.frombuffer(ids, np.int64), np.frombuffer(wanted).reshape(len(asked) // 8, -1)
+            cells, code, bias = np.frombuffer(cells, np.int32), np.frombuffer(code, np.uint8).reshape(len(ids), -1), np.frombuffer(bias, np.float32)
+            take, found = min(n, len(ids)), []
+            for i in range(0, len(wanted), MEASURED):  # distances of some queries at a time
+                far = books.far(books.tables(wanted[i : i + MEASURED]), cells, code, bias)
                 query, at = np.nonzero(far <= np.partition(far, take - 1, axis=1)[:, take - 1 : take])
-                found = smallest(query, ids[at], far[query, at], n)
-                held[asked] = found if asked not in held else smallest(*(np.concatenate(two) for two in zip(held[asked], found, strict=True)), n)
+                found.append(smallest(query + i, ids[at], far[query, at], n))
+            if asked in held:
+                found.append(held[asked])
+            held[asked] = smallest(*(np.concatenate(x) for x in zip(*found, strict=True)), n)
         for asked, (query, ids, far) in held.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(asked, np.int64)[query]), pa.array(ids), pa.array(far)], names=["query_id", "message_id", "far"])
 
-    blocks = packed(queries, "query_id", BLOCK, ("asked", "wanted")).hint("repartition")
-    local = blocks.crossJoin(_chunks(codes).hint("repartition")).mapInArrow(near, "query_id bigint, message_id bigint, far double")
+    few, tasks = dealt(queries, BLOCK)
+    pairs = meet(packed(few, "query_id", BLOCK, ("asked", "wanted")), _chunks(codes), tasks)
+    local = pairs.select("asked", "wanted", "ids", "cells", "codes", "bias").mapInArrow(near, "query_id bigint, message_id bigint, far double")
     order = Window.partitionBy("query_id").orderBy("far", "message_id")
     return local.withColumn("n", F.row_number().over(order)).where(F.col("n") <= n).select("query_id", "message_id")
 

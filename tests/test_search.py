@@ -213,3 +213,23 @@ def test_frequent_words_make_no_row_for_a_query_and_a_message(spark):
     for n in (0, 13, 59):
         want = [(r["session_id"], r["rank"]) for r in search.fts_search(sessions, messages, asked[n], 10).orderBy("rank", "session_id").collect()]
         assert [(r["session_id"], r["rank"]) for r in sorted(got, key=lambda r: r["wr"]) if r["query_id"] == n] == want
+
+
+class Narrow(codes.Codebooks):
+    """Codebooks that measure few queries at a time."""
+
+    def far(self, tables, *chunk):
+        assert len(tables[0]) <= 64
+        return super().far(tables, *chunk)
+
+
+def test_distances_to_codes_stand_in_memory_for_few_queries(spark):
+    import numpy as np
+
+    x = np.random.default_rng(6).normal(size=(400, 8)).astype(np.float32)
+    vectors = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "message_id bigint, embedding array<float>").coalesce(1)
+    books = codes.fit(vectors, parts=4)
+    asked = vectors.where("message_id < 300").withColumnRenamed("message_id", "query_id")
+    rows = lambda d: sorted(map(str, d.withColumn("distance", F.round("distance", 9)).collect()))
+    narrow = Narrow(books.centres, books.edges, books.entries)
+    assert rows(codes.search_codes(codes.encode(vectors, books), vectors, asked, narrow, 4, 400)) == rows(search.knn_batch(vectors, asked, 4))
