@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +13,8 @@ from colloquy.functions.text import embedding_text
 from colloquy.operators.stats import pending_messages
 
 DIMENSION, BATCH, MOST_TOKENS = 384, 8, 512
+#: Texts whose vectors a worker holds at a time.
+WRITTEN = 256
 
 
 class HashedTerms:
@@ -35,30 +37,28 @@ class HashedTerms:
 
 def encode(texts: DataFrame, key: str, text: str, encoder: Callable[[list[str]], np.ndarray] | None = None, prefix: str = "passage: ", batch: int = BATCH) -> DataFrame:
     """(key, embedding, error) of each text; the encoder is set up once for each Python worker. A batch that fails is tried text by text; a text that fails has an error and no vector."""
-    model = encoder or HashedTerms()
+    model, batch_size = encoder or HashedTerms(), batch
     kind = dict(texts.dtypes)[key]
 
-    def run(frames):
-        for pdf in frames:
-            keys, inputs = pdf[key].tolist(), [prefix + (t or "") for t in pdf[text]]
-            vectors: list = []
-            errors: list = []
-            for i in range(0, len(inputs), batch):
-                some = inputs[i : i + batch]
-                try:
-                    vectors += [v.astype(np.float32) for v in np.asarray(model(some))]
-                    errors += [None] * len(some)
-                except Exception:  # noqa: BLE001  the encoder is the caller's
-                    for one in some:
-                        try:
-                            vectors.append(np.asarray(model([one]))[0].astype(np.float32))
-                            errors.append(None)
-                        except Exception as e:  # noqa: BLE001
-                            vectors.append(None)
-                            errors.append(str(e))
-            yield pd.DataFrame({key: keys, "embedding": vectors, "error": errors})
-
-    return texts.select(key, text).mapInPandas(run, f"`{key}` {kind}, embedding array<float>, error string")
+    def tried(some: list[str]) -> tuple[list, list]:
+        try:
+            return list(np.asarray(model(some), np.float32)), [None] * len(some)
+        except Exception as e:  # noqa: BLE001  the encoder is the caller's
+            if len(some) == 1:
+                return [None], [str(e)]
+            one = [tried([t]) for t in some]
+            return [v for x, _ in one for v in x], [e for _, x in one for e in x]
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, WRITTEN):  # few vectors stand in memory, however many texts come at once
+                part = batch.slice(i, WRITTEN)
+                inputs = [prefix + (t or "") for t in part.column(1).to_pylist()]
+                both = [tried(inputs[j : j + batch_size]) for j in range(0, len(inputs), batch_size)]
+                vectors = pa.array([v for x, _ in both for v in x], pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), vectors, pa.array([e for _, x in both for e in x], pa.string())], names=[key, "embedding", "error"])
+
+    return texts.select(key, text).mapInArrow(run, f"`{key}` {kind}, embedding array<float>, error string")
 
 
 def encode_query(query: str, encoder: Callable[[list[str]], np.ndarray] | None = None) -> list[float]:

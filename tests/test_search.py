@@ -233,3 +233,25 @@ def test_distances_to_codes_stand_in_memory_for_few_queries(spark):
     rows = lambda d: sorted(map(str, d.withColumn("distance", F.round("distance", 9)).collect()))
     narrow = Narrow(books.centres, books.edges, books.entries)
     assert rows(codes.search_codes(codes.encode(vectors, books), vectors, asked, narrow, 4, 400)) == rows(search.knn_batch(vectors, asked, 4))
+
+
+class Measured:
+    """An encoder that fails once the worker holds more than some megabytes."""
+
+    def __call__(self, texts):
+        import tracemalloc
+
+        import numpy as np
+
+        if not tracemalloc.is_tracing():
+            tracemalloc.start()
+        if tracemalloc.get_traced_memory()[0] > 5_000_000:
+            raise MemoryError("too much is held")
+        return np.ones((len(texts), 384))
+
+
+def test_few_vectors_stand_in_memory(spark):
+    texts = spark.range(6000).selectExpr("id AS k", "'some words' AS t").coalesce(1)
+    done = embed.encode(texts, "k", "t", Measured()).selectExpr("k", "size(embedding) AS n", "error")
+    assert [tuple(r) for r in done.where("error IS NOT NULL").limit(1).collect()] == []
+    assert done.where("n = 384").select("k").distinct().count() == 6000
