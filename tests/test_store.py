@@ -189,3 +189,45 @@ def test_two_runs_never_embed_a_session_twice(spark, tmp_path):
     one.append({"claims": rows}, base)
     with pytest.raises(Conflict):  # both reached for the same session
         two.append({"claims": rows}, base)
+
+
+def ran(spark, work):
+    """Node names of each plan that a piece of work runs, as it stood in the end."""
+    held = spark._jsparkSession.sharedState().statusStore()
+    plans = lambda: [held.executionsList().apply(i).executionId() for i in range(held.executionsList().size())]
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = set(plans())
+    work()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    graphs = [held.planGraph(n).allNodes() for n in plans() if n not in before]
+    return [[g.apply(i).name() for i in range(g.size())] for g in graphs]
+
+
+def test_runs_pass_no_table_through_the_driver_and_keep_plans_small(spark, tmp_path):
+    """Syncs that replace sessions and a run of the encoder broadcast nothing, and no plan has hundreds of nodes (once 422)."""
+    store, some = Store(spark, str(tmp_path)), [(f"s{i}", 1, ["alpha beta", "gamma delta"], i) for i in range(12)]
+    sync.sync(raw(spark, *some), store)
+    seen = ran(spark, lambda: sync.sync(raw(spark, *[(s, 2, ["beta", *t], n) for s, _, t, n in some[:6]]), store))
+    seen += ran(spark, lambda: jobs.embed_run(store, embed.HashedTerms(16), at_ms=1))
+    assert len(seen) > 10
+    assert not [names for names in seen if any("Broadcast" in n for n in names)]
+    assert max(map(len, seen)) < 250
+
+
+def test_runs_read_manifests_without_jobs(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    sync.sync(raw(spark, ("s1", 1, ["alpha"], 0)), store)
+    assert not ran(spark, lambda: store.manifest(store.numbers()[-1]))
+
+
+def test_tombstones_older_than_all_rows_of_a_bucket_are_not_read(spark, tmp_path):
+    store, some = Store(spark, str(tmp_path)), [(f"s{i}", 1, ["alpha beta"], i) for i in range(4)]
+    sync.sync(raw(spark, *some), store)
+    sync.sync(raw(spark, ("s1", 2, ["gamma"], 1)), store)
+    jobs.embed_run(store, embed.HashedTerms(16), at_ms=1)
+    manifest = store.manifest()
+    assert not store.killing("vectors", manifest)["tables"]["tombstones"] and store.killing("messages", manifest)["tables"]["tombstones"]
+    assert store.read("vectors", sync.VECTOR_SCHEMA).count() == store.read("messages", sync.MESSAGE_SCHEMA).count() == 4
+    sync.sync(raw(spark, ("s2", 2, ["delta", "epsilon"], 2)), store)
+    assert store.killing("vectors", store.manifest())["tables"]["tombstones"]
+    assert store.read("vectors", sync.VECTOR_SCHEMA).count() == 3
