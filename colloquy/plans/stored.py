@@ -42,7 +42,7 @@ def filled(v: Views) -> Store:
 def filled_by_rows(v: Views) -> Store:
     """As filled(), from rows of messages that are never gathered; the numbers that messages have are stretched, so that a session has many stretches."""
     n, store = F.regexp_extract("id", r"\d+", 0).cast("bigint"), Store(v.spark, scratch(v.spark))
-    said = v.messages.select("session_id", "role", F.col("content").alias("text"), "timestamp", (F.col("seq") * (rows.STRETCH // 2)).alias("place")).join(v.sessions.withColumn("n", n).hint("merge"), F.col("session_id") == F.col("id"))
+    said = v.messages.select("session_id", "role", F.col("content").alias("text"), "timestamp", (F.col("seq").cast("bigint") * (rows.STRETCH // 2)).alias("place")).join(v.sessions.withColumn("n", n).hint("merge"), F.col("session_id") == F.col("id"))
     found = said.select("source", F.col("id").alias("entry"), "place", "role", "text", "timestamp", "source_id", "directory", "started_at", "entrypoint", "n")
 
     def run(which: Column, at: int, content: Column) -> None:

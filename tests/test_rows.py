@@ -141,3 +141,16 @@ def test_kiro_rows(spark):
     table = spark.createDataFrame([("/k", "k", json.dumps(turns), 1, 2)], "key string, conversation_id string, value string, created_at bigint, updated_at bigint")
     raw = kiro.parse(table)
     assert rows.gather(rows.rows_of(raw)).collect() == raw.select(*rows.gather(rows.rows_of(raw)).columns).collect()
+
+
+def test_sessions_of_many_stretches_are_stored_whole(spark, tmp_path):
+    """A session of 70 messages: their stretched places go beyond 32 bits."""
+    from colloquy.operators import sync
+    from colloquy.plans import stored
+    from colloquy.plans.views import Views
+
+    turns = [(1, n, "user" if n % 2 == 0 else "assistant", f"turn {n}") for n in range(70)]
+    spark.createDataFrame(turns, "conv_id bigint, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    store = stored.filled_by_rows(Views(spark, str(tmp_path)))
+    got = sorted((r["seq"], r["content"]) for r in store.read("messages", sync.MESSAGE_SCHEMA).collect())
+    assert got == [(n, f"turn {n}") for n in range(70)]
