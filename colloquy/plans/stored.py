@@ -75,7 +75,8 @@ def fts_indexed(v: Views, words: str) -> DataFrame:
     store = filled(v)
     sessions, messages = _tables(store)
     found = index.search_index(store, sessions, messages, words)
-    return found.join(sessions.select(F.col("id").alias("session_id"), "source_id"), "session_id").select("source_id", "rank")
+    # the list is the small side, whatever its plan makes Spark expect: else the driver builds a table of all sessions
+    return F.broadcast(found).join(sessions.select(F.col("id").alias("session_id"), "source_id"), "session_id").select("source_id", "rank")
 
 
 def index_blocks(v: Views, words: str) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 
 from colloquy.operators import codes, embed, index, search, sync
 from colloquy.operators.store import Conflict, Store
+from colloquy.plans import stored
 from colloquy.streaming import jobs
 from tests.test_sync import raw
 
@@ -214,6 +215,18 @@ def test_runs_pass_no_table_through_the_driver_and_keep_plans_small(spark, tmp_p
     assert max(map(len, seen)) < 250
 
 
+def test_a_top_list_is_what_meets_the_sessions(spark, tmp_path, monkeypatch):
+    """Names of found sessions are looked up by broadcasting the list, not the table of sessions (once 51,282 rows of 51,282)."""
+    store = Store(spark, str(tmp_path))
+    sync.sync(raw(spark, *[(f"s{i}", 1, ["alpha beta"] if i % 2 else ["gamma"], i) for i in range(6)]), store)
+    monkeypatch.setattr(stored, "filled", lambda v: store)
+    for words in ("alpha", '"alpha beta"'):
+        found = stored.fts_indexed(None, words)
+        top = next(line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line)
+        assert "leftHint=(strategy=broadcast)" in top
+        assert [r["source_id"] for r in found.orderBy("source_id").collect()] == ["s1", "s3", "s5"]
+
+
 def test_runs_read_manifests_without_jobs(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     sync.sync(raw(spark, ("s1", 1, ["alpha"], 0)), store)
